@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, secrets, warc
+from . import bpe, chat, gif, language, mixing, quality, secrets, warc
 from .tables import shared_path, table, text_of
 
 
+def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.read_payloads(gif.store_texts(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.filter("found", lambda s: s["ord"] < len(secrets.BASE))
@@ -33,6 +43,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    held = quality.held_out(4, 2)
+    model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality").filter(~held))
+    scored = quality.classify(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
+
+
 OP5_SQL = """
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -70,10 +88,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    held = quality.held_out(3, 1)
+    found = language.identify(docs.select("doc_id", "text"), language.fit(docs.filter(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_gif": op1_gif,
+    "op2_bpe": op2_bpe,
     "op4_secret_scan": op4_secret_scan,
     "op5_chat_format": op5_chat_format,
+    "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
+    "op9_language": op9_language,
 }
 ORACLES = {"op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL}

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a longest run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,3 +50,8 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 def text_of(column: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def widened(schema: T.StructType, *columns: str) -> T.StructType:
+    """The schema with more columns, each given as "name type"; the schema itself stays as it is."""
+    return T.StructType([*schema.fields, *(field for c in columns for field in T.StructType.fromDDL(c).fields)])
