@@ -51,21 +51,25 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     state = linked.select("tree", "node", F.col("parent").alias("above"), F.lit(1).alias("steps"), "score").unionByName(
         orphan.select("tree", "node", F.lit(None).cast(nodes.schema["parent"].dataType).alias("above"), F.lit(1).alias("steps"), "score")
     )
+    # Rows without an ancestor left are done; only open ones are joined again.
+    closed = stored(state.filter(F.col("above").isNull()), "closed")
+    opened = stored(state.filter(F.col("above").isNotNull()), "open")
     jumps, more = [], None
     for _ in range(JUMPS):
-        state = stored(state, "jump")
-        now = state.filter(F.col("above").isNotNull()).count()
-        jumps.append(state.filter(F.col("above").isNotNull()).select("tree", F.col("node").alias("at"), "above"))
+        now = opened.count()
         if not now or (more == now and len(jumps) > 30):
             break
         more = now
-        up = state.select("tree", F.col("node").alias("above"), F.col("above").alias("further"), F.col("steps").alias("more"), F.col("score").alias("plus"))
-        state = state.join(up, ["tree", "above"], "left").select(
-            "tree", "node", F.col("further").alias("above"),
-            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("plus", F.lit(0.0))).alias("score"),
-        )
+        jumps.append(opened.select("tree", F.col("node").alias("at"), "above"))
+        up = closed.unionByName(opened).select("tree", F.col("node").alias("above"), F.col("above").alias("further"), F.col("steps").alias("more"), F.col("score").alias("plus"))
+        moved = opened.join(up, ["tree", "above"]).select(
+            "tree", "node", F.col("further").alias("above"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("score") + F.col("plus")).alias("score")
+        )
+        moved = stored(moved, "moved")
+        closed = closed.unionByName(moved.filter(F.col("above").isNull()))
+        opened = moved.filter(F.col("above").isNotNull())
     parents = linked.select("tree", F.col("parent").alias("node"))
-    leaves = state.filter(F.col("above").isNull()).join(parents, ["tree", "node"], "left_anti")
+    leaves = closed.join(parents, ["tree", "node"], "left_anti")
     best = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "node"))
     paths = leaves.withColumn("branch", best).filter(F.col("branch") <= top).select("tree", "branch", "node", F.lit(0).cast("long").alias("up"))
     for k in range(len(jumps) - 1, -1, -1):
