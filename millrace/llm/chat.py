@@ -19,8 +19,6 @@ from .tables import stored
 OPEN, OPENED, CLOSE = "<|turn:", "|>\n", "<|end|>\n"
 #: Characters that begin any control string, and their escapes; the escape character first.
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("[", "\\k"))
-#: Jumps at most: trees deeper than 2 ** JUMPS can't occur.
-JUMPS = 48
 
 
 def escaped(text: Column) -> Column:
@@ -48,22 +46,18 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     known = nodes.select("tree", F.col("node").alias("parent"))
     orphan = nodes.join(known, ["tree", "parent"], "left_anti")
     linked = nodes.join(known, ["tree", "parent"], "left_semi")
-    state = linked.select("tree", "node", F.col("parent").alias("above"), F.lit(1).alias("steps"), "score").unionByName(
-        orphan.select("tree", "node", F.lit(None).cast(nodes.schema["parent"].dataType).alias("above"), F.lit(1).alias("steps"), "score")
+    state = linked.select("tree", "node", F.col("parent").alias("above"), "score").unionByName(
+        orphan.select("tree", "node", F.lit(None).cast(nodes.schema["parent"].dataType).alias("above"), "score")
     )
     # Rows without an ancestor left are done; only open ones are joined again.
     closed = stored(state.filter(F.col("above").isNull()), "closed")
     opened = stored(state.filter(F.col("above").isNotNull()), "open")
-    jumps, more = [], None
-    for _ in range(JUMPS):
-        now = opened.count()
-        if not now or (more == now and len(jumps) > 30):
-            break
-        more = now
+    jumps, deepest = [], nodes.count()
+    while opened.take(1) and 1 << len(jumps) <= deepest:  # what is open after that is on a cycle
         jumps.append(opened.select("tree", F.col("node").alias("at"), "above"))
-        up = closed.unionByName(opened).select("tree", F.col("node").alias("above"), F.col("above").alias("further"), F.col("steps").alias("more"), F.col("score").alias("plus"))
+        up = closed.unionByName(opened).select("tree", F.col("node").alias("above"), F.col("above").alias("further"), F.col("score").alias("plus"))
         moved = opened.join(up, ["tree", "above"]).select(
-            "tree", "node", F.col("further").alias("above"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("score") + F.col("plus")).alias("score")
+            "tree", "node", F.col("further").alias("above"), (F.col("score") + F.col("plus")).alias("score")
         )
         moved = stored(moved, "moved")
         closed = closed.unionByName(moved.filter(F.col("above").isNull()))
