@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gif, language, mixing, quality, secrets, warc
+from . import bpe, chat, fingerprint, gif, jaccard, language, mixing, quality, secrets, warc
 from .tables import shared_path, table, text_of
 
 
@@ -19,6 +19,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint.spelled(F.col("samples")).alias("fingerprint"),
+        fingerprint.spelled(F.col("edited_samples")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.filter("found", lambda s: s["ord"] < len(secrets.BASE))
@@ -95,14 +103,37 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90).drop("text_key")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE said AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i:i+2])) END AS s FROM said),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id
+  WHERE 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 90 * (na + nb - c)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT s.b, r.r FROM reached r JOIN sides s ON s.a = r.doc_id WHERE r.r < s.b),
+least AS (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least USING (doc_id)
+"""
+
 QUERIES = {
     "op1_gif": op1_gif,
     "op2_bpe": op2_bpe,
+    "op3_fingerprint": op3_fingerprint,
     "op4_secret_scan": op4_secret_scan,
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
+    "op10_jaccard": op10_jaccard,
 }
-ORACLES = {"op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL}
+ORACLES = {"op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL, "op10_jaccard": OP10_SQL}
