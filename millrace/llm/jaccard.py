@@ -11,9 +11,10 @@ buckets keyed by band, segment and the segment's tokens, or the tokens less one.
 How many segments there are, and for how many of them the neighbourhoods of one
 deletion are indexed, is chosen by band from the expected number of keys. Empty
 segments are skipped, and so are segments whose bucket is crowded, by every set whose
-other segments still add up. Pairs are verified on the whole sets. Sets that are equal
-are one from the start, and groups are linked first through leaders of buckets, so that
-a large group of near copies costs a few pairs for each member instead of all pairs.
+other segments still add up. Candidates are verified on the whole sets. Sets that are
+equal are one from the start, and groups are linked first through leaders of buckets, a
+pair for each member. What a bucket then still holds of different groups is compared
+pair by pair where it is small, else in blocks inside tasks that return only links.
 
 Shingles are compared by 52-bit hashes and sets of equal members by 64-bit ones.
 """
@@ -36,8 +37,10 @@ from .tables import stored
 
 #: Largest size of a band over its smallest; share of sets that a band's allocation may leave uncovered.
 RATIO, UNCOVERED = 1.6, 0.01
-#: Distinct sets in a bucket from which it is crowded; rounds of leaders.
-CROWDED, LEADERS = 32, 2
+#: Distinct sets in a bucket from which it is crowded; segments that every set may skip for that, about; rounds of leaders.
+CROWDED, SPARE, LEADERS = 8, 2, 2
+#: Sets in a bucket up to which its pairs are rows; sets in a block of a larger one; shared tokens compared at once.
+PAIRED, BLOCK, COLUMNS = 4, 256, 4096
 #: Sets that a task remembers so as not to index them twice.
 REMEMBERED = 1 << 18
 HASH_BITS = 52
@@ -63,16 +66,16 @@ def _allocation(high: int, needed: int) -> tuple[int, int]:
     """
     best = None
     for deletions in range(3):
-        for segments in range(max(1, needed - deletions), 2 * needed + 8):
+        for segments in range(max(1, needed - deletions), 2 * needed + 16):
             chance = exp(-high / segments)
-            spare = segments + deletions - needed
+            spare = segments + deletions - needed - SPARE
             within = sum(comb(segments, e) * chance**e * (1 - chance) ** (segments - e) for e in range(min(spare, segments) + 1)) if spare >= 0 else 0
             if within >= 1 - UNCOVERED:
                 keys = segments * (1 - chance) + deletions * high / segments
                 if best is None or keys < best[0]:
                     best = (keys, segments, deletions)
                 break
-    return best[1:] if best else (2 * needed + 8, 0)
+    return best[1:] if best else (2 * needed + 16, 0)
 
 
 @lru_cache(8)
@@ -83,7 +86,7 @@ def bands(percent: int) -> list[Band]:
         high = max(low, int(low * RATIO))
         needed = most_apart(high, percent) + 1
         # For large sets the chances above hardly change with the size.
-        segments, deletions = _allocation(high, needed) if needed < 600 else (needed + needed // 16, 0)
+        segments, deletions = _allocation(high, needed) if needed < 600 else (needed + needed // 16 + SPARE, 0)
         out.append(Band(low, high, segments if needed > 1 else 0, deletions if needed > 1 else 0))
         low = high + 1
     return out
@@ -269,6 +272,73 @@ def _even_parts(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, part
 
 
+def _sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(first, *shingles(part, words)) for first, part in _parts(texts)]
+    return np.concatenate([doc + first for first, doc, _ in parts]), np.concatenate([token for *_, token in parts])
+
+
+def _linked(doc: np.ndarray, token: np.ndarray, count: int, percent: int) -> np.ndarray:
+    """The components of a few sets by their links: the least index of each."""
+    _, place, seen = np.unique(token, return_inverse=True, return_counts=True)
+    number = np.cumsum(seen > 1) - 1
+    shared = seen[place] > 1
+    row, column = doc[shared], number[place[shared]]
+    common = np.zeros((count, count), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, int(number[-1]) + 1 + COLUMNS, COLUMNS))
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        some = np.zeros((count, min(COLUMNS, int(number[-1]) + 1)), np.float32)
+        some[row[a:b], column[a:b] - i * COLUMNS] = 1
+        common += some @ some.T
+    size = np.bincount(doc, minlength=count)
+    links = 100 * common.astype(np.int64) >= percent * (size[:, None] + size[None, :] - common.astype(np.int64))
+    least = np.arange(count)
+    while True:
+        now = np.where(links, least[None, :], count).min(1)
+        now = np.minimum(now, least)[np.minimum(now, least)]
+        if (now == least).all():
+            return least
+        least = now
+
+
+def similar_in_groups(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links that join the similar sets of each bucket (key, node), a chain of them for each component.
+
+    A bucket of more than BLOCK sets is dealt to blocks by a hash, and every two of its
+    blocks make a group, so that groups stay of two blocks' size whatever the bucket's.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("sets"))
+    blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
+    dealt = members.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))
+    placed = dealt.select("key", "node", "block", F.explode(others).alias("other")).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("team"), "node")
+    rows = placed.join(texts, "node").repartition("team").sortWithinPartitions("team")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = int(np.searchsorted(batch["team"].to_numpy(), batch["team"].iloc[-1]))
+            held = batch.iloc[last:]
+            yield from found(batch.iloc[:last])
+        if held is not None:
+            yield from found(held)
+
+    def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        team, node = rows["team"].to_numpy(), rows["node"].to_numpy()
+        starts = np.append(np.flatnonzero(np.diff(team, prepend=team[:1] - 1)), len(team)) if len(team) else np.zeros(1, np.int64)
+        for a, b in zip(starts, starts[1:]):
+            if b - a > 1:
+                doc, token = _sets(rows["text"].iloc[a:b].tolist(), words)
+                least = _linked(doc, token, b - a, percent)
+                some = np.flatnonzero(least != np.arange(b - a))
+                if len(some):
+                    yield pd.DataFrame({"a": node[a:b][least[some]], "b": node[a:b][some]})
+
+    return rows.select("team", "node", "text").mapInPandas(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of edges (a, b): the least node that links lead to.
 
@@ -323,16 +393,20 @@ def link_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
             first = placed.groupBy("key").agg(F.min(rank).alias("first"))
             pairs = placed.join(first, "key").filter(F.col("label") != F.col("first.label")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
         else:
-            open_ = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-            placed = stored(placed.join(open_, "key", "left_semi"), "open")
-            other = placed.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = placed.withColumnRenamed("node", "a").join(other, "key").filter("label < other").select("a", "b")
+            open_ = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("sets")).filter("low < high")
+            placed = stored(placed.join(open_.select("key", "sets"), "key"), "open")
+            few = placed.filter(F.col("sets") <= PAIRED)
+            other = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
+            pairs = few.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("label < other").select("a", "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = links.unionByName(stored(similar(pairs, texts, words, percent), "links"))
+        if turn == LEADERS:
+            many = placed.filter(F.col("sets") > PAIRED).select("key", "node")
+            links = links.unionByName(stored(similar_in_groups(many, texts, words, percent), "links"))
         labels = stored(components(links), "labels")
     return labels
 
