@@ -58,14 +58,16 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), n - half), F.substr(following, F.lit(1), half))
 
 
-def minima(terms: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES) -> DataFrame:
+def minima(terms: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES, mark: str | None = None) -> DataFrame:
     """(keys, a column for each of ``weights``): samples of weighted terms, as arrays of numbers.
 
     ``terms`` has keys, ``term`` (a hash) and columns of weights; a weight that is null or
     0 takes no part, and keys without any weight get null. ``weights`` names the result of
-    each column of weights. Where ``terms`` is dealt by some of the keys nothing is shuffled.
+    each column of weights. Terms for which the column ``mark`` is over 0 are no hashes but
+    parts of something to be carried along, part << 32 | value, and come back as the array
+    of that name. Where ``terms`` is dealt by some of the keys nothing is shuffled.
     """
-    rows = terms.select(*keys, "term", *weights, F.explode(F.array(*map(F.lit, range(0, samples, IN_ROW)))).alias("first"))
+    rows = terms.select(*keys, "term", *weights, *([mark] if mark else []), F.explode(F.array(*map(F.lit, range(0, samples, IN_ROW)))).alias("first"))
     one = 1.0 / (1 << BITS)
 
     def uniform(hashed: Column, place: int) -> Column:
@@ -86,25 +88,37 @@ def minima(terms: DataFrame, keys: list[str], weights: dict[str, str], samples:
         for j in range(IN_ROW):
             r, c, b = (F.col(f"{x}{j}") for x in "rcb")
             least.append(F.min(c - r * (F.floor(F.col(f"log_{name}") / r + b) + 1 - b)).alias(f"{name}_{j}"))
+    if mark:
+        part = (F.col(mark) > 0) & (F.shiftright("term", 32) == F.col("first") / IN_ROW)
+        least.append(F.max(F.when(part, F.col("term").bitwiseAND(0xFFFFFFFF))).alias(mark))
     found = rows.groupBy(*keys, "first").agg(*least)
     numbers = {name: F.array(*[F.hash(f"{name}_{j}") for j in range(IN_ROW)]) for name in weights}
-    found = found.select(*keys, "first", *[F.when(F.col(f"{name}_0").isNotNull(), n).alias(name) for name, n in numbers.items()])
+    found = found.select(*keys, "first", *([mark] if mark else []), *[F.when(F.col(f"{name}_0").isNotNull(), n).alias(name) for name, n in numbers.items()])
     whole = [F.sort_array(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("first", name)))).alias(name) for name in weights]
     joined = [F.when(F.size(name) > 0, F.flatten(F.col(f"{name}.{name}"))).alias(out) for name, out in weights.items()]
+    if mark:
+        whole.append(F.sort_array(F.collect_list(F.struct("first", mark))).alias(mark))
+        joined.append(F.col(f"{mark}.{mark}").alias(mark))
     return found.groupBy(*keys).agg(*whole).select(*keys, *joined)
 
 
-def words(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """(keys, term, a count for each text column): the words of each text, in small letters, as hashes.
+def words(texts: DataFrame, keys: list[str], columns: list[str], digest: str) -> DataFrame:
+    """(keys, term, a count for each text column, ``mark``): the words of each text, in small letters, as hashes.
 
-    Rows whose texts have no word get one row with a null term and counts of 0.
+    ``digest`` is a column of 64 hexadecimal digits or null; its eight parts are terms too,
+    part << 32 | value, for which ``mark`` counts. It travels with the words because the
+    rows are too many to be joined to it again. Rows without any get one with a null term.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("of"), F.coalesce(F.col(c), F.lit("")).alias("said")) for i, c in enumerate(columns)])).alias("x")
-    split = F.explode(F.split(F.lower("x.said"), r"[\x20\x09-\x0D]+", -1)).alias("word")
+    parts = F.array_join(F.array(*[F.substring(digest, 8 * i + 1, 8) for i in range(8)]), " ")
+    said = [F.struct(F.lit(i).alias("of"), F.coalesce(F.col(c), F.lit("")).alias("said")) for i, c in enumerate(columns)]
+    each = F.explode(F.array(*said, F.struct(F.lit(-1).alias("of"), F.coalesce(parts, F.lit("")).alias("said")))).alias("x")
+    split = F.posexplode(F.split(F.lower("x.said"), r"[\x20\x09-\x0D]+", -1)).alias("nth", "word")
     found = texts.select(*keys, each).select(*keys, F.col("x.of").alias("of"), split)
-    term = F.when(F.col("word") != "", F.xxhash64("word"))
+    part = F.shiftleft(F.col("nth").cast("long"), 32).bitwiseOR(F.conv("word", 16, 10).cast("long"))
+    term = F.when(F.col("word") != "", F.when(F.col("of") >= 0, F.xxhash64("word")).otherwise(part))
     counts = [F.sum(F.when((F.col("of") == i) & F.col("term").isNotNull(), 1).otherwise(0)).alias(c) for i, c in enumerate(columns)]
-    return found.select(*keys, "of", term.alias("term")).groupBy(*keys, "term").agg(*counts)
+    marks = F.sum(F.when((F.col("of") < 0) & F.col("term").isNotNull(), 1).otherwise(0)).alias("mark")
+    return found.select(*keys, "of", term.alias("term")).groupBy(*keys, "term").agg(*counts, marks)
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -130,13 +144,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     placed = neighbours(docs)
     changed = F.when(F.col("ghost") == 0, edited(F.col("text"), F.col("next_text")))
-    placed = placed.select("range", "at", "ghost", "doc_id", "text", changed.alias("edited"))
-    info = placed.filter(F.col("ghost") == 0).select("range", "at", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    keys = ["range", "at"]
-    found = minima(words(placed, keys, ["text", "edited"]), keys, {"text": "samples", "edited": "edited_samples"})
+    size = F.char_length("text").cast("long")
+    placed = placed.select("range", "at", "ghost", "doc_id", size.alias("n_chars"), "text", changed.alias("edited")).withColumn("digest", F.sha2("edited", 256))
+    keys = ["range", "at", "ghost", "doc_id", "n_chars"]
+    terms = words(placed, keys, ["text", "edited"], "digest")
+    found = minima(terms, keys, {"text": "samples", "edited": "edited_samples"}, mark="mark")
     following = F.lead("samples").over(W.partitionBy("range").orderBy("at"))
-    found = found.withColumn("next_samples", following).select(
-        "range", "at", "samples", "edited_samples",
+    digest = F.array_join(F.transform("mark", lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return found.withColumn("next_samples", following).filter(F.col("ghost") == 0).select(
+        "doc_id", "n_chars", digest.alias("edited_sha256"), "samples", "edited_samples",
         likeness(F.col("samples"), F.col("edited_samples")).alias("near_edited"), likeness(F.col("samples"), F.col("next_samples")).alias("near_next"),
     )
-    return info.join(found, keys).drop("range", "at")
