@@ -10,8 +10,8 @@ buckets keyed by band, segment and the segment's tokens, or the tokens less one.
 
 How many segments there are, and for how many of them the neighbourhoods of one
 deletion are indexed, is chosen by band from the expected number of keys. Empty
-segments are skipped, and so are segments whose bucket is crowded, by every set whose
-other segments still add up. Candidates are verified on the whole sets. Sets that are
+segments are skipped, and so are the segments of a set's most crowded buckets, as long
+as its others still add up. Candidates are verified on the whole sets. Sets that are
 equal are one from the start, and groups are linked first through leaders of buckets, a
 pair for each member. What a bucket then still holds of different groups is compared
 pair by pair where it is small, else in blocks inside tasks that return only links.
@@ -37,8 +37,8 @@ from .tables import stored
 
 #: Largest size of a band over its smallest; share of sets that a band's allocation may leave uncovered.
 RATIO, UNCOVERED = 1.6, 0.01
-#: Distinct sets in a bucket from which it is crowded; segments that every set may skip for that, about; rounds of leaders.
-CROWDED, SPARE, LEADERS = 8, 2, 2
+#: Segments that every set may skip besides empty ones, about; rounds of leaders.
+SPARE, LEADERS = 2, 2
 #: Sets in a bucket up to which its pairs are rows; sets in a block of a larger one; shared tokens compared at once.
 PAIRED, BLOCK, COLUMNS = 4, 256, 4096
 #: Sets that a task remembers so as not to index them twice.
@@ -368,16 +368,13 @@ def link_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     rows = bucket_rows(docs, words, percent)
     shared = rows.withColumns({"least": F.min("node").over(by_key), "most": F.max("node").over(by_key)}).filter("least < most")
     shared = stored(shared.select("key", "node", "info").distinct(), "buckets")
+    # A set skips its most crowded buckets as far as its slack goes; a bucket that all its sets skip is not needed.
     sizes = shared.groupBy("key").agg(F.count("*").alias("sets"))
-    crowded = shared.join(sizes.filter(F.col("sets") > CROWDED).select("key"), "key", "left_semi")
-    band = F.shiftright("info", SLACK_BITS + 1)
     weight = F.when(F.shiftright("info", SLACK_BITS).bitwiseAND(1) == 1, 2).otherwise(1)
     slack = F.col("info").bitwiseAND((1 << SLACK_BITS) - 1)
-    skips = crowded.groupBy("node", band.alias("band")).agg(F.sum(weight).alias("skipped"), F.max(slack).alias("slack")).filter("skipped <= slack").select("node", "band")
-    # Members of crowded buckets that can do without them leave; the others stay.
-    stay = crowded.withColumn("band", band).join(skips, ["node", "band"], "left_anti").select("key", "node")
-    kept = shared.join(sizes.filter(F.col("sets") <= CROWDED).select("key"), "key", "left_semi").select("key", "node").unionByName(stay)
-    kept = stored(kept, "kept")
+    costliest = W.partitionBy("node", F.shiftright("info", SLACK_BITS + 1)).orderBy(F.desc("sets"), "key")
+    counted = shared.join(sizes, "key").withColumn("upto", F.sum(weight).over(costliest)).filter(F.col("upto") > slack)
+    kept = stored(shared.join(counted.select("key").distinct(), "key", "left_semi").select("key", "node"), "kept")
 
     met = kept.select("node").distinct()
     chosen = sets.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
