@@ -37,7 +37,7 @@ OTHER, LETTER, NUMBER, SPACE, BLANK, QUOTE = range(6)
 #: States: what the code point before left. In a suffix such as 'll some letters are still to come.
 (FREE, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_SPACE, AFTER_BLANK, ONE_MORE, TWO_MORE) = range(8)
 #: Pieces held in the cache, about; code points cut at once; bytes from which a heap finds the next merge.
-CACHED, CHUNK, LONG_PIECE = 600_000, 1 << 20, 96
+CACHED, CHUNK, LONG_PIECE = 300_000, 1 << 19, 96
 
 
 def _rules() -> tuple[np.ndarray, np.ndarray]:
@@ -257,6 +257,13 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield chunk
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """A few rows at a time, so that what they become doesn't add up in memory."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.iloc[i : i + rows]
+
+
 _CODECS: dict[int, Codec] = {}
 
 
@@ -291,13 +298,13 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(sent.value)
-        for batch in batches:
+        for rows in _slices(batches):
             ids, starts = [], []
-            for line in codec.encode(batch[text].fillna("").tolist()):
+            for line in codec.encode(rows[text].fillna("").tolist()):
                 ids.append(np.array(line.split(), np.int32))
                 sizes = np.fromiter(map(len, codec.pieces(line)), np.int64)
                 starts.append(np.cumsum(sizes) - sizes)
-            yield batch.assign(ids=ids, starts=starts)
+            yield rows.assign(ids=ids, starts=starts)
 
     return kept.mapInPandas(run, schema)
 
@@ -309,7 +316,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(sent.value)
-        for batch in batches:
+        for batch in _slices(batches):
             yield batch.assign(decoded=[None if x is None else codec.decode(b" ".join(b"%d" % i for i in x)) for x in batch["ids"]])
 
     return kept.mapInPandas(run, widened(kept.schema, "decoded binary"))
