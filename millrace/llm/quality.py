@@ -20,7 +20,7 @@ from . import textscan
 from .tables import widened
 
 #: Buckets of hashed words; length of the vectors; labelled rows that are learnt from, at most.
-BUCKETS, RANK, SAMPLE = 1 << 14, 8, 6000
+BUCKETS, RANK, SAMPLE = 1 << 14, 8, 4000
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 128, 0.02, 1e-4, 11
 #: Score from which a document is predicted good.
 GOOD = 0.7
