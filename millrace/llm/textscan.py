@@ -11,7 +11,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text looked at together, about; a longer text goes alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -27,7 +27,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(size, BASE, np.uint64)
     down = np.full(size, INVERSE, np.uint64)
@@ -60,7 +60,7 @@ def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarr
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, data
-    size = 1 << max(21, int(len(data)).bit_length())
+    size = 1 << max(19, int(len(data)).bit_length())
     up, down = _powers(size)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
