@@ -148,15 +148,14 @@ def rank_candidates(scored: DataFrame, limit: int, least: float | None = None) -
 
 
 def path_cascade(paths: list[tuple[str, DataFrame]]) -> DataFrame:
-    """(user_id, news_id, path, pos): every path without what the paths before it took."""
-    taken, out = None, None
-    for name, rows in paths:
-        rows = rows.select("user_id", "news_id", F.lit(name).alias("path"), F.col("rank").cast("long").alias("pos"))
-        rows = rows if taken is None else rows.join(taken, ["user_id", "news_id"], "left_anti")
+    """(user_id, news_id, path, pos): every news in the first path that has it, the paths' order kept."""
+    out = None
+    for i, (name, rows) in enumerate(paths):
+        rows = rows.select("user_id", "news_id", F.lit(name).alias("path"), F.lit(i).alias("turn"), F.col("rank").cast("long").alias("place"))
         out = rows if out is None else out.unionByName(rows)
-        taken = out.select("user_id", "news_id")
-    order = W.partitionBy("user_id", "path").orderBy("pos")
-    return out.withColumn("pos", F.row_number().over(order) - 1)
+    first = F.row_number().over(W.partitionBy("user_id", "news_id").orderBy("turn", "place"))
+    kept = out.withColumn("rn", first).filter("rn = 1")
+    return kept.select("user_id", "news_id", "path", (F.row_number().over(W.partitionBy("user_id", "path").orderBy("place")) - 1).alias("pos"))
 
 
 def breaking_replenish(cascade: DataFrame, supplemental: DataFrame, least: int, limit: int) -> DataFrame:

@@ -68,7 +68,8 @@ def profile(s, p):
 
 
 def _scores(s, p, query, boost):
-    cand = candidates(s, p)
+    query = query.persist()  # it is read four times
+    cand = candidates(s, p).persist()
     held = r.entity_vectors(entities(s, p).join(F.broadcast(cand.select("news_id").distinct()), "news_id", "left_semi"), vectors(s, p))
     wanted = query.select("type", "id").distinct().join(vectors(s, p).withColumn("type", F.lower("type")), ["type", "id"])
     boosted = query.filter("type = 'stock'" + (" AND frequency > 1" if "frequency" in query.columns else "")).select("user_id", "id")
