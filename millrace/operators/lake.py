@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,8 +42,21 @@ def ingest_new_urls(items: DataFrame, seen: DataFrame, as_of: str, days: int = 3
 
 
 def read_stock_master(spark: SparkSession, path: str, encoding: str = "cp949") -> DataFrame:
-    """A5: the stock list; rows without ISIN are dropped, the code is part of it and stays text."""
-    rows = spark.read.csv(path, header=True, encoding=encoding).filter(F.col("isin").isNotNull())
+    """A5: the stock list; rows without ISIN are dropped, the code is part of it and stays text.
+
+    Spark's own reader knows only Unicode and Latin files, so the bytes are decoded in tasks, file by file.
+    """
+
+    def lines(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                said = [line for line in content.decode(encoding).splitlines() if line.strip()]
+                yield pd.DataFrame({"nth": range(len(said)), "line": said})
+
+    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "nth long, line string")
+    names = [c.strip().strip('"') for c in text.filter("nth = 0").first().line.lstrip("\ufeff").split(",")]
+    row = F.from_csv("line", ", ".join(f"`{c}` string" for c in names), {"mode": "PERMISSIVE"})
+    rows = text.filter("nth > 0").select(row.alias("r")).select("r.*").filter(F.coalesce(F.col("isin"), F.lit("")) != "")
     return rows.withColumn("stock_id", F.substring("isin", 4, 6))
 
 
