@@ -38,7 +38,7 @@ from .tables import stored
 #: Largest size of a band over its smallest; share of sets that a band's allocation may leave uncovered.
 RATIO, UNCOVERED = 1.6, 0.01
 #: Segments that every set may skip besides empty ones, about; rounds of leaders.
-SPARE, LEADERS = 2, 2
+SPARE, LEADERS = 2, 1
 #: Sets in a bucket up to which its pairs are rows; sets in a block of a larger one; shared tokens compared at once.
 PAIRED, BLOCK, COLUMNS = 4, 256, 4096
 #: Sets that a task remembers so as not to index them twice.
@@ -374,7 +374,10 @@ def link_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     slack = F.col("info").bitwiseAND((1 << SLACK_BITS) - 1)
     costliest = W.partitionBy("node", F.shiftright("info", SLACK_BITS + 1)).orderBy(F.desc("sets"), "key")
     counted = shared.join(sizes, "key").withColumn("upto", F.sum(weight).over(costliest)).filter(F.col("upto") > slack)
-    kept = stored(shared.join(counted.select("key").distinct(), "key", "left_semi").select("key", "node"), "kept")
+    kept = shared.join(counted.select("key").distinct(), "key", "left_semi").select("key", "node")
+    # Near copies share many segments: of buckets with the same sets one is enough.
+    alike = kept.groupBy("key").agg(F.count("*").alias("sets"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sum{i}") for i in range(2)])
+    kept = stored(kept.join(alike.groupBy("sets", "sum0", "sum1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "kept")
 
     met = kept.select("node").distinct()
     chosen = sets.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
