@@ -106,7 +106,7 @@ def shingles(texts: list[bytes], words: int, lower: bool = True) -> tuple[np.nda
     out = np.zeros(len(hashes), np.uint64)
     for i in range(words):
         part = np.zeros(len(hashes), np.uint64)
-        part[: len(hashes) - i] = hashes[i:]
+        part[: max(len(hashes) - i, 0)] = hashes[i:]
         out = textscan.mixed(out * np.uint64(textscan.BASE) + part)
     place = np.arange(len(hashes)) - first[which]
     whole = place <= (counts - words)[which]
