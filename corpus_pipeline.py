@@ -26,13 +26,14 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8), that of the least doc_id.
+    """One document of each group of near duplicates (five words, 0.8), that of the least doc_id;
+    null ids come last. Groups are told apart by their texts, not by doc_id.
 
     Documents without words are in no group and stay. Repeated rows stay once.
     """
-    groups = jaccard.near_groups(docs, words=5, percent=80)
-    least = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
-    stays = least.select("row.*").unionByName(groups.filter("n_shingles = 0").select("doc_id", "text_key").distinct())
+    groups = jaccard.near_roots(docs, words=5, percent=80)
+    least = groups.filter("n_shingles > 0").groupBy("root").agg(F.min(jaccard.row_order()).alias("row"))
+    stays = least.select("row.doc_id", "row.text_key").unionByName(groups.filter("n_shingles = 0").select("doc_id", "text_key").distinct())
     keyed = docs.withColumn("_key", F.struct("doc_id", jaccard.text_key()))
     stays = stays.select(F.struct("doc_id", "text_key").alias("_key"))
     return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

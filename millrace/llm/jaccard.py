@@ -197,6 +197,11 @@ def text_key():
     return F.xxhash64("text").alias("text_key")
 
 
+def row_order():
+    """What rows of (doc_id, text_key) are sorted by; null ids come last."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+
+
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, node): the size and hash of each text's set; ``text_key`` is a hash of the text."""
 
@@ -380,8 +385,10 @@ def link_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     kept = stored(kept.join(alike.groupBy("sets", "sum0", "sum1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "kept")
 
     met = kept.select("node").distinct()
-    chosen = sets.join(met, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = docs.select("doc_id", "text").join(chosen, "doc_id").select("node", "text")
+    # A row is named by doc_id and text: ids may be null or repeated with other texts.
+    chosen = sets.join(met, "node", "left_semi").groupBy("node").agg(F.min(row_order()).alias("row"))
+    chosen = chosen.select("node", F.struct("row.doc_id", "row.text_key").alias("_key"))
+    wanted = docs.select(F.struct("doc_id", text_key()).alias("_key"), "text").join(chosen, "_key").select("node", "text")
     texts = stored(wanted.dropDuplicates(["node"]), "texts")
 
     links = spark.createDataFrame([], "a long, b long")
@@ -411,19 +418,28 @@ def link_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     return labels
 
 
+def near_roots(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text_key, n_shingles, root): the size of each text's set and the component it is in, whatever the ids.
+
+    ``root`` is the least hash of the component's sets, and means nothing for empty sets.
+    """
+    docs = docs.select("doc_id", "text")
+    sets = stored(document_sets(docs, words), "sets")
+    labels = link_sets(docs, sets, words, percent)
+    placed = sets.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
+    return stored(placed.select("doc_id", "text_key", "n_shingles", "root"), "placed")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id): the size of each text's set and the least doc_id that links lead to.
 
     ``docs`` has doc_id and text. Null texts and texts without words have an empty set and
     are linked with nothing; a text of fewer words than a shingle has one shingle, its whole
     sequence. Rows of the same doc_id are one document each by its own text; a null doc_id
-    is never a component_id unless all of a component are null.
+    is never a component_id unless all of a component are null. So
+    unrelated components may have the same component_id; ``near_roots`` tells them apart.
     """
-    docs = docs.select("doc_id", "text")
-    sets = stored(document_sets(docs, words), "sets")
-    labels = link_sets(docs, sets, words, percent)
-    placed = sets.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
-    placed = stored(placed.select("doc_id", "text_key", "n_shingles", "root"), "placed")
+    placed = near_roots(docs, words, percent)
     least = placed.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     alone = placed.filter("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.filter("n_shingles > 0").join(least, "root").select("doc_id", "text_key", "n_shingles", F.col("least").alias("component_id")).unionByName(alone)

@@ -138,3 +138,16 @@ def test_components_of_hubs_chains_and_rings(spark):
     edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 170)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     got = {r.node: r.label for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(40)}, **{i: 100 for i in range(100, 171)}, 200: 200, 201: 200, 202: 200}
+
+
+def test_null_and_repeated_ids_keep_their_own_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    rows = [(None, " ".join(base)), (None, " ".join(base[1:])), (None, " ".join(other)), (4, " ".join(other[1:])), (4, "far from all of the others"), (6, "x y z"), (6, "p q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", jaccard.text_key())
+    root = {r.text_key: r.root for r in jaccard.near_roots(docs, 5, 80).collect()}
+    keys = [r.text_key for r in docs.collect()]
+    groups = [[i for i, k in enumerate(keys) if root[k] == x] for x in dict.fromkeys(root[k] for k in keys)]
+    assert sorted(groups) == [[0, 1], [2, 3], [4], [5], [6]]
+    got = [tuple(r) for r in jaccard.near_groups(docs, 5, 80).drop("text_key").collect()]
+    assert sorted(got, key=str) == sorted([(None, 56, None), (None, 55, None), (None, 56, 4), (4, 55, 4), (4, 2, 4), (6, 1, 6), (6, 1, 6)], key=str)

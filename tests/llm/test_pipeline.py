@@ -89,3 +89,11 @@ def test_odd_rows_pass_through(spark):
     assert pipeline.without_near_duplicates(spark, docs, SMALL).count() == 4
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_unrelated_documents_of_null_or_repeated_ids_stay(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (7, "m n o p q r"), (7, "s t u v w x"), (None, near), (None, near + " more"), (8, near + " less")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.without_near_duplicates(spark, docs, SMALL).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([*rows[:4], rows[6]], key=str)
