@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from .graph import cooccurrence, hashed
 from .retrieval import cosine
 
+#: Places of targets that one window of a source looks at.
+SPAN = 1 << 16
+
 
 def pair_cosine(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """H1: adds ``score`` to (src, dst): the cosine of their vectors (id, vector)."""
@@ -95,14 +98,43 @@ def golden_eval(cases: DataFrame, edges: DataFrame, news: DataFrame, targets: Da
 
 
 def negative_targets(truth: DataFrame, targets: DataFrame, seed: int, same: bool) -> DataFrame:
-    """(src, dst, negative): for each positive a target that isn't one of its source, by a hash; sources without any are left out."""
-    n = targets.count()
+    """(src, dst, negative): for each positive a target that isn't one of its source, by a hash; sources without any are left out.
+
+    Positives whose draws all hit positives of the source get one of its free targets by number.
+    """
+    truth = truth.select("src", "dst").distinct().persist()
+    n = max(targets.count(), 1)
     ids = targets.select("id").withColumn("place", F.row_number().over(W.orderBy("id")) - 1)
     tried = truth.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("turn")).withColumn("place", hashed(seed, F.col("src"), F.col("dst"), F.col("turn")) % n)
     drawn = tried.join(ids, "place").select("src", "dst", "turn", F.col("id").alias("negative"))
     drawn = drawn.filter("src <> negative") if same else drawn
     free = drawn.join(truth.select("src", F.col("dst").alias("negative")), ["src", "negative"], "left_anti")
-    return free.groupBy("src", "dst").agg(F.min(F.struct("turn", "negative"))["negative"].alias("negative"))
+    found = free.groupBy("src", "dst").agg(F.min(F.struct("turn", "negative"))["negative"].alias("negative")).persist()
+    return found.unionByName(numbered_negatives(truth.join(found, ["src", "dst"], "left_anti"), truth, ids, seed, same))
+
+
+def numbered_negatives(left: DataFrame, truth: DataFrame, ids: DataFrame, seed: int, same: bool) -> DataFrame:
+    """(src, dst, negative) for the positives ``left``: the free target of its source whose number a hash gives.
+
+    With blocked places b_0 < b_1 < ..., free place r is r + the count of i with b_i - i <= r.
+    Places are cut into spans of SPAN, so that a window holds no more of a source than that.
+    """
+    ids = ids.withColumn("span", F.floor(F.col("place") / SPAN))
+    sources = left.select("src").distinct()
+    held = truth.join(sources, "src", "left_semi").select("src", F.col("dst").alias("id"))
+    held = held.unionByName(sources.select("src", F.col("src").alias("id"))).distinct() if same else held
+    held = held.join(ids, "id").select("src", "span", (F.col("place") - F.col("span") * SPAN).alias("at"))
+    sizes, taken = ids.groupBy("span").agg(F.count("*").alias("size")), held.groupBy("src", "span").agg(F.count("*").alias("taken"))
+    free = sources.crossJoin(F.broadcast(sizes)).join(taken, ["src", "span"], "left").select("src", "span", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("free"))
+    by_src = W.partitionBy("src")
+    free = free.withColumns({"upto": F.sum("free").over(by_src.orderBy("span")), "all": F.sum("free").over(by_src)}).filter("free > 0")
+    drawn = left.join(free, "src").withColumn("nth", hashed(seed, F.col("src"), F.col("dst"), "free") % F.greatest("all", F.lit(1)) - F.col("upto") + F.col("free"))
+    drawn = drawn.filter("nth >= 0 AND nth < free").select("src", "span", "dst", F.col("nth").alias("value"), F.lit(1).alias("drawn"))
+    by_span = W.partitionBy("src", "span")
+    blocked = held.select("src", "span", F.lit(None).cast(drawn.schema["dst"].dataType).alias("dst"), (F.col("at") - F.row_number().over(by_span.orderBy("at")) + 1).alias("value"), F.lit(0).alias("drawn"))
+    before = F.sum(1 - F.col("drawn")).over(by_span.orderBy("value", "drawn").rowsBetween(W.unboundedPreceding, 0))
+    placed = drawn.unionByName(blocked).withColumn("place", F.col("span") * SPAN + F.col("value") + before).filter("drawn = 1")
+    return placed.join(ids.select("place", "id"), "place").select("src", "dst", F.col("id").alias("negative"))
 
 
 def separation(positives: DataFrame, negatives: DataFrame) -> DataFrame:

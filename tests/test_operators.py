@@ -1,5 +1,7 @@
 """Small exact cases of the platform's own operators."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,25 @@ def test_negatives_are_no_positives(spark):
     assert rows(got) == rows(graph.negative_edges(positives.repartition(7), 20, 7, 15, 3))
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_every_positive_with_a_free_target_gets_one(spark, monkeypatch, same):
+    monkeypatch.setattr(evaluate, "SPAN", 16)
+    ids = [3 * i for i in range(60)]
+    linked = {0: ids[1:], 3: ids, 6: ids[:2], 9: ids[:3] + ids[4:50] + ids[51:59] + [1000], 12: ids[2:57]}
+    truth = frame(spark, [(s, d) for s, found in linked.items() for d in found] + [(6, 0)], "src long, dst long")
+    targets = frame(spark, [(i,) for i in ids], "id long")
+    free = {s: [i for i in ids if i not in found and not (same and i == s)] for s, found in linked.items()}
+    number = lambda *parts: int(hashlib.md5(":".join(map(str, (5, *parts))).encode()).hexdigest()[:15], 16)
+    want, late = [], 0
+    for s, found in linked.items():
+        for d in found if free[s] else []:
+            hits = [x for x in (ids[number(s, d, turn) % len(ids)] for turn in range(8)) if x in free[s]]
+            late += not hits
+            want.append((s, d, hits[0] if hits else free[s][number(s, d, "free") % len(free[s])]))
+    assert late > 50 and sorted(map(tuple, evaluate.negative_targets(truth, targets, 5, same).collect())) == sorted(want)
+    assert evaluate.negative_targets(truth, targets.limit(0), 5, same).count() == 0
+
+
 def test_separation_and_gate(spark):
     unit = frame(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0])], "id long, vector array<double>")
     truth = frame(spark, [(0, 0, 1), (1, 1, 1)], "src long, dst long, strength long")
