@@ -43,27 +43,26 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     no root and are left out. Keys may not be null. No path is held in a row.
     """
     nodes = stored(nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
-    known = nodes.select("tree", F.col("node").alias("parent"))
-    orphan = nodes.join(known, ["tree", "parent"], "left_anti")
-    linked = nodes.join(known, ["tree", "parent"], "left_semi")
-    state = linked.select("tree", "node", F.col("parent").alias("above"), "score").unionByName(
-        orphan.select("tree", "node", F.lit(None).cast(nodes.schema["parent"].dataType).alias("above"), "score")
-    )
-    # Rows without an ancestor left are done; only open ones are joined again.
-    closed = stored(state.filter(F.col("above").isNull()), "closed")
-    opened = stored(state.filter(F.col("above").isNotNull()), "open")
+    known = nodes.select("tree", F.col("node").alias("parent")).distinct().withColumn("known", F.lit(True))
+    linked = nodes.join(known, ["tree", "parent"], "left").withColumn("above", F.when(F.col("known"), F.col("parent")))
+    replied = linked.filter(F.col("above").isNotNull()).select("tree", F.col("above").alias("node")).distinct().withColumn("replied", F.lit(True))
+    state = linked.join(replied, ["tree", "node"], "left").select("tree", "node", "above", "score", F.col("replied").isNull().alias("leaf"))
+    state = stored(state, "linked")
+    # Rows without an ancestor left are done; only open ones are joined again. Whether a message
+    # is a leaf travels with it, so no join is repeated for every part of what is done.
+    closed = state.filter(F.col("above").isNull())
+    opened = state.filter(F.col("above").isNotNull())
     jumps, deepest = [], nodes.count()
     while opened.take(1) and 1 << len(jumps) <= deepest:  # what is open after that is on a cycle
         jumps.append(opened.select("tree", F.col("node").alias("at"), "above"))
         up = closed.unionByName(opened).select("tree", F.col("node").alias("above"), F.col("above").alias("further"), F.col("score").alias("plus"))
         moved = opened.join(up, ["tree", "above"]).select(
-            "tree", "node", F.col("further").alias("above"), (F.col("score") + F.col("plus")).alias("score")
+            "tree", "node", F.col("further").alias("above"), (F.col("score") + F.col("plus")).alias("score"), "leaf"
         )
         moved = stored(moved, "moved")
         closed = closed.unionByName(moved.filter(F.col("above").isNull()))
         opened = moved.filter(F.col("above").isNotNull())
-    parents = linked.select("tree", F.col("parent").alias("node"))
-    leaves = closed.join(parents, ["tree", "node"], "left_anti")
+    leaves = closed.filter("leaf").drop("leaf")
     best = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "node"))
     paths = leaves.withColumn("branch", best).filter(F.col("branch") <= top).select("tree", "branch", "node", F.lit(0).cast("long").alias("up"))
     for k in range(len(jumps) - 1, -1, -1):

@@ -125,3 +125,11 @@ def test_mix_meets_targets(spark):
 def test_mix_of_nothing_and_of_empty_texts(spark):
     assert mix_case(spark, []) == []
     assert [(r.size, r.taken, r.target) for r in mix_case(spark, [(1, "a", ""), (1, "a", "")])] == [(0, 0, 0.0)] * 2
+
+
+def test_semi_joins_do_not_grow_with_depth(spark):
+    """The plan of the leaves has no semi or anti join, however deep a tree is."""
+    for depth in (4, 60):
+        nodes = spark.createDataFrame([("t", i, i - 1 if i else None, 1.0) for i in range(depth)], "tree string, node long, parent long, score double")
+        plan = chat.branches(nodes)._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" not in plan and "LeftAnti" not in plan
