@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,17 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary one is made and set.
+    The folder is the session's ``spark.checkpoint.dir``, or the checkpoint folder set on
+    its context. Only a session on one machine (``local[n]``) may do without; elsewhere an
+    unset folder is an error, since executors could not see a local one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        given = context._jsc.sc().getCheckpointDir()
         if given.isDefined():
             folder = given.get()
-        else:
+        elif re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             folder = tempfile.mkdtemp(prefix="spark-millrace-")
-            spark.sparkContext.setCheckpointDir(folder)
+            context.setCheckpointDir(folder)
+        else:
+            raise ValueError("spark.checkpoint.dir names no shared folder for intermediate tables")
     return f"{folder.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
 
 
