@@ -2,10 +2,15 @@
 
 For sample k a term of weight w draws, from hashes of (k, term) alone, r and c from
 Gamma(2, 1) and b from [0, 1); with t = floor(ln w / r + b) its value is
-``ln a = ln c - r (t + 1 - b)``. A document keeps the least value of its terms. Two
+``a = c exp(-r (t + 1 - b))``. A document keeps the least value of its terms. Two
 documents keep the same value with a chance of sum(min weights) / sum(max weights),
 their generalised Jaccard similarity. The value names its (term, t), so it is the
 sample, and a fingerprint is so many minima: plain aggregations over exploded terms.
+
+A Gamma(2, 1) number is the sum of two exponential ones and their share is uniform, so
+with e = -ln u and f = -ln v the draws are r = e + f and b = e / r. Then
+``t = floor((ln w + e) / r)`` and ``a = c v exp(-r t)``. A weight of 1 has t = 0 always,
+and needs neither u nor r: most words of a text occur once.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from pyspark.sql import functions as F
 from .tables import text_of
 
 #: Samples of a fingerprint, in rows of so many; ranges of neighbouring documents for each shuffle partition.
-SAMPLES, IN_ROW, RANGES = 64, 8, 4
+SAMPLES, IN_ROW, RANGES = 64, 4, 4
 #: Bits of a uniform number; three are cut from one hash.
 BITS = 21
 LEAST_ID = -(1 << 63)
@@ -67,27 +72,27 @@ def minima(terms: DataFrame, keys: list[str], weights: dict[str, str], samples:
     parts of something to be carried along, part << 32 | value, and come back as the array
     of that name. Where ``terms`` is dealt by some of the keys nothing is shuffled.
     """
-    rows = terms.select(*keys, "term", *weights, *([mark] if mark else []), F.explode(F.array(*map(F.lit, range(0, samples, IN_ROW)))).alias("first"))
+    # Equal weights of a term have equal values, which are found once.
+    known = [F.coalesce(F.col(w).cast("double"), F.lit(0.0)) for w in weights]
+    rows = terms.select(*keys, "term", *weights, *([mark] if mark else []), F.explode(F.array_distinct(F.array(*known))).alias("w"))
+    rows = rows.filter((F.col("w") > 0) | (sum(known[1:], known[0]) == 0))
+    rows = rows.withColumn("log_w", F.log("w")).withColumn("first", F.explode(F.array(*map(F.lit, range(0, samples, IN_ROW)))))
     one = 1.0 / (1 << BITS)
 
     def uniform(hashed: Column, place: int) -> Column:
         return (F.shiftrightunsigned(hashed, BITS * place).bitwiseAND((1 << BITS) - 1) + 0.5) * one
 
+    rows = rows.withColumns({f"hash{j}": F.xxhash64("term", F.col("first") + j) for j in range(IN_ROW)})
     drawn = {}
     for j in range(IN_ROW):
-        one_hash = F.xxhash64("term", F.col("first") + j)
-        two_hash = F.xxhash64("term", F.col("first") + j, F.lit(1))
-        drawn[f"r{j}"] = -F.log(uniform(one_hash, 0) * uniform(one_hash, 1))
-        drawn[f"c{j}"] = F.log(-F.log(uniform(two_hash, 0) * uniform(two_hash, 1)))
-        drawn[f"b{j}"] = uniform(one_hash, 2)
+        hashed = F.col(f"hash{j}")
+        v = uniform(hashed, 0)
+        once = -F.log(uniform(hashed, 1) * uniform(hashed, 2)) * v
+        u = uniform(F.xxhash64("term", F.col("first") + j, F.lit(1)), 0)
+        t = F.floor((F.log(u) - F.col("log_w")) / F.log(u * v))
+        drawn[f"value{j}"] = once * F.when(F.col("w") == 1, 1.0).otherwise(F.pow(u * v, t))
     rows = rows.withColumns(drawn)
-    for name in weights:
-        rows = rows.withColumn(f"log_{name}", F.when(F.col(name) > 0, F.log(name)))
-    least = []
-    for name in weights:
-        for j in range(IN_ROW):
-            r, c, b = (F.col(f"{x}{j}") for x in "rcb")
-            least.append(F.min(c - r * (F.floor(F.col(f"log_{name}") / r + b) + 1 - b)).alias(f"{name}_{j}"))
+    least = [F.min(F.when(F.col(name) == F.col("w"), F.col(f"value{j}"))).alias(f"{name}_{j}") for name in weights for j in range(IN_ROW)]
     if mark:
         part = (F.col(mark) > 0) & (F.shiftright("term", 32) == F.col("first") / IN_ROW)
         least.append(F.max(F.when(part, F.col("term").bitwiseAND(0xFFFFFFFF))).alias(mark))
