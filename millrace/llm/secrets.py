@@ -4,13 +4,15 @@ The patterns give the base spans. Around them, candidate strings (long runs of o
 character class that mix letters and digits) are scanned by a window: its Shannon
 entropy follows from counts of the class's characters, of which a step changes two.
 A candidate whose highest window entropy reaches the class's threshold is a span,
-unless the allow-list names it or a base span covers part of it. All of it happens
+unless the allow-list names it or that window, or a base span covers part of it. All of it happens
 inside a row, in SQL functions, without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,18 +26,26 @@ BASE = (
 #: A run that passes has at least so many characters; for these kinds the pattern may ask for them
 #: itself, since a shorter run is no match of either form and hides none.
 LONG_RUN = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
-#: Character classes of candidates: kind, alphabet, pattern, window, bits a character from which a window counts.
+#: Character classes of candidates: kind, alphabet, pattern, what a candidate must have, window, bits a
+#: character from which a window counts. A candidate is a whole run of letters, digits and joining signs.
 CLASSES = (
-    ("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r"(?<![A-Za-z0-9+/_-])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{20,}(?![A-Za-z0-9+/_-])", 20, 3.6),
-    ("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", r"(?<![A-Za-z0-9+/_-])(?=[^0-9\s]{0,64}[0-9])(?=[^a-z\s]{0,64}[a-z])(?=[^A-Z\s]{0,64}[A-Z])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/_-])", 24, 4.0),
+    ("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r"(?<![A-Za-z0-9+/_-])[A-Z0-9]{20,}+(?![a-z+/_-])", ("[0-9]", "[A-Z]"), 20, 3.6),
+    ("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789", r"(?<![A-Za-z0-9+/_-])[a-z0-9]{24,}+(?![A-Z+/_-])", ("[0-9]", "[a-z]"), 24, 4.0),
+    ("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+", ("[0-9]", "[a-z]", "[A-Z]"), 24, 4.0),
 )
-#: Candidates that are let pass: placeholders, counting strings, one repeated group, paths and identifiers of several words.
-ALLOWED = (
+#: What lets a candidate pass as a whole: placeholders as words of their own, one repeated group, paths and identifiers of several words.
+ALLOWED_RUN = (
+    r"(?i)(?<![a-z])(example|sample|dummy|placeholder|changeme|redacted|test)(?![a-z])",
+    r"^(.{1,8})\1++$",
+    r"^[A-Za-z]++(?:[/_-][A-Za-z]++)++[0-9]{0,4}$",
+)
+#: What lets a window pass: placeholders and counting strings inside it.
+ALLOWED_WINDOW = (
     r"(?i)(example|sample|dummy|placeholder|changeme|redacted|xxxx|test)",
     r"(?i)(0123456789|1234567890|abcdefghij)",
-    r"^(.{1,8})\1+$",
-    r"^[A-Za-z]+([/_-][A-Za-z]+)+[0-9]{0,4}$",
 )
+#: Counts of a window are held in numbers of so many bits each, so many in one 64-bit number.
+COUNT_BITS, COUNTS = 5, 12
 
 
 def matched(text: Column, pattern: str, group: int = 0) -> Column:
@@ -59,32 +69,46 @@ def matched(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(zipped, zero, step)["spans"]).otherwise(none)
 
 
-def highest_entropy(value: Column, alphabet: str, window: int) -> Column:
-    """Highest Shannon entropy, in bits a character, of the windows of a string over the alphabet.
+def windows(value: Column, alphabet: str, window: int) -> Column:
+    """(best, at): the highest Shannon entropy, in bits a character, of the windows of a string over
+    the alphabet, and where the first such window starts, from 0.
 
-    With counts c the entropy is log2(n) - sum(c log2 c) / n. A step of the window counts
-    one character up and one down and changes the sum by their parts alone. A string
-    shorter than the window has 0.
+    With counts c the entropy is log2(n) - sum(c log2 c) / n. A step of the window counts one
+    character up and one down: it changes two counts, held in a few packed numbers, and the
+    sum by their parts alone. A string shorter than the window has 0.
     """
+    words = -(-len(alphabet) // COUNTS)
     part = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    codes = F.transform(F.split(value, ""), lambda ch: F.position(ch, F.lit(alphabet)))
-    gone = F.concat(F.array_repeat(F.lit(0), window), codes)
-    steps = F.filter(F.arrays_zip(codes.alias("new"), gone.alias("old")), lambda x: x["new"].isNotNull())
-    start = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    codes = F.transform(F.split(value, ""), lambda ch: F.position(ch, F.lit(alphabet)) - 1)
+    gone = F.concat(F.array_repeat(F.lit(-1), window), codes)
+    steps = F.filter(F.arrays_zip(codes.alias("new"), gone.alias("old")), lambda x: x["new"].isNotNull() & (x["new"] >= 0))
+    packed = {f"c{i}": F.lit(0).cast("long") for i in range(words)}
+    start = F.struct(F.lit(0).alias("n"), *[c.alias(k) for k, c in packed.items()], F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), F.lit(0).alias("at"))
 
     def step(acc: Column, x: Column) -> Column:
-        held = lambda code: F.coalesce(F.get(acc["counts"], code - 1), F.lit(0))
+        def held(code: Column) -> Column:
+            number = F
+            for i in range(words):
+                number = number.when(F.floor(code / COUNTS) == i, acc[f"c{i}"])
+            shifted = F.call_function("shiftrightunsigned", number.otherwise(F.lit(0).cast("long")), ((code % COUNTS) * COUNT_BITS).cast("int"))
+            return shifted.bitwiseAND((1 << COUNT_BITS) - 1).cast("int")
+
+        def one(code: Column, i: int) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), ((code % COUNTS) * COUNT_BITS).cast("int"))
+            return F.when((code >= 0) & (F.floor(code / COUNTS) == i), bit).otherwise(F.lit(0).cast("long"))
+
         new, old = x["new"], x["old"]
-        moved = F.when(new == old, 0.0).otherwise(
-            F.get(part, held(new) + 1) - F.get(part, held(new)) + F.when(old > 0, F.get(part, held(old) - 1) - F.get(part, held(old))).otherwise(0.0)
-        )
-        counts = F.transform(acc["counts"], lambda c, k: c + (k == new - 1).cast("int") - (k == old - 1).cast("int"))
-        total = acc["sum"] + moved
-        full = acc["n"] + 1 >= window
-        best = F.when(full, F.greatest(acc["best"], math.log2(window) - total / window)).otherwise(acc["best"])
-        return F.struct((acc["n"] + 1).alias("n"), counts.alias("counts"), total.alias("sum"), best.alias("best"))
+        up = F.get(part, held(new) + 1) - F.get(part, held(new))
+        down = F.when(old >= 0, F.get(part, held(old) - 1) - F.get(part, held(old))).otherwise(0.0)
+        total = acc["sum"] + F.when(new == old, 0.0).otherwise(up + down)
+        n = acc["n"] + 1
+        # Sums of the same counts in another order differ in their last bits.
+        entropy = F.round(F.when(n >= window, math.log2(window) - total / window).otherwise(0.0), 9)
+        better = entropy > acc["best"]
+        counts = [(acc[f"c{i}"] + one(new, i) - one(old, i)).alias(f"c{i}") for i in range(words)]
+        return F.struct(n.alias("n"), *counts, total.alias("sum"), F.when(better, entropy).otherwise(acc["best"]).alias("best"), F.when(better, n - window).otherwise(acc["at"]).alias("at"))
 
-    return F.aggregate(steps, start, step)["best"]
+    return F.aggregate(steps, start, step, lambda acc: F.struct(acc["best"].alias("best"), acc["at"].alias("at")))
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
@@ -92,7 +116,8 @@ def scan(docs: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
 
     Kinds are those of BASE, then of CLASSES. A null or empty text has none. Matches of a
     kind are leftmost and don't overlap; base spans of different kinds may. An added span
-    overlaps no base span. Finding n spans in one text costs n squared small steps at most.
+    overlaps no base span. A column named like ``out`` is replaced, all others stay. Repeated
+    rows are scanned each for itself, and an empty table gives none. Finding n spans in one text costs n squared small steps at most.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     kinds = [kind for kind, *_ in (*BASE, *CLASSES)]
@@ -104,19 +129,24 @@ def scan(docs: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
     def long_enough(kind: str, pattern: str, group: int, least: int) -> Column:
         return F.filter(matched(whole, LONG_RUN.get(kind, pattern), group), lambda s: F.char_length(s["value"]) >= least)
 
-    def random_enough(alphabet: str, pattern: str, window: int, bits: float) -> Column:
+    def random_enough(base: Column, alphabet: str, pattern: str, has: tuple, window: int, bits: float) -> Column:
         def kept(s: Column) -> Column:
-            allowed = F.lit(False)
-            for allow in ALLOWED:
-                allowed = allowed | F.rlike(s["value"], F.lit(allow))
-            apart = ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-            return F.when(apart & ~allowed, highest_entropy(s["value"], alphabet, window) >= bits).otherwise(False)
+            value = s["value"]
+            fit = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+            for some in has:
+                fit = fit & F.rlike(value, F.lit(some))
+            for allow in ALLOWED_RUN:
+                fit = fit & ~F.rlike(value, F.lit(allow))
+            # One round over a single element binds the best window for both tests.
+            found = F.transform(F.array(windows(value, alphabet, window)), lambda w: (w["best"] >= bits) & ~reduce(or_, [F.rlike(F.substr(value, w["at"] + 1, F.lit(window)), F.lit(a)) for a in ALLOWED_WINDOW]))
+            return F.when(fit, found[0]).otherwise(False)
 
         return F.filter(matched(whole, pattern), kept)
 
-    docs = docs.withColumn("_base", F.concat(*[labelled(long_enough(*rule), rule[0]) for rule in BASE]))
-    added = [labelled(random_enough(*rule), kind) for kind, *rule in CLASSES]
-    return docs.withColumn(out, F.array_sort(F.concat("_base", *added))).drop("_base")
+    base = F.concat(*[labelled(long_enough(*rule), rule[0]) for rule in BASE])
+    held = docs.withColumn(out, base)  # out holds the base spans first: no column of another name is touched
+    added = [labelled(random_enough(F.col(out), *rule), kind) for kind, *rule in CLASSES]
+    return held.withColumn(out, F.array_sort(F.concat(F.col(out), *added)))
 
 
 def spelled(spans: Column) -> Column:
@@ -125,8 +155,11 @@ def spelled(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "<secret>") -> DataFrame:
-    """Replaces every span in the text by the mask; overlapping spans become one. Other texts stay as they are."""
-    found = scan(docs, text, "_found")
+    """Replaces every span in the text by the mask; overlapping spans become one. Other texts and all other columns stay as they are."""
+    out = "found"
+    while out in docs.columns:
+        out += "_"
+    found = scan(docs, text, out)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -134,6 +167,6 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "<secret>") -> DataF
         gap = F.substr(F.col(text), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["parts"], F.array(gap, F.lit(mask)))).otherwise(acc["parts"]).alias("parts"))
 
-    done = F.aggregate("_found", start, step)
+    done = F.aggregate(out, start, step)
     clean = F.concat(F.array_join(done["parts"], ""), F.substr(F.col(text), done["at"] + 1, F.char_length(F.col(text))))
-    return found.withColumn(text, F.when(F.size("_found") > 0, clean).otherwise(F.col(text))).drop("_found")
+    return found.withColumn(text, F.when(F.size(out) > 0, clean).otherwise(F.col(text))).drop(out)

@@ -17,22 +17,72 @@ def entropy(s):
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
 
+#: The rule of added spans, written apart from the code: kind, characters of a run, what it must have, window, bits.
+SIGNS = "+/_-"
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+RULES = [
+    ("entropy_upper", UPPER + DIGITS, (DIGITS, UPPER), 20, 3.6),
+    ("entropy_lower", LOWER + DIGITS, (DIGITS, LOWER), 24, 4.0),
+    ("entropy_base64", UPPER + LOWER + DIGITS + SIGNS, (DIGITS, LOWER, UPPER), 24, 4.0),
+]
+
+
+def runs(text):
+    """(start, end) of the longest runs of letters, digits and joining signs."""
+    at = 0
+    while at < len(text):
+        if text[at] in UPPER + LOWER + DIGITS + SIGNS:
+            end = at
+            while end < len(text) and text[end] in UPPER + LOWER + DIGITS + SIGNS:
+                end += 1
+            yield at, end
+            at = end
+        else:
+            at += 1
+
+
+def placeholder(window):
+    small = window.lower()
+    return any(w in small for w in ("example", "sample", "dummy", "placeholder", "changeme", "redacted", "xxxx", "test", "0123456789", "1234567890", "abcdefghij"))
+
+
+def named_so(value):
+    return any(w in ("example", "sample", "dummy", "placeholder", "changeme", "redacted", "test") for w in re.split("[^a-z]+", value.lower()))
+
+
+def words_joined(value):
+    """Words joined by signs, with up to four digits at the end."""
+    bare = value.rstrip(DIGITS)
+    if len(value) - len(bare) > 4:
+        return False
+    parts = re.split("[/_-]", bare)
+    return len(parts) > 1 and all(p and set(p) <= set(UPPER + LOWER) for p in parts)
+
+
+def repeated(value):
+    return any(value == value[:k] * (len(value) // k) and len(value) // k > 1 for k in range(1, 9) if len(value) % k == 0)
+
+
 def brute(text):
     text = text or ""
     base = []
     for kind, pattern, group, least in secrets.BASE:
         base += [(m.start(), KINDS.index(kind), m.end()) for m in re.finditer(pattern, text, re.A) if len(m.group(group)) >= least]
     more = []
-    for kind, _, pattern, window, bits in secrets.CLASSES:
-        for m in re.finditer(pattern, text, re.A):
-            v = m.group()
-            if any(a < m.end() and m.start() < b for a, _, b in base) or any(re.search(p, v, re.A) for p in secrets.ALLOWED):
+    for a, b in runs(text):
+        value = text[a:b]
+        for kind, chars, has, window, bits in RULES:
+            if len(value) < window or not set(value) <= set(chars) or not all(set(value) & set(h) for h in has):
+                continue
+            if any(x < b and a < y for x, _, y in base) or named_so(value) or words_joined(value) or repeated(value):
                 continue
-            if max(entropy(v[i : i + window]) for i in range(len(v) - window + 1)) >= bits - 1e-9:
-                more.append((m.start(), KINDS.index(kind), m.end()))
+            best, at = max((round(entropy(value[i : i + window]), 9), -i) for i in range(len(value) - window + 1))
+            if best >= bits and not placeholder(value[-at : -at + window]):
+                more.append((a, KINDS.index(kind), b))
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + more))
 
 
+LATE = "aBxkQwErTyUiOpAsDfGhJkLzXcVbNmQpWoEiRuTyAlSkDjFhGzMxNcBvQqWwEeRrTtYy"
 FIXED = [
     None,
     "",
@@ -44,6 +94,11 @@ FIXED = [
     "é😀 api_key: 'Zz9+/=_.-Zz9+/' é apikey=AbCdEfGhIjKl",
     "run Zx9Qw3Er7Ty1Ui5Op2As8Df6Gh4 end example_Zx9Qw3Er7Ty1Ui5Op2As8Df6",
     "K7QX2M9ZP4R8T1W6Y3B5 and ABCABCABCABCABCABCABC1",
+    f"a digit after many letters {LATE}7kQ8zX end",
+    f"a digit outside of the run {LATE}.9x end",
+    "key/latest/" + "Zx9Qw3Er7Ty1Ui5Op2As8Df6Gh4Jk0" + " and test-Zx9Qw3Er7Ty1Ui5Op2As",
+    "k7qx2m9zp4r8t1w6y3b5n0vs and " + "ab/" * 40_000 + "cd1",
+    "both entropy_lower zq81kx7w2m5np3r9t4vy6bcg and entropy K7QX2M9ZP4R8T1W6Y3B5",
     "x" * 200_000 + " token=abcdefghijklmnop " + "é" * 1000 + " 00112233445566778899",
 ]
 
@@ -56,6 +111,9 @@ def found(spark, texts):
 
 def test_fixed_cases(spark):
     assert found(spark, FIXED) == [brute(t) for t in FIXED]
+    late, outside = found(spark, [t for t in FIXED if t and LATE in t])
+    assert late == f"entropy_base64:27:{27 + len(LATE) + 6}" and outside == ""
+    assert brute(FIXED[12]).count("entropy_base64") == 1 and "entropy_lower" in brute(FIXED[13])
     assert "entropy_base64" in brute(FIXED[8]) and brute(FIXED[8]).count("entropy") == 1
 
 
@@ -86,3 +144,10 @@ def test_query_digest(spark):
     spans = secrets.F.filter("found", lambda s: s["ord"] < len(secrets.BASE))
     got = secrets.scan(docs).select(secrets.F.sha2(secrets.spelled(spans), 256)).first()[0]
     assert got == hashlib.sha256(",".join(base).encode()).hexdigest()
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, FIXED[5], "a", "b", "c")], "doc_id long, text string, _base string, found string, _found string")
+    row = secrets.redact(docs).first()
+    assert (row._base, row.found, row._found) == ("a", "b", "c") and "<secret>" in row.text
+    assert secrets.scan(docs).first()._base == "a"
