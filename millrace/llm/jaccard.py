@@ -9,38 +9,48 @@ similar to it agrees with it in some counted segment (pigeonhole). So sets meet
 buckets keyed by band, segment and the segment's tokens, or the tokens less one.
 
 How many segments there are, and for how many of them the neighbourhoods of one
-deletion are indexed, is chosen by band from the expected number of keys. Empty
-segments are skipped, and so are the segments of a set's most crowded buckets, as long
-as its others still add up. Candidates are verified on the whole sets. Sets that are
-equal are one from the start, and groups are linked first through leaders of buckets, a
-pair for each member. What a bucket then still holds of different groups is compared
-pair by pair where it is small, else in blocks inside tasks that return only links.
-
-Shingles are compared by 52-bit hashes and sets of equal members by 64-bit ones.
+deletion are indexed, is chosen by band from the expected numbers of keys and of chance
+meetings. Empty segments are skipped, and so are the segments of a set's most crowded
+buckets, as long as its others still add up. Sets that are equal are one from the start.
+
+Pairs that meet are sifted before any text moves: a set's sketch holds the parity of the
+number of its tokens in each of some cells, so two sketches differ in no more cells than
+their sets differ in tokens. What differs in too many is not similar, and what remains
+is verified on the whole texts. Sets are first compared with the leader of their bucket,
+so that groups are joined by a pair for each member. Then whatever of different groups
+still meets is sifted, pair by pair in small buckets and in blocks inside tasks in large
+ones, and verified: first the nearest pair of each set and group, then all the rest.
+
+Shingles are compared by 52-bit hashes. Sets are told apart by two 64-bit hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb, exp
+from math import exp, sqrt
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textscan
 from .tables import stored
 
-#: Largest size of a band over its smallest; share of sets that a band's allocation may leave uncovered.
-RATIO, UNCOVERED = 1.6, 0.01
-#: Segments that every set may skip besides empty ones, about; rounds of leaders.
-SPARE, LEADERS = 2, 1
-#: Sets in a bucket up to which its pairs are rows; sets in a block of a larger one; shared tokens compared at once.
-PAIRED, BLOCK, COLUMNS = 4, 256, 4096
+#: Largest size of a band over its smallest; standard deviations of the number of empty segments
+#: that an allocation allows for, besides their mean.
+RATIO, DEVIATIONS = 1.6, 2.33
+#: Segments that every set may skip besides empty ones, about.
+SPARE = 2
+#: What a chance meeting costs in keys, and the chance that a token of one set is in another that isn't similar.
+PRICE, COMMON = 8.0, 0.25
+#: Sets in a bucket up to which its pairs are rows; sets in a block of a larger one; numbers compared at once.
+PAIRED, BLOCK, COMPARED = 4, 1024, 1 << 21
+#: Hashes of sets that may belong to two different sets each, at most; of 64 bits, a few among 10 ** 10 sets do.
+CLASHES = 10_000
 #: Sets that a task remembers so as not to index them twice.
 REMEMBERED = 1 << 18
 HASH_BITS = 52
@@ -57,25 +67,49 @@ class Band(NamedTuple):
     deletions: int
 
 
+def _splits(needed: int) -> list[int]:
+    """Numbers of neighbourhood segments that are tried: all small ones, then in steps of a quarter."""
+    out = [0]
+    while out[-1] < needed:
+        out.append(out[-1] + max(1, out[-1] // 4))
+    return out
+
+
+def cost(high: int, segments: int, deletions: int) -> float:
+    """Keys of a set of ``high`` tokens, and what its chance meetings cost.
+
+    A segment has t tokens on average and is met by chance where all of them are common; of
+    a neighbourhood, which has a key for each token and one for all, one token may be rare.
+    """
+    t = high / segments
+    full = 1 - exp(-t)
+    keys = segments * full + deletions * t
+    met = (segments - deletions) * COMMON**t + deletions * (1 + t) * COMMON ** max(t - 1, 0)
+    return keys + PRICE * full * met
+
+
 def _allocation(high: int, needed: int) -> tuple[int, int]:
-    """(segments, deletions) of the least expected number of keys for a set of ``high`` tokens.
+    """(segments, deletions) of the least cost among those whose counts still add up when the
+    usual number of segments is empty (each with a chance of about exp(-high / segments)).
 
-    A segment is empty with a chance of about exp(-high / m). The allocation must leave at
-    most UNCOVERED of the sets with more empty segments than it can skip. A segment more
-    costs one key, a neighbourhood one key for each of its tokens.
+    Where no allocation leaves SPARE segments to skip, as for the smallest sets, none has to.
     """
-    best = None
-    for deletions in range(3):
-        for segments in range(max(1, needed - deletions), 2 * needed + 16):
-            chance = exp(-high / segments)
-            spare = segments + deletions - needed - SPARE
-            within = sum(comb(segments, e) * chance**e * (1 - chance) ** (segments - e) for e in range(min(spare, segments) + 1)) if spare >= 0 else 0
-            if within >= 1 - UNCOVERED:
-                keys = segments * (1 - chance) + deletions * high / segments
-                if best is None or keys < best[0]:
-                    best = (keys, segments, deletions)
-                break
-    return best[1:] if best else (2 * needed + 16, 0)
+    for spare in (SPARE, 0):
+        best = None
+        for deletions in _splits(needed):
+            segments = max(1, deletions, needed + spare - deletions)
+            while segments <= 2 * needed + 16:
+                chance = exp(-high / segments)
+                empty = segments * chance + DEVIATIONS * sqrt(segments * chance * (1 - chance))
+                short = needed + spare + round(empty) - segments - deletions
+                if short <= 0:
+                    found = (cost(high, segments, deletions), segments, deletions)
+                    best = min(best, found) if best else found
+                    break
+                segments += short
+        if best:
+            return best[1:]
+    return needed, 0
 
 
 @lru_cache(8)
@@ -85,8 +119,7 @@ def bands(percent: int) -> list[Band]:
     while low < 1 << 40:
         high = max(low, int(low * RATIO))
         needed = most_apart(high, percent) + 1
-        # For large sets the chances above hardly change with the size.
-        segments, deletions = _allocation(high, needed) if needed < 600 else (needed + needed // 16 + SPARE, 0)
+        segments, deletions = _allocation(high, needed)
         out.append(Band(low, high, segments if needed > 1 else 0, deletions if needed > 1 else 0))
         low = high + 1
     return out
@@ -129,14 +162,43 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
             yield first + i, part[i : i + most]
 
 
-def set_hashes(doc: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(size, hash) of each set; the hash of an empty one is 0."""
+def set_hashes(doc: np.ndarray, token: np.ndarray, n: int, clashes: list[np.ndarray] = (), bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, hash, other hash) of each set; the hashes of an empty one are 0.
+
+    Each of ``clashes`` lists hashes that belong to several sets; those sets are given new
+    ones, made of both hashes. ``bits`` are those that the first hash has.
+    """
     size = np.bincount(doc, minlength=n)
-    sums = np.zeros((2, n), np.uint64)
-    np.add.at(sums[0], doc, textscan.mixed(token))
-    np.add.at(sums[1], doc, textscan.mixed(token ^ np.uint64(0x5DEECE66D)))
-    node = textscan.mixed(sums[0] ^ textscan.mixed(sums[1] + size.astype(np.uint64)))
-    return size, np.where(size > 0, node, np.uint64(0)).astype(np.int64)
+    sums = np.zeros((4, n), np.uint64)
+    for row, salt in zip(sums, (0, 0x5DEECE66D, 0x2545F4914F6CDD1D, 0xD1342543DE82EF95)):
+        np.add.at(row, doc, textscan.mixed(token ^ np.uint64(salt)))
+    node, check = (textscan.mixed(sums[i] ^ textscan.mixed(sums[i + 1] + size.astype(np.uint64))) for i in (0, 2))
+    node = (node >> np.uint64(64 - bits)).astype(np.int64)
+    for turn, listed in enumerate(clashes):
+        other = textscan.mixed(node.astype(np.uint64) ^ textscan.mixed(check + np.uint64(turn))).astype(np.int64)
+        node = np.where(np.isin(node, listed), other, node)
+    return size, np.where(size > 0, node, 0), np.where(size > 0, check.astype(np.int64), 0)
+
+
+def sketches(doc: np.ndarray, token: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """For each set the parities of the numbers of its tokens in cells, packed in 64-bit numbers.
+
+    A set has 2 to 4 cells a token, their number a power of two. Half as many cells follow
+    from folding, so sketches of sets of different sizes can be compared.
+    """
+    cells = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    first = np.cumsum(cells) - cells
+    place = textscan.mixed(token ^ np.uint64(0xA0761D6478BD642F)).astype(np.int64) & (cells[doc] - 1)
+    odd = (np.bincount(first[doc] + place, minlength=int(cells.sum())) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").view(np.int64)
+    return np.split(packed, (first // 64)[1:]) if len(size) else []
+
+
+def most_different(sizes, percent: int):
+    """Tokens in just one of two similar sets, at most, from the sum of their sizes; works on numbers and columns of long."""
+    if isinstance(sizes, Column):
+        return sizes - 2 * F.ceil(percent * sizes / (100 + percent))
+    return sizes - 2 * -(-(percent * sizes) // (100 + percent))
 
 
 def keys(doc: np.ndarray, token: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,21 +264,40 @@ def row_order():
     return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
 
 
-def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node): the size and hash of each text's set; ``text_key`` is a hash of the text."""
+def document_sets(docs: DataFrame, words: int, clashes: list[np.ndarray] = (), bits: int = 64) -> DataFrame:
+    """(doc_id, text_key, n_shingles, node, check, sketch) of each text's set; ``text_key`` is a hash of the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for first, part in _parts(batch["text"].fillna("").tolist()):
-                size, node = set_hashes(*shingles(part, words), len(part))
+                doc, token = shingles(part, words)
+                size, node, check = set_hashes(doc, token, len(part), clashes, bits)
                 rows = batch[["doc_id", "text_key"]].iloc[first : first + len(part)]
-                yield rows.assign(n_shingles=size, node=node)
+                yield rows.assign(n_shingles=size, node=node, check=check, sketch=sketches(doc, token, size))
 
     keyed = docs.select("doc_id", text_key(), "text")
-    return keyed.mapInPandas(run, "doc_id long, text_key long, n_shingles long, node long")
+    return keyed.mapInPandas(run, "doc_id long, text_key long, n_shingles long, node long, check long, sketch array<long>")
+
+
+def named_sets(docs: DataFrame, words: int, bits: int = 64) -> tuple[DataFrame, list[np.ndarray]]:
+    """The sets of all texts, with a ``node`` that no two different sets share, and the hashes replaced for that.
+
+    Hashes of 64 bits clash for a few sets among 10 ** 10. The few that do are listed, which
+    has a checked bound, and their sets are named anew until none clash.
+    """
+    clashes: list[np.ndarray] = []
+    while True:
+        sets = stored(document_sets(docs, words, clashes, bits), "sets")
+        twice = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a < b")
+        found = twice.select("node").limit(CLASHES + 1).toPandas()["node"].to_numpy()
+        if not len(found):
+            return sets.drop("check"), clashes
+        if len(found) > CLASHES:
+            raise ValueError(f"over {CLASHES} hashes belong to several sets")
+        clashes.append(found)
 
 
-def bucket_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def bucket_rows(docs: DataFrame, words: int, percent: int, clashes: list[np.ndarray] = (), bits: int = 64) -> DataFrame:
     """(key, node, info) for the distinct sets of each task's texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +305,7 @@ def bucket_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
         for batch in batches:
             for _, part in _parts(batch["text"].fillna("").tolist()):
                 doc, token = shingles(part, words)
-                size, node = set_hashes(doc, token, len(part))
+                size, node, _ = set_hashes(doc, token, len(part), clashes, bits)
                 fresh = np.zeros(len(part), bool)
                 for i, x in enumerate(node.tolist()):
                     if x not in seen:
@@ -277,48 +358,33 @@ def _even_parts(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, part
 
 
-def _sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [(first, *shingles(part, words)) for first, part in _parts(texts)]
-    return np.concatenate([doc + first for first, doc, _ in parts]), np.concatenate([token for *_, token in parts])
-
-
-def _linked(doc: np.ndarray, token: np.ndarray, count: int, percent: int) -> np.ndarray:
-    """The components of a few sets by their links: the least index of each."""
-    _, place, seen = np.unique(token, return_inverse=True, return_counts=True)
-    number = np.cumsum(seen > 1) - 1
-    shared = seen[place] > 1
-    row, column = doc[shared], number[place[shared]]
-    common = np.zeros((count, count), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    cuts = np.searchsorted(column, np.arange(0, int(number[-1]) + 1 + COLUMNS, COLUMNS))
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        some = np.zeros((count, min(COLUMNS, int(number[-1]) + 1)), np.float32)
-        some[row[a:b], column[a:b] - i * COLUMNS] = 1
-        common += some @ some.T
-    size = np.bincount(doc, minlength=count)
-    links = 100 * common.astype(np.int64) >= percent * (size[:, None] + size[None, :] - common.astype(np.int64))
-    least = np.arange(count)
-    while True:
-        now = np.where(links, least[None, :], count).min(1)
-        now = np.minimum(now, least)[np.minimum(now, least)]
-        if (now == least).all():
-            return least
-        least = now
+def sifted(pairs: DataFrame, looks: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart): the pairs that sizes and sketches don't rule out; ``apart`` is in how many cells the sketches differ."""
+    left = looks.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
+    right = looks.select(F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("t"))
+    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")).alias("near")
+    met = pairs.join(left, "a").join(right, "b").filter(near)
+    few = F.least(F.size("s"), F.size("t"))
+    fold = lambda x: F.when(F.size(x) == few, F.col(x)).otherwise(F.zip_with(F.slice(x, 1, few), F.slice(x, few + 1, few), lambda p, q: p.bitwiseXOR(q)))
+    apart = F.aggregate(F.zip_with(fold("s"), fold("t"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, x: total + x)
+    # Sketches that would have to be folded twice are of similar sets only below 50 %; they rule nothing out.
+    apart = F.when(2 * few >= F.greatest(F.size("s"), F.size("t")), apart).otherwise(0)
+    return met.withColumn("apart", apart).filter(F.col("apart") <= most_different(F.col("n") + F.col("m"), percent)).select("a", "b", "apart")
 
 
-def similar_in_groups(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links that join the similar sets of each bucket (key, node), a chain of them for each component.
+def sifted_in_groups(members: DataFrame, looks: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart) for what sizes and sketches don't rule out among sets of different labels in each bucket (key, node, label).
 
     A bucket of more than BLOCK sets is dealt to blocks by a hash, and every two of its
     blocks make a group, so that groups stay of two blocks' size whatever the bucket's.
+    Sketches travel, no texts.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("sets"))
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
     dealt = members.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))
-    placed = dealt.select("key", "node", "block", F.explode(others).alias("other")).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("team"), "node")
-    rows = placed.join(texts, "node").repartition("team").sortWithinPartitions("team")
+    placed = dealt.select("key", "node", "label", "block", F.explode(others).alias("other")).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("team"), "node", "label")
+    rows = placed.join(looks.select("node", "n_shingles", "sketch"), "node").repartition("team").sortWithinPartitions("team")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -331,17 +397,24 @@ def similar_in_groups(members: DataFrame, texts: DataFrame, words: int, percent:
             yield from found(held)
 
     def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        team, node = rows["team"].to_numpy(), rows["node"].to_numpy()
+        team, node, label, size = (rows[c].to_numpy() for c in ("team", "node", "label", "n_shingles"))
         starts = np.append(np.flatnonzero(np.diff(team, prepend=team[:1] - 1)), len(team)) if len(team) else np.zeros(1, np.int64)
         for a, b in zip(starts, starts[1:]):
-            if b - a > 1:
-                doc, token = _sets(rows["text"].iloc[a:b].tolist(), words)
-                least = _linked(doc, token, b - a, percent)
-                some = np.flatnonzero(least != np.arange(b - a))
-                if len(some):
-                    yield pd.DataFrame({"a": node[a:b][least[some]], "b": node[a:b][some]})
-
-    return rows.select("team", "node", "text").mapInPandas(run, "a long, b long")
+            marks = rows["sketch"].iloc[a:b].tolist()
+            few = min(len(m) for m in marks)
+            table = np.stack([np.bitwise_xor.reduce(np.asarray(m, np.int64).reshape(-1, few), axis=0) for m in marks]).view(np.uint64)
+            names, groups, n = node[a:b], label[a:b], size[a:b]
+            step = max(1, COMPARED // (table.size or 1))
+            for i in range(0, b - a, step):
+                apart = np.bitwise_count(table[i : i + step, None, :] ^ table[None, :, :]).sum(2, dtype=np.int64)
+                both = n[i : i + step, None] + n[None, :]
+                near = 100 * np.minimum(n[i : i + step, None], n[None, :]) >= percent * np.maximum(n[i : i + step, None], n[None, :])
+                fit = near & (apart <= most_different(both, percent)) & (names[i : i + step, None] < names[None, :]) & (groups[i : i + step, None] != groups[None, :])
+                x, y = np.nonzero(fit)
+                if len(x):
+                    yield pd.DataFrame({"a": names[i + x], "b": names[y], "apart": apart[x, y]})
+
+    return rows.select("team", "node", "label", "n_shingles", "sketch").mapInPandas(run, "a long, b long, apart long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -366,11 +439,10 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(after.filter("u > v").distinct(), "edges")
 
 
-def link_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, label) for every set that is similar to another one: their components."""
-    spark = docs.sparkSession
+def crowds(docs: DataFrame, words: int, percent: int, clashes: list[np.ndarray] = (), bits: int = 64) -> DataFrame:
+    """(key, node): the buckets that hold different sets and that some of their sets need."""
     by_key = W.partitionBy("key")
-    rows = bucket_rows(docs, words, percent)
+    rows = bucket_rows(docs, words, percent, clashes, bits)
     shared = rows.withColumns({"least": F.min("node").over(by_key), "most": F.max("node").over(by_key)}).filter("least < most")
     shared = stored(shared.select("key", "node", "info").distinct(), "buckets")
     # A set skips its most crowded buckets as far as its slack goes; a bucket that all its sets skip is not needed.
@@ -382,50 +454,71 @@ def link_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> Dat
     kept = shared.join(counted.select("key").distinct(), "key", "left_semi").select("key", "node")
     # Near copies share many segments: of buckets with the same sets one is enough.
     alike = kept.groupBy("key").agg(F.count("*").alias("sets"), *[F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sum{i}") for i in range(2)])
-    kept = stored(kept.join(alike.groupBy("sets", "sum0", "sum1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "kept")
+    return stored(kept.join(alike.groupBy("sets", "sum0", "sum1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "kept")
 
+
+def link_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int, clashes: list[np.ndarray] = (), bits: int = 64) -> DataFrame:
+    """(node, label) for every set that is similar to another one: their components."""
+    kept = crowds(docs, words, percent, clashes, bits)
     met = kept.select("node").distinct()
     # A row is named by doc_id and text: ids may be null or repeated with other texts.
-    chosen = sets.join(met, "node", "left_semi").groupBy("node").agg(F.min(row_order()).alias("row"))
-    chosen = chosen.select("node", F.struct("row.doc_id", "row.text_key").alias("_key"))
-    wanted = docs.select(F.struct("doc_id", text_key()).alias("_key"), "text").join(chosen, "_key").select("node", "text")
-    texts = stored(wanted.dropDuplicates(["node"]), "texts")
-
-    links = spark.createDataFrame([], "a long, b long")
-    tried, labels = None, spark.createDataFrame([], "node long, label long")
-    for turn in range(LEADERS + 1):
-        placed = kept.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        if turn < LEADERS:
-            rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), F.col("node"), F.col("label"))
-            first = placed.groupBy("key").agg(F.min(rank).alias("first"))
-            pairs = placed.join(first, "key").filter(F.col("label") != F.col("first.label")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-        else:
-            open_ = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("sets")).filter("low < high")
-            placed = stored(placed.join(open_.select("key", "sets"), "key"), "open")
-            few = placed.filter(F.col("sets") <= PAIRED)
-            other = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = few.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("label < other").select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = links.unionByName(stored(similar(pairs, texts, words, percent), "links"))
-        if turn == LEADERS:
-            many = placed.filter(F.col("sets") > PAIRED).select("key", "node")
-            links = links.unionByName(stored(similar_in_groups(many, texts, words, percent), "links"))
-        labels = stored(components(links), "labels")
+    looks = sets.join(met, "node", "left_semi").groupBy("node").agg(F.min(row_order()).alias("row"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    looks = stored(looks.select("node", F.struct("row.doc_id", "row.text_key").alias("_key"), "n_shingles", "sketch"), "looks")
+    said = docs.select(F.struct("doc_id", text_key()).alias("_key"), "text")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = said.join(looks.join(wanted, "node", "left_semi").select("node", "_key"), "_key").select("node", "text").dropDuplicates(["node"])
+        return stored(similar(pairs, texts, words, percent), "links")
+
+    def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs between different components, with their labels."""
+        for side in ("a", "b"):
+            pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}")), side, "left")
+            pairs = pairs.withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+        return pairs.filter("of_a <> of_b")
+
+    # Every set and the leaders of its buckets: the nearest leader of those that may be similar.
+    first = kept.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), F.col("node"))).alias("first"))
+    pairs = kept.join(first, "key").filter("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    nearest = sifted(pairs, looks, percent).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x"))
+    tried = stored(nearest.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")).distinct(), "pairs")
+    links = verified(tried)
+    labels = stored(components(links), "labels")
+
+    # Sets of different groups that still meet.
+    placed = kept.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("sets")).filter("low < high")
+    placed = stored(placed.join(mixed.select("key", "sets"), "key"), "open")
+    few = placed.filter(F.col("sets") <= PAIRED)
+    other = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
+    pairs = few.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("a < b AND label <> other").select("a", "b").distinct()
+    many = placed.filter(F.col("sets") > PAIRED).select("key", "node", "label")
+    left = sifted(pairs, looks, percent).unionByName(sifted_in_groups(many, looks, percent)).groupBy("a", "b").agg(F.min("apart").alias("apart"))
+    left = stored(left.join(tried, ["a", "b"], "left_anti"), "left")
+    for last in (False, True):
+        open_ = labelled(left, labels)
+        if not last:
+            # The nearest of each set in each other group: where it is similar it joins them.
+            sides = open_.select("a", "b", "apart", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("of_b").alias("group")), F.struct(F.col("b").alias("node"), F.col("of_a").alias("group")))).alias("x"))
+            open_ = sides.groupBy("x").agg(F.min(F.struct("apart", "a", "b")).alias("y")).select("y.a", "y.b").distinct()
+        open_ = stored(open_.select("a", "b"), "pairs")
+        if open_.take(1):
+            links = links.unionByName(verified(open_))
+            labels = stored(components(links), "labels")
+            left = stored(left.join(open_, ["a", "b"], "left_anti"), "left")
     return labels
 
 
-def near_roots(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_roots(docs: DataFrame, words: int = 5, percent: int = 80, bits: int = 64) -> DataFrame:
     """(doc_id, text_key, n_shingles, root): the size of each text's set and the component it is in, whatever the ids.
 
     ``root`` is the least hash of the component's sets, and means nothing for empty sets.
+    ``bits`` below 64 only make hashes of sets clash more, which changes no component.
     """
     docs = docs.select("doc_id", "text")
-    sets = stored(document_sets(docs, words), "sets")
-    labels = link_sets(docs, sets, words, percent)
+    sets, clashes = named_sets(docs, words, bits)
+    labels = link_sets(docs, sets, words, percent, clashes, bits)
     placed = sets.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
     return stored(placed.select("doc_id", "text_key", "n_shingles", "root"), "placed")
 

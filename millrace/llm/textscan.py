@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
-#: Odd multiplier of the polynomial word hash and its inverse modulo 2 ** 64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Odd multiplier for chains of hashes; words of more bytes are hashed by BLAKE2 on their own.
+BASE, LONG = 0x9E3779B97F4A7C15, 256
 #: Bytes of text looked at together, about; a longer text goes alone.
 CHUNK = 1 << 19
 WHITE = np.zeros(256, bool)
@@ -27,12 +26,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, BASE, np.uint64)
-    down = np.full(size, INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+def _word_hashes(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: its lanes of eight bytes go through a chain of mixing steps, all words side by side."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+    out = mixed(length.astype(np.uint64) * np.uint64(BASE) + np.uint64(1))
+    active, at = np.flatnonzero(length <= LONG), 0
+    while len(active):
+        left = length[active] - at
+        lane = lanes[starts[active] + at]
+        short = left < 8
+        lane[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        out[active] = mixed(out[active] * np.uint64(BASE) ^ lane)
+        active = active[left > 8]
+        at += 8
+    for i in np.flatnonzero(length > LONG):
+        out[i] = int.from_bytes(blake2b(data[starts[i] : starts[i] + length[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def chunks(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
@@ -60,11 +70,6 @@ def words(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarr
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, data
-    size = 1 << max(19, int(len(data)).bit_length())
-    up, down = _powers(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * down[starts]
     length = ends - starts
     firsts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-    return mixed(raw ^ mixed(length.astype(np.uint64))), length, np.searchsorted(firsts, starts, "right") - 1, data
+    return _word_hashes(data, starts, length), length, np.searchsorted(firsts, starts, "right") - 1, data

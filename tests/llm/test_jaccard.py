@@ -151,3 +151,52 @@ def test_null_and_repeated_ids_keep_their_own_texts(spark):
     assert sorted(groups) == [[0, 1], [2, 3], [4], [5], [6]]
     got = [tuple(r) for r in jaccard.near_groups(docs, 5, 80).drop("text_key").collect()]
     assert sorted(got, key=str) == sorted([(None, 56, None), (None, 55, None), (None, 56, 4), (4, 55, 4), (4, 2, 4), (6, 1, 6), (6, 1, 6)], key=str)
+
+
+def groups_of(rows, root):
+    keys = [r.text_key for r in rows]
+    return sorted([i for i, k in enumerate(keys) if root[k] == x] for x in dict.fromkeys(root[k] for k in keys))
+
+
+def test_chains_through_null_and_repeated_ids(spark):
+    """One id with two texts, and a null id between two others, against all pairs."""
+    base, other = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    rows = [(7, base), (3, base[1:]), (7, other), (4, other[1:]), (1, base[8:] + base[:2]), (None, base[4:] + base[:1]), (2, ["only", "here"])]
+    named = [(d, " ".join(t)) for d, t in rows]
+    docs = spark.createDataFrame(named, "doc_id long, text string").withColumn("text_key", jaccard.text_key())
+    root = {r.text_key: r.root for r in jaccard.near_roots(docs, 3, 80).collect()}
+    want = {}
+    for place, _, least in brute(list(enumerate(t for _, t in named)), 3, 80):
+        want.setdefault(least, []).append(place)
+    assert groups_of(docs.collect(), root) == sorted(want.values())
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(docs, 3, 80).collect()}
+    assert {c for d, _, c in got if d is None} == {1} and {c for d, _, c in got if d == 7} == {1, 4}
+
+
+def test_clashing_set_hashes_change_nothing(spark):
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, clashed = ({(r.doc_id, r.n_shingles): r.root for r in jaccard.near_roots(docs, 3, 90, bits).collect()} for bits in (64, 6))
+    pairs = {(plain[k], clashed[k]) for k in plain if k[1]}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_sketches_never_differ_in_more_cells_than_sets_in_tokens():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(1, 500))
+        a = np.unique(rng.integers(0, 1 << 52, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.integers(0, len(a) + 1) :], rng.integers(0, 1 << 52, int(rng.integers(1, 60))).astype(np.uint64)]))
+        x, y = jaccard.sketches(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), np.array([len(a), len(b)]))
+        few = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(v.reshape(-1, few), axis=0).view(np.uint64) for v in (x, y))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_allocations_use_neighbourhoods_where_they_cost_less():
+    for percent in (80, 90):
+        table = jaccard.bands(percent)
+        needed = [jaccard.most_apart(b.high, percent) + 1 for b in table]
+        assert all(b.segments == 0 or b.segments + b.deletions >= n for b, n in zip(table, needed))
+        both = [b for b in table if b.deletions and b.segments > b.deletions]
+        assert both and all(b.high < 100 for b in both), table
