@@ -16,10 +16,11 @@ buckets, as long as its others still add up. Sets that are equal are one from th
 Pairs that meet are sifted before any text moves: a set's sketch holds the parity of the
 number of its tokens in each of some cells, so two sketches differ in no more cells than
 their sets differ in tokens. What differs in too many is not similar, and what remains
-is verified on the whole texts. Sets are first compared with the leader of their bucket,
-so that groups are joined by a pair for each member. Then whatever of different groups
-still meets is sifted, pair by pair in small buckets and in blocks inside tasks in large
-ones, and verified: first the nearest pair of each set and group, then all the rest.
+is verified on the whole texts. Sets are first compared with leaders of their buckets, in
+a few rounds, so that groups are joined by a pair for each member. Then whatever of
+different groups still meets is sifted, pair by pair in small buckets and in blocks inside
+tasks in large ones, and verified: first the nearest of each set in each other group, then,
+among the groups that are left, all the rest.
 
 Shingles are compared by 52-bit hashes. Sets are told apart by two 64-bit hashes.
 """
@@ -43,8 +44,8 @@ from .tables import stored
 #: Largest size of a band over its smallest; standard deviations of the number of empty segments
 #: that an allocation allows for, besides their mean.
 RATIO, DEVIATIONS = 1.6, 2.33
-#: Segments that every set may skip besides empty ones, about.
-SPARE = 2
+#: Segments that every set may skip besides empty ones, about; rounds of leaders.
+SPARE, LEADERS = 2, 3
 #: What a chance meeting costs in keys, and the chance that a token of one set is in another that isn't similar.
 PRICE, COMMON = 8.0, 0.25
 #: Sets in a bucket up to which its pairs are rows; sets in a block of a larger one; numbers compared at once.
@@ -372,9 +373,11 @@ def sifted(pairs: DataFrame, looks: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("apart", apart).filter(F.col("apart") <= most_different(F.col("n") + F.col("m"), percent)).select("a", "b", "apart")
 
 
-def sifted_in_groups(members: DataFrame, looks: DataFrame, percent: int) -> DataFrame:
+def sifted_in_groups(members: DataFrame, looks: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """(a, b, apart) for what sizes and sketches don't rule out among sets of different labels in each bucket (key, node, label).
 
+    With ``nearest``, for each set and other label only the set that is the fewest cells apart.
+
     A bucket of more than BLOCK sets is dealt to blocks by a hash, and every two of its
     blocks make a group, so that groups stay of two blocks' size whatever the bucket's.
     Sketches travel, no texts.
@@ -409,10 +412,18 @@ def sifted_in_groups(members: DataFrame, looks: DataFrame, percent: int) -> Data
                 apart = np.bitwise_count(table[i : i + step, None, :] ^ table[None, :, :]).sum(2, dtype=np.int64)
                 both = n[i : i + step, None] + n[None, :]
                 near = 100 * np.minimum(n[i : i + step, None], n[None, :]) >= percent * np.maximum(n[i : i + step, None], n[None, :])
-                fit = near & (apart <= most_different(both, percent)) & (names[i : i + step, None] < names[None, :]) & (groups[i : i + step, None] != groups[None, :])
+                fit = near & (apart <= most_different(both, percent)) & (groups[i : i + step, None] != groups[None, :])
+                if not nearest:
+                    fit &= names[i : i + step, None] < names[None, :]
                 x, y = np.nonzero(fit)
+                far = apart[x, y]
+                if nearest and len(x):
+                    order = np.lexsort((names[y], far, groups[y], x))
+                    x, y, far = x[order], y[order], far[order]
+                    some = (np.diff(x, prepend=-1) != 0) | (np.diff(groups[y], prepend=groups[y[0]]) != 0)
+                    x, y, far = x[some], y[some], far[some]
                 if len(x):
-                    yield pd.DataFrame({"a": names[i + x], "b": names[y], "apart": apart[x, y]})
+                    yield pd.DataFrame({"a": np.minimum(names[i + x], names[y]), "b": np.maximum(names[i + x], names[y]), "apart": far})
 
     return rows.select("team", "node", "label", "n_shingles", "sketch").mapInPandas(run, "a long, b long, apart long")
 
@@ -459,6 +470,7 @@ def crowds(docs: DataFrame, words: int, percent: int, clashes: list[np.ndarray]
 
 def link_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int, clashes: list[np.ndarray] = (), bits: int = 64) -> DataFrame:
     """(node, label) for every set that is similar to another one: their components."""
+    spark = docs.sparkSession
     kept = crowds(docs, words, percent, clashes, bits)
     met = kept.select("node").distinct()
     # A row is named by doc_id and text: ids may be null or repeated with other texts.
@@ -471,42 +483,40 @@ def link_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int, clashe
         texts = said.join(looks.join(wanted, "node", "left_semi").select("node", "_key"), "_key").select("node", "text").dropDuplicates(["node"])
         return stored(similar(pairs, texts, words, percent), "links")
 
-    def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The pairs between different components, with their labels."""
-        for side in ("a", "b"):
-            pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"of_{side}")), side, "left")
-            pairs = pairs.withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-        return pairs.filter("of_a <> of_b")
-
-    # Every set and the leaders of its buckets: the nearest leader of those that may be similar.
-    first = kept.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("rank"), F.col("node"))).alias("first"))
-    pairs = kept.join(first, "key").filter("node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-    nearest = sifted(pairs, looks, percent).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x"))
-    tried = stored(nearest.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")).distinct(), "pairs")
-    links = verified(tried)
-    labels = stored(components(links), "labels")
-
-    # Sets of different groups that still meet.
-    placed = kept.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("sets")).filter("low < high")
-    placed = stored(placed.join(mixed.select("key", "sets"), "key"), "open")
-    few = placed.filter(F.col("sets") <= PAIRED)
-    other = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-    pairs = few.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("a < b AND label <> other").select("a", "b").distinct()
-    many = placed.filter(F.col("sets") > PAIRED).select("key", "node", "label")
-    left = sifted(pairs, looks, percent).unionByName(sifted_in_groups(many, looks, percent)).groupBy("a", "b").agg(F.min("apart").alias("apart"))
-    left = stored(left.join(tried, ["a", "b"], "left_anti"), "left")
-    for last in (False, True):
-        open_ = labelled(left, labels)
-        if not last:
-            # The nearest of each set in each other group: where it is similar it joins them.
-            sides = open_.select("a", "b", "apart", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("of_b").alias("group")), F.struct(F.col("b").alias("node"), F.col("of_a").alias("group")))).alias("x"))
-            open_ = sides.groupBy("x").agg(F.min(F.struct("apart", "a", "b")).alias("y")).select("y.a", "y.b").distinct()
-        open_ = stored(open_.select("a", "b"), "pairs")
-        if open_.take(1):
-            links = links.unionByName(verified(open_))
-            labels = stored(components(links), "labels")
-            left = stored(left.join(open_, ["a", "b"], "left_anti"), "left")
+    links = spark.createDataFrame([], "a long, b long")
+    tried, labels = links, spark.createDataFrame([], "node long, label long")
+    placed = kept.withColumn("label", F.col("node"))
+
+    def joined(pairs: DataFrame) -> None:
+        """Verifies pairs of (a < b) that weren't tried before, and labels sets and buckets anew."""
+        nonlocal links, tried, labels, placed
+        pairs = stored(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.take(1):
+            return
+        tried, links = tried.unionByName(pairs), links.unionByName(verified(pairs))
+        labels = stored(components(links), "labels")
+        now = placed.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # Buckets whose sets are all in one group have nothing left to find.
+        mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        placed = stored(now.join(mixed.select("key"), "key", "left_semi").select("key", "node", "label"), "open")
+
+    for turn in range(LEADERS):
+        # Every set and the leaders of its buckets: the nearest leader of those that may be similar.
+        rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), F.col("node"), F.col("label"))
+        first = placed.groupBy("key").agg(F.min(rank).alias("first"))
+        pairs = placed.join(first, "key").filter("label <> first.label").select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+        nearest = sifted(pairs, looks, percent).groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x"))
+        joined(nearest.select(F.least("x.a", "b").alias("a"), F.greatest("x.a", "b").alias("b")))
+
+    # Sets of different groups that still meet: first the nearest of each set in each other group, then all.
+    for nearest in (True, False):
+        sizes = placed.groupBy("key").agg(F.count("*").alias("sets"))
+        sized = placed.join(sizes, "key")
+        few = sized.filter(F.col("sets") <= PAIRED)
+        other = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
+        pairs = few.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("a < b AND label <> other").select("a", "b").distinct()
+        many = sized.filter(F.col("sets") > PAIRED).select("key", "node", "label")
+        joined(sifted(pairs, looks, percent).unionByName(sifted_in_groups(many, looks, percent, nearest)))
     return labels
 
 
