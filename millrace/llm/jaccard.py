@@ -380,14 +380,19 @@ def sifted_in_groups(members: DataFrame, looks: DataFrame, percent: int, nearest
 
     A bucket of more than BLOCK sets is dealt to blocks by a hash, and every two of its
     blocks make a group, so that groups stay of two blocks' size whatever the bucket's.
-    Sketches travel, no texts.
+    Sketches travel, no texts. Near copies meet in many buckets: every set brings the list
+    of its buckets, and a pair is a row only in the first one that both have.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("sets"))
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
     dealt = members.join(sizes, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))
-    placed = dealt.select("key", "node", "label", "block", F.explode(others).alias("other")).select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("team"), "node", "label")
-    rows = placed.join(looks.select("node", "n_shingles", "sketch"), "node").repartition("team").sortWithinPartitions("team")
+    placed = dealt.select("key", "node", "label", "block", F.explode(others).alias("other"))
+    team = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("team")
+    placed = placed.select(team, "key", "node", "label", "block", (F.col("block") == F.col("other")).alias("own"))
+    lists = members.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    marked = looks.select("node", "n_shingles", "sketch").join(lists, "node")
+    rows = placed.join(marked, "node").repartition("team").sortWithinPartitions("team")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -400,19 +405,22 @@ def sifted_in_groups(members: DataFrame, looks: DataFrame, percent: int, nearest
             yield from found(held)
 
     def found(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        team, node, label, size = (rows[c].to_numpy() for c in ("team", "node", "label", "n_shingles"))
+        team, node, label, size, block = (rows[c].to_numpy() for c in ("team", "node", "label", "n_shingles", "block"))
         starts = np.append(np.flatnonzero(np.diff(team, prepend=team[:1] - 1)), len(team)) if len(team) else np.zeros(1, np.int64)
         for a, b in zip(starts, starts[1:]):
             marks = rows["sketch"].iloc[a:b].tolist()
             few = min(len(m) for m in marks)
             table = np.stack([np.bitwise_xor.reduce(np.asarray(m, np.int64).reshape(-1, few), axis=0) for m in marks]).view(np.uint64)
             names, groups, n = node[a:b], label[a:b], size[a:b]
+            blocks, own, key, lists = block[a:b], rows["own"].iloc[a], rows["key"].iloc[a], rows["keys"].iloc[a:b].tolist()
             step = max(1, COMPARED // (table.size or 1))
             for i in range(0, b - a, step):
                 apart = np.bitwise_count(table[i : i + step, None, :] ^ table[None, :, :]).sum(2, dtype=np.int64)
                 both = n[i : i + step, None] + n[None, :]
                 near = 100 * np.minimum(n[i : i + step, None], n[None, :]) >= percent * np.maximum(n[i : i + step, None], n[None, :])
                 fit = near & (apart <= most_different(both, percent)) & (groups[i : i + step, None] != groups[None, :])
+                if not own:  # pairs of one block are found where the block meets itself
+                    fit &= blocks[i : i + step, None] != blocks[None, :]
                 if not nearest:
                     fit &= names[i : i + step, None] < names[None, :]
                 x, y = np.nonzero(fit)
@@ -422,10 +430,12 @@ def sifted_in_groups(members: DataFrame, looks: DataFrame, percent: int, nearest
                     x, y, far = x[order], y[order], far[order]
                     some = (np.diff(x, prepend=-1) != 0) | (np.diff(groups[y], prepend=groups[y[0]]) != 0)
                     x, y, far = x[some], y[some], far[some]
+                first = np.array([np.intersect1d(lists[p], lists[q], assume_unique=True)[0] == key for p, q in zip((i + x).tolist(), y.tolist())], bool)
+                x, y, far = x[first], y[first], far[first]
                 if len(x):
                     yield pd.DataFrame({"a": np.minimum(names[i + x], names[y]), "b": np.maximum(names[i + x], names[y]), "apart": far})
 
-    return rows.select("team", "node", "label", "n_shingles", "sketch").mapInPandas(run, "a long, b long, apart long")
+    return rows.select("team", "key", "node", "label", "block", "own", "n_shingles", "sketch", "keys").mapInPandas(run, "a long, b long, apart long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -515,7 +525,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int, clashe
         few = sized.filter(F.col("sets") <= PAIRED)
         other = few.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
         pairs = few.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("a < b AND label <> other").select("a", "b").distinct()
-        many = sized.filter(F.col("sets") > PAIRED).select("key", "node", "label")
+        many = stored(sized.filter(F.col("sets") > PAIRED).select("key", "node", "label"), "many")
         joined(sifted(pairs, looks, percent).unionByName(sifted_in_groups(many, looks, percent, nearest)))
     return labels
 
