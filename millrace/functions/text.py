@@ -64,9 +64,16 @@ def is_truncated(title: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Unescaped, without captions, bylines, addresses and odd characters; null is empty."""
-    text = unescape_html(F.coalesce(text, F.lit("")))
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(F.contains(text, F.lit("&")), unescape_html(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
     for pattern in REMOVED:
-        text = F.regexp_replace(text, JAVA + pattern, "")
+        # A token is looked at once, from where it starts or the match before it ended, and only
+        # where the sign occurs: else long unbroken texts would be tried from every character.
+        if pattern.startswith(r"\S*"):
+            once = F.regexp_replace(text, JAVA + r"(?:\G|(?<!\S))" + pattern, "")
+            text = F.when(F.contains(text, F.lit(pattern[3])), once).otherwise(text)
+        else:
+            text = F.regexp_replace(text, JAVA + pattern, "")
     text = F.regexp_replace(text, KEPT, " ")
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

@@ -167,9 +167,16 @@ def gate(runs: DataFrame, threshold: float = 0.23) -> DataFrame:
 
 
 def news_evidence(news_keyword: DataFrame, news_stock: DataFrame) -> DataFrame:
-    """(keyword, stock, strength): news in which both occur."""
-    pairs = news_keyword.distinct().join(news_stock.distinct(), "news_id")
-    return pairs.groupBy("keyword", "stock_id").agg(F.count("*").alias("strength"))
+    """(src_type, src, dst_type, dst, strength): in how many news two entities occur, for both
+    directions of every pair of keywords and stocks but an entity with itself. Repeated rows count once.
+
+    Pairs are made once, the smaller one first, and mirrored after they are counted.
+    """
+    entity = lambda frame, kind, column: frame.select("news_id", F.struct(F.lit(kind).alias("type"), F.col(column).cast("string").alias("id")).alias("x"))
+    rows = entity(news_keyword, "keyword", "keyword").unionByName(entity(news_stock, "stock", "stock_id")).distinct()
+    pairs = rows.join(rows.withColumnRenamed("x", "y"), "news_id").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("strength"))
+    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "strength"))
+    return both.select(F.col("x.type").alias("src_type"), F.col("x.id").alias("src"), F.col("y.type").alias("dst_type"), F.col("y.id").alias("dst"), "strength")
 
 
 def rerank_with_evidence(scores: DataFrame, evidence: DataFrame, alpha: float = 0.2, k: int = 10) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import hashed
+from .graph import dense_index, hashed
 
 PAIR_WEIGHTS = {("keyword", "keyword"): 1.0, ("stock", "stock"): 1.15}
 MIXED_WEIGHT = 0.9
@@ -35,6 +35,23 @@ def recent_candidates(articles: DataFrame, users: DataFrame, exclude: DataFrame,
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+def latest_ids(articles: DataFrame, users: DataFrame, exclude: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """(user_id, news_id, pos): past the ``offset`` newest news that a user may see, the next ``limit``.
+
+    News are numbered from the newest. A user's places end as far down as the limit, the
+    offset and the number of exclusions reach, so that each user meets as many news as that.
+    """
+    order = [F.desc("pub_date"), F.desc("news_id")]
+    ranked = dense_index(articles.select("news_id", "pub_date"), order, -F.unix_date(F.to_date("pub_date"))).select("news_id", "idx")
+    barred = exclude.select("user_id", "news_id").distinct()
+    reach = users.select("user_id").join(barred.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left")
+    last = (F.coalesce("n", F.lit(0)) + limit + offset - 1).cast("long")
+    rows = reach.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("idx")).join(ranked, "idx")
+    free = rows.join(barred, ["user_id", "news_id"], "left_anti")
+    nth = F.row_number().over(W.partitionBy("user_id").orderBy("idx"))
+    return free.withColumn("nth", nth).filter(F.col("nth") <= limit + offset).filter(F.col("nth") > offset).select("user_id", "news_id", (F.col("nth") - 1 - offset).alias("pos"))
+
+
 def popular_from_snapshots(snapshots: DataFrame, articles: DataFrame, as_of: str, limit: int, stale_minutes: int = 180, latest: int = 5) -> DataFrame:
     """(news_id, rank, snapshot_at): the newest rank of each news in the latest snapshots; nothing where the best row is stale."""
     newest = snapshots.orderBy(F.desc("snapshot_at")).limit(latest)
@@ -362,6 +379,39 @@ def random_timeline(pool: DataFrame, users: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(order) - 1)
 
 
+def latest_timeline(articles: DataFrame, users: DataFrame, exclude: DataFrame, limit: int) -> DataFrame:
+    """(user_id, pos, news_id, path, fallback_reason): the newest news of each user."""
+    rows = latest_ids(articles, users, exclude, limit)
+    return rows.select("user_id", "pos", "news_id", F.lit("latest").alias("path"), F.lit(None).cast("string").alias("fallback_reason"))
+
+
+def pool_timeline(pool: DataFrame, users: DataFrame, exclude: DataFrame, path: str, articles: DataFrame, limit: int) -> DataFrame:
+    """the bounded pool (news_id, place) for each user, less what is excluded; users with none left get the newest news.
+
+    The same columns as ``latest_timeline``; the path of those users is 'latest' and the reason "<path>_pool_empty".
+    """
+    rows = users.select("user_id").crossJoin(F.broadcast(pool.select("news_id", "place")))
+    rows = rows.join(exclude.select("user_id", "news_id").distinct(), ["user_id", "news_id"], "left_anti")
+    pos = F.row_number().over(W.partitionBy("user_id").orderBy("place", "news_id")) - 1
+    found = rows.select("user_id", pos.alias("pos"), "news_id", F.lit(path).alias("path"), F.lit(None).cast("string").alias("fallback_reason"))
+    empty = users.select("user_id").join(rows.select("user_id").distinct(), "user_id", "left_anti")
+    rest = latest_timeline(articles, empty, exclude, limit).withColumn("fallback_reason", F.lit(f"{path}_pool_empty"))
+    return found.unionByName(rest)
+
+
+def impression_rows(timeline: DataFrame, sessions: DataFrame) -> DataFrame:
+    """the rows that are logged for one page of each session.
+
+    ``sessions`` has user_id, request_id, offset, limit, batch_generation_id, experiment_id and
+    variant. Ranks count from 1 over the whole timeline; a missing path is 'unknown'.
+    """
+    shown = timeline.join(sessions, "user_id").filter((F.col("pos") >= F.col("offset")) & (F.col("pos") < F.col("offset") + F.col("limit")))
+    return shown.select(
+        "request_id", F.col("request_id").alias("session_id"), "user_id", "news_id", (F.col("pos") + 1).alias("rank"),
+        F.coalesce("path", F.lit("unknown")).alias("path"), "batch_generation_id", "experiment_id", "variant",
+    )
+
+
 def append_batch(timeline: DataFrame, more: DataFrame) -> DataFrame:
     """the timeline with further entries behind it, those it has already left out."""
     last = timeline.groupBy("user_id").agg((F.max("pos") + 1).alias("shift"))

@@ -135,7 +135,8 @@ add("h13_metric_delta", lambda s, p: h.metric_delta(_metrics(s, p), _metrics(s,
 add("h14_core_metrics", lambda s, p: h.core_metrics(_metrics(s, p), ["economy", "small"], ["#1", "#2"]), SQL_H + f", {MET} SELECT * FROM met WHERE regexp_matches(name, '^(economy|small)') AND regexp_matches(name, '(#1|#2)$')")
 add("h15_best_epoch", lambda s, p: h.best_epoch(a.read(s, p, "customer").select(F.col("c_custkey").alias("epoch"), F.when(F.col("c_custkey") % 3 != 0, F.floor(F.col("c_acctbal") / 10)).alias("metric"))), H("SELECT c_custkey AS epoch, floor(c_acctbal / 10)::BIGINT AS metric FROM customer WHERE c_custkey % 3 <> 0 ORDER BY 2 DESC, 1 LIMIT 1"))
 add("h16_gate", lambda s, p: h.gate(_runs(s, p)).select("run_id", "candidate"), SQL_H + f", {RUNS} SELECT run_id, missing = 0 AND score > 0.23 AS candidate FROM runs")
-add("h18_news_evidence", lambda s, p: h.news_evidence(a.news_keyword(s, p), a.news_stock(s, p)), H("SELECT keyword, stock_id, count(*) AS strength FROM news_keyword JOIN news_stock USING (news_id) GROUP BY ALL"))
+add("h18_news_evidence", lambda s, p: h.news_evidence(a.news_keyword(s, p), a.news_stock(s, p)), SQL_H + """, said AS (SELECT news_id, 'keyword' AS type, keyword AS id FROM news_keyword UNION SELECT news_id, 'stock', stock_id::VARCHAR FROM news_stock)
+    SELECT x.type AS src_type, x.id AS src, y.type AS dst_type, y.id AS dst, count(*) AS strength FROM said x JOIN said y USING (news_id) WHERE (x.type, x.id) <> (y.type, y.id) GROUP BY ALL""")
 add("h19_rerank_with_evidence", lambda s, p: six(h.rerank_with_evidence(scored(s, p), truth(s, p)), "score"), H("SELECT src, dst, round(score + 0.2 * strength, 6) AS score, row_number() OVER (PARTITION BY src ORDER BY round(score + 0.2 * strength, 9) DESC, dst) AS rank FROM sc QUALIFY rank <= 10"))
 add("h20_select_run", lambda s, p: h.select_run(_runs(s, p), "candidate"), SQL_H + f", {RUNS} SELECT run_id FROM runs WHERE state = 'FINISHED' AND status = 'candidate' AND has_model AND has_map ORDER BY start_time DESC, run_id DESC LIMIT 1")
 add("h21_publish_embeddings", lambda s, p: h.publish_embeddings(vectors(s, p, 0).withColumnRenamed("id", "idx"), a.read(s, p, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_suppkey").cast("string").alias("id"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")).alias("name")), "stock", "v1").drop("gnn_embedding"), H("SELECT s_suppkey::VARCHAR AS entity_id, 'stock' AS entity_type, CASE WHEN s_suppkey % 3 <> 0 THEN s_name ELSE s_suppkey::VARCHAR END AS display_name, 'v1' AS model_version FROM sv JOIN supplier ON s_suppkey = id"))

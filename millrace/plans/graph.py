@@ -71,8 +71,9 @@ def _sizes(s, p):
 
 
 PMI_SQL = "SELECT keyword, stock, joint, round(ln(joint * n / (f_k * f_s + 1e-8)), 6) AS pmi FROM joint JOIN fk USING (keyword) JOIN fs USING (stock), nn WHERE joint >= 5 AND ln(joint * n / (f_k * f_s + 1e-8)) > 0.05"
-NEG = f"""draws AS (SELECT i, {HASH.format("'42:s:' || i")} % (SELECT n FROM nn) AS src, {HASH.format("'42:d:' || i")} % (SELECT count(*) FROM stocks) AS dst FROM range(0, 20000) t(i)),
-neg AS (SELECT src, dst FROM (SELECT src, dst, min(i) AS i FROM draws GROUP BY ALL) d WHERE NOT EXISTS (SELECT 1 FROM se WHERE se.src = d.src AND se.dst = d.dst) ORDER BY i LIMIT 1000)"""
+NEG = f"""draws AS (SELECT i, {HASH.format("'42:s:' || i")} % (SELECT n FROM nn) AS src, {HASH.format("'42:d:' || i")} % (SELECT count(*) FROM stocks) AS dst FROM (SELECT unnest(range(0, (SELECT greatest(20 * count(*), 1000) FROM se))) AS i)),
+neg AS (SELECT src, dst, i FROM (SELECT src, dst, min(i) AS i FROM draws GROUP BY ALL) d WHERE NOT EXISTS (SELECT 1 FROM se WHERE se.src = d.src AND se.dst = d.dst) QUALIFY row_number() OVER (ORDER BY i) <= (SELECT count(*) FROM se)),
+neg_half AS (SELECT src, dst FROM (SELECT src, dst, i, row_number() OVER (ORDER BY i) AS place FROM neg) WHERE place <= (SELECT round_even(0.5 * count(*), 0) FROM se))"""
 REL = """rel AS (SELECT 'key2stock' AS relation, keyword AS src, stock AS dst, joint AS strength FROM joint
   UNION ALL SELECT 'stock2stock', x.dst, y.dst, count(*) FROM se x JOIN se y USING (src) WHERE x.dst <> y.dst GROUP BY ALL
   UNION ALL SELECT 'key2key', x.dst, y.dst, count(*) FROM ke x JOIN ke y USING (src) WHERE x.dst <> y.dst GROUP BY ALL)"""
@@ -83,6 +84,10 @@ def _mean(s, p):
     return int(-(-ke(s, p).count() // brands(s, p).count()))
 
 
+def _stock_mean(s, p):
+    return int(-(-se(s, p).count() // stocks(s, p).count()))
+
+
 PREP = """kl AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS nd FROM (SELECT dst FROM ks WHERE split = 'train' GROUP BY dst HAVING count(*) >= 300)),
 sl AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS nd FROM (SELECT dst FROM ss WHERE split = 'train' GROUP BY dst HAVING count(*) >= 300)),
 k2 AS (SELECT src, nd AS dst, split FROM ks JOIN kl USING (dst)), s2 AS (SELECT src, nd AS dst, split FROM ss JOIN sl USING (dst)),
@@ -91,23 +96,23 @@ kt AS (SELECT DISTINCT src, dst FROM k2 WHERE split = 'train'), st AS (SELECT DI
 j2 AS (SELECT k.dst AS keyword, s.dst AS stock, count(*) AS joint FROM kt k JOIN st s USING (src) GROUP BY ALL)"""
 
 QUERIES = {
-    "g01_keyword_nodes": lambda s, p: g.keyword_nodes(a.news_keyword(s, p).select("keyword").distinct().withColumn("vector", F.lit(1)), a.read(s, p, "part").filter("p_partkey % 3 = 0").groupBy(F.col("p_brand").alias("word")).agg(F.min("p_partkey").alias("keyword_id"))).drop("vector"),
-    "g02_stock_nodes": lambda s, p: g.stock_nodes(a.news_stock(s, p).select("stock_id").distinct().withColumn("vector", F.lit(1)), a.read(s, p, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("stock_id"), F.col("s_name").alias("stock_name"))).drop("vector"),
+    "g01_keyword_nodes": lambda s, p: g.keyword_nodes(a.news_keyword(s, p).select("keyword").distinct().withColumn("vector", F.lit(1)), a.read(s, p, "part").filter("p_size <= 5").groupBy(F.col("p_brand").alias("word")).agg(F.min("p_partkey").alias("keyword_id"))).drop("vector"),
+    "g02_stock_nodes": lambda s, p: g.stock_nodes(a.news_stock(s, p).select("stock_id").distinct().withColumn("vector", F.lit(1)), a.read(s, p, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("stock_id"), F.col("s_name").alias("stock_name"))).drop("vector"),
     "g03_news_nodes": lambda s, p: g.news_nodes(a.articles(s, p).select("news_id", "pub_date"), "1998-01-01"),
     "g04_restrict_edges": lambda s, p: g.restrict_edges(a.news_stock(s, p), g.news_nodes(a.articles(s, p), "1998-01-01")),
     "g05_dense_index": lambda s, p: news(s, p).select("news_id", "idx"),
     "g06_index_edges": ke,
     "g07_pub_seconds": lambda s, p: news(s, p).select("news_id", "pub_ts"),
     "g08_filter_low_degree": lambda s, p: g.filter_low_degree(ke(s, p), _mean(s, p))[0],
-    "g09_drop_isolated_news": lambda s, p: g.drop_isolated_news(news(s, p), ke(s, p).filter("dst < 3"), se(s, p).filter("dst < 5")).select("news_id", "new_idx"),
+    "g09_drop_isolated_news": lambda s, p: g.drop_isolated_news(news(s, p), g.filter_low_degree(ke(s, p), _mean(s, p))[0], g.filter_low_degree(se(s, p), _stock_mean(s, p))[0]).select("news_id", "new_idx"),
     "g10_pmi_edges": _pmi,
     "g11_to_undirected": lambda s, p: g.to_undirected(se(s, p)),
     "g12_temporal_bounds": lambda s, p: s.createDataFrame([_bounds(s, p)], "t1 long, t2 long"),
     "g13_train_only_graph": lambda s, p: g.message_edges(_ksplit(s, p), "test"),
     "g14_temporal_split": _ssplit,
     "g15_random_split": lambda s, p: g.random_split(ke(s, p), 0.1, 0.2, SEED),
-    "g16_negative_edges": lambda s, p: g.negative_edges(se(s, p), *_sizes(s, p), 1000, SEED),
-    "g17_edge_labels": lambda s, p: g.edge_labels(se(s, p).filter("dst = 7"), se(s, p), *_sizes(s, p), 1.0, SEED).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("src", "dst").alias("pairs")),
+    "g16_negative_edges": lambda s, p: g.negative_edges(se(s, p), *_sizes(s, p), se(s, p).count(), SEED),
+    "g17_edge_labels": lambda s, p: g.edge_labels(se(s, p), se(s, p), *_sizes(s, p), 0.5, SEED),
     "g18_relation_pairs": lambda s, p: g.relation_pairs(ke(s, p), se(s, p), 3),
     "g19_serving_map": lambda s, p: g.serving_map(g.filter_low_degree(ke(s, p), _mean(s, p))[1], brands(s, p), "keyword", "keyword", "keyword"),
     "g20_message_edges": lambda s, p: g.message_edges(_ksplit(s, p), "val", online=True),
@@ -115,23 +120,23 @@ QUERIES = {
     "g22_prepare_training_graph": _prepared,
 }
 ORACLES = {k: SQL_G + v for k, v in {
-    "g01_keyword_nodes": " SELECT keyword_id, word FROM (SELECT p_brand AS word, min(p_partkey) AS keyword_id FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) WHERE word IN (SELECT keyword FROM news_keyword)",
-    "g02_stock_nodes": " SELECT stock_id, CASE WHEN s_suppkey IS NULL THEN stock_id::VARCHAR ELSE s_name END AS stock_name FROM (SELECT DISTINCT stock_id FROM news_stock) LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON s_suppkey = stock_id",
+    "g01_keyword_nodes": " SELECT keyword_id, word FROM (SELECT p_brand AS word, min(p_partkey) AS keyword_id FROM part WHERE p_size <= 5 GROUP BY 1) WHERE word IN (SELECT keyword FROM news_keyword)",
+    "g02_stock_nodes": " SELECT stock_id, CASE WHEN s_suppkey IS NULL THEN stock_id::VARCHAR ELSE s_name END AS stock_name FROM (SELECT DISTINCT stock_id FROM news_stock) LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON s_suppkey = stock_id",
     "g03_news_nodes": " SELECT news_id, pub_date FROM articles WHERE pub_date <= TIMESTAMP '1998-01-01'",
     "g04_restrict_edges": " SELECT news_id, stock_id FROM news_stock JOIN articles USING (news_id) WHERE pub_date <= TIMESTAMP '1998-01-01'",
     "g05_dense_index": " SELECT news_id, idx FROM news",
     "g06_index_edges": " SELECT * FROM ke",
     "g07_pub_seconds": " SELECT news_id, pub_ts FROM news",
     "g08_filter_low_degree": f", {LOW} SELECT src, new_idx AS dst FROM ke JOIN low USING (dst)",
-    "g09_drop_isolated_news": " SELECT news_id, row_number() OVER (ORDER BY idx) - 1 AS new_idx FROM news WHERE idx IN (SELECT src FROM ke WHERE dst < 3) OR idx IN (SELECT src FROM se WHERE dst < 5)",
+    "g09_drop_isolated_news": f", {LOW} SELECT news_id, row_number() OVER (ORDER BY idx) - 1 AS new_idx FROM news WHERE idx IN (SELECT src FROM ke JOIN low USING (dst)) OR idx IN (SELECT src FROM se WHERE dst IN (SELECT stock FROM fs WHERE f_s >= (SELECT ceil(1.0 * sum(f_s) / (SELECT count(*) FROM stocks)) FROM fs)))",
     "g10_pmi_edges": " " + PMI_SQL,
     "g11_to_undirected": " SELECT src, dst FROM se UNION SELECT dst, src FROM se",
     "g12_temporal_bounds": " SELECT t1, t2 FROM bounds",
     "g13_train_only_graph": " SELECT src, dst FROM ks WHERE split = 'train'",
     "g14_temporal_split": " SELECT * FROM ss",
     "g15_random_split": f" SELECT src, dst, CASE WHEN h < 0.2 THEN 'test' WHEN h < 0.2::DOUBLE + 0.1::DOUBLE THEN 'val' ELSE 'train' END AS split FROM (SELECT src, dst, {HASH.format(chr(39) + '42:' + chr(39) + ' || src || ' + chr(39) + ':' + chr(39) + ' || dst')} / 1152921504606846976.0 AS h FROM ke)",
-    "g16_negative_edges": f", {NEG} SELECT * FROM neg",
-    "g17_edge_labels": " SELECT unnest([0, 1]) AS label, count(*) AS n, count(*) AS pairs FROM se WHERE dst = 7",
+    "g16_negative_edges": f", {NEG} SELECT src, dst FROM neg",
+    "g17_edge_labels": f", {NEG} SELECT src, dst, 1 AS label FROM se UNION ALL SELECT src, dst, 0 FROM neg_half",
     "g18_relation_pairs": f", {REL} SELECT * FROM rel WHERE strength >= 3",
     "g19_serving_map": f", {LOW} SELECT 'keyword' AS type, keyword AS id, new_idx AS idx, keyword AS name FROM low JOIN brands ON dst = idx",
     "g20_message_edges": " SELECT src, dst FROM ks WHERE split <> 'test'",

@@ -64,7 +64,7 @@ def behavior_query(s, p):
 
 def profile(s, p):
     c = a.read(s, p, "customer", "c_custkey", "c_nationkey").withColumnRenamed("c_custkey", "user_id")
-    return r.onboarding_profile(c.filter("user_id % 3 <> 1").select("user_id", F.col("c_nationkey").alias("stock_id")), c.filter("user_id % 5 < 2").select("user_id", F.concat(F.lit("Brand#"), F.col("c_nationkey")).alias("keyword_id")))
+    return r.onboarding_profile(c.filter("c_acctbal > 0").select("user_id", F.col("c_nationkey").alias("stock_id")), c.filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").select("user_id", F.concat(F.lit("Brand#"), F.col("c_nationkey")).alias("keyword_id")))
 
 
 def _scores(s, p, query, boost):
@@ -125,6 +125,19 @@ def _flags(s, p):
     return c.select(k.alias("user_id"), *[(k % m == 0).cast("int").alias(n) for n, m in (("onboarding", 2), ("behavior", 3), ("breaking", 5), ("popular", 7))], *[(k % m == 0).alias(f"{n}_failed") for n, m in (("onboarding", 11), ("behavior", 13), ("breaking", 17), ("popular", 19))], (k % 4 == 0).alias("has_signals"), (k % 6 == 0).alias("behavior_insufficient"))
 
 
+def _most_acted(s, p):
+    """The two news that most users acted on, as a pool."""
+    counts = acted(s, p).join(a.articles(s, p).select("news_id"), "news_id").groupBy("news_id").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "news_id").limit(2).select("news_id", (-F.col("n")).alias("place"))
+
+
+def _sessions(s, p):
+    """The first request of each user, showing 20 news from the eleventh on."""
+    return a.serves(s, p).groupBy("user_id").agg(F.min("request_id").alias("request_id")).select(
+        "user_id", "request_id", F.lit(10).alias("offset"), F.lit(20).alias("limit"), F.lit(1).alias("batch_generation_id"), F.lit("exp").alias("experiment_id"), F.lit("recommend").alias("variant")
+    )
+
+
 def recommend_all(s, p):
     """candidates of all users through penalties, arms, mix and pages."""
     excluded, multipliers = r.suppression(acted(s, p), d.read_news(a.interactions(s, p), END, 31), d.recent_serves(a.serves(s, p), END, bq.HOURS), END)
@@ -142,18 +155,25 @@ q, o = {}, {}
 def add(name, query, sql=None):
     q[name] = query
     if sql:
-        o[name] = SQL_R + sql
+        o[name] = SQL_R + " " + sql
 
 
-add("e01_onboarding_profile", profile, "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 <> 1 THEN [c_nationkey::VARCHAR] ELSE [] END AS stock_ids, CASE WHEN c_custkey % 5 < 2 THEN ['Brand#' || c_nationkey] ELSE [] END AS keyword_ids FROM customer WHERE c_custkey % 3 <> 1 OR c_custkey % 5 < 2")
+add("e01_onboarding_profile", profile, "SELECT c_custkey AS user_id, CASE WHEN c_acctbal > 0 THEN [c_nationkey::VARCHAR] ELSE [] END AS stock_ids, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN ['Brand#' || c_nationkey] ELSE [] END AS keyword_ids FROM customer WHERE c_acctbal > 0 OR c_mktsegment IN ('BUILDING', 'MACHINERY')")
 add("e02_recent_candidates", candidates, "SELECT * FROM cand")
 add("e04_popular_from_snapshots", _popular, f"SELECT news_id, (row_number() OVER (ORDER BY score DESC, click_count DESC, impression_count DESC, news_id DESC) - 1)::INT AS rank, TIMESTAMP '{END}' AS snapshot_at FROM scored WHERE news_id IN (SELECT news_id FROM articles) ORDER BY score DESC, click_count DESC, impression_count DESC, news_id DESC LIMIT 50")
 add("e05_popular_fallback", lambda s, p: r.popular_fallback(a.articles(s, p), bq.metrics(s, p), AS_OF, 300, 24 * 3650).withColumn("ctr", F.round("ctr", 6)),
     f"SELECT news_id, round(coalesce(c, 0), 6) AS ctr, pub_date FROM articles LEFT JOIN (SELECT news_id, sum(click_count) / nullif(sum(impression_count), 0) AS c FROM pm GROUP BY 1) USING (news_id) WHERE pub_date <= TIMESTAMP '{AS_OF}' AND pub_date >= TIMESTAMP '{AS_OF}' - INTERVAL 3650 DAY ORDER BY coalesce(c, 0) DESC, pub_date DESC, news_id DESC LIMIT 300")
-add("e06_popular_candidates", lambda s, p: r.popular_candidates(_popular(s, p).limit(10), r.popular_fallback(a.articles(s, p), bq.metrics(s, p), AS_OF, 90, 24 * 3650), 60).groupBy("part").count())
+add("e03_latest_ids", lambda s, p: r.latest_ids(a.articles(s, p), users(s, p), acted(s, p), 20, 5),
+    """ SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) - 6 AS pos FROM users, articles
+    WHERE NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = articles.news_id) QUALIFY pos BETWEEN 0 AND 19""")
+add("e06_popular_candidates", lambda s, p: r.popular_candidates(_popular(s, p), r.popular_fallback(a.articles(s, p), bq.metrics(s, p), AS_OF, 90, 24 * 3650), 150),
+    f""", snaps AS (SELECT news_id FROM scored WHERE news_id IN (SELECT news_id FROM articles) ORDER BY score DESC, click_count DESC, impression_count DESC, news_id DESC LIMIT 50),
+    fb AS (SELECT news_id FROM articles LEFT JOIN (SELECT news_id, sum(click_count) / nullif(sum(impression_count), 0) AS c FROM pm GROUP BY 1) USING (news_id)
+      WHERE pub_date <= TIMESTAMP '{AS_OF}' AND pub_date >= TIMESTAMP '{AS_OF}' - INTERVAL 3650 DAY ORDER BY coalesce(c, 0) DESC, pub_date DESC, news_id DESC LIMIT 90)
+    SELECT news_id, 0 AS part FROM snaps UNION ALL SELECT news_id, 1 FROM fb WHERE news_id NOT IN (SELECT news_id FROM snaps) AND (SELECT count(*) FROM snaps) < 75""")
 add("e07_news_entities", entities, "SELECT * FROM ent")
 add("e08_entity_vectors", lambda s, p: r.entity_vectors(entities(s, p), vectors(s, p)).select("type", "id", "news_id"), "SELECT type, id, news_id FROM ent JOIN vec USING (type, id)")
-add("e09_onboarding_query", lambda s, p: r.onboarding_query(profile(s, p)), "SELECT c_custkey AS user_id, 'stock' AS type, c_nationkey::VARCHAR AS id, 1.0::DOUBLE AS weight FROM customer WHERE c_custkey % 3 <> 1 UNION ALL SELECT c_custkey, 'keyword', 'Brand#' || c_nationkey, 1.0 FROM customer WHERE c_custkey % 5 < 2")
+add("e09_onboarding_query", lambda s, p: r.onboarding_query(profile(s, p)), "SELECT c_custkey AS user_id, 'stock' AS type, c_nationkey::VARCHAR AS id, 1.0::DOUBLE AS weight FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_custkey, 'keyword', 'Brand#' || c_nationkey, 1.0 FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 add("e10_behavior_query", lambda s, p: behavior_query(s, p).withColumn("weight", F.round("weight", 6)), "SELECT user_id, type, id, frequency, round(weight, 6) AS weight FROM bq2")
 add("e11_time_decay", lambda s, p: a.read(s, p, "events", "event_id", "ts").select("event_id", F.round(r.time_decay(F.col("ts"), F.lit(END).cast("timestamp_ntz"), 24), 6).alias("decay")), f"SELECT event_id, round(exp(-ln(2) * (epoch_us(TIMESTAMP '{END}') - epoch_us(ts)) / 3.6e9 / 24), 6) AS decay FROM events")
 add("e12_cosine", lambda s, p: (lambda v: v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.round(r.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine")))(a.read(s, p, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))),
@@ -194,6 +214,18 @@ add("f09_assign_variant", lambda s, p: r.assign_variant(_requests(s, p), r.varia
 add("f11_stable_bucket", lambda s, p: users(s, p).select("user_id", t.stable_bucket(F.lit("exp"), F.col("user_id"), 100).alias("bucket")), "SELECT user_id, (('0x' || substr(sha256('exp:' || user_id), 1, 16))::UBIGINT % 100)::INT AS bucket FROM users")
 add("f12_random_timeline", lambda s, p: r.random_timeline(a.articles(s, p).orderBy(F.desc("pub_date"), F.desc("news_id")).limit(50), users(s, p), 7),
     ", p50 AS (FROM articles ORDER BY pub_date DESC, news_id DESC LIMIT 50) SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY ('0x' || substr(md5('7:' || user_id || ':' || news_id), 1, 15))::BIGINT, news_id) - 1 AS pos FROM users, p50")
+add("f12_latest_timeline", lambda s, p: r.latest_timeline(a.articles(s, p), users(s, p), acted(s, p), 20),
+    """ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) - 1 AS pos, news_id, 'latest' AS path, NULL::VARCHAR AS fallback_reason
+    FROM users, articles WHERE NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = articles.news_id) QUALIFY pos < 20""")
+add("f12_popular_timeline", lambda s, p: r.pool_timeline(_most_acted(s, p), users(s, p), acted(s, p), "popular", a.articles(s, p), 10),
+    """, pop AS (SELECT news_id, row_number() OVER (ORDER BY count(*) DESC, news_id) - 1 AS place FROM acted JOIN articles USING (news_id) GROUP BY news_id QUALIFY place < 2),
+    kept AS (SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY place) - 1 AS pos FROM users, pop WHERE NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = pop.news_id))
+    SELECT user_id, pos, news_id, 'popular' AS path, NULL::VARCHAR AS fallback_reason FROM kept UNION ALL
+    SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) - 1 AS pos, news_id, 'latest', 'popular_pool_empty' FROM users, articles
+    WHERE user_id NOT IN (SELECT user_id FROM kept) AND NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = articles.news_id)) WHERE pos < 10""")
+add("f17_impression_rows", lambda s, p: r.impression_rows(fixed(s, p), _sessions(s, p)),
+    """, sess AS (SELECT user_id, min(request_id) AS request_id FROM served GROUP BY 1)
+    SELECT request_id, request_id AS session_id, user_id, news_id, pos + 1 AS rank, path, 1 AS batch_generation_id, 'exp' AS experiment_id, 'recommend' AS variant FROM fixed JOIN sess USING (user_id) WHERE pos >= 10 AND pos < 30""")
 add("f14_append_batch", lambda s, p: r.append_batch(fixed(s, p).filter("pos < 15"), fixed(s, p).filter("pos >= 12")), "SELECT user_id, pos, news_id, path FROM fixed")
 add("f15_page_slice", lambda s, p: r.page_slice(fixed(s, p), 20), "SELECT user_id, pos, news_id, path, pos // 20 AS page, pos + 1 AS rank, CASE WHEN (pos // 20 + 1) * 20 < count(*) OVER (PARTITION BY user_id) THEN (pos // 20 + 1) * 20 END AS next_offset FROM fixed")
 add("f18_queue_remaining", lambda s, p: r.queue_remaining(lists(s, p), fixed(s, p).filter("pos < 20")), "SELECT user_id, path, count(*) AS remaining FROM lists l WHERE NOT EXISTS (SELECT 1 FROM fixed f WHERE f.user_id = l.user_id AND f.news_id = l.news_id AND f.pos < 20) GROUP BY ALL")

@@ -43,7 +43,7 @@ pg AS (SELECT page_id, url, html, replace(regexp_extract(url, '^[^:/?#]+://([^/?
 
 
 def _registry(s, p):
-    return docs(s, p).filter("news_id % 10 = 3").select(t.content_hash(F.col("text")).alias("content_hash")).distinct()
+    return docs(s, p).filter("lang = 'fr'").select(t.content_hash(F.col("text")).alias("content_hash")).distinct()
 
 
 def art(s, p):
@@ -67,7 +67,7 @@ def _refine(s, p):
 
 SPORT_SQL = "(" + " OR ".join(f"contains(low, '{w}')" for w in SPORTS) + ") AND " + " + ".join(f"contains(low, '{w}')::INT" for w in CONTEXT) + " >= 3"
 REFINE_SQL = f"""refined AS (SELECT news_id, coalesce(text, '') AS refined_text, content_hash,
-  CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_text' WHEN nth > 1 THEN 'duplicate_in_batch' WHEN content_hash IN (SELECT content_hash FROM hashed WHERE news_id % 10 = 3) THEN 'duplicate_processed'
+  CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_text' WHEN nth > 1 THEN 'duplicate_in_batch' WHEN content_hash IN (SELECT content_hash FROM hashed WHERE lang = 'fr') THEN 'duplicate_processed'
    WHEN ({SPORT_SQL}) OR length(coalesce(text, '')) <= 20 THEN 'sports_or_too_short' END AS reason
   FROM (SELECT *, lower(coalesce(text, '')) AS low, row_number() OVER (PARTITION BY trim(coalesce(text, '')) = '', content_hash ORDER BY created_at, news_id) AS nth FROM hashed))"""
 STATUS_SQL = "CASE WHEN reason IN ('empty_text', 'sports_or_too_short') THEN 'filtered_out' WHEN reason IS NULL THEN 'passed' ELSE 'skipped' END AS status"
@@ -77,13 +77,13 @@ def _conversation_answers(s, p):
     """Texts of conversations as answers of a model, plain or nested by turn."""
     rows = a.read(s, p, "conversations", "conv_id", "turn", "text")
     mood = F.element_at(F.array(*map(F.lit, ("긍정", "중립", "부정", "??"))), (F.col("conv_id") % 4 + 1).cast("int"))
-    answer = F.struct(F.when(F.col("turn") % 5 != 4, F.substring("text", 1, 40)).otherwise("").alias("summary"), mood.alias("sentiment"), F.split(F.substring("text", 1, 30), " ").alias("keywords"))
+    answer = F.struct(F.when(F.col("turn") % 5 != 4, F.col("text")).otherwise("").alias("summary"), mood.alias("sentiment"), F.split("text", " ").alias("keywords"))
     raw = F.when(F.col("turn") % 3 == 0, F.to_json(answer)).when(F.col("turn") % 3 == 1, F.to_json(F.struct(answer.alias("analysis")))).otherwise(F.concat(F.lit("["), F.to_json(answer), F.lit("]")))
     return rows.select(F.col("conv_id").alias("news_id"), F.col("turn").alias("attempt"), F.when(F.col("turn") != 6, raw).alias("raw"))
 
 
-ANSWERS_SQL = """said AS (SELECT conv_id AS news_id, turn AS attempt, turn <> 6 AS had, CASE WHEN turn % 5 <> 4 THEN trim(substr(text, 1, 40), ' ') ELSE '' END AS summary,
-  CASE WHEN conv_id % 4 = 3 THEN '' ELSE ['긍정', '중립', '부정'][1 + conv_id % 4] END AS sentiment, string_split(substr(text, 1, 30), ' ') AS keywords FROM conversations)"""
+ANSWERS_SQL = """said AS (SELECT conv_id AS news_id, turn AS attempt, turn <> 6 AS had, CASE WHEN turn % 5 <> 4 THEN trim(text, ' ') ELSE '' END AS summary,
+  CASE WHEN conv_id % 4 = 3 THEN '' ELSE ['긍정', '중립', '부정'][1 + conv_id % 4] END AS sentiment, string_split(text, ' ') AS keywords FROM conversations)"""
 
 
 def _parsed(s, p):
@@ -132,7 +132,7 @@ def _mentions(s, p):
 
 
 def _post(s, p):
-    stocks = a.news_stock(s, p).filter("news_id % 7 = 0").select("news_id")
+    stocks = a.news_stock(s, p).select("news_id")
     return funnel.post_filter(docs(s, p).select("news_id", "text"), stocks, TERMS, UNWANTED)
 
 
@@ -167,8 +167,8 @@ add("a02_scan_day", lambda s, p: lake.scan_day(_crawled(s, p).select("news_id",
     "SELECT news_id, created_at, pub_date, title, a.source FROM batch b JOIN art a USING (news_id) WHERE created_at >= TIMESTAMP '2024-01-01 15:00:00' AND created_at <= TIMESTAMP '2024-01-02 14:59:59'")
 add("a03_parse_search_items", lambda s, p: lake.parse_search_items(art(s, p).select(F.concat(F.lit("<b>"), "title", F.lit("</b>")).alias("title"), F.date_format("pub_date", "EEE, dd MMM yyyy HH:mm:ss '+0900'").alias("pubDate"), F.when(F.col("news_id") % 2 == 0, "  ").otherwise(F.concat(F.lit(" http://o/"), F.col("news_id"))).alias("originallink"), F.concat(F.lit("http://l/"), F.col("news_id")).alias("link"), F.col("source").alias("search_keyword"))),
     "SELECT title, pub_date - INTERVAL 9 HOUR AS pub_date, CASE WHEN news_id % 2 = 0 THEN 'http://l/' ELSE 'http://o/' END || news_id AS url, source AS search_keyword FROM art")
-add("a04_ingest_new_urls", lambda s, p: lake.ingest_new_urls(pages(s, p).select(F.col("page_id").alias("news_id"), t.url_domain(F.col("url")).alias("url")), batch(s, p).filter("news_id < 100000").join(pages(s, p).filter("page_id % 9 = 0").select(F.col("page_id").alias("news_id"), t.url_domain(F.col("url")).alias("url")), "news_id").select("url", "created_at"), "2024-01-03 00:00:00"),
-    "SELECT min(page_id) AS news_id, domain AS url FROM pg WHERE domain NOT IN (SELECT g.domain FROM pg g JOIN batch b ON b.news_id = g.page_id WHERE page_id % 9 = 0 AND news_id < 100000 AND created_at >= TIMESTAMP '2023-12-31') GROUP BY domain")
+add("a04_ingest_new_urls", lambda s, p: lake.ingest_new_urls(pages(s, p).select(F.col("page_id").alias("news_id"), "url"), batch(s, p).join(pages(s, p).select(F.col("page_id").alias("news_id"), "url"), "news_id").select("url", "created_at"), "2024-01-06 00:00:00"),
+    "SELECT min(page_id) AS news_id, url FROM pg WHERE url NOT IN (SELECT g.url FROM pg g JOIN batch b ON b.news_id = g.page_id WHERE created_at >= TIMESTAMP '2024-01-03') GROUP BY url")
 add("a06_explode_aliases", lambda s, p: lake.explode_aliases(a.read(s, p, "part").select(F.col("p_partkey").alias("stock_id"), F.concat(F.col("p_name"), F.lit(", ,"), F.upper("p_brand"), F.lit(" ,"), "p_name").alias("aliases"))),
     "SELECT DISTINCT p_partkey AS stock_id, unnest([p_name, upper(p_brand)]) AS alias_name FROM part")
 add("a07_merge_partition", lambda s, p: lake.merge_partition(art(s, p), _changes(s, p)), "SELECT * FROM art WHERE news_id NOT IN (SELECT news_id FROM chg) UNION ALL SELECT * FROM chg", [CHANGES])
@@ -213,7 +213,7 @@ add("b13_is_short", lambda s, p: docs(s, p).select("news_id", t.is_short(F.col("
 add("b14_content_hash", lambda s, p: docs(s, p).select("news_id", t.content_hash(F.col("text")).alias("content_hash")), "SELECT news_id, content_hash FROM hashed")
 add("b15_dedup_in_batch", lambda s, p: funnel.dedup_in_batch(batch(s, p)).select("news_id", "content_hash", "is_first"), "SELECT news_id, content_hash, row_number() OVER (PARTITION BY content_hash ORDER BY created_at, news_id) = 1 AS is_first FROM hashed")
 add("b16_dedup_across_runs", lambda s, p: funnel.dedup_across_runs(funnel.dedup_in_batch(batch(s, p)).filter("is_first"), _registry(s, p))[0].select("news_id", "content_hash"),
-    "SELECT news_id, content_hash FROM (SELECT * FROM hashed QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY created_at, news_id) = 1) WHERE content_hash NOT IN (SELECT content_hash FROM hashed WHERE news_id % 10 = 3)")
+    "SELECT news_id, content_hash FROM (SELECT * FROM hashed QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY created_at, news_id) = 1) WHERE content_hash NOT IN (SELECT content_hash FROM hashed WHERE lang = 'fr')")
 add("b17_refine", lambda s, p: _refine(s, p).drop("refined_text"), f"SELECT news_id, content_hash, reason, {STATUS_SQL} FROM refined", [REFINE_SQL])
 add("b18_classify_error", lambda s, p: docs(s, p).select("news_id", t.failure(F.when(F.col("news_id") % 5 != 0, F.concat(F.when(F.col("news_id") % 3 == 0, "Bad Schema ").otherwise("x "), "text"))).alias("f")).select("news_id", "f.*"),
     "SELECT news_id, CASE WHEN news_id % 5 = 0 THEN 'refinement_error' ELSE substr(m, 1, 100) END AS reason, CASE WHEN news_id % 5 <> 0 AND regexp_matches(lower(m), 'invalid input syntax|undefined column|does not exist|enum|schema') THEN 'failed_permanent' ELSE 'failed_retryable' END AS status FROM (SELECT news_id, CASE WHEN news_id % 3 = 0 THEN 'Bad Schema ' ELSE 'x ' END || text AS m FROM docs)")
@@ -234,15 +234,15 @@ add("b27_enrichment_outcome", lambda s, p: funnel.enrichment_outcome(_parsed(s,
 add("b28_explode_enrichment", lambda s, p: funnel.explode_enrichment(_parsed(s, p), _names(s, p))[1], "SELECT DISTINCT news_id, unnest(keywords) AS keyword FROM said WHERE had", [ANSWERS_SQL])
 add("b29_count_term_matches", lambda s, p: docs(s, p).select("news_id", t.count_term_matches(F.col("text"), TERMS).alias("n")), "SELECT news_id, " + " + ".join(f"contains(lower(text), '{x}')::INT" for x in TERMS) + " AS n FROM docs")
 add("b30_post_filter", _post,
-    "SELECT news_id FROM docs WHERE news_id IN (SELECT news_id FROM news_stock WHERE news_id % 7 = 0) OR (" + " + ".join(f"contains(lower(text), '{x}')::INT" for x in TERMS) + ") >= 3 AND (" + " + ".join(f"contains(lower(text), '{x}')::INT" for x in UNWANTED) + ") <= 0")
+    "SELECT news_id FROM docs WHERE news_id IN (SELECT news_id FROM news_stock) OR (" + " + ".join(f"contains(lower(text), '{x}')::INT" for x in TERMS) + ") >= 3 AND (" + " + ".join(f"contains(lower(text), '{x}')::INT" for x in UNWANTED) + ") <= 0")
 add("b31_embedding_input", lambda s, p: docs(s, p).select("news_id", F.md5(t.embedding_input(F.col("text"))).alias("input_md5")), "SELECT news_id, CASE WHEN length(text) >= 10 THEN md5(substr(text, 1, 3000)) END AS input_md5 FROM docs")
 add("b32_registry_update", lambda s, p: funnel.registry_update(a.news_keyword(s, p).select("keyword", F.lit("new").alias("vector")), a.read(s, p, "part").filter("p_size > 48").select(F.col("p_brand").alias("keyword")).distinct().withColumn("vector", F.lit("old"))),
     "SELECT keyword, CASE WHEN keyword IN (SELECT p_brand FROM part WHERE p_size > 48) THEN 'old' ELSE 'new' END AS vector FROM (SELECT p_brand AS keyword FROM part WHERE p_size > 48 UNION SELECT keyword FROM news_keyword)")
 add("b33_parse_vector", lambda s, p: a.read(s, p, "embeddings", "vec_id", "label").select("vec_id", t.parse_vector(F.when(F.col("label") == 0, F.lit("[]")).when(F.col("label") != 1, F.concat(F.lit("[0.5, ,"), F.col("label").cast("string"), F.lit("]")))).alias("vector")), "SELECT vec_id, CASE WHEN label <= 1 THEN [] ELSE [0.5, label::DOUBLE] END AS vector FROM embeddings")
 add("b34_times", lambda s, p: batch(s, p).select("news_id", t.to_kst(F.col("created_at")).cast("timestamp_ntz").alias("kst"), t.window_label(F.col("created_at"), F.col("created_at")).alias("label")), "SELECT news_id, created_at + INTERVAL 9 HOUR AS kst, strftime(created_at, '%Y%m%d%H%M') || '_' || strftime(created_at, '%Y%m%d%H%M') AS label FROM batch")
 add("b35_context_hash", lambda s, p: a.read(s, p, "events", "event_id", "props").select("event_id", t.context_hash(F.col("props")).alias("hash")), "SELECT event_id, substr(sha256(props), 1, 16) AS hash FROM events")
-add("b36_labels", lambda s, p: docs(s, p).select("news_id", t.clean_label(F.substring("text", 1, 90)).alias("label"), t.cursor_reason(F.substring("text", 1, 90)).alias("reason")),
-    "SELECT news_id, CASE WHEN l = '' THEN 'none' ELSE l END AS label, " + "CASE " + " ".join(f"WHEN contains(lower(x), '{k}') THEN '{v}'" for k, v in t.CURSOR_REASONS) + " ELSE 'invalid_cursor' END AS reason FROM (SELECT news_id, substr(text, 1, 90) AS x, trim(regexp_replace(substr(text, 1, 64), '[^a-zA-Z0-9_.:-]+', '_', 'g'), '_') AS l FROM docs)")
+add("b36_labels", lambda s, p: docs(s, p).select("news_id", t.clean_label(F.col("text")).alias("label"), t.cursor_reason(F.col("text")).alias("reason")),
+    "SELECT news_id, CASE WHEN l = '' THEN 'none' ELSE l END AS label, " + "CASE " + " ".join(f"WHEN contains(lower(x), '{k}') THEN '{v}'" for k, v in t.CURSOR_REASONS) + " ELSE 'invalid_cursor' END AS reason FROM (SELECT news_id, text AS x, trim(regexp_replace(substr(text, 1, 64), '[^a-zA-Z0-9_.:-]+', '_', 'g'), '_') AS l FROM docs)")
 add("c01_target_news", lambda s, p: funnel.target_news(batch(s, p)).select("news_id", "filter_status"), "SELECT news_id, filter_status FROM batch WHERE filter_status <> 'passed'")
 add("c02_status_counts", lambda s, p: funnel.status_counts(batch(s, p).withColumn("day", F.date_format(t.to_kst(F.col("created_at")), "yyyyMMdd")), "day"), "SELECT strftime(created_at + INTERVAL 9 HOUR, '%Y%m%d') AS day, filter_status, count(*) AS count FROM batch GROUP BY ALL")
 add("c04_load_batch", lambda s, p: lake.replace_children(a.news_stock(s, p).select("news_id", F.col("stock_id").alias("keyword_id"), F.lit("old").alias("extractor_version"), F.lit(1.0).alias("weight")), a.news_keyword(s, p), lake.upsert(a.read(s, p, "part").groupBy(F.col("p_brand").alias("keyword")).agg(F.min("p_partkey").alias("keyword_id")), a.news_keyword(s, p).select("keyword", F.lit(1).cast("long").alias("keyword_id")).distinct().filter("keyword > 'Brand#5'"), ["keyword"], ["keyword_id"])),
