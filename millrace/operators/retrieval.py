@@ -133,12 +133,20 @@ def pair_weight(left: Column, right: Column) -> Column:
     return out.otherwise(MIXED_WEIGHT)
 
 
-def entity_similarity(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(q_type, q_id, type, id, sim): weighted similarity of distinct entities, once for each pair; only positive ones."""
-    q = queries.select(F.col("type").alias("q_type"), F.col("id").alias("q_id"), F.col("vector").alias("q_vector")).dropDuplicates(["q_type", "q_id"])
-    c = candidates.select("type", "id", "vector").dropDuplicates(["type", "id"])
+def entity_similarity(query: DataFrame, held: DataFrame, candidates: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(q_type, q_id, type, id, sim): weighted similarity of the entities that meet through a user; only positive ones.
+
+    ``query`` has (user_id, type, id), ``held`` (news_id, type, id), ``candidates`` (user_id,
+    news_id). A pair of entities is found once however many users it meets through, and no
+    pair is made that no user has. Entities without a vector have no pair.
+    """
+    known = vectors.filter(F.size("vector") > 0).select(F.lower("type").alias("type"), "id", "vector").dropDuplicates(["type", "id"])
+    mine = candidates.select("user_id", "news_id").join(held, "news_id").select("user_id", "type", "id").distinct()
+    asked = query.select("user_id", F.col("type").alias("q_type"), F.col("id").alias("q_id"))
+    met = asked.join(mine, "user_id").select("q_type", "q_id", "type", "id").distinct()
+    both = met.join(known, ["type", "id"]).join(known.select(F.col("type").alias("q_type"), F.col("id").alias("q_id"), F.col("vector").alias("q_vector")), ["q_type", "q_id"])
     sim = F.greatest(cosine(F.col("q_vector"), F.col("vector")), F.lit(0.0)) * pair_weight(F.col("q_type"), F.col("type"))
-    return q.crossJoin(c).select("q_type", "q_id", "type", "id", sim.alias("sim")).filter("sim > 0")
+    return both.select("q_type", "q_id", "type", "id", sim.alias("sim")).filter("sim > 0")
 
 
 def max_sim(query: DataFrame, similarity: DataFrame, entities: DataFrame, candidates: DataFrame, boost: float = 0.0, boosted: DataFrame | None = None) -> DataFrame:
@@ -164,6 +172,26 @@ def rank_candidates(scored: DataFrame, limit: int, least: float | None = None) -
     return out if least is None else out.filter(F.col("score") >= least)
 
 
+def onboarding_path(scored: DataFrame, query: DataFrame, limit: int) -> DataFrame:
+    """The best of users with a profile; others have none."""
+    return rank_candidates(scored.join(query.select("user_id").distinct(), "user_id", "left_semi"), limit)
+
+
+def behavior_path(scored: DataFrame, query: DataFrame, limit: int, least: float) -> DataFrame:
+    """The best of users with a query, low scores dropped after the limit; of others the first ``limit``, newest first, without a score."""
+    asked = query.select("user_id").distinct()
+    ranked = rank_candidates(scored.join(asked, "user_id", "left_semi"), limit, least)
+    plain = scored.join(asked, "user_id", "left_anti").withColumn("score", F.lit(None).cast("double"))
+    return ranked.unionByName(rank_candidates(plain, limit))
+
+
+def without(rows: DataFrame, *picked: DataFrame) -> DataFrame:
+    """The rows whose (user_id, news_id) none of the others has."""
+    for other in picked:
+        rows = rows.join(other.select("user_id", "news_id"), ["user_id", "news_id"], "left_anti")
+    return rows
+
+
 def path_cascade(paths: list[tuple[str, DataFrame]]) -> DataFrame:
     """(user_id, news_id, path, pos): every news in the first path that has it, the paths' order kept."""
     out = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text as t
@@ -9,6 +10,7 @@ from millrace.operators import behaviour as d
 from millrace.operators import retrieval as r
 from millrace.plans import behaviour as bq
 from millrace.plans.behaviour import SQL_D
+from millrace.plans.keep import kept
 from millrace.sources import adapters as a
 from millrace.sources.adapters import END, START
 
@@ -67,33 +69,61 @@ def profile(s, p):
     return r.onboarding_profile(c.filter("c_acctbal > 0").select("user_id", F.col("c_nationkey").alias("stock_id")), c.filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").select("user_id", F.concat(F.lit("Brand#"), F.col("c_nationkey")).alias("keyword_id")))
 
 
-def _scores(s, p, query, boost):
-    query = query.persist()  # it is read four times
-    cand = candidates(s, p).persist()
-    held = r.entity_vectors(entities(s, p).join(F.broadcast(cand.select("news_id").distinct()), "news_id", "left_semi"), vectors(s, p))
-    wanted = query.select("type", "id").distinct().join(vectors(s, p).withColumn("type", F.lower("type")), ["type", "id"])
+def _scores(s, p, query, boost, cand=None):
+    query, cand = kept(query), candidates(s, p) if cand is None else cand
+    held = r.entity_vectors(entities(s, p).join(cand.select("news_id").distinct(), "news_id", "left_semi"), vectors(s, p)).select("news_id", "type", "id")
     boosted = query.filter("type = 'stock'" + (" AND frequency > 1" if "frequency" in query.columns else "")).select("user_id", "id")
-    return r.max_sim(query, r.entity_similarity(wanted, held), held.select("news_id", "type", "id"), cand, boost, boosted)
+    return r.max_sim(query, r.entity_similarity(query, held, cand, vectors(s, p)), held, cand, boost, boosted)
 
 
-def _onboarding(s, p):
-    return r.rank_candidates(_scores(s, p, r.onboarding_query(profile(s, p)).join(users(s, p), "user_id", "left_semi"), 0.35), POOL)
+# How many candidates each path gives and the base pool has, and hours that pools go back.
+LIMITS = {"onboarding": 50, "behavior": 50, "breaking": 30, "popular": 30}
+BASE, HOURS, BREAKING_HOURS, STALE_MINUTES = 4 * 50, 72, 24, 1440
 
 
-def _behavior(s, p):
-    return r.rank_candidates(_scores(s, p, behavior_query(s, p), 0.2), POOL, 0.05)
+def recent_articles(s, p, hours):
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    return a.articles(s, p).filter((F.col("pub_date") <= at) & (F.col("pub_date") >= at - F.make_interval(hours=F.lit(hours))))
 
 
-def _cascade(s, p):
-    return r.path_cascade([("onboarding", _onboarding(s, p).filter("rank <= 10")), ("behavior", _behavior(s, p).filter("rank <= 12")), ("breaking", candidates(s, p).filter("rank <= 15")), ("popular", candidates(s, p))])
+def base_pool(s, p, excluded):
+    return r.recent_candidates(recent_articles(s, p, HOURS), users(s, p), excluded, AS_OF, BASE)
+
+
+def onboarding(s, p, pool):
+    query = r.onboarding_query(profile(s, p)).join(users(s, p), "user_id", "left_semi")
+    return r.onboarding_path(_scores(s, p, query, 0.35, pool), query, LIMITS["onboarding"])
+
+
+def behavior(s, p, pool):
+    query = behavior_query(s, p)
+    return r.behavior_path(_scores(s, p, query, 0.2, pool), query, LIMITS["behavior"], 0.05)
+
+
+def popular_pool(s, p):
+    """E6 as a bounded list with places, from snapshots and the fallback."""
+    found = r.popular_candidates(_popular(s, p), r.popular_fallback(a.articles(s, p), bq.metrics(s, p), AS_OF, 90, 24 * 3650), 4 * LIMITS["popular"])
+    return found.select("news_id", (F.col("part") * 1000 + F.row_number().over(W.partitionBy("part").orderBy("news_id"))).alias("place"))
+
+
+def _cascade(s, p, excluded=None):
+    """Four paths, each from what those before it have left."""
+    excluded = kept(acted(s, p) if excluded is None else excluded)
+    pool = kept(base_pool(s, p, excluded))
+    first = kept(onboarding(s, p, pool))
+    second = kept(behavior(s, p, r.without(pool, first)))
+    taken = excluded.select("user_id", "news_id").unionByName(first.select("user_id", "news_id")).unionByName(second.select("user_id", "news_id"))
+    third = kept(r.recent_candidates(recent_articles(s, p, BREAKING_HOURS), users(s, p), taken, AS_OF, LIMITS["breaking"], STALE_MINUTES))
+    listed = users(s, p).select("user_id").crossJoin(F.broadcast(popular_pool(s, p)))
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("place"))
+    fourth = r.without(listed, taken, third).withColumn("rank", place).filter(F.col("rank") <= LIMITS["popular"])
+    return r.path_cascade([("onboarding", first), ("behavior", second), ("breaking", third), ("popular", fourth)])
 
 
 def lists(s, p):
     items = d.explode_served_items(a.serves(s, p), START, END).join(a.serves(s, p).select("request_id", "created_at"), "request_id")
     arm = F.create_map(*[F.lit(x) for pair in d.ARMS.items() for x in pair])[F.col("path")]
     last = items.groupBy("user_id", "news_id", arm.alias("path")).agg(F.max("created_at").alias("last_at"))
-    from pyspark.sql import Window as W
-
     return last.withColumn("pos", F.row_number().over(W.partitionBy("user_id", "path").orderBy(F.desc("last_at"), "news_id")) - 1).drop("last_at")
 
 
@@ -139,14 +169,21 @@ def _sessions(s, p):
 
 
 def recommend_all(s, p):
-    """candidates of all users through penalties, arms, mix and pages."""
+    """exclusions, the paths' candidates, penalties, arms, mix, guardrail and variants of all users, as pages."""
     excluded, multipliers = r.suppression(acted(s, p), d.read_news(a.interactions(s, p), END, 31), d.recent_serves(a.serves(s, p), END, bq.HOURS), END)
-    kept = lists(s, p).join(d.read_news(a.interactions(s, p), END, 31).select("user_id", "news_id"), ["user_id", "news_id"], "left_anti")
-    shown = kept.join(multipliers, ["user_id", "news_id"], "left").select("user_id", "news_id", "path", "pos", F.coalesce("multiplier", F.lit(1.0)).alias("m"))
-    from pyspark.sql import Window as W
-
-    placed = shown.withColumn("pos", F.row_number().over(W.partitionBy("user_id", "path").orderBy(F.desc("m"), "pos")) - 1).drop("m")
-    return r.page_slice(r.thompson_mix(placed, params(s, p), "mean"), 20)
+    excluded = kept(excluded)
+    shown = _cascade(s, p, excluded).join(multipliers, ["user_id", "news_id"], "left")
+    by_path = W.partitionBy("user_id", "path")
+    key = (F.count("*").over(by_path) - F.col("pos")) * F.coalesce("multiplier", F.lit(1.0))
+    placed = shown.withColumn("key", key).withColumn("pos", F.row_number().over(by_path.orderBy(F.desc("key"), "pos")) - 1).select("user_id", "news_id", "path", "pos")
+    mixed = r.breaking_guardrail(r.thompson_mix(placed, params(s, p), "mean"))
+    last = r.assign_variant(_requests(s, p), r.variant_slots("recommend:3,latest:1,popular:1")).groupBy("user_id").agg(F.max_by("variant", F.struct("ts", "request_id")).alias("variant"))
+    of = kept(users(s, p).join(last, "user_id", "left").withColumn("variant", F.coalesce("variant", F.lit("recommend"))))
+    arm = lambda name: of.filter(F.col("variant") == name).select("user_id")
+    newest = r.latest_timeline(a.articles(s, p), arm("latest"), excluded, 100).drop("fallback_reason")
+    popular = r.pool_timeline(popular_pool(s, p), arm("popular"), excluded, "popular", a.articles(s, p), 20).drop("fallback_reason")
+    own = mixed.join(of.filter("variant NOT IN ('latest', 'popular')").select("user_id"), "user_id", "left_semi")
+    return r.page_slice(own.unionByName(newest).unionByName(popular), 20).join(of, "user_id")
 
 
 q, o = {}, {}
@@ -183,10 +220,16 @@ add("e14_max_sim", lambda s, p: _scores(s, p, behavior_query(s, p), 0.2).select(
     best AS (SELECT c.user_id, c.news_id, b.type, b.id, any_value(b.weight) AS weight, max(sim) AS sim FROM cand c JOIN ent e USING (news_id) JOIN sim s ON s.type = e.type AND s.id = e.id JOIN bq2 b ON b.user_id = c.user_id AND b.type = s.q_type AND b.id = s.q_id WHERE sim > 0 GROUP BY ALL),
     hits AS (SELECT c.user_id, c.news_id, count(DISTINCT e.id) AS hits FROM cand c JOIN ent e USING (news_id) JOIN vec USING (type, id) JOIN bq2 b ON b.user_id = c.user_id AND b.type = 'stock' AND e.type = 'stock' AND b.id = e.id AND b.frequency > 1 GROUP BY ALL)
     SELECT user_id, news_id, round(coalesce(sc, 0) + 0.2 * coalesce(hits, 0), 5) AS score FROM cand LEFT JOIN (SELECT user_id, news_id, sum(weight * sim) AS sc FROM best GROUP BY ALL) USING (user_id, news_id) LEFT JOIN hits USING (user_id, news_id)""")
-add("e16_onboarding_path", lambda s, p: _onboarding(s, p).select("user_id", "news_id", F.round("score", 4).alias("score")))
-add("e17_behavior_path", lambda s, p: _behavior(s, p).select("user_id", "news_id", F.round("score", 4).alias("score")))
+def _base(s, p):
+    return kept(base_pool(s, p, acted(s, p)))
+
+
+add("e15_rank_candidates", lambda s, p: r.rank_candidates(candidates(s, p).withColumn("score", F.round(F.col("news_id") % 7 + 0.0, 1)).drop("rank"), 5).select("user_id", "news_id", "rank"),
+    " SELECT user_id, news_id, nth AS rank FROM (SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY news_id % 7 DESC, pub_date DESC, news_id DESC) AS nth FROM cand) WHERE nth <= 5")
+add("e16_onboarding_path", lambda s, p: onboarding(s, p, _base(s, p)).select("user_id", "news_id", F.round("score", 4).alias("score")))
+add("e17_behavior_path", lambda s, p: behavior(s, p, _base(s, p)).select("user_id", "news_id", F.round("score", 4).alias("score")))
 add("e18_path_cascade", _cascade)
-add("e19_breaking_replenish", lambda s, p: r.breaking_replenish(_cascade(s, p), candidates(s, p).select("user_id", "news_id", "rank"), 8, 20))
+add("e19_breaking_replenish", lambda s, p: r.breaking_replenish(_cascade(s, p), base_pool(s, p, acted(s, p)).select("user_id", "news_id", "rank"), 8, LIMITS["breaking"]))
 add("e20_fallback_reason", lambda s, p: r.fallback_reason(_flags(s, p)),
     "SELECT k AS user_id, CASE WHEN k % 11 = 0 THEN 'onboarding_failed' WHEN k % 13 = 0 THEN 'behavior_failed' WHEN k % 17 = 0 THEN 'breaking_failed' WHEN k % 19 = 0 THEN 'popular_failed' WHEN k % 2 <> 0 AND k % 3 <> 0 AND k % 5 <> 0 AND k % 7 <> 0 THEN 'retrieval_failed' WHEN k % 2 <> 0 AND k % 3 <> 0 AND k % 5 <> 0 AND k % 4 = 0 THEN 'primary_failed_use_exploration' WHEN k % 6 = 0 THEN 'behavior_insufficient' END AS reason FROM (SELECT c_custkey AS k FROM customer)")
 add("e21_suppression", lambda s, p: r.suppression(acted(s, p), d.read_news(a.interactions(s, p), END, 31), d.recent_serves(a.serves(s, p), END, bq.HOURS), END, 86400)[0], f"SELECT user_id, news_id FROM acted UNION SELECT user_id, news_id FROM (SELECT user_id, news_id, max(created_at) AS m FROM items GROUP BY ALL) WHERE m >= TIMESTAMP '{END}' - INTERVAL 1 DAY")
