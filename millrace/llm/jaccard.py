@@ -45,11 +45,13 @@ from .tables import stored
 #: that an allocation allows for, besides their mean.
 RATIO, DEVIATIONS = 1.6, 2.33
 #: Segments that every set may skip besides empty ones, about; rounds of leaders.
-SPARE, LEADERS = 2, 3
+SPARE, LEADERS = 2, 1
 #: What a chance meeting costs in keys, and the chance that a token of one set is in another that isn't similar.
 PRICE, COMMON = 8.0, 0.25
 #: Sets in a bucket up to which its pairs are rows; sets in a block of a larger one; numbers compared at once.
 PAIRED, BLOCK, COMPARED = 4, 1024, 1 << 21
+#: Buckets of a set that are listed with it.
+LISTED = 16
 #: Hashes of sets that may belong to two different sets each, at most; of 64 bits, a few among 10 ** 10 sets do.
 CLASHES = 10_000
 #: Sets that a task remembers so as not to index them twice.
@@ -373,6 +375,13 @@ def sifted(pairs: DataFrame, looks: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("apart", apart).filter(F.col("apart") <= most_different(F.col("n") + F.col("m"), percent)).select("a", "b", "apart")
 
 
+def _first_common(left: np.ndarray, right: np.ndarray) -> int | None:
+    """The least number of two sorted lists, of which only the first LISTED are given; None where that isn't known."""
+    common = np.intersect1d(left, right, assume_unique=True)
+    known = [side[-1] for side in (left, right) if len(side) == LISTED]
+    return int(common[0]) if len(common) and all(common[0] <= k for k in known) else None
+
+
 def sifted_in_groups(members: DataFrame, looks: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """(a, b, apart) for what sizes and sketches don't rule out among sets of different labels in each bucket (key, node, label).
 
@@ -380,8 +389,9 @@ def sifted_in_groups(members: DataFrame, looks: DataFrame, percent: int, nearest
 
     A bucket of more than BLOCK sets is dealt to blocks by a hash, and every two of its
     blocks make a group, so that groups stay of two blocks' size whatever the bucket's.
-    Sketches travel, no texts. Near copies meet in many buckets: every set brings the list
-    of its buckets, and a pair is a row only in the first one that both have.
+    Sketches travel, no texts. Near copies meet in many buckets: every set brings the first
+    LISTED of its buckets, and a pair is a row only in the first one that both have. Where
+    that lies beyond what is listed, each bucket has the pair.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("sets"))
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
@@ -390,7 +400,7 @@ def sifted_in_groups(members: DataFrame, looks: DataFrame, percent: int, nearest
     placed = dealt.select("key", "node", "label", "block", F.explode(others).alias("other"))
     team = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("team")
     placed = placed.select(team, "key", "node", "label", "block", (F.col("block") == F.col("other")).alias("own"))
-    lists = members.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    lists = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LISTED).alias("keys"))
     marked = looks.select("node", "n_shingles", "sketch").join(lists, "node")
     rows = placed.join(marked, "node").repartition("team").sortWithinPartitions("team")
 
@@ -430,7 +440,7 @@ def sifted_in_groups(members: DataFrame, looks: DataFrame, percent: int, nearest
                     x, y, far = x[order], y[order], far[order]
                     some = (np.diff(x, prepend=-1) != 0) | (np.diff(groups[y], prepend=groups[y[0]]) != 0)
                     x, y, far = x[some], y[some], far[some]
-                first = np.array([np.intersect1d(lists[p], lists[q], assume_unique=True)[0] == key for p, q in zip((i + x).tolist(), y.tolist())], bool)
+                first = np.array([_first_common(lists[p], lists[q]) in (None, key) for p, q in zip((i + x).tolist(), y.tolist())], bool)
                 x, y, far = x[first], y[first], far[first]
                 if len(x):
                     yield pd.DataFrame({"a": np.minimum(names[i + x], names[y]), "b": np.maximum(names[i + x], names[y]), "apart": far})
