@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import cooccurrence, hashed
-from .retrieval import cosine
+from .graph import cooccurrence, dense_index, hashed
+from .retrieval import cosine, in_blocks, top_k_similar, unit_rows
 
 #: Places of targets that one window of a source looks at.
 SPAN = 1 << 16
@@ -39,29 +39,26 @@ def ground_truth(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
     return cooccurrence(left, right, same)
 
 
-def relation_retrieval(truth: DataFrame, left: DataFrame, right: DataFrame, k: int, same: bool, sources: int = 500, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def relation_retrieval(truth: DataFrame, left: DataFrame, right: DataFrame, k: int, same: bool, sources: int | None = 500, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """H4, H5: (per source, averages) of retrieving the positives among all of ``right``.
 
-    At most ``sources`` sources are looked at, those of the least hashes; this is the operator's own sampling.
+    At most ``sources`` sources are looked at, those of the least hashes (None: all); this is the operator's own sampling.
     Per source: rank of the best positive, hit, recall and average precision at k.
     """
-    chosen = truth.select("src").distinct().orderBy(hashed(seed, F.col("src")), "src").limit(sources)
-    q = left.join(F.broadcast(chosen), F.col("id") == F.col("src")).select("src", F.col("vector").alias("a"))
-    pairs = q.crossJoin(right.select(F.col("id").alias("dst"), F.col("vector").alias("b")))
-    pairs = pairs.filter("src <> dst") if same else pairs
-    scored = pairs.select("src", "dst", F.round(cosine(F.col("a"), F.col("b")), 9).alias("score"))
-    marked = scored.join(truth.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    by_src = W.partitionBy("src")
-    best = F.max(F.when(F.col("hit") == 1, F.col("score"))).over(by_src)
-    place = F.row_number().over(by_src.orderBy(F.desc("score"), "dst"))
-    rows = marked.withColumns({"best": best, "place": place})
-    top = F.col("place") <= k
-    hits_so_far = F.sum("hit").over(by_src.orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("precision", F.when(top & (F.col("hit") == 1), hits_so_far / F.col("place")).otherwise(0.0))
-    per = rows.groupBy("src").agg(
-        (F.count_if(F.col("score") > F.col("best")) + 1).alias("rank"), F.sum(F.when(top, F.col("hit")).otherwise(0)).alias("hits"), F.sum("hit").alias("positives"),
-        F.sum("precision").alias("precisions"), F.count("*").alias("candidates"),
-    ).filter("positives > 0")
+    truth = truth.select("src", "dst").distinct()
+    truth = truth.filter("src <> dst") if same else truth
+    if sources is not None:
+        truth = truth.join(F.broadcast(truth.select("src").distinct().orderBy(hashed(seed, F.col("src")), "src").limit(sources)), "src", "left_semi")
+    known = pair_cosine(truth, left, right).groupBy("src").agg(F.max("score").alias("best"), F.count("*").alias("positives"))
+    asked = known.join(left.select(F.col("id").alias("src"), "vector"), "src")
+    blocks = block_ranks(asked, right, k, same)
+    found = blocks.groupBy("src").agg((F.sum("above") + 1).alias("rank"), F.sum("candidates").alias("candidates"))
+    order = W.partitionBy("src").orderBy(F.desc(F.round("score", 9)), "dst")
+    top = blocks.select("src", F.inline("top")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    hits = top.join(truth, ["src", "dst"], "left_semi")
+    precision = F.row_number().over(W.partitionBy("src").orderBy("place")) / F.col("place")
+    hits = hits.withColumn("precision", precision).groupBy("src").agg(F.count("*").alias("hits"), F.sum("precision").alias("precisions"))
+    per = found.join(known, "src").join(hits, "src", "left").na.fill(0, ["hits"]).na.fill(0.0, ["precisions"])
     per = per.select(
         "src", "rank", (F.col("rank") <= k).cast("int").alias("hit"), (F.col("hits") / F.col("positives")).alias("recall"),
         (F.col("precisions") / F.least(F.col("positives"), F.lit(k), F.col("candidates"))).alias("ap"), "positives", "candidates",
@@ -70,6 +67,30 @@ def relation_retrieval(truth: DataFrame, left: DataFrame, right: DataFrame, k: i
     return per, means
 
 
+def block_ranks(asked: DataFrame, right: DataFrame, k: int, same: bool, block: int = 2048) -> DataFrame:
+    """(src, above, candidates, top) of each source (src, vector, best) and block of ``right``: how many scores
+    are above ``best``, and the block's best k as (dst, score). Scores nearer than half of 1e-9 are equal.
+    """
+    import numpy as np
+    import pandas as pd
+
+    left, targets = in_blocks(asked.select("src", "vector", "best"), "src", right.select("id", "vector"), "id", block)
+
+    def ranked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(a) and len(b):
+            sim, ids = unit_rows(a["vector"]) @ unit_rows(b["vector"]).T, b["id"].to_numpy()
+            for src, best, scores in zip(a["src"], a["best"], sim, strict=True):
+                others = np.flatnonzero(ids != src) if same else np.arange(len(ids))
+                order = others[np.lexsort((ids[others], -np.round(scores[others], 9)))[:k]]
+                top = [{"dst": ids[j], "score": scores[j]} for j in order]
+                rows.append((src, int((scores[others] > best + 5e-10).sum()), len(others), top))
+        return pd.DataFrame(rows, columns=["src", "above", "candidates", "top"])
+
+    src, dst = asked.schema["src"].dataType.simpleString(), right.schema["id"].dataType.simpleString()
+    return left.cogroup(targets).applyInPandas(ranked, f"src {src}, above long, candidates long, top array<struct<dst: {dst}, score: double>>")
+
+
 def diversity(vectors: DataFrame) -> DataFrame:
     """H6: (type, similarity, variance, score): the mean cosine of different vectors, from the sum of unit vectors, and the mean variance by dimension."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -104,7 +125,9 @@ def negative_targets(truth: DataFrame, targets: DataFrame, seed: int, same: bool
     """
     truth = truth.select("src", "dst").distinct().persist()
     n = max(targets.count(), 1)
-    ids = targets.select("id").withColumn("place", F.row_number().over(W.orderBy("id")) - 1)
+    text = targets.schema["id"].dataType.simpleString() == "string"
+    bucket = F.substring("id", 1, 4) if text else F.floor(F.col("id") / 65536)
+    ids = dense_index(targets.select("id"), ["id"], bucket).withColumnRenamed("idx", "place")
     tried = truth.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("turn")).withColumn("place", hashed(seed, F.col("src"), F.col("dst"), F.col("turn")) % n)
     drawn = tried.join(ids, "place").select("src", "dst", "turn", F.col("id").alias("negative"))
     drawn = drawn.filter("src <> negative") if same else drawn
@@ -143,6 +166,79 @@ def separation(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     return p.crossJoin(n).withColumn("separation", F.col("positive") - F.col("random"))
 
 
+def compare_methods(methods: dict[str, dict[str, DataFrame]], relations: dict[str, tuple], k: int, prefix: str = "holdout") -> DataFrame:
+    """(name, value): H9 and H4 of every method and relation, and each method's averages over its relations.
+
+    ``methods`` gives by name the vectors (id, vector) of each entity type; ``relations`` by name
+    (source type, target type, truth, negatives as of H11). A method without vectors of a type skips the relation;
+    so do relations without positives, negatives or sources. Names are method_prefix_relation_metric; an average of nothing is 0.
+    """
+    found = None
+    for method, vectors in methods.items():
+        for relation, (source, target, truth, negatives) in relations.items():
+            if source not in vectors or target not in vectors:
+                continue
+            left, right = vectors[source], vectors[target]
+            pairs = truth.select("src", "dst").distinct()
+            means = relation_retrieval(pairs, left, right, k, source == target, None)[1].select("mrr", "hit", "recall", "map", F.col("query_count").cast("double").alias("query_count"))
+            score = lambda edges, mean, n: pair_cosine(edges, left, right).agg(F.avg("score").alias(mean), F.count("*").cast("double").alias(n))  # noqa: E731, B023
+            drawn = score(negatives.select("src", F.col("negative").alias("dst")), "random_sim", "random_pair_count")
+            row = means.crossJoin(score(pairs, "positive_sim", "positive_pair_count")).crossJoin(drawn)
+            row = row.filter("query_count > 0 AND positive_pair_count > 0 AND random_pair_count > 0")
+            row = row.select(F.lit(method).alias("method"), F.lit(relation).alias("relation"), (F.col("positive_sim") - F.col("random_sim")).alias("separation"), "*")
+            found = row if found is None else found.unionByName(row)
+    every = SparkSession.active().createDataFrame([(m,) for m in methods], "method string")
+    if found is None:
+        found = every.limit(0).selectExpr("method", "method AS relation", *(f"0D AS {c}" for c in METRICS))
+    named = {"hit": f"hit_at_{k}", "recall": f"recall_at_{k}", "map": f"map_at_{k}"}
+    single = found.select("method", F.concat("relation", F.lit("_")).alias("of"), F.inline(F.array(*[F.struct(F.lit(named.get(c, c)).alias("metric"), F.col(c).alias("value")) for c in METRICS])))
+    averages = every.join(found.groupBy("method").agg(*[F.avg(c).alias(c) for c in AVERAGED]), "method", "left")
+    overall = averages.select("method", F.lit("").alias("of"), F.inline(F.array(*[F.struct(F.lit(name).alias("metric"), F.coalesce(c, F.lit(0.0)).alias("value")) for c, name in AVERAGED.items()])))
+    return single.unionByName(overall).select(F.concat("method", F.lit(f"_{prefix}_"), "of", "metric").alias("name"), "value")
+
+
+METRICS = ("positive_sim", "random_sim", "separation", "mrr", "hit", "recall", "map", "query_count", "positive_pair_count", "random_pair_count")
+AVERAGED = {"separation": "avg_separation", "hit": "avg_hit_at_k", "mrr": "avg_mrr"}
+
+
+def gold_similarity(cases: DataFrame, names: dict[str, DataFrame], vectors: dict[str, DataFrame], edges: dict[str, DataFrame] | None = None, k: int = 10, least: int = 3) -> DataFrame:
+    """(direction, name, found, rank, other, score): the k entities most like each named one, of both types.
+
+    ``cases`` are (source_type, source_name, target_type, target_name) of keywords and stocks, ``names`` (id, name),
+    ``edges`` (src, dst) from news to entities. Across types the best 5k are drawn and those kept that share ``least``
+    news with the entity; without edges of either type all stay. Within a type the entity itself is left out.
+    Unknown names, and those without partners, have one row without ``other``.
+    """
+    side = lambda which: cases.select(F.col(f"{which}_type").alias("type"), F.col(f"{which}_name").alias("name"))
+    gold = side("source").unionByName(side("target")).filter("name <> ''").distinct()
+    joint = edges is not None and not any(e.isEmpty() for e in edges.values())
+    out = None
+    for kind in ("keyword", "stock"):
+        mine = gold.filter(F.col("type") == kind).join(names[kind].select("id", "name"), "name", "left").select("name", F.col("id").alias("query"))
+        asked = vectors[kind].join(mine.select(F.col("query").alias("id")).distinct(), "id", "left_semi")
+        for other in ("stock", "keyword") if kind == "keyword" else ("keyword", "stock"):
+            same = kind == other
+            top = top_k_similar(asked, vectors[other], k if same else 5 * k, same=same)
+            if joint and not same:
+                own = edges[kind].join(asked.select(F.col("id").alias("dst")), "dst", "left_semi")
+                shared = cooccurrence(own, edges[other], False).filter(F.col("strength") >= least)
+                top = top.join(shared.select(F.col("src").alias("query"), F.col("dst").alias("id")), ["query", "id"], "left_semi")
+                place = W.partitionBy("query").orderBy("rank")
+                top = top.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+            called = top.join(names[other].select("id", F.col("name").alias("other")), "id", "left").withColumn("other", F.coalesce("other", F.col("id").cast("string")))
+            rows = mine.join(called, "query", "left").select(F.lit(f"{kind}2{other}").alias("direction"), "name", F.col("query").isNotNull().alias("found"), "rank", "other", F.col("similarity").alias("score"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def gold_report(rows: DataFrame) -> DataFrame:
+    """(direction, name, line): a line of text for each named entity of ``gold_similarity``."""
+    item = F.format_string("%s (%.4f)", "other", "score")
+    listed = F.sort_array(F.collect_list(F.when(F.col("other").isNotNull(), F.struct("rank", item.alias("text")))))
+    lines = rows.groupBy("direction", "name", "found").agg(F.array_join(F.transform(listed, lambda x: x["text"]), ", ").alias("items"))
+    return lines.select("direction", "name", F.concat(F.lit("- "), "name", F.lit(": "), F.when(F.col("found"), F.col("items")).otherwise("NOT_FOUND")).alias("line"))
+
+
 def metric_delta(before: DataFrame, after: DataFrame, names: list[str]) -> DataFrame:
     """After - before of (name, value), for named metrics that both have."""
     b = before.filter(F.col("name").isin(names)).select("name", F.col("value").alias("b"))

@@ -253,29 +253,42 @@ def user_state(actions: Column, source: Column) -> Column:
     return F.when(source.endswith("_warm"), "warm").when(source.endswith("_cold"), "cold").when(actions >= 2, "warm").otherwise("cold")
 
 
-def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """(query, id, rank, similarity): exact nearest vectors by cosine, the query itself left out.
+def in_blocks(queries: DataFrame, query: str, vectors: DataFrame, key: str, block: int):
+    """Both sides grouped by (qb, vb) for a cogroup: every block of about ``block`` queries meets every block of vectors."""
+    m, n = (max(1, -(-rows.count() // block)) for rows in (queries, vectors))
 
-    Both sides are dealt to blocks of about ``block`` vectors; a task multiplies one block
-    of queries with one of vectors and keeps the best k of each query.
+    def dealt(rows, column, own, parts, other, others):
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))
+        return rows.withColumn(own, F.pmod(F.xxhash64(column), F.lit(parts))).withColumn(other, each).groupBy("qb", "vb")
+
+    return dealt(queries, query, "qb", m, "vb", n), dealt(vectors, key, "vb", n, "qb", m)
+
+
+def unit_rows(vectors):
+    """A float64 matrix of the vectors, each divided by its length; vectors of length 0 stay 0."""
+    import numpy as np
+
+    matrix = np.stack(list(vectors)).astype(np.float64)
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
+def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2048, same: bool = True) -> DataFrame:
+    """(query, id, rank, similarity): exact nearest vectors by cosine, ties by id; with ``same`` the query itself is left out.
+
+    A task multiplies one block of queries with one of vectors and keeps the best k of each query.
     """
     import numpy as np
     import pandas as pd
 
-    n = vectors.count()
-    parts = max(1, -(-n // block))
-    q = queries.select(F.col("id").alias("query"), F.col("vector").alias("q_vector"), F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // block)))).alias("qb"))
-    v = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("vb"))
-    left = q.select("query", "q_vector", "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("vb")).groupBy("qb", "vb")
-    right = v.select("id", "vector", "vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-queries.count() // block)) - 1).cast("long"))).alias("qb")).groupBy("qb", "vb")
+    q = queries.select(F.col("id").alias("query"), F.col("vector").alias("q_vector"))
+    left, right = in_blocks(q, "query", vectors.select("id", "vector"), "id", block)
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query": [], "id": [], "similarity": []})
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sim = unit(np.stack(a["q_vector"].to_list()).astype(np.float64)) @ unit(np.stack(b["vector"].to_list()).astype(np.float64)).T
-        ids = b["id"].to_numpy()
-        sim[a["query"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+        sim, ids = unit_rows(a["q_vector"]) @ unit_rows(b["vector"]).T, b["id"].to_numpy()
+        if same:
+            sim[a["query"].to_numpy()[:, None] == ids[None, :]] = -np.inf
         out = []
         for i, query in enumerate(a["query"]):
             order = np.lexsort((ids, -np.round(sim[i], 9)))[:k]
@@ -283,7 +296,7 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2
         return pd.concat(out)
 
     kind = vectors.schema["id"].dataType.simpleString()
-    found = left.cogroup(right).applyInPandas(best, f"query {kind}, id {kind}, similarity double").filter("similarity > double('-infinity')")
+    found = left.cogroup(right).applyInPandas(best, f"query {queries.schema['id'].dataType.simpleString()}, id {kind}, similarity double").filter("similarity > double('-infinity')")
     order = W.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -13,6 +13,7 @@ from millrace.plans import graph as gq
 from millrace.plans import retrieval as rq
 from millrace.plans.behaviour import SQL_D
 from millrace.plans.graph import SQL_G
+from millrace.plans.keep import kept
 from millrace.sources import adapters as a
 from millrace.sources.adapters import END
 
@@ -32,13 +33,54 @@ def vectors(s, p, odd):
 
 
 def truth(s, p):
-    pairs = h.ground_truth(gq.ke(s, p), gq.se(s, p), False)
+    return strongest(h.ground_truth(gq.ke(s, p), gq.se(s, p), False))
+
+
+def strongest(pairs):
+    """The pairs from the ninth decile of strength on."""
+    pairs = kept(pairs)
     cut = pairs.agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY strength)").alias("cut"))
     return pairs.crossJoin(F.broadcast(cut)).filter("strength >= cut").drop("cut")
 
 
-def scored(s, p):
-    return h.pair_cosine(truth(s, p), vectors(s, p, 1), vectors(s, p, 0))
+def scored(s, p, pairs=None):
+    return h.pair_cosine(truth(s, p) if pairs is None else pairs, vectors(s, p, 1), vectors(s, p, 0))
+
+
+def negatives(s, p, pairs):
+    drawn = h.negative_targets(pairs, vectors(s, p, 0), 7, False)
+    return scored(s, p, drawn.select("src", F.col("negative").alias("dst")))
+
+
+def _separation(s, p):
+    pairs = truth(s, p)
+    return six(h.separation(scored(s, p, pairs), negatives(s, p, pairs)), "positive", "random", "separation")
+
+
+def _compared(s, p):
+    """Whole vectors and their first halves, over strong keyword-stock and stock-stock pairs."""
+    keys, stocks = vectors(s, p, 1), vectors(s, p, 0)
+    half = lambda v: v.withColumn("vector", F.slice("vector", 1, F.floor(F.size("vector") / 2).cast("int")))
+    mixed = truth(s, p)
+    alike = strongest(h.ground_truth(gq.se(s, p), gq.se(s, p), True))
+    drawn = lambda pairs, same: kept(h.negative_targets(pairs, stocks, 7, same))
+    relations = {"key2stock": ("keyword", "stock", mixed, drawn(mixed, False)), "stock2stock": ("stock", "stock", alike, drawn(alike, True))}
+    methods = {"whole": {"keyword": keys, "stock": stocks}, "half": {"keyword": half(keys), "stock": half(stocks)}}
+    return six(h.compare_methods(methods, relations, 10), "value")
+
+
+def _gold(s, p):
+    """Named cases of the strong pairs; every seventh stock has a name that nobody knows."""
+    brands, stocks = gq.brands(s, p).select(F.col("idx").alias("id"), F.col("keyword").alias("name")), gq.stocks(s, p).select(F.col("idx").alias("id"), F.col("stock_name").alias("name"))
+    names = {"keyword": kept(brands), "stock": kept(stocks)}
+    called = lambda kind, key: names[kind].select(F.col("id").alias(key), F.col("name").alias(f"{key}_name"))
+    cases = truth(s, p).join(called("keyword", "src"), "src").join(called("stock", "dst"), "dst").select(
+        F.lit("keyword").alias("source_type"), F.col("src_name").alias("source_name"), F.lit("stock").alias("target_type"),
+        F.when(F.col("dst") % 7 == 0, F.concat(F.lit("no "), "dst_name")).otherwise(F.col("dst_name")).alias("target_name"),
+    )
+    held = {"keyword": vectors(s, p, 1), "stock": vectors(s, p, 0)}
+    held = {kind: v.join(names[kind], "id", "left_semi") for kind, v in held.items()}
+    return h.gold_similarity(kept(cases), names, held, {"keyword": kept(gq.ke(s, p)), "stock": kept(gq.se(s, p))})
 
 
 def log_lines(s, p):
@@ -70,8 +112,8 @@ def six(frame, *columns):
 
 
 def _labelled(s, p):
-    pos = scored(s, p).select(F.lit("t").alias("type"), "score", F.lit(1).alias("label"))
-    neg = h.pair_cosine(h.negative_targets(truth(s, p), vectors(s, p, 0), 7, False).select("src", F.col("negative").alias("dst")), vectors(s, p, 1), vectors(s, p, 0))
+    pairs = truth(s, p)
+    pos, neg = scored(s, p, pairs).select(F.lit("t").alias("type"), "score", F.lit(1).alias("label")), negatives(s, p, pairs)
     return pos.unionByName(neg.select(F.lit("t").alias("type"), "score", F.lit(0).alias("label")))
 
 
@@ -114,27 +156,46 @@ def add(name, query, sql=None):
 
 
 H = lambda sql: SQL_H + " " + sql
+NEG = ", ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM sv), tr AS (SELECT src, dst, i AS turn, ('0x' || substr(md5('7:' || src || ':' || dst || ':' || i), 1, 15))::BIGINT % (SELECT count(*) FROM sv) AS place FROM truth, range(0, 8) t(i)), negs AS (SELECT src, dst, arg_min(id, turn) AS negative FROM tr JOIN ids USING (place) WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.src = tr.src AND t.dst = ids.id) GROUP BY src, dst)"
+RET = """, al AS (SELECT k.id AS src, s.id AS dst, round(list_cosine_similarity(k.vector, s.vector), 9) AS score, t.dst IS NOT NULL AS hit FROM kv k CROSS JOIN sv s LEFT JOIN truth t ON t.src = k.id AND t.dst = s.id WHERE k.id IN (SELECT src FROM truth)),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS place, max(CASE WHEN hit THEN score END) OVER (PARTITION BY src) AS best FROM al), ru AS (SELECT *, sum(hit::INT) OVER (PARTITION BY src ORDER BY place) AS upto FROM pl),
+    per AS (SELECT src, 1 + count(*) FILTER (score > best) AS rank, (1 + count(*) FILTER (score > best) <= 10)::INT AS hit, count(*) FILTER (hit AND place <= 10) / count(*) FILTER (hit) AS recall, coalesce(sum(upto / place) FILTER (hit AND place <= 10), 0) / least(count(*) FILTER (hit), 10) AS ap, count(*) FILTER (hit) AS positives, count(*) AS candidates FROM ru GROUP BY src HAVING count(*) FILTER (hit) > 0)"""
+GOLD = """, gold AS (SELECT DISTINCT 'keyword' AS type, keyword AS name FROM truth JOIN brands ON idx = src
+    UNION SELECT 'stock', CASE WHEN dst % 7 = 0 THEN 'no ' || stock_name ELSE stock_name END FROM truth JOIN stocks ON idx = dst),
+known AS (SELECT 'keyword' AS type, keyword AS name, idx AS id FROM brands UNION ALL SELECT 'stock', stock_name, idx FROM stocks),
+ent AS (SELECT 'keyword' AS type, keyword AS name, id, vector FROM brands JOIN kv ON id = idx UNION ALL SELECT 'stock', stock_name, id, vector FROM stocks JOIN sv ON id = idx),
+asked AS (SELECT g.type || '2' || other AS direction, g.name, k.id IS NOT NULL AS found FROM gold g CROSS JOIN (VALUES ('keyword'), ('stock')) x(other) LEFT JOIN known k USING (type, name)),
+near AS (SELECT x.type, y.type AS other_type, x.name, x.id AS xid, y.id AS yid, y.name AS other, list_cosine_similarity(x.vector, y.vector) AS c FROM gold JOIN ent x USING (type, name) JOIN ent y ON y.type <> x.type OR y.id <> x.id),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY type, name, other_type ORDER BY round(c, 9) DESC, yid) AS place FROM near QUALIFY place <= CASE WHEN type = other_type THEN 10 ELSE 50 END),
+best AS (SELECT type || '2' || other_type AS direction, name, other, c, row_number() OVER (PARTITION BY type, name, other_type ORDER BY place) AS rank FROM drawn
+    WHERE type = other_type OR (CASE WHEN type = 'keyword' THEN xid ELSE yid END, CASE WHEN type = 'stock' THEN xid ELSE yid END) IN (SELECT (keyword, stock) FROM joint WHERE joint >= 3) QUALIFY rank <= 10)"""
 add("h01_pair_cosine", lambda s, p: six(scored(s, p), "score"), H("SELECT src, dst, round(score, 6) AS score FROM sc"))
 add("h02_explicit_rank_metrics", lambda s, p: six(h.explicit_rank_metrics(_by_strength(s, p), 10), "mrr", "hit"),
     SQL_H + ", lab AS (SELECT (src % 3)::VARCHAR AS type, round(score, 9) AS score, (strength % 2 = 0)::INT AS label FROM sc), rk AS (SELECT p.type, 1 + (SELECT count(*) FROM lab n WHERE n.type = p.type AND n.label = 0 AND n.score > p.score) AS rank FROM lab p WHERE label = 1) SELECT type, round(avg(1.0 / rank), 6) AS mrr, round(avg((rank <= 10)::INT), 6) AS hit FROM rk GROUP BY 1")
 add("h03_ground_truth", truth, H("SELECT * FROM truth"))
 add("h04_relation_retrieval", lambda s, p: six(h.relation_retrieval(truth(s, p), vectors(s, p, 1), vectors(s, p, 0), 10, False)[0], "recall", "ap"),
-    SQL_H + """, al AS (SELECT k.id AS src, s.id AS dst, round(list_cosine_similarity(k.vector, s.vector), 9) AS score, t.dst IS NOT NULL AS hit FROM kv k CROSS JOIN sv s LEFT JOIN truth t ON t.src = k.id AND t.dst = s.id WHERE k.id IN (SELECT src FROM truth)),
-    pl AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS place, max(CASE WHEN hit THEN score END) OVER (PARTITION BY src) AS best FROM al), ru AS (SELECT *, sum(hit::INT) OVER (PARTITION BY src ORDER BY place) AS upto FROM pl)
-    SELECT src, 1 + count(*) FILTER (score > best) AS rank, (1 + count(*) FILTER (score > best) <= 10)::INT AS hit, round(count(*) FILTER (hit AND place <= 10) / count(*) FILTER (hit), 6) AS recall, round(coalesce(sum(upto / place) FILTER (hit AND place <= 10), 0) / least(count(*) FILTER (hit), 10), 6) AS ap, count(*) FILTER (hit) AS positives, count(*) AS candidates FROM ru GROUP BY src HAVING count(*) FILTER (hit) > 0""")
-add("h05_retrieval_means", lambda s, p: six(h.relation_retrieval(truth(s, p), vectors(s, p, 1), vectors(s, p, 0), 10, False)[1], "mrr", "hit", "recall", "map", "avg_positive_count"))
+    SQL_H + RET + " SELECT * REPLACE (round(recall, 6) AS recall, round(ap, 6) AS ap) FROM per")
+add("h05_retrieval_means", lambda s, p: six(h.relation_retrieval(truth(s, p), vectors(s, p, 1), vectors(s, p, 0), 10, False)[1], "mrr", "hit", "recall", "map", "avg_positive_count"),
+    SQL_H + RET + " SELECT round(avg(1.0 / rank), 6) AS mrr, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(ap), 6) AS map, count(*) AS query_count, avg(candidates) AS candidate_count, round(avg(positives), 6) AS avg_positive_count FROM per")
 add("h06_diversity", lambda s, p: six(h.diversity(rq.vectors(s, p)), "similarity", "variance", "score"),
     SQL_H + ", v AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'Stock' ELSE 'keyword' END AS type, vec_id, embedding::DOUBLE[] AS e FROM embeddings), pr AS (SELECT x.type, avg(list_cosine_similarity(x.e, y.e)) AS similarity FROM v x JOIN v y ON x.type = y.type AND x.vec_id <> y.vec_id GROUP BY 1), va AS (SELECT type, avg(v) AS variance FROM (SELECT type, dim, var_samp(x) AS v FROM (SELECT type, unnest(e) AS x, unnest(range(len(e))) AS dim FROM v) GROUP BY ALL) GROUP BY 1) SELECT type, round(similarity, 6) AS similarity, round(variance, 6) AS variance, round(1 - similarity, 6) AS score FROM pr JOIN va USING (type)")
-add("h07_final_score", lambda s, p: six(h.final_score(h.explicit_rank_metrics(_by_strength(s, p), 10).withColumnRenamed("type", "relation"), ["0", "1", "2"]), "score"))
+add("h07_final_score", lambda s, p: six(h.final_score(h.explicit_rank_metrics(_by_strength(s, p), 10).withColumnRenamed("type", "relation"), ["0", "1", "2"]), "score"),
+    SQL_H + ", lab AS (SELECT (src % 3)::VARCHAR AS type, round(score, 9) AS score, (strength % 2 = 0)::INT AS label FROM sc), rk AS (SELECT p.type, 1 + (SELECT count(*) FROM lab n WHERE n.type = p.type AND n.label = 0 AND n.score > p.score) AS rank FROM lab p WHERE label = 1), per AS (SELECT t AS type, coalesce(avg(1.0 / rank), 0) AS mrr, coalesce(avg((rank <= 10)::INT), 0) AS hit FROM (SELECT DISTINCT type AS t FROM lab) LEFT JOIN rk ON type = t GROUP BY 1) SELECT CASE WHEN count(*) = 3 THEN round((avg(mrr) + avg(hit)) / 2, 6) ELSE 0 END AS score, (count(*) <> 3)::INT AS missing FROM per")
 add("h08_golden_eval", lambda s, p: six(h.golden_eval(truth(s, p).select(F.when(F.col("src") % 2 == 0, "even").otherwise("odd").alias("category"), "src", "dst"), gq.ke(s, p), a.read(s, p, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")), vectors(s, p, 0), 10), "mrr", "hit"))
-add("h09_separation", lambda s, p: six(h.separation(scored(s, p), h.pair_cosine(h.negative_targets(truth(s, p), vectors(s, p, 0), 7, False).select("src", F.col("negative").alias("dst")), vectors(s, p, 1), vectors(s, p, 0))), "positive", "random", "separation"))
+add("h09_separation", _separation,
+    SQL_H + NEG + """, ns AS (SELECT list_cosine_similarity(k.vector, s.vector) AS score FROM negs JOIN kv k ON k.id = src JOIN sv s ON s.id = negative)
+    SELECT round(a, 6) AS positive, round(b, 6) AS random, round(a - b, 6) AS separation FROM (SELECT (SELECT avg(score) FROM sc) AS a, (SELECT avg(score) FROM ns) AS b)""")
 add("h10_implicit_pairs", lambda s, p: h.ground_truth(gq.se(s, p), gq.se(s, p), True).select("src", "dst"), H("SELECT DISTINCT x.dst AS src, y.dst AS dst FROM se x JOIN se y USING (src) WHERE x.dst <> y.dst"))
 add("h11_negative_targets", lambda s, p: h.negative_targets(truth(s, p), vectors(s, p, 0), 7, False),
-    SQL_H + ", ids AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS place FROM sv), tr AS (SELECT src, dst, i AS turn, ('0x' || substr(md5('7:' || src || ':' || dst || ':' || i), 1, 15))::BIGINT % (SELECT count(*) FROM sv) AS place FROM truth, range(0, 8) t(i)) SELECT src, dst, arg_min(id, turn) AS negative FROM tr JOIN ids USING (place) WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.src = tr.src AND t.dst = ids.id) GROUP BY src, dst")
+    SQL_H + NEG + " SELECT * FROM negs")
+add("h12_compare_methods", _compared)
 add("h13_metric_delta", lambda s, p: h.metric_delta(_metrics(s, p), _metrics(s, p).withColumn("value", F.col("value") * 2), list(NAMES)), SQL_H + f", {MET} SELECT name, value AS delta FROM met WHERE name IN {NAMES}")
 add("h14_core_metrics", lambda s, p: h.core_metrics(_metrics(s, p), ["economy", "small"], ["#1", "#2"]), SQL_H + f", {MET} SELECT * FROM met WHERE regexp_matches(name, '^(economy|small)') AND regexp_matches(name, '(#1|#2)$')")
 add("h15_best_epoch", lambda s, p: h.best_epoch(a.read(s, p, "customer").select(F.col("c_custkey").alias("epoch"), F.when(F.col("c_custkey") % 3 != 0, F.floor(F.col("c_acctbal") / 10)).alias("metric"))), H("SELECT c_custkey AS epoch, floor(c_acctbal / 10)::BIGINT AS metric FROM customer WHERE c_custkey % 3 <> 0 ORDER BY 2 DESC, 1 LIMIT 1"))
 add("h16_gate", lambda s, p: h.gate(_runs(s, p)).select("run_id", "candidate"), SQL_H + f", {RUNS} SELECT run_id, missing = 0 AND score > 0.23 AS candidate FROM runs")
+add("h17_gold_similarity", lambda s, p: six(_gold(s, p), "score"), SQL_H + GOLD + " SELECT direction, name, found, rank, other, round(c, 6) AS score FROM asked LEFT JOIN best USING (direction, name)")
+add("h17_gold_report", lambda s, p: h.gold_report(_gold(s, p)), SQL_H + GOLD + """ SELECT direction, name, '- ' || name || ': ' || CASE WHEN found THEN coalesce(string_agg(printf('%s (%.4f)', other, c), ', ' ORDER BY rank), '') ELSE 'NOT_FOUND' END AS line
+    FROM asked LEFT JOIN best USING (direction, name) GROUP BY direction, name, found""")
 add("h18_news_evidence", lambda s, p: h.news_evidence(a.news_keyword(s, p), a.news_stock(s, p)), SQL_H + """, said AS (SELECT news_id, 'keyword' AS type, keyword AS id FROM news_keyword UNION SELECT news_id, 'stock', stock_id::VARCHAR FROM news_stock)
     SELECT x.type AS src_type, x.id AS src, y.type AS dst_type, y.id AS dst, count(*) AS strength FROM said x JOIN said y USING (news_id) WHERE (x.type, x.id) <> (y.type, y.id) GROUP BY ALL""")
 add("h19_rerank_with_evidence", lambda s, p: six(h.rerank_with_evidence(scored(s, p), truth(s, p)), "score"), H("SELECT src, dst, round(score + 0.2 * strength, 6) AS score, row_number() OVER (PARTITION BY src ORDER BY round(score + 0.2 * strength, 9) DESC, dst) AS rank FROM sc QUALIFY rank <= 10"))
