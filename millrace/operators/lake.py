@@ -90,6 +90,13 @@ def write_window(rows: DataFrame, path: str, start: str, end: str) -> None:
     marked.write.partitionBy("window_start", "window_end").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def write_windows(rows: DataFrame, path: str) -> None:
+    """The same for rows of many windows at once, which carry window_start and window_end; salted, so that a large window is several files."""
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if not c.startswith("window_")]), F.lit(8))
+    spread = rows.repartition("window_start", "window_end", salt)
+    spread.write.partitionBy("window_start", "window_end").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def scan_windows_of_day(windows: DataFrame, day: str) -> DataFrame:
     """Rows of the windows that begin on a day (yyyyMMdd); the filter prunes partitions."""
     return windows.filter(F.col("window_start").cast("string").startswith(day))

@@ -68,10 +68,11 @@ def parse_request_log(lines: DataFrame) -> DataFrame:
 
 def request_counters(requests: DataFrame, minutes: int = 5) -> DataFrame:
     """Counts by window, state, experiment and variant."""
-    return requests.groupBy(F.window("ts", f"{minutes} minutes")["start"].alias("window_start"), "user_state", "experiment_id", "variant").agg(
+    counts = requests.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "user_state", "experiment_id", "variant").agg(
         F.count("*").alias("requests"), F.count_if("error").alias("errors"), F.count_if(F.col("cache_status") == "hit").alias("cache_hits"),
         F.count_if("fallback_used").alias("fallbacks"), F.count_if(F.col("returned") == 0).alias("empty"), F.sum("returned").alias("items"),
     )
+    return counts.select(F.col("w.start").alias("window_start"), *counts.columns[1:])
 
 
 def latency_histogram(requests: DataFrame, buckets: list[int], minutes: int = 5) -> DataFrame:

@@ -4,8 +4,24 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder (``spark.checkpoint.dir``); only a session on one machine may do without that setting."""
+    _ensure(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/millrace-{name}-{uuid.uuid4().hex}"
+
+
+def _ensure(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder for intermediate results")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-millrace-"))
 
 
 def kept(frame: DataFrame) -> DataFrame:
@@ -13,10 +29,5 @@ def kept(frame: DataFrame) -> DataFrame:
 
     Only a session on one machine may do without that setting; elsewhere it is an error.
     """
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir names no shared folder for intermediate results")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-millrace-"))
+    _ensure(frame.sparkSession)
     return frame.checkpoint()

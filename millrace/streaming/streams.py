@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import funnel, lake
+from millrace.operators import funnel, monitoring
 
 
 def dedup_urls(items: DataFrame, time: str = "created_at", memory: str = "3 days") -> DataFrame:
@@ -38,7 +38,8 @@ def dedup_content(rows: DataFrame, registry_path: str, out_path: str, checkpoint
 
 def hourly_counts(events: DataFrame, time: str = "event_ts_server", late: str = "1 hour") -> DataFrame:
     """K3: (window_start, event_type, events) by tumbling hour."""
-    return events.withWatermark(time, late).groupBy(F.window(time, "1 hour")["start"].alias("window_start"), "event_type").agg(F.count("*").alias("events"))
+    counts = events.withWatermark(time, late).groupBy(F.window(time, "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events"))
+    return counts.select(F.col("w.start").alias("window_start"), "event_type", "events")
 
 
 def dwell_join(interactions: DataFrame, grace: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -59,21 +60,41 @@ def session_activity(interactions: DataFrame, gap: str = "30 minutes", late: str
     return grouped.select("user_id", "content_session_id", "first", "last", seconds.alias("seconds")).filter("seconds >= 5")
 
 
-def recent_actions(actions: DataFrame, path: str, checkpoint: str, per_user: int = 20):
-    """K6: each user's latest actions, kept as a table that every batch merges into and replaces by a new version."""
+def recent_actions(actions: DataFrame, per_user: int = 20, ttl: str = "90 days", late: str = "1 hour") -> DataFrame:
+    """K6: (user_id, news_id, action_ts, as_of) in update mode: a user's latest actions whenever a batch changes them.
 
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        both = batch.select("user_id", "news_id", "action_ts")
-        if number:
-            both = both.unionByName(spark.read.parquet(f"{path}/version={number - 1}"))
-        ranked = lake.keep_last(both, ["user_id", "news_id", "action_ts"], "action_ts")
-        from pyspark.sql import Window as W
-
-        order = W.partitionBy("user_id").orderBy(F.desc("action_ts"), F.desc("news_id"))
-        ranked.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= per_user).drop("rn").write.mode("overwrite").parquet(f"{path}/version={number}")
-
-    return actions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    The state holds at most ``per_user`` actions of a user and goes once the watermark is
+    ``ttl`` past the last of them. A user's rows come in chunks, so a batch of any size needs
+    no more memory than one chunk. Rows with one ``as_of`` (micros of the newest action) are
+    one list; repeated actions count once, and those without a user, news or time are left out.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    keep_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+
+    def update(key, chunks, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = set(zip(*state.get)) if state.exists else set()
+        before = set(held)
+        for chunk in chunks:
+            held |= set(zip(chunk["at"].tolist(), chunk["news_id"].tolist()))
+            held = set(sorted(held, reverse=True)[:per_user])
+        ranked = sorted(held, reverse=True)
+        times, news = [at for at, _ in ranked], [n for _, n in ranked]
+        state.update((times, news))
+        state.setTimeoutTimestamp(max(times[0] // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
+        if held != before:
+            yield pd.DataFrame({"user_id": key[0], "news_id": news, "at": times, "as_of": times[0]})
+
+    rows = actions.withWatermark("action_ts", late).filter("user_id IS NOT NULL AND news_id IS NOT NULL AND action_ts IS NOT NULL")
+    rows = rows.select("user_id", "news_id", "action_ts", F.unix_micros("action_ts").alias("at"))
+    found = rows.groupBy("user_id").applyInPandasWithState(
+        update, "user_id long, news_id long, at long, as_of long", "times array<long>, news array<long>", "update", GroupStateTimeout.EventTimeTimeout
+    )
+    return found.select("user_id", "news_id", F.timestamp_micros("at").alias("action_ts"), "as_of")
 
 
 def rolling_posterior(metrics: DataFrame, hours: int = 72, step: int = 1, late: str = "1 hour") -> DataFrame:
@@ -85,8 +106,41 @@ def rolling_posterior(metrics: DataFrame, hours: int = 72, step: int = 1, late:
 
 def log_counters(requests: DataFrame, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
     """K8: the counters of request logs by window."""
-    rows = requests.withWatermark("ts", late)
-    return rows.groupBy(F.window("ts", f"{minutes} minutes")["start"].alias("window_start"), "variant").agg(F.count("*").alias("requests"), F.count_if("error").alias("errors"))
+    return monitoring.request_counters(requests.withWatermark("ts", late), minutes)
+
+
+def log_alerts(requests: DataFrame, path: str, checkpoint: str, threshold: float, lasting: int, minutes: int = 5, late: str = "10 minutes"):
+    """K8: alerts over closed windows of the request log, as the table ``path``/alerts, one version for each batch.
+
+    Every batch adds its closed windows under its own number and derives the alerts from all
+    of them; there is one small row for each window and kind, however many requests it holds.
+    A batch that is run again overwrites its own parts only.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        monitoring.rates(batch, minutes).write.mode("overwrite").parquet(f"{path}/windows/batch={number}")
+        series = spark.read.parquet(f"{path}/windows").filter(F.col("batch") <= number).drop("batch")
+        monitoring.sustained_alerts(series, threshold, lasting, minutes).write.mode("overwrite").parquet(f"{path}/alerts/version={number}")
+
+    counters = log_counters(requests, minutes, late)
+    return counters.writeStream.foreachBatch(each).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """What a stream appends once its present input is read through, written as a Parquet table and read back."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def updates(stream: DataFrame, path: str, checkpoint: str):
+    """Starts a stream in update mode whose batches are kept as ``path``/batch=n, for readers that take the newest rows."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def finished(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -1,6 +1,10 @@
 """Streams over a finished file source equal the batch operators."""
 
+from datetime import timedelta
+from functools import reduce
+
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.sources import adapters
@@ -55,14 +59,62 @@ def test_content_dedup(spark, tmp_path):
 
 def test_recent_actions(spark, events, tmp_path):
     source = stream(spark, events).select("user_id", "news_id", F.col("event_ts_server").alias("action_ts"))
-    query = streams.recent_actions(source, f"{tmp_path}/t", f"{tmp_path}/cp", 3)
-    query.awaitTermination()
-    from pyspark.sql import Window as W
-
-    last = query.lastProgress["batchId"]
+    streams.updates(streams.recent_actions(source, 3, late="60 days"), f"{tmp_path}/t", f"{tmp_path}/cp").awaitTermination()
+    every = spark.read.parquet(f"{tmp_path}/t")
+    newest = every.groupBy("user_id").agg(F.max("batch").alias("batch"))
+    got = every.join(newest, ["user_id", "batch"]).select("user_id", "news_id", "action_ts")
     order = W.partitionBy("user_id").orderBy(F.desc("action_ts"), F.desc("news_id"))
     want = spark.read.parquet(events).select("user_id", "news_id", F.col("event_ts_server").alias("action_ts")).distinct().withColumn("rn", F.row_number().over(order)).filter("rn <= 3").drop("rn")
-    import os
-
-    newest = max(int(d.split("=")[1]) for d in os.listdir(f"{tmp_path}/t"))
-    assert rows(spark.read.parquet(f"{tmp_path}/t/version={newest}")) == rows(want) and last >= 0
+    assert rows(got) == rows(want) and every.select("batch").distinct().count() > 1
+
+
+def test_recent_actions_forgets(spark, tmp_path):
+    """A user's actions go once the watermark is past their time to live: the later action starts a new list."""
+    for n, day in enumerate(("2024-01-01", "2024-03-01", "2024-03-02")):
+        user = 2 if n == 1 else 1
+        spark.createDataFrame([(user, n, day)], "user_id long, news_id long, day string").select("user_id", "news_id", F.col("day").cast("timestamp").alias("action_ts")).write.mode("append").parquet(f"{tmp_path}/in")
+        streams.updates(streams.recent_actions(stream(spark, f"{tmp_path}/in"), ttl="10 days", late="0 seconds"), f"{tmp_path}/t", f"{tmp_path}/cp").awaitTermination()
+    every = spark.read.parquet(f"{tmp_path}/t")
+    last = every.filter("user_id = 1").orderBy(F.desc("as_of")).first()["as_of"]
+    assert [r["news_id"] for r in every.filter((F.col("user_id") == 1) & (F.col("as_of") == last)).collect()] == [2]
+
+
+def test_sessions(spark, events, tmp_path):
+    """Sessions that the watermark has closed are those of the batch form, which ends within the period."""
+    got = streams.written(streams.session_activity(stream(spark, events), late="60 days"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    whole = streams.written(streams.session_activity(spark.readStream.schema(spark.read.parquet(events).schema).parquet(events)), f"{tmp_path}/out2", f"{tmp_path}/cp2")
+    want = streams.session_activity(spark.read.parquet(events))
+    assert got.count() == 0  # nothing is closed while all of the period may still come
+    end = spark.read.parquet(events).agg(F.max("event_ts_server") - F.expr("INTERVAL 90 MINUTES")).first()[0]
+    assert rows(whole) == rows(want.filter(F.col("last") <= F.lit(end))) and whole.count() > 0
+
+
+def test_rolling_posterior(spark, tmp_path):
+    hours = spark.range(200).select((F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("id"))).alias("bucket_end"), F.when(F.col("id") % 3 == 0, "A1").otherwise("B").alias("path"), (F.col("id") % 5).alias("dwell_5s_count"), (F.col("id") % 7 + 5).alias("impression_count"))
+    hours.repartition(3).write.parquet(f"{tmp_path}/in")
+    got = streams.finished(streams.rolling_posterior(stream(spark, f"{tmp_path}/in"), late="60 days"), "k7", f"{tmp_path}/cp", "update")
+    got = got.groupBy("window_end", "path").agg(F.max("reward_count"), F.max("impression_count"))
+    facts = [tuple(r) for r in hours.collect()]
+    first = facts[0][0]
+    want = {}
+    for at, path, reward, shown in facts:
+        for ahead in range(1, 73):
+            key = (at + timedelta(hours=ahead), path)
+            have = want.get(key, (0, 0))
+            want[key] = (have[0] + reward, have[1] + shown)
+    assert rows(got) == sorted((end, path, r, n) for (end, path), (r, n) in want.items()) and first < min(k[0] for k in want)
+
+
+def test_log_alerts(spark, tmp_path):
+    """Errors in three adjoining windows alert, in a single one they don't; open windows are left out."""
+    minute = lambda n: F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.lit(n))
+    parts = [spark.range(1).select(minute(n).alias("ts"), F.lit(n in (5, 10, 15, 40, 100)).alias("error")) for n in (0, 5, 10, 15, 20, 40, 100)]
+    log = reduce(lambda x, y: x.unionByName(y), parts)
+    fields = {"user_state": F.lit("warm"), "experiment_id": F.lit("e"), "variant": F.lit("v"), "cache_status": F.lit("hit"), "fallback_used": F.lit(False), "returned": F.lit(1)}
+    log.withColumns(fields).coalesce(1).write.parquet(f"{tmp_path}/in")
+    streams.log_alerts(stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", 0.0, 10).awaitTermination()
+    alerts = spark.read.parquet(f"{tmp_path}/out/alerts")
+    last = alerts.agg(F.max("version")).first()[0]
+    got = alerts.filter(F.col("version") == last).select("alert", F.date_format("start", "HH:mm"), F.date_format("end", "HH:mm"))
+    assert rows(got) == [("errors", "00:05", "00:20")]
+    assert spark.read.parquet(f"{tmp_path}/out/windows").filter("alert = 'errors'").count() == 6  # that of minute 100 is open
