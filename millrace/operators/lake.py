@@ -154,6 +154,32 @@ def update_only(target: DataFrame, source: DataFrame, keys: list[str], columns:
     return joined.select(*[F.when(hit, F.col(f"s_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
 
 
+def load_batch(tables: dict[str, DataFrame], batch: dict[str, DataFrame], version: str = "local_v1.0") -> dict[str, DataFrame]:
+    """C4: the tables after a batch, loaded in the order keywords, refined, analysis, stocks, mentions.
+
+    Tables are keywords (keyword, keyword_id, ...), news, news_stock and news_keyword; parts
+    that the batch lacks leave theirs alone. Mappings find the keywords that the same batch
+    brought. An analysis without a sentiment or summary column sets the neutral one and ''.
+    """
+    out = dict(tables)
+    given = lambda part, keys: [c for c in batch[part].columns if c not in keys]
+    if "keywords" in batch:
+        out["keywords"] = upsert(out["keywords"], batch["keywords"], ["keyword"], given("keywords", ["keyword"]))
+    if "refined" in batch:
+        out["news"] = upsert(out["news"], batch["refined"], ["news_id"], given("refined", ["news_id"]))
+    if "analysis" in batch:
+        blank = {"summary": F.lit(""), "sentiment": F.lit("중립")}
+        said = batch["analysis"].withColumns({c: v for c, v in blank.items() if c not in batch["analysis"].columns})
+        out["news"] = update_only(out["news"], said, ["news_id"], list(blank))
+    if "stocks" in batch:
+        rows = batch["stocks"]
+        stay = out["news_stock"].join(rows.select("news_id").distinct(), "news_id", "left_anti")
+        out["news_stock"] = stay.unionByName(rows.select("news_id", "stock_id", F.lit(version).alias("extractor_version"), F.lit(1.0).alias("weight")).distinct())
+    if "mentions" in batch:
+        out["news_keyword"] = replace_children(out["news_keyword"], batch["mentions"], out["keywords"].select("keyword", "keyword_id"), version)
+    return out
+
+
 def guarded_update(target: DataFrame, changes: DataFrame) -> DataFrame:
     """Sets titles from (news_id, old_title, new_title) where the title still is the old one."""
     joined = target.join(changes, "news_id", "left")

@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-REQUEST = "struct<timestamp: double, request_id: string, user_id: long, latency_ms: int, cache_status: string, fallback_used: boolean, fallback_reason: string, returned: int, user_state: string, experiment_id: string, variant: string, error: boolean, mix_ratio: map<string, int>>"
+from millrace.functions.text import clean_label, cursor_reason
+
+REQUEST = """struct<timestamp: double, request_id: string, session_id: string, user_id: long, `limit`: int, `offset`: int, latency_ms: int,
+cache_status: string, context_hash: string, context_present: boolean, fallback_used: boolean, fallback_reason: string,
+prefetch_triggered: boolean, prefetch_status: string, prefetch_trigger_path: string, batch_generation_id: int,
+onboarding_remaining: int, behavior_remaining: int, breaking_remaining: int, popular_remaining: int, mix_ratio: map<string, int>,
+source: string, user_state: string, experiment_id: string, variant: string, returned: int, error: boolean>"""
+IMPRESSION = """struct<timestamp: double, request_id: string, session_id: string, user_id: long, news_id: long, rank: int, path: string,
+batch_generation_id: int, experiment_id: string, variant: string>"""
 
 
 def schema_contract(tables: dict[str, DataFrame], required: dict[str, list[str]]) -> DataFrame:
@@ -61,8 +69,17 @@ def health_summary(checks: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
 
 def parse_request_log(lines: DataFrame) -> DataFrame:
     """The requests of log lines; other lines and broken JSON are left out."""
-    body = F.regexp_extract("value", r"recommend_request (\{.*\})\s*$", 1)
-    rows = lines.filter(F.col("value").contains("recommend_request {")).select(F.from_json(body, REQUEST).alias("r")).filter(F.col("r.request_id").isNotNull())
+    return _logged(lines, "recommend_request", REQUEST)
+
+
+def parse_impression_log(lines: DataFrame) -> DataFrame:
+    """The impressions of log lines; other lines and broken JSON are left out."""
+    return _logged(lines, "recommend_impression", IMPRESSION)
+
+
+def _logged(lines: DataFrame, name: str, kind: str) -> DataFrame:
+    body = F.regexp_extract("value", name + r" (\{.*\})\s*$", 1)
+    rows = lines.filter(F.col("value").contains(name + " {")).select(F.from_json(body, kind).alias("r")).filter(F.col("r.request_id").isNotNull())
     return rows.select("r.*").withColumn("ts", F.timestamp_micros(F.round(F.col("timestamp") * 1e6).cast("long")))
 
 
@@ -75,6 +92,42 @@ def request_counters(requests: DataFrame, minutes: int = 5) -> DataFrame:
     return counts.select(F.col("w.start").alias("window_start"), *counts.columns[1:])
 
 
+LABELS = ("user_state", "experiment_id", "variant")
+
+
+def event_counters(requests: DataFrame, minutes: int = 5) -> DataFrame:
+    """(window_start, user_state, experiment_id, variant, counter, label, count): requests by status, cache events
+    by status, fallbacks by reason, prefetches by status and path. Only successful requests count beside the first."""
+    good = ~F.coalesce("error", F.lit(False))
+    named = lambda c, other: clean_label(F.coalesce(F.col(c), F.lit(other)))
+    one = lambda when, counter, label: F.when(when, F.struct(F.lit(counter).alias("counter"), label.alias("label")))
+    kinds = F.array(
+        one(F.lit(True), "requests", F.when(good, "success").otherwise("error")),
+        one(good, "cache", named("cache_status", "unknown")),
+        one(good & F.col("fallback_used"), "fallback", named("fallback_reason", "unknown")),
+        one(good & (F.coalesce("prefetch_status", F.lit("")) != ""), "prefetch", F.concat_ws(":", named("prefetch_status", ""), named("prefetch_trigger_path", "none"))),
+    )
+    rows = requests.select(F.window("ts", f"{minutes} minutes").alias("w"), *LABELS, F.explode(F.array_compact(kinds)).alias("x"))
+    return rows.groupBy("w", *LABELS, "x.counter", "x.label").agg(F.count("*").alias("count")).select(F.col("w.start").alias("window_start"), *LABELS, "counter", "label", "count")
+
+
+def cursor_errors(rows: DataFrame, minutes: int = 5) -> DataFrame:
+    """(window_start, experiment_id, variant, reason, count) of cursor errors (ts, experiment_id, variant, message)."""
+    grouped = rows.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "experiment_id", "variant", cursor_reason(F.col("message")).alias("reason")).agg(F.count("*").alias("count"))
+    return grouped.select(F.col("w.start").alias("window_start"), "experiment_id", "variant", "reason", "count")
+
+
+def label_mix(rows: DataFrame, label: str, minutes: int = 5) -> DataFrame:
+    """(window_start, label, count, rate): shares of a label (path, HTTP status) of per-second rates, the denominator at least 1.
+
+    ``rows`` has ts and the label; a missing one is 'unknown'.
+    """
+    counts = rows.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), F.coalesce(F.col(label).cast("string"), F.lit("unknown")).alias("label")).agg(F.count("*").alias("count"))
+    total = F.sum("count").over(W.partitionBy("w"))
+    per = lambda c: c / (60.0 * minutes)
+    return counts.select(F.col("w.start").alias("window_start"), "label", "count", (per(F.col("count")) / F.greatest(per(total), F.lit(1.0))).alias("rate"))
+
+
 def latency_histogram(requests: DataFrame, buckets: list[int], minutes: int = 5) -> DataFrame:
     """(window_start, le, count): requests up to each limit, added up."""
     counts = [F.count_if(F.col("latency_ms") <= b).alias(f"b{b}") for b in buckets]
@@ -113,3 +166,37 @@ def online_metrics(impressions: DataFrame, opens: DataFrame, ks=(5, 10, 20)) ->
     rows = impressions.join(opens.select(*keys).distinct().withColumn("opened", F.lit(1)), keys, "left").withColumn("opened", F.coalesce("opened", F.lit(0)))
     at = [F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("opened"))) / F.nullif(F.count_if(F.col("rank") <= k), F.lit(0)), F.lit(0.0)).alias(f"ctr_at_{k}") for k in ks]
     return rows.groupBy("path").agg(F.count("*").alias("impressions"), F.avg("opened").alias("ctr"), *at)
+
+
+def session_metrics(impressions: DataFrame, opens: DataFrame, states: DataFrame) -> DataFrame:
+    """(user_state, sessions, first_click_rate, clicks_per_session, ctr), cold against warm.
+
+    A session is a request; the first click rate is the share of sessions with any opened
+    item. ``states`` (user_id, user_state) may lack users, who are 'unknown'.
+    """
+    keys = ["request_id", "user_id", "news_id"]
+    rows = impressions.select(*keys).join(opens.select(*keys).distinct().withColumn("opened", F.lit(1)), keys, "left")
+    each = rows.groupBy("request_id", "user_id").agg(F.count("*").alias("shown"), F.count("opened").alias("clicks"))
+    named = each.join(states.select("user_id", "user_state"), "user_id", "left").withColumn("user_state", F.coalesce("user_state", F.lit("unknown")))
+    return named.groupBy("user_state").agg(
+        F.count("*").alias("sessions"), F.avg((F.col("clicks") > 0).cast("double")).alias("first_click_rate"),
+        F.avg("clicks").alias("clicks_per_session"), (F.sum("clicks") / F.sum("shown")).alias("ctr"),
+    )
+
+
+def request_metrics(requests: DataFrame, *keys: str) -> DataFrame:
+    """Requests, cache hit, fallback and prefetch success rates and latency at the median and 95 % by the keys.
+
+    The prefetch rate is that of triggered prefetches which became 'ready', null without any.
+    """
+    ready = F.count_if(F.col("prefetch_triggered") & (F.col("prefetch_status") == "ready")) / F.nullif(F.count_if("prefetch_triggered"), F.lit(0))
+    return requests.groupBy(*keys).agg(
+        F.count("*").alias("requests"), F.avg((F.col("cache_status") == "hit").cast("double")).alias("cache_hit_rate"), F.avg(F.col("fallback_used").cast("double")).alias("fallback_rate"),
+        ready.alias("prefetch_success_rate"), F.percentile("latency_ms", 0.5).alias("latency_p50"), F.percentile("latency_ms", 0.95).alias("latency_p95"),
+    )
+
+
+def allocation_share(impressions: DataFrame, *keys: str) -> DataFrame:
+    """(keys, path, items, share): what share of the shown items each path gave, the mix ratio or a bandit's allocation."""
+    counts = impressions.groupBy(*keys, "path").agg(F.count("*").alias("items"))
+    return counts.withColumn("share", F.col("items") / F.sum("items").over(W.partitionBy(*(F.col(k) for k in keys))))

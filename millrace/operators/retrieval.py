@@ -453,6 +453,15 @@ def impression_rows(timeline: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
+def assemble_timeline(prefix: DataFrame, paths: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(user_id, pos, news_id, path): what was served (user_id, pos, news_id), then the mixed entries it lacks.
+
+    ``paths`` (user_id, news_id, path) names where served news came from; others are 'unknown'.
+    """
+    served = prefix.join(paths.select("user_id", "news_id", "path").dropDuplicates(["user_id", "news_id"]), ["user_id", "news_id"], "left")
+    return append_batch(served.select("user_id", "pos", "news_id", F.coalesce("path", F.lit("unknown")).alias("path")), mixed)
+
+
 def append_batch(timeline: DataFrame, more: DataFrame) -> DataFrame:
     """the timeline with further entries behind it, those it has already left out."""
     last = timeline.groupBy("user_id").agg((F.max("pos") + 1).alias("shift"))
@@ -471,3 +480,13 @@ def page_slice(timeline: DataFrame, limit: int) -> DataFrame:
 def queue_remaining(candidates: DataFrame, served: DataFrame) -> DataFrame:
     """items of each path that weren't served."""
     return candidates.join(served.select("user_id", "news_id"), ["user_id", "news_id"], "left_anti").groupBy("user_id", "path").agg(F.count("*").alias("remaining"))
+
+
+def request_rows(sessions: DataFrame, candidates: DataFrame, served: DataFrame) -> DataFrame:
+    """the request log: ``sessions`` with how many candidates of each path are left (<path>_remaining).
+
+    ``sessions`` has user_id and the request's own columns (offset, cache_status, mix_ratio
+    and such), which stay; a user without candidates has 0 of each.
+    """
+    left = queue_remaining(candidates, served).groupBy("user_id").agg(*[F.sum(F.when(F.col("path") == p, F.col("remaining"))).alias(f"{p}_remaining") for p in ARMS])
+    return sessions.join(left, "user_id", "left").na.fill(0, [f"{p}_remaining" for p in ARMS])

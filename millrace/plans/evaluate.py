@@ -83,6 +83,13 @@ def _gold(s, p):
     return h.gold_similarity(kept(cases), names, held, {"keyword": kept(gq.ke(s, p)), "stock": kept(gq.se(s, p))})
 
 
+def _golden(s, p):
+    """The strong pairs as cases of two categories, over the news that have vectors."""
+    cases = truth(s, p).select(F.when(F.col("src") % 2 == 0, "even").otherwise("odd").alias("category"), "src", "dst")
+    news = a.read(s, p, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return h.golden_eval(kept(cases), gq.ke(s, p), news, vectors(s, p, 0), 10)
+
+
 def log_lines(s, p):
     """Request log lines made from serves."""
     rows = a.serves(s, p)
@@ -169,6 +176,11 @@ near AS (SELECT x.type, y.type AS other_type, x.name, x.id AS xid, y.id AS yid,
 drawn AS (SELECT *, row_number() OVER (PARTITION BY type, name, other_type ORDER BY round(c, 9) DESC, yid) AS place FROM near QUALIFY place <= CASE WHEN type = other_type THEN 10 ELSE 50 END),
 best AS (SELECT type || '2' || other_type AS direction, name, other, c, row_number() OVER (PARTITION BY type, name, other_type ORDER BY place) AS rank FROM drawn
     WHERE type = other_type OR (CASE WHEN type = 'keyword' THEN xid ELSE yid END, CASE WHEN type = 'stock' THEN xid ELSE yid END) IN (SELECT (keyword, stock) FROM joint WHERE joint >= 3) QUALIFY rank <= 10)"""
+GOLDEN = """, cases AS (SELECT CASE WHEN src % 2 = 0 THEN 'even' ELSE 'odd' END AS category, src, dst FROM truth WHERE dst IN (SELECT id FROM sv)),
+linked AS (SELECT DISTINCT c.src, c.dst, k.src AS news FROM cases c JOIN ke k ON k.dst = c.src JOIN embeddings ON vec_id = k.src),
+every AS (SELECT e.vec_id AS news, s.id, round(list_cosine_similarity(e.embedding::DOUBLE[], s.vector), 9) AS c FROM embeddings e, sv s),
+ranked AS (SELECT l.src, l.dst, l.news, 1 + (SELECT count(*) FROM every o WHERE o.news = l.news AND o.c > m.c) AS rank FROM linked l JOIN every m ON m.news = l.news AND m.id = l.dst),
+per AS (SELECT c.category, coalesce(avg(1.0 / rank), 0) AS mrr, coalesce(avg((rank <= 10)::INT), 0) AS hit FROM cases c LEFT JOIN ranked r USING (src, dst) GROUP BY c.category, c.src, c.dst)"""
 add("h01_pair_cosine", lambda s, p: six(scored(s, p), "score"), H("SELECT src, dst, round(score, 6) AS score FROM sc"))
 add("h02_explicit_rank_metrics", lambda s, p: six(h.explicit_rank_metrics(_by_strength(s, p), 10), "mrr", "hit"),
     SQL_H + ", lab AS (SELECT (src % 3)::VARCHAR AS type, round(score, 9) AS score, (strength % 2 = 0)::INT AS label FROM sc), rk AS (SELECT p.type, 1 + (SELECT count(*) FROM lab n WHERE n.type = p.type AND n.label = 0 AND n.score > p.score) AS rank FROM lab p WHERE label = 1) SELECT type, round(avg(1.0 / rank), 6) AS mrr, round(avg((rank <= 10)::INT), 6) AS hit FROM rk GROUP BY 1")
@@ -181,7 +193,9 @@ add("h06_diversity", lambda s, p: six(h.diversity(rq.vectors(s, p)), "similarity
     SQL_H + ", v AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'Stock' ELSE 'keyword' END AS type, vec_id, embedding::DOUBLE[] AS e FROM embeddings), pr AS (SELECT x.type, avg(list_cosine_similarity(x.e, y.e)) AS similarity FROM v x JOIN v y ON x.type = y.type AND x.vec_id <> y.vec_id GROUP BY 1), va AS (SELECT type, avg(v) AS variance FROM (SELECT type, dim, var_samp(x) AS v FROM (SELECT type, unnest(e) AS x, unnest(range(len(e))) AS dim FROM v) GROUP BY ALL) GROUP BY 1) SELECT type, round(similarity, 6) AS similarity, round(variance, 6) AS variance, round(1 - similarity, 6) AS score FROM pr JOIN va USING (type)")
 add("h07_final_score", lambda s, p: six(h.final_score(h.explicit_rank_metrics(_by_strength(s, p), 10).withColumnRenamed("type", "relation"), ["0", "1", "2"]), "score"),
     SQL_H + ", lab AS (SELECT (src % 3)::VARCHAR AS type, round(score, 9) AS score, (strength % 2 = 0)::INT AS label FROM sc), rk AS (SELECT p.type, 1 + (SELECT count(*) FROM lab n WHERE n.type = p.type AND n.label = 0 AND n.score > p.score) AS rank FROM lab p WHERE label = 1), per AS (SELECT t AS type, coalesce(avg(1.0 / rank), 0) AS mrr, coalesce(avg((rank <= 10)::INT), 0) AS hit FROM (SELECT DISTINCT type AS t FROM lab) LEFT JOIN rk ON type = t GROUP BY 1) SELECT CASE WHEN count(*) = 3 THEN round((avg(mrr) + avg(hit)) / 2, 6) ELSE 0 END AS score, (count(*) <> 3)::INT AS missing FROM per")
-add("h08_golden_eval", lambda s, p: six(h.golden_eval(truth(s, p).select(F.when(F.col("src") % 2 == 0, "even").otherwise("odd").alias("category"), "src", "dst"), gq.ke(s, p), a.read(s, p, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")), vectors(s, p, 0), 10), "mrr", "hit"))
+add("h08_golden_eval", lambda s, p: six(_golden(s, p)[0], "mrr", "hit"), SQL_H + GOLDEN + """ SELECT coalesce(category, 'all') AS category, count(*) AS cases, round(avg(mrr), 6) AS mrr, round(avg(hit), 6) AS hit
+    FROM per GROUP BY GROUPING SETS ((category), ())""")
+add("h08_golden_final", lambda s, p: six(_golden(s, p)[1], "score"), SQL_H + GOLDEN + " SELECT round((avg(mrr) + avg(hit)) / 2, 6) AS score, 0 AS missing FROM (SELECT avg(mrr) AS mrr, avg(hit) AS hit FROM per GROUP BY category)")
 add("h09_separation", _separation,
     SQL_H + NEG + """, ns AS (SELECT list_cosine_similarity(k.vector, s.vector) AS score FROM negs JOIN kv k ON k.id = src JOIN sv s ON s.id = negative)
     SELECT round(a, 6) AS positive, round(b, 6) AS random, round(a - b, 6) AS separation FROM (SELECT (SELECT avg(score) FROM sc) AS a, (SELECT avg(score) FROM ns) AS b)""")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import behaviour, evaluate, graph, retrieval, streams, text
+from . import behaviour, evaluate, graph, logs, retrieval, streams, text
 
-_MODULES = (behaviour, text, graph, retrieval, evaluate, streams)
+_MODULES = (behaviour, text, graph, retrieval, evaluate, streams, logs)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "d22_popular_top"

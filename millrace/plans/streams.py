@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import lake
+from millrace.operators import monitoring as m
 from millrace.plans import behaviour as bq
 from millrace.plans import evaluate as hq
 from millrace.plans.behaviour import SQL_D
 from millrace.plans.evaluate import SQL_J, ntz
 from millrace.plans.keep import folder
 from millrace.plans.text import SQL_T
-from millrace.operators import monitoring as m
 from millrace.sources import adapters as a
 from millrace.streaming import streams as k
 
@@ -91,7 +91,7 @@ def _alerts(s, p):
 
 
 def _windows(s, p):
-    """Interactions written by processing window (a day), and those of one month's windows read back."""
+    """Interactions written by processing window (a day); what each window holds, read back."""
     out = folder(s, "a08")
     rows = a.interactions(s, p).withColumns({"window_start": F.date_format("event_ts_server", "yyyyMMdd0000"), "window_end": F.date_format("event_ts_server", "yyyyMMdd2359")})
     lake.write_windows(rows, out)

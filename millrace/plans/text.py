@@ -245,7 +245,5 @@ add("b36_labels", lambda s, p: docs(s, p).select("news_id", t.clean_label(F.col(
     "SELECT news_id, CASE WHEN l = '' THEN 'none' ELSE l END AS label, " + "CASE " + " ".join(f"WHEN contains(lower(x), '{k}') THEN '{v}'" for k, v in t.CURSOR_REASONS) + " ELSE 'invalid_cursor' END AS reason FROM (SELECT news_id, text AS x, trim(regexp_replace(substr(text, 1, 64), '[^a-zA-Z0-9_.:-]+', '_', 'g'), '_') AS l FROM docs)")
 add("c01_target_news", lambda s, p: funnel.target_news(batch(s, p)).select("news_id", "filter_status"), "SELECT news_id, filter_status FROM batch WHERE filter_status <> 'passed'")
 add("c02_status_counts", lambda s, p: funnel.status_counts(batch(s, p).withColumn("day", F.date_format(t.to_kst(F.col("created_at")), "yyyyMMdd")), "day"), "SELECT strftime(created_at + INTERVAL 9 HOUR, '%Y%m%d') AS day, filter_status, count(*) AS count FROM batch GROUP BY ALL")
-add("c04_load_batch", lambda s, p: lake.replace_children(a.news_stock(s, p).select("news_id", F.col("stock_id").alias("keyword_id"), F.lit("old").alias("extractor_version"), F.lit(1.0).alias("weight")), a.news_keyword(s, p), lake.upsert(a.read(s, p, "part").groupBy(F.col("p_brand").alias("keyword")).agg(F.min("p_partkey").alias("keyword_id")), a.news_keyword(s, p).select("keyword", F.lit(1).cast("long").alias("keyword_id")).distinct().filter("keyword > 'Brand#5'"), ["keyword"], ["keyword_id"])),
-    "SELECT news_id, stock_id AS keyword_id, 'old' AS extractor_version, 1.0::DOUBLE AS weight FROM news_stock WHERE news_id NOT IN (SELECT news_id FROM news_keyword) UNION ALL SELECT DISTINCT news_id, CASE WHEN keyword > 'Brand#5' THEN 1 ELSE k.id END, 'local_v1.0', 1.0::DOUBLE FROM news_keyword JOIN (SELECT p_brand AS keyword, min(p_partkey) AS id FROM part GROUP BY 1) k USING (keyword)")
 
 QUERIES, ORACLES = q, o
