@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, gif, jaccard, language, mixing, quality, secrets, warc
+from . import alignment, audit, bpe, chat, fingerprint, gif, jaccard, language, mixing, quality, secrets, vectors, warc
 from .tables import shared_path, table, text_of
 
 
@@ -124,6 +124,57 @@ least AS (SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least USING (doc_id)
 """
 
+
+
+def op11_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings by cosine, from 0.9."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), 0.9)
+
+
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, row_number() OVER () AS i, embedding::DOUBLE[] AS e, len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) AS fit FROM embeddings),
+u AS (SELECT vec_id, i, e FROM v WHERE fit),
+links AS (SELECT x.i AS a, y.i AS b, y.vec_id AS id FROM u x JOIN u y ON x.i <> y.i AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+reached(i, r) AS (SELECT i, i FROM v UNION SELECT l.b, r.r FROM reached r JOIN links l ON l.a = r.i),
+least AS (SELECT reached.i, min(v.vec_id) AS component_id FROM reached JOIN v ON v.i = reached.r GROUP BY reached.i)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = v.i) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN least USING (i)
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all texts by a byte-level BPE (A) and by a sentencepiece model (B), aligned."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return alignment.alignments(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents, in every order."""
+    failed = audit.failures(table(spark, sf_dir, "documents", "doc_id", "lang", "text"))
+    return audit.interactions(failed, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE said AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM said),
+says AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+docs AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+  + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT
+  + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS failed FROM w LEFT JOIN says USING (doc_id)),
+orders(o) AS (SELECT '' UNION ALL SELECT o || l FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) x(l) WHERE length(o) < 5 AND NOT contains(o, l)),
+steps AS (SELECT o, s, 1 << (ord(o[s]) - 65) AS bit, list_sum(list_transform(range(1, s), lambda i: 1 << (ord(o[i]) - 65))) AS seen FROM orders, range(1, 6) t(s) WHERE length(o) = 5),
+sets AS (SELECT part, failed, good, toxic, count(*) AS n FROM docs GROUP BY ALL),
+found AS (SELECT *, failed & bit <> 0 AS fails, failed & coalesce(seen, 0)::INT = 0 AS here FROM sets, steps)
+SELECT part, o AS filter_order, s::INT AS step, coalesce(sum(n) FILTER (here AND NOT fails), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (here AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (NOT here AND fails), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (failed = bit), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (here AND fails AND good), 0)::BIGINT AS good_lost,
+  coalesce(sum(n) FILTER (here AND fails AND toxic), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(failed), 1)) FILTER (fails), 0)::BIGINT AS shapley FROM found GROUP BY ALL
+"""
+
 QUERIES = {
     "op1_gif": op1_gif,
     "op2_bpe": op2_bpe,
@@ -135,5 +186,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language": op9_language,
     "op10_jaccard": op10_jaccard,
+    "op11_vectors": op11_vectors,
+    "op12_alignment": op12_alignment,
+    "op13_audit": op13_audit,
 }
-ORACLES = {"op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL, "op10_jaccard": OP10_SQL}
+ORACLES = {"op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL, "op10_jaccard": OP10_SQL, "op11_vectors": OP11_SQL, "op13_audit": OP13_SQL}
