@@ -14,68 +14,105 @@ from itertools import chain, permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..operators.graph import dense_index
 from .shards import flat, write_shards
 from .tables import stored
 
 # Words that a document has at least; distinct words and capitals in a hundred; characters that bar it.
-LEAST_WORDS, DISTINCT, CAPITALS, BARRED = 200, 50, 3, "[#$%&*|]"
+LEAST_WORDS, DISTINCT, CAPITALS, BARRED = 200, 50, 3, b"#$%&*|"
+CAPITAL = bytes(range(65, 91))
 #: The filters, in the order of their bits.
 FILTERS = "ABCDE"
-#: Hash ranges in which the words of the dictionary are numbered.
-RANGES = 4096
+#: Bytes of text of a shard, about: the more, the fewer dictionary entries go through the shuffle.
+SHARD = 8 << 20
+#: What is counted of a text's characters besides its words.
+MARKS = "points array<bigint>, capitals array<bigint>, barred array<bigint>"
 
 
 def _coded(texts: list[bytes]) -> dict:
-    """The texts' words by a dictionary of their own, as CSR rows."""
+    """The texts' words by a dictionary of their own, as CSR rows, and counts of their characters."""
     said = [t.split() for t in texts]  # bytes are split at ASCII white space alone
     code = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(said)))}
     codes = np.fromiter(map(code.__getitem__, chain.from_iterable(said)), np.int64)
     row = np.repeat(np.arange(len(said)), [len(w) for w in said])
     key, times = np.unique(row << 32 | codes, return_counts=True)
     indptr = np.searchsorted(key, np.arange(len(said) + 1) << 32)
-    return {"words": pa.array(list(code), pa.binary()).cast(pa.string()), "indptr": indptr, "indices": key & 0xFFFFFFFF, "data": times}
+    return {
+        "words": pa.array(list(code), pa.binary()).cast(pa.string()), "indptr": indptr, "indices": key & 0xFFFFFFFF, "data": times,
+        "points": [len(t.decode()) for t in texts], "capitals": [len(t) - len(t.translate(None, CAPITAL)) for t in texts], "barred": [len(t) - len(t.translate(None, BARRED)) for t in texts],
+    }
+
+
+def _numbered(entries: DataFrame) -> DataFrame:
+    """(shard, place, word, number), written: entries (shard, place, word) with one number for each word;
+    ``word`` is kept in one row of each word and null in the others.
+
+    Words are dealt to tasks by a hash and sorted there; a number is that of the task and the
+    word's place in it, so that words are shuffled once. A word has one row a shard.
+    """
+    schema = "shard bigint, place int, word string, number bigint"
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, last = (TaskContext.get().partitionId() << 33) - 1, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            word = batch.column("word")
+            fresh = np.ones(len(word), bool)
+            fresh[0] = word[0].as_py() != last
+            fresh[1:] = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
+            numbers = number + np.cumsum(fresh)
+            number, last = int(numbers[-1]), word[len(word) - 1].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("place"), pc.if_else(pa.array(fresh), word, pa.scalar(None, word.type)).cast(pa.string()), pa.array(numbers)], schema=arrow)
+
+    return stored(entries.select("shard", "place", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, schema), "numbered")
 
 
 def document_term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(matrix, dictionary) of all words of all texts; a word is a longest run without ASCII white space.
 
     The dictionary is (word, idx), idx dense from 0. The matrix has a row for each shard:
-    ``rows`` (the documents' columns besides the text), ``indptr``, ``indices`` (idx,
-    rising in each row) and ``data``. A null text is empty; empty tables give empty ones.
+    ``rows`` (the documents' columns besides the text), ``indptr``, ``indices`` (idx, in
+    no order within a row) and ``data``, and for each document the numbers of its code
+    points, capitals A-Z and barred characters. A null text is empty; empty tables give empty ones.
     """
-    local = write_shards(docs, _coded, "words array<string>, indptr array<bigint>, indices array<bigint>, data array<bigint>", "terms", text)
-    entries = local.select("shard", F.posexplode("words").alias("place", "word"))
-    bucket = F.pmod(F.xxhash64("word"), F.lit(RANGES))
-    dictionary = stored(dense_index(entries.select("word").distinct(), ["word"], bucket), "dictionary")
-    numbered = entries.join(dictionary, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "idx"))).alias("x"))
-    joined = local.drop("words").join(numbered.select("shard", F.col("x.idx").alias("idx")), "shard", "left")
-    schema = local.drop("words").schema
+    local = write_shards(docs, _coded, f"words array<string>, indptr array<bigint>, indices array<int>, data array<int>, {MARKS}", "terms", text, SHARD)
+    numbered = _numbered(local.select("shard", F.posexplode("words").alias("place", "word")))
+    # Each task's numbers follow those of the tasks before it; there is one row a task.
+    task = F.shiftright("number", 33)
+    after = F.coalesce(F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = numbered.filter("word IS NOT NULL").groupBy(task.alias("task")).agg(F.count("*").alias("n")).select("task", after.alias("shift"))
+    dense = numbered.withColumn("task", task).join(F.broadcast(shifts), "task").withColumn("idx", F.col("shift") + F.col("number").bitwiseAND((1 << 33) - 1))
+    dictionary = dense.filter("word IS NOT NULL").select("word", "idx")
+    sent = dense.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "idx"))).alias("x"))
+    joined = local.drop("words").join(sent.select("shard", F.col("x.idx").alias("idx")), "shard", "left")
+    schema = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())) if f.name == "indices" else f for f in local.drop("words").schema.fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 one = batch.slice(i, 1)
-                indptr, indices, data, idx = (one.column(c).flatten().to_numpy() for c in ("indptr", "indices", "data", "idx"))
-                column = idx[indices] if len(indices) else indices
-                order = np.lexsort((column, np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))))
-                built = {"indices": column[order], "data": data[order]}
-                arrays = [pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), pa.array(built[f.name], f.type.value_type)).cast(f.type) if f.name in built else one.column(f.name) for f in arrow]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+                indices, idx = (one.column(c).flatten().to_numpy() for c in ("indices", "idx"))
+                coded = pa.array(idx[indices] if len(indices) else indices, pa.int64())
+                coded = pa.ListArray.from_arrays(pa.array([0, len(coded)], pa.int32()), coded).cast(arrow.field("indices").type)
+                yield pa.RecordBatch.from_arrays([coded if f.name == "indices" else one.column(f.name) for f in arrow], schema=arrow)
 
     return joined.mapInArrow(run, schema), dictionary
 
 
 def row_statistics(matrix: DataFrame) -> DataFrame:
-    """The documents' columns with ``n_words`` and ``n_distinct``: a row's sum and its number of entries."""
+    """The documents' columns with ``n_words`` and ``n_distinct``, a row's sum and its number of entries, and the counts of characters."""
     row = matrix.schema["rows"].dataType.elementType
-    schema = T.StructType([*row.fields, T.StructField("n_words", T.LongType()), T.StructField("n_distinct", T.LongType())])
+    schema = T.StructType([*row.fields, *T.StructType.fromDDL("n_words long, n_distinct long, points long, capitals long, barred long").fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +120,11 @@ def row_statistics(matrix: DataFrame) -> DataFrame:
             for i in range(len(batch)):
                 one = batch.slice(i, 1)
                 indptr, data = (one.column(c).flatten().to_numpy() for c in ("indptr", "data"))
-                upto = np.concatenate([[0], np.cumsum(data)])
-                yield flat(one.column("rows").flatten(), {"n_words": np.diff(upto[indptr]), "n_distinct": np.diff(indptr)}, arrow)
+                upto = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
+                more = {c: one.column(c).flatten() for c in ("points", "capitals", "barred")}
+                yield flat(one.column("rows").flatten(), more | {"n_words": np.diff(upto[indptr]), "n_distinct": np.diff(indptr)}, arrow)
 
-    return matrix.select("rows", "indptr", "data").mapInArrow(run, schema)
+    return matrix.mapInArrow(run, schema)
 
 
 def failures(docs: DataFrame) -> DataFrame:
@@ -97,11 +135,7 @@ def failures(docs: DataFrame) -> DataFrame:
     without an id has no smaller one, nor is it one. Repeated rows are documents each.
     """
     said = F.coalesce("text", F.lit(""))
-    capitals = F.char_length(said) - F.char_length(F.translate(said, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    looks = docs.select(
-        "doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.sha2(said, 256).alias("digest"),
-        (100 * capitals > CAPITALS * F.char_length(said)).alias("c"), said.rlike(BARRED).alias("d"), said.alias("text"),
-    )
+    looks = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.unhex(F.sha2(said, 256)).alias("digest"), said.alias("text"))
     matrix, _ = document_term_matrix(looks)
     rows = stored(row_statistics(matrix), "statistics")
     # Only texts that several ids share are joined; one row each, whatever their number of copies.
@@ -110,8 +144,8 @@ def failures(docs: DataFrame) -> DataFrame:
     fails = {
         "A": F.col("n_words") < LEAST_WORDS,
         "B": 100 * F.col("n_distinct") < DISTINCT * F.col("n_words"),
-        "C": F.col("c"),
-        "D": F.col("d"),
+        "C": 100 * F.col("capitals") > CAPITALS * F.col("points"),
+        "D": F.col("barred") > 0,
         "E": F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)),
     }
     failed = sum((F.when(fails[x], 1 << i).otherwise(0) for i, x in enumerate(FILTERS)), F.lit(0))

@@ -54,7 +54,7 @@ def test_all_orders(spark):
 
 def test_matrix_holds_the_words(spark, monkeypatch):
     write = audit.write_shards
-    monkeypatch.setattr(audit, "write_shards", lambda *a, **k: write(*a, **k, most=20))
+    monkeypatch.setattr(audit, "write_shards", lambda *a: write(*a[:-1], most=20))
     docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "c a\tA " * 9), (5, "d")], "shard long, text string").repartition(2)
     matrix, dictionary = audit.document_term_matrix(docs)
     words = {r.idx: r.word for r in dictionary.collect()}
@@ -63,7 +63,7 @@ def test_matrix_holds_the_words(spark, monkeypatch):
     for r in matrix.collect():
         for i, row in enumerate(r.rows):
             some = slice(r.indptr[i], r.indptr[i + 1])
-            assert r.indices[some] == sorted(r.indices[some])
+            assert len({*r.indices[some]}) == len(r.indices[some])
             said[row.shard] = {words[x]: n for x, n in zip(r.indices[some], r.data[some])}
     assert said == {1: {"b": 2, "a": 1}, 2: {}, 3: {}, 4: {"c": 9, "a": 9, "A": 9}, 5: {"d": 1}}
 
