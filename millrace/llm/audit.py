@@ -10,12 +10,12 @@ for each set of failed filters is kept, and all orders of the filters are read o
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, permutations
+from itertools import chain, count, permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,8 +30,8 @@ LEAST_WORDS, DISTINCT, CAPITALS, BARRED = 200, 50, 3, b"#$%&*|"
 CAPITAL = bytes(range(65, 91))
 #: The filters, in the order of their bits.
 FILTERS = "ABCDE"
-#: Bytes of text of a shard, about: the more, the fewer dictionary entries go through the shuffle.
-SHARD = 8 << 20
+#: Hash buckets of the dictionary; each is one Python dictionary in one task at a time.
+BUCKETS = 4096
 #: What is counted of a text's characters besides its words.
 MARKS = "points array<bigint>, capitals array<bigint>, barred array<bigint>"
 
@@ -41,39 +41,47 @@ def _coded(texts: list[bytes]) -> dict:
     said = [t.split() for t in texts]  # bytes are split at ASCII white space alone
     code = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(said)))}
     codes = np.fromiter(map(code.__getitem__, chain.from_iterable(said)), np.int64)
+    # Words are numbered bucket by bucket, and a bucket's words travel as one string.
+    bucket = np.fromiter(map(crc32, code), np.int64, len(code)) % BUCKETS
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(code), np.int64)
+    place[order] = np.arange(len(code))
+    full, begin = np.unique(bucket[order], return_index=True)
+    words = [*code]
+    words = [words[i] for i in order.tolist()]
+    joined = [b" ".join(words[a:b]) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(words)])]
+    entries = pa.StructArray.from_arrays([pa.array(full, pa.int32()), pa.array(joined, pa.binary()).cast(pa.string())], ["bucket", "words"])
     row = np.repeat(np.arange(len(said)), [len(w) for w in said])
-    key, times = np.unique(row << 32 | codes, return_counts=True)
+    key, times = np.unique(row << 32 | place[codes] if len(codes) else codes, return_counts=True)
     indptr = np.searchsorted(key, np.arange(len(said) + 1) << 32)
     return {
-        "words": pa.array(list(code), pa.binary()).cast(pa.string()), "indptr": indptr, "indices": key & 0xFFFFFFFF, "data": times,
+        "entries": entries, "indptr": indptr, "indices": key & 0xFFFFFFFF, "data": times,
         "points": [len(t.decode()) for t in texts], "capitals": [len(t) - len(t.translate(None, CAPITAL)) for t in texts], "barred": [len(t) - len(t.translate(None, BARRED)) for t in texts],
     }
 
 
 def _numbered(entries: DataFrame) -> DataFrame:
-    """(shard, place, word, number), written: entries (shard, place, word) with one number for each word;
-    ``word`` is kept in one row of each word and null in the others.
-
-    Words are dealt to tasks by a hash and sorted there; a number is that of the task and the
-    word's place in it, so that words are shuffled once. A word has one row a shard.
-    """
-    schema = "shard bigint, place int, word string, number bigint"
+    """(shard, bucket, codes, fresh), written: for entries (shard, bucket, words) the number of each word in its bucket,
+    and those of the words, joined by spaces, that no smaller shard has."""
+    schema = "shard bigint, bucket int, codes array<int>, fresh string"
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, last = (TaskContext.get().partitionId() << 33) - 1, None
+        known: dict[str, int] = {}
+        last = None
         for batch in batches:
-            if not len(batch):
-                continue
-            word = batch.column("word")
-            fresh = np.ones(len(word), bool)
-            fresh[0] = word[0].as_py() != last
-            fresh[1:] = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
-            numbers = number + np.cumsum(fresh)
-            number, last = int(numbers[-1]), word[len(word) - 1].as_py()
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("place"), pc.if_else(pa.array(fresh), word, pa.scalar(None, word.type)).cast(pa.string()), pa.array(numbers)], schema=arrow)
+            codes, fresh = [], []
+            for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if bucket != last:
+                    known, last = {}, bucket
+                words = words.split(" ")
+                new = [word for word in words if word not in known]
+                known.update(zip(new, count(len(known))))
+                codes.append([*map(known.__getitem__, words)])
+                fresh.append(" ".join(new) if new else None)
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("bucket"), pa.array(codes, arrow.field("codes").type), pa.array(fresh, pa.string())], schema=arrow)
 
-    return stored(entries.select("shard", "place", "word").repartition("word").sortWithinPartitions("word").mapInArrow(run, schema), "numbered")
+    return stored(entries.select("shard", "bucket", "words").repartition("bucket").sortWithinPartitions("bucket", "shard").mapInArrow(run, schema), "numbered")
 
 
 def document_term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -84,24 +92,28 @@ def document_term_matrix(docs: DataFrame, text: str = "text") -> tuple[DataFrame
     no order within a row) and ``data``, and for each document the numbers of its code
     points, capitals A-Z and barred characters. A null text is empty; empty tables give empty ones.
     """
-    local = write_shards(docs, _coded, f"words array<string>, indptr array<bigint>, indices array<int>, data array<int>, {MARKS}", "terms", text, SHARD)
-    numbered = _numbered(local.select("shard", F.posexplode("words").alias("place", "word")))
-    # Each task's numbers follow those of the tasks before it; there is one row a task.
-    task = F.shiftright("number", 33)
-    after = F.coalesce(F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shifts = numbered.filter("word IS NOT NULL").groupBy(task.alias("task")).agg(F.count("*").alias("n")).select("task", after.alias("shift"))
-    dense = numbered.withColumn("task", task).join(F.broadcast(shifts), "task").withColumn("idx", F.col("shift") + F.col("number").bitwiseAND((1 << 33) - 1))
-    dictionary = dense.filter("word IS NOT NULL").select("word", "idx")
-    sent = dense.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "idx"))).alias("x"))
-    joined = local.drop("words").join(sent.select("shard", F.col("x.idx").alias("idx")), "shard", "left")
-    schema = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())) if f.name == "indices" else f for f in local.drop("words").schema.fields])
+    local = write_shards(docs, _coded, f"entries array<struct<bucket:int,words:string>>, indptr array<bigint>, indices array<int>, data array<int>, {MARKS}", "terms", text)
+    numbered = _numbered(local.select("shard", F.inline("entries")))
+    # The numbers of a bucket follow those of the buckets before it; there are BUCKETS of them.
+    sizes = numbered.groupBy("bucket").agg(F.max(F.array_max("codes")).alias("most"))
+    before = F.coalesce(F.sum(F.col("most") + 1).over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifted = numbered.join(F.broadcast(sizes.select("bucket", before.cast("long").alias("shift"))), "bucket")
+    # A bucket's new words have its numbers in order, from the number of words that it had before.
+    dictionary = shifted.filter("fresh IS NOT NULL")
+    words = F.split("fresh", " ")
+    dictionary = dictionary.select("shift", (F.array_max("codes") + 1 - F.size(words)).alias("first"), F.posexplode(words).alias("place", "word")).select("word", (F.col("shift") + F.col("first") + F.col("place")).alias("idx"))
+    sent = shifted.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "shift", "codes"))).alias("x"))
+    joined = local.drop("entries").join(sent.select("shard", F.col("x.shift").alias("shift"), F.col("x.codes").alias("codes")), "shard", "left")
+    schema = T.StructType([T.StructField("indices", T.ArrayType(T.LongType())) if f.name == "indices" else f for f in local.drop("entries").schema.fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 one = batch.slice(i, 1)
-                indices, idx = (one.column(c).flatten().to_numpy() for c in ("indices", "idx"))
+                indices, shift = (one.column(c).flatten().to_numpy() for c in ("indices", "shift"))
+                codes = one.column("codes").flatten()
+                idx = codes.flatten().to_numpy() + np.repeat(shift, pc.list_value_length(codes).to_numpy())
                 coded = pa.array(idx[indices] if len(indices) else indices, pa.int64())
                 coded = pa.ListArray.from_arrays(pa.array([0, len(coded)], pa.int32()), coded).cast(arrow.field("indices").type)
                 yield pa.RecordBatch.from_arrays([coded if f.name == "indices" else one.column(f.name) for f in arrow], schema=arrow)
