@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import dense_index, hashed
+from .graph import hashed
+from .pools import FETCHED, free_lists, numbered
 
 PAIR_WEIGHTS = {("keyword", "keyword"): 1.0, ("stock", "stock"): 1.15}
 MIXED_WEIGHT = 0.9
@@ -21,35 +22,19 @@ def onboarding_profile(stocks: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def recent_candidates(articles: DataFrame, users: DataFrame, exclude: DataFrame, as_of: str, limit: int, stale_minutes: int | None = None, blocked: list[str] = ()) -> DataFrame:
-    """(user_id, news_id, pub_date, rank). The newest 4 * limit are taken first, then filtered for each user; fewer may stay.
-
-    The pool is bounded by the limit, so it is broadcast to the users.
-    """
-    pool = articles.orderBy(F.desc("pub_date"), F.desc("news_id")).limit(4 * limit)
+    """(user_id, news_id, pub_date, rank). The newest 4 * limit are taken first, then filtered for each user; fewer may stay."""
+    pool = numbered(articles, F.desc("pub_date"), F.desc("news_id"), limit=FETCHED * limit)
     if stale_minutes is not None:
         pool = pool.filter(F.col("pub_date") >= F.lit(as_of).cast("timestamp_ntz") - F.make_interval(mins=F.lit(stale_minutes)))
     if blocked:
         pool = pool.filter(~F.col("domain").isin(list(blocked)))
-    rows = users.select("user_id").crossJoin(F.broadcast(pool.select("news_id", "pub_date"))).join(exclude.select("user_id", "news_id").distinct(), ["user_id", "news_id"], "left_anti")
-    order = W.partitionBy("user_id").orderBy(F.desc("pub_date"), F.desc("news_id"))
-    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return free_lists(pool.select("news_id", "pub_date", "place"), users, exclude, limit).select("user_id", "news_id", "pub_date", (F.col("pos") + 1).alias("rank"))
 
 
 def latest_ids(articles: DataFrame, users: DataFrame, exclude: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """(user_id, news_id, pos): past the ``offset`` newest news that a user may see, the next ``limit``.
-
-    News are numbered from the newest. A user's places end as far down as the limit, the
-    offset and the number of exclusions reach, so that each user meets as many news as that.
-    """
-    order = [F.desc("pub_date"), F.desc("news_id")]
-    ranked = dense_index(articles.select("news_id", "pub_date"), order, -F.unix_date(F.to_date("pub_date"))).select("news_id", "idx")
-    barred = exclude.select("user_id", "news_id").distinct()
-    reach = users.select("user_id").join(barred.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left")
-    last = (F.coalesce("n", F.lit(0)) + limit + offset - 1).cast("long")
-    rows = reach.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("idx")).join(ranked, "idx")
-    free = rows.join(barred, ["user_id", "news_id"], "left_anti")
-    nth = F.row_number().over(W.partitionBy("user_id").orderBy("idx"))
-    return free.withColumn("nth", nth).filter(F.col("nth") <= limit + offset).filter(F.col("nth") > offset).select("user_id", "news_id", (F.col("nth") - 1 - offset).alias("pos"))
+    """(user_id, news_id, pos): past the ``offset`` newest news, of the next 4 * limit the first ``limit`` that a user may see; fewer may stay."""
+    pool = numbered(articles.select("news_id", "pub_date"), F.desc("pub_date"), F.desc("news_id"), limit=offset + FETCHED * limit)
+    return free_lists(pool.filter(F.col("place") >= offset), users, exclude, limit).select("user_id", "news_id", F.col("pos").cast("long").alias("pos"))
 
 
 def popular_from_snapshots(snapshots: DataFrame, articles: DataFrame, as_of: str, limit: int, stale_minutes: int = 180, latest: int = 5) -> DataFrame:
@@ -63,22 +48,31 @@ def popular_from_snapshots(snapshots: DataFrame, articles: DataFrame, as_of: str
     return ranked.crossJoin(F.broadcast(fresh)).drop("best_at").orderBy("rank", F.desc("snapshot_at"), F.desc("news_id")).limit(limit)
 
 
-def popular_fallback(articles: DataFrame, metrics: DataFrame, as_of: str, limit: int, hours: int = 72) -> DataFrame:
-    """E5: (news_id, ctr, pub_date): recent news by click rate, then time."""
+def popular_fallback(articles: DataFrame, metrics: DataFrame, as_of: str, limit: int, hours: int = 72, metrics_as_of: str | None = None, days: int = 7) -> DataFrame:
+    """E5: (news_id, ctr, pub_date): recent news by the click rate of the last days, then time.
+
+    ``metrics_as_of`` is the moment the days go back from, where it isn't ``as_of``.
+    """
     at = F.lit(as_of).cast("timestamp_ntz")
+    since = F.lit(metrics_as_of or as_of).cast("timestamp_ntz") - F.make_interval(days=F.lit(days))
     recent = articles.filter((F.col("pub_date") >= at - F.make_interval(hours=F.lit(hours))) & (F.col("pub_date") <= at))
-    ctr = metrics.filter("path <> 'TOTAL'").groupBy("news_id").agg((F.sum("click_count") / F.nullif(F.sum("impression_count"), F.lit(0))).alias("ctr"))
+    counted = metrics.filter((F.col("path") != "TOTAL") & (F.col("bucket_start") >= since))
+    ctr = counted.groupBy("news_id").agg((F.sum("click_count") / F.nullif(F.sum("impression_count"), F.lit(0))).alias("ctr"))
     joined = recent.join(ctr, "news_id", "left").select("news_id", F.coalesce("ctr", F.lit(0.0)).alias("ctr"), "pub_date")
     return joined.orderBy(F.desc("ctr"), F.desc("pub_date"), F.desc("news_id")).limit(limit)
 
 
 def popular_candidates(snapshot_rows: DataFrame, fallback: DataFrame, limit: int) -> DataFrame:
-    """Snapshots first; where they have under half the limit, the fallback fills up."""
-    have = snapshot_rows.agg(F.count("*").alias("have"))
-    more = fallback.join(snapshot_rows.select("news_id"), "news_id", "left_anti").crossJoin(F.broadcast(have)).filter(F.col("have") < limit // 2)
-    order = F.row_number().over(W.orderBy(F.desc("ctr"), F.desc("pub_date"), F.desc("news_id")))
-    both = snapshot_rows.select("news_id", F.lit(0).alias("part"), F.col("rank").cast("long").alias("place")).unionByName(more.select("news_id", F.lit(1).alias("part"), order.cast("long").alias("place")))
-    return both.orderBy("part", "place", "news_id").limit(limit).select("news_id", "part")
+    """(news_id, part, place): the first 4 * limit of the snapshots; where they are under half the limit, the fallback fills up to 4 * limit.
+
+    ``place`` counts from 0 over both and is the order in which they are shown; only the first ``limit`` are.
+    """
+    most = FETCHED * limit
+    shown = snapshot_rows.orderBy("rank", F.desc("news_id")).limit(most).select("news_id", F.lit(0).alias("part"), F.col("rank").cast("double").alias("key"), F.lit(None).cast("timestamp_ntz").alias("pub_date"))
+    have = shown.agg(F.count("*")).scalar()
+    more = fallback.join(snapshot_rows.select("news_id"), "news_id", "left_anti").filter(have < limit // 2)
+    both = shown.unionByName(more.select("news_id", F.lit(1).alias("part"), (-F.col("ctr")).alias("key"), F.col("pub_date").cast("timestamp_ntz").alias("pub_date")))
+    return numbered(both, F.col("part"), F.col("key"), F.desc("pub_date"), F.desc("news_id"), limit=limit).select("news_id", "part", "place")
 
 
 def news_entities(news_keyword: DataFrame, news_stock: DataFrame) -> DataFrame:
@@ -172,6 +166,15 @@ def rank_candidates(scored: DataFrame, limit: int, least: float | None = None) -
     return out if least is None else out.filter(F.col("score") >= least)
 
 
+def with_vectors(query: DataFrame, candidates: DataFrame, entities: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The users of whom any entity asked for, or of any candidate, has a vector; the others' candidates are not scored."""
+    known = vectors.filter(F.size("vector") > 0).select(F.lower("type").alias("type"), "id").distinct()
+    asked = query.select("user_id", "type", "id").join(known, ["type", "id"], "left_semi").select("user_id")
+    shown = entities.join(known, ["type", "id"], "left_semi").select("news_id").distinct()
+    offered = candidates.join(query.select("user_id").distinct(), "user_id", "left_semi").join(shown, "news_id", "left_semi").select("user_id")
+    return asked.unionByName(offered).distinct()
+
+
 def onboarding_path(scored: DataFrame, query: DataFrame, limit: int) -> DataFrame:
     """The best of users with a profile; others have none."""
     return rank_candidates(scored.join(query.select("user_id").distinct(), "user_id", "left_semi"), limit)
@@ -185,52 +188,6 @@ def behavior_path(scored: DataFrame, query: DataFrame, limit: int, least: float)
     return ranked.unionByName(rank_candidates(plain, limit))
 
 
-def without(rows: DataFrame, *picked: DataFrame) -> DataFrame:
-    """The rows whose (user_id, news_id) none of the others has."""
-    for other in picked:
-        rows = rows.join(other.select("user_id", "news_id"), ["user_id", "news_id"], "left_anti")
-    return rows
-
-
-def path_cascade(paths: list[tuple[str, DataFrame]]) -> DataFrame:
-    """(user_id, news_id, path, pos): every news in the first path that has it, the paths' order kept."""
-    out = None
-    for i, (name, rows) in enumerate(paths):
-        rows = rows.select("user_id", "news_id", F.lit(name).alias("path"), F.lit(i).alias("turn"), F.col("rank").cast("long").alias("place"))
-        out = rows if out is None else out.unionByName(rows)
-    first = F.row_number().over(W.partitionBy("user_id", "news_id").orderBy("turn", "place"))
-    kept = out.withColumn("rn", first).filter("rn = 1")
-    return kept.select("user_id", "news_id", "path", (F.row_number().over(W.partitionBy("user_id", "path").orderBy("place")) - 1).alias("pos"))
-
-
-def breaking_replenish(cascade: DataFrame, supplemental: DataFrame, least: int, limit: int) -> DataFrame:
-    """Fills each user's breaking path up to ``least`` from the oldest supplemental news, taking them out of onboarding.
-
-    ``supplemental`` has user_id, news_id and rank, the newest first.
-    """
-    have = cascade.filter("path = 'breaking'").groupBy("user_id").agg(F.count("*").alias("have"))
-    blocked = cascade.filter("path IN ('breaking', 'behavior')").select("user_id", "news_id")
-    free = supplemental.join(blocked, ["user_id", "news_id"], "left_anti").join(have, "user_id", "left")
-    need = F.lit(least) - F.coalesce("have", F.lit(0))
-    oldest = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("rank")))
-    added = free.withColumn("nth", oldest).filter(F.col("nth") <= need).select("user_id", "news_id", F.lit("breaking").alias("path"), (F.lit(1 << 20) + F.col("rank")).cast("long").alias("pos"))
-    gone = added.select("user_id", "news_id", F.lit("onboarding").alias("path"))
-    both = cascade.join(gone, ["user_id", "news_id", "path"], "left_anti").select("user_id", "news_id", "path", F.col("pos").cast("long").alias("pos")).unionByName(added)
-    both = both.withColumn("pos", F.row_number().over(W.partitionBy("user_id", "path").orderBy("pos")) - 1)
-    return both.filter((F.col("path") != "breaking") | (F.col("pos") < limit))
-
-
-def fallback_reason(counts: DataFrame) -> DataFrame:
-    """(user_id, reason) from failure flags, path counts and the user's state; null where nothing fell back."""
-    only = (F.col("onboarding") + F.col("behavior") + F.col("breaking") == 0) & (F.col("popular") > 0)
-    nothing = F.col("onboarding") + F.col("behavior") + F.col("breaking") + F.col("popular") == 0
-    reason = F
-    for path in ("onboarding", "behavior", "breaking", "popular"):
-        reason = reason.when(F.col(f"{path}_failed"), f"{path}_failed")
-    reason = reason.when(nothing, "retrieval_failed").when(only & F.col("has_signals"), "primary_failed_use_exploration").when(F.col("behavior_insufficient"), "behavior_insufficient")
-    return counts.select("user_id", reason.otherwise(F.lit(None)).alias("reason"))
-
-
 def suppression(acted: DataFrame, read: DataFrame, served: DataFrame, as_of: str, recent_seconds: int = 3600, floor: float = 0.2, step: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """(excluded pairs, multipliers): acted on, read or just served news; others served are marked down."""
     at = F.lit(as_of).cast("timestamp_ntz")
@@ -346,40 +303,73 @@ def arm_params(lookup: DataFrame, prior=(1.0, 199.0), w_global: float = 0.05, w_
     return own.select("user_id", "path", value(prior[0], "ga", "alpha").alias("alpha"), value(prior[1], "gb", "beta").alias("beta"))
 
 
+def uniform(*parts: Column | int) -> Column:
+    """A number in (0, 1) that follows the parts alone."""
+    mixed = F.xxhash64(*[(p if isinstance(p, Column) else F.lit(p)).cast("long") for p in parts])
+    return (F.shiftrightunsigned(mixed, 11).cast("double") + 0.5) / float(1 << 53)
+
+
+#: Draws that a gamma variate tries; each is accepted in over nine cases of ten, and the last resort is its mode.
+TRIES = 24
+
+
+def gamma_draw(shape: Column, *parts: Column | int) -> Column:
+    """A gamma variate of the shape (over 0) from uniforms of the parts, by squeezed cubes of normal variates."""
+    raised = F.when(shape < 1, shape + 1).otherwise(shape)
+    d = raised - 1.0 / 3
+    c = 1 / F.sqrt(9 * d)
+
+    def tried(done: Column, i: Column) -> Column:
+        u, v, w = (uniform(*parts, i, k) for k in range(3))
+        x = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)
+        cube = F.pow(1 + c * x, F.lit(3.0))
+        fits = (cube > 0) & (F.log(w) < 0.5 * x * x + d - d * cube + d * F.log(F.greatest(cube, F.lit(1e-300))))
+        return F.coalesce(done, F.when(fits, d * cube))
+
+    drawn = F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast("double"), tried), d)
+    return F.when(shape < 1, drawn * F.pow(uniform(*parts, TRIES, 0), 1 / shape)).otherwise(drawn)
+
+
 def thompson_mix(candidates: DataFrame, params: DataFrame, mode: str = "sample", seed: int = 7, batch: int = 20, least: int = 2) -> DataFrame:
     """(user_id, pos, news_id, path): slot by slot the arm of the highest draw; arms below ``least`` in a batch go first.
 
-    Mode 'mean' takes alpha / (alpha + beta) for every draw. A user's candidates are bounded by the paths' limits.
+    Mode 'mean' takes alpha / (alpha + beta) for every draw, 'sample' a beta variate that
+    follows seed, user, slot and arm. All slots of a user are a fold inside one row; its
+    lists are bounded by the paths' limits. Users without parameters have 1 and 1.
     """
-    import numpy as np
-    import pandas as pd
-
-    listed = candidates.groupBy("user_id", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "news_id"))), lambda x: x["news_id"]).alias("items"))
-    rows = listed.join(params, ["user_id", "path"], "left").select("user_id", "path", "items", F.coalesce("alpha", F.lit(1.0)).alias("alpha"), F.coalesce("beta", F.lit(1.0)).alias("beta"))
-
-    def mix(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.set_index("path")
-        arms = [p for p in ARMS if p in group.index]
-        queues, at = {p: list(group.at[p, "items"]) for p in arms}, {p: 0 for p in arms}
-        user = group["user_id"].iloc[0]
-        rng = np.random.default_rng([seed, int(user) & 0xFFFFFFFF])
-        out = []
-        while any(at[p] < len(queues[p]) for p in arms):
-            counts = {p: 0 for p in arms}
-            for _ in range(min(batch, sum(len(queues[p]) - at[p] for p in arms))):
-                draws = []
-                for p in arms:
-                    if at[p] < len(queues[p]):
-                        a, b = group.at[p, "alpha"], group.at[p, "beta"]
-                        draw = a / (a + b) if mode == "mean" else rng.beta(max(a, 1e-6), max(b, 1e-6))
-                        draws.append((draw + (1e6 if counts[p] < least else 0), -arms.index(p), p))
-                p = max(draws)[2]
-                out.append((user, len(out), queues[p][at[p]], p))
-                at[p] += 1
-                counts[p] += 1
-        return pd.DataFrame(out, columns=["user_id", "pos", "news_id", "path"])
-
-    return rows.groupBy("user_id").applyInPandas(mix, "user_id long, pos long, news_id long, path string")
+    lists = [F.transform(F.sort_array(F.collect_list(F.when(F.col("path") == arm, F.struct("pos", "news_id")))), lambda x: x["news_id"]).alias(arm) for arm in ARMS]
+    rows = candidates.filter(F.col("path").isin(*ARMS)).groupBy("user_id").agg(*lists)
+    of = [F.max(F.when(F.col("path") == arm, F.col(c))) for c in ("alpha", "beta") for arm in ARMS]
+    given = params.groupBy("user_id").agg(F.array(*of[:4]).alias("a"), F.array(*of[4:]).alias("b"))
+    rows = rows.join(given, "user_id", "left").select("user_id", F.array(*ARMS).alias("queues"), *[F.transform(F.coalesce(c, F.array_repeat(F.lit(1.0), 4)), lambda x: F.coalesce(x, F.lit(1.0))).alias(c) for c in ("a", "b")])
+    arms = F.sequence(F.lit(0), F.lit(len(ARMS) - 1))
+    zeros = F.array_repeat(F.lit(0), len(ARMS))
+
+    def draw(slot: Column, i: Column) -> Column:
+        a, b = F.get("a", i), F.get("b", i)
+        if mode == "mean":
+            return a / (a + b)
+        x, y = (gamma_draw(F.greatest(v, F.lit(1e-6)), seed, F.col("user_id"), slot, i, k) for k, v in enumerate((a, b)))
+        return x / F.greatest(x + y, F.lit(1e-300))
+
+    def step(state: Column, slot: Column) -> Column:
+        counts = F.when(slot % batch == 0, zeros).otherwise(state["counts"])
+        open_ = F.filter(arms, lambda i: F.get(state["at"], i) < F.size(F.get("queues", i)))
+        scored = F.transform(open_, lambda i: F.struct((draw(slot, i) + F.when(F.get(counts, i) < least, 1e6).otherwise(0.0)).alias("score"), (-i).alias("arm")))
+        best = -F.array_max(scored)["arm"]
+        # One element is chosen; the lambda binds it so that draws are made once.
+        return F.element_at(F.transform(F.array(best), lambda arm: F.struct(
+            F.transform(state["at"], lambda x, i: x + (i == arm).cast("int")).alias("at"),
+            F.transform(counts, lambda x, i: x + (i == arm).cast("int")).alias("counts"),
+            F.concat(state["out"], F.array(F.struct(F.get(F.get("queues", arm), F.get(state["at"], arm)).alias("news_id"), arm.alias("arm")))).alias("out"),
+        )), 1)
+
+    start = F.struct(zeros.alias("at"), zeros.alias("counts"), F.array().cast("array<struct<news_id:bigint,arm:int>>").alias("out"))
+    total = F.aggregate("queues", F.lit(0), lambda n, x: n + F.size(x))
+    slots = F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>"))
+    mixed = F.aggregate(slots, start, step)["out"]
+    each = rows.select("user_id", F.posexplode(mixed).alias("pos", "x"))
+    return each.select("user_id", F.col("pos").cast("long").alias("pos"), "x.news_id", F.get(F.array(*map(F.lit, ARMS)), F.col("x.arm")).alias("path"))
 
 
 def arm_scores(params: DataFrame) -> DataFrame:
@@ -405,19 +395,26 @@ def variant_slots(spec: str) -> list[str]:
 
 
 def assign_variant(requests: DataFrame, slots: list[str]) -> DataFrame:
-    """adds ``variant``; requests from a user's sixth on take the slots in turn, for which only they count; an override wins."""
+    """adds ``variant``; requests from a user's sixth on take the slots in turn, for which only they count; an override wins.
+
+    Without slots all recommend.
+    """
     prior = F.count("*").over(W.partitionBy("user_id").orderBy("ts", "request_id").rowsBetween(W.unboundedPreceding, -1))
     rows = requests.withColumn("eligible", (prior >= 5) & F.col("override").isNull())
     turn = F.sum(F.col("eligible").cast("long")).over(W.partitionBy("user_id").orderBy("ts", "request_id"))
+    slots = slots or ["recommend"]
     slot = F.element_at(F.array(*map(F.lit, slots)), ((turn - 1) % len(slots) + 1).cast("int"))
     return rows.withColumn("variant", F.when(F.col("override").isNotNull(), F.col("override")).when(F.col("eligible"), slot).otherwise("recommend"))
 
 
-def random_timeline(pool: DataFrame, users: DataFrame, seed: int) -> DataFrame:
-    """the bounded pool in an order of its own for each user."""
-    rows = users.select("user_id").crossJoin(F.broadcast(pool.select("news_id")))
+def random_timeline(pool: DataFrame, users: DataFrame, exclude: DataFrame, seed: int, articles: DataFrame, limit: int, drawn: int = 100) -> DataFrame:
+    """of the bounded pool (news_id, place) each user's first ``drawn`` that aren't excluded, in an order of the user's own.
+
+    The same columns as ``latest_timeline``; users with none get the newest ``limit`` news.
+    """
+    rows = free_lists(pool.select("news_id", "place"), users, exclude, drawn)
     order = W.partitionBy("user_id").orderBy(hashed(seed, F.col("user_id"), F.col("news_id")), "news_id")
-    return rows.withColumn("pos", F.row_number().over(order) - 1)
+    return _or_latest(rows.withColumn("pos", F.row_number().over(order) - 1), "random", articles, users, exclude, limit)
 
 
 def latest_timeline(articles: DataFrame, users: DataFrame, exclude: DataFrame, limit: int) -> DataFrame:
@@ -426,18 +423,18 @@ def latest_timeline(articles: DataFrame, users: DataFrame, exclude: DataFrame, l
     return rows.select("user_id", "pos", "news_id", F.lit("latest").alias("path"), F.lit(None).cast("string").alias("fallback_reason"))
 
 
-def pool_timeline(pool: DataFrame, users: DataFrame, exclude: DataFrame, path: str, articles: DataFrame, limit: int) -> DataFrame:
+def pool_timeline(pool: DataFrame, users: DataFrame, exclude: DataFrame, path: str, articles: DataFrame, limit: int, shown: int | None = None) -> DataFrame:
     """the bounded pool (news_id, place) for each user, less what is excluded; users with none left get the newest news.
 
     The same columns as ``latest_timeline``; the path of those users is 'latest' and the reason "<path>_pool_empty".
     """
-    rows = users.select("user_id").crossJoin(F.broadcast(pool.select("news_id", "place")))
-    rows = rows.join(exclude.select("user_id", "news_id").distinct(), ["user_id", "news_id"], "left_anti")
-    pos = F.row_number().over(W.partitionBy("user_id").orderBy("place", "news_id")) - 1
-    found = rows.select("user_id", pos.alias("pos"), "news_id", F.lit(path).alias("path"), F.lit(None).cast("string").alias("fallback_reason"))
+    return _or_latest(free_lists(pool.select("news_id", "place"), users, exclude, shown or (1 << 30)), path, articles, users, exclude, limit)
+
+
+def _or_latest(rows: DataFrame, path: str, articles: DataFrame, users: DataFrame, exclude: DataFrame, limit: int) -> DataFrame:
+    found = rows.select("user_id", F.col("pos").cast("long").alias("pos"), "news_id", F.lit(path).alias("path"), F.lit(None).cast("string").alias("fallback_reason"))
     empty = users.select("user_id").join(rows.select("user_id").distinct(), "user_id", "left_anti")
-    rest = latest_timeline(articles, empty, exclude, limit).withColumn("fallback_reason", F.lit(f"{path}_pool_empty"))
-    return found.unionByName(rest)
+    return found.unionByName(latest_timeline(articles, empty, exclude, limit).withColumn("fallback_reason", F.lit(f"{path}_pool_empty")))
 
 
 def impression_rows(timeline: DataFrame, sessions: DataFrame) -> DataFrame:

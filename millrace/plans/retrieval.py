@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions import text as t
 from millrace.operators import behaviour as d
 from millrace.operators import retrieval as r
+from millrace.operators import sessions as se
+from millrace.operators.pools import FETCHED, numbered
 from millrace.plans import behaviour as bq
 from millrace.plans.behaviour import SQL_D
 from millrace.plans.keep import kept
@@ -76,48 +78,56 @@ def _scores(s, p, query, boost, cand=None):
     return r.max_sim(query, r.entity_similarity(query, held, cand, vectors(s, p)), held, cand, boost, boosted)
 
 
-# How many candidates each path gives and the base pool has, and hours that pools go back.
-LIMITS = {"onboarding": 50, "behavior": 50, "breaking": 30, "popular": 30}
-BASE, HOURS, BREAKING_HOURS, STALE_MINUTES = 4 * 50, 72, 24, 1440
+LIMITS = se.Limits()
 
 
-def recent_articles(s, p, hours):
-    at = F.lit(AS_OF).cast("timestamp_ntz")
-    return a.articles(s, p).filter((F.col("pub_date") <= at) & (F.col("pub_date") >= at - F.make_interval(hours=F.lit(hours))))
+def seen_articles(s, p):
+    """News up to the moment that counts as now."""
+    return a.articles(s, p).filter(F.col("pub_date") <= F.lit(AS_OF).cast("timestamp_ntz"))
 
 
-def base_pool(s, p, excluded):
-    return r.recent_candidates(recent_articles(s, p, HOURS), users(s, p), excluded, AS_OF, BASE)
+def _snapshots(s, p, limit=2500):
+    return r.popular_from_snapshots(d.popular_top(bq._scored(s, p), END), a.read(s, p, "orders").select(F.col("o_orderkey").alias("news_id")), END, limit)
 
 
-def onboarding(s, p, pool):
-    query = r.onboarding_query(profile(s, p)).join(users(s, p), "user_id", "left_semi")
-    return r.onboarding_path(_scores(s, p, query, 0.35, pool), query, LIMITS["onboarding"])
+def _fallback(s, p, limit):
+    return r.popular_fallback(seen_articles(s, p), bq.metrics(s, p), AS_OF, limit, LIMITS.base_hours, END)
 
 
-def behavior(s, p, pool):
-    query = behavior_query(s, p)
-    return r.behavior_path(_scores(s, p, query, 0.2, pool), query, LIMITS["behavior"], 0.05)
+def _pools(s, p, excluded):
+    """The pools; the fallback reaches as deep as the most exclusions of a user among recent news make it."""
+    recent = seen_articles(s, p).filter(F.col("pub_date") >= F.lit(AS_OF).cast("timestamp_ntz") - F.make_interval(hours=F.lit(LIMITS.base_hours)))
+    most = excluded.join(recent.select("news_id"), "news_id").groupBy("user_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return se.pools(seen_articles(s, p), _snapshots(s, p), _fallback(s, p, 2 * FETCHED * LIMITS.popular + most), AS_OF, LIMITS, kept)
 
 
-def popular_pool(s, p):
-    """E6 as a bounded list with places, from snapshots and the fallback."""
-    found = r.popular_candidates(_popular(s, p), r.popular_fallback(a.articles(s, p), bq.metrics(s, p), AS_OF, 90, 24 * 3650), 4 * LIMITS["popular"])
-    return found.select("news_id", (F.col("part") * 1000 + F.row_number().over(W.partitionBy("part").orderBy("news_id"))).alias("place"))
+def _signals(s, p):
+    own = profile(s, p).join(users(s, p), "user_id", "left_semi")
+    return se.Signals(own.select("user_id"), kept(r.onboarding_query(own)), kept(behavior_query(s, p)), actions(s, p).select("user_id", "news_id"))
 
 
-def _cascade(s, p, excluded=None):
-    """Four paths, each from what those before it have left."""
-    excluded = kept(acted(s, p) if excluded is None else excluded)
-    pool = kept(base_pool(s, p, excluded))
-    first = kept(onboarding(s, p, pool))
-    second = kept(behavior(s, p, r.without(pool, first)))
-    taken = excluded.select("user_id", "news_id").unionByName(first.select("user_id", "news_id")).unionByName(second.select("user_id", "news_id"))
-    third = kept(r.recent_candidates(recent_articles(s, p, BREAKING_HOURS), users(s, p), taken, AS_OF, LIMITS["breaking"], STALE_MINUTES))
-    listed = users(s, p).select("user_id").crossJoin(F.broadcast(popular_pool(s, p)))
-    place = F.row_number().over(W.partitionBy("user_id").orderBy("place"))
-    fourth = r.without(listed, taken, third).withColumn("rank", place).filter(F.col("rank") <= LIMITS["popular"])
-    return r.path_cascade([("onboarding", first), ("behavior", second), ("breaking", third), ("popular", fourth)])
+def _failures(s, p):
+    """Lookups that failed, as customers' columns have it."""
+    c = a.read(s, p, "customer", "c_custkey", "c_acctbal", "c_mktsegment")
+    segment = {"onboarding_failed": "FURNITURE", "behavior_failed": "HOUSEHOLD", "breaking_failed": "AUTOMOBILE"}
+    flags = [((F.col("c_mktsegment") == v) & (F.col("c_acctbal") > 7000)).alias(k) for k, v in segment.items()]
+    return c.select(F.col("c_custkey").alias("user_id"), *flags, (F.col("c_acctbal") < 0).alias("lookup_failed"), (F.col("c_acctbal") > 9500).alias("base_failed"))
+
+
+def _rows(s, p, limits=LIMITS):
+    """Every user's four lists, before penalties, with acted news excluded and nothing failed."""
+    excluded = kept(acted(s, p))
+    found = _pools(s, p, excluded)
+    based = kept(se.with_failures(se.bases(users(s, p), excluded, found, limits), None))
+    return kept(se.retrieved(se.scored_paths(based, _signals(s, p), entities(s, p), vectors(s, p), limits, kept), found, limits))
+
+
+def _scored_list(path):
+    def query(s, p):
+        each = _rows(s, p).select("user_id", F.explode(path).alias("x"))
+        return each.select("user_id", "x.news_id", F.round("x.score", 4).alias("score"))
+
+    return query
 
 
 def lists(s, p):
@@ -136,7 +146,7 @@ def fixed(s, p):
 
 
 def _popular(s, p):
-    return r.popular_from_snapshots(d.popular_top(bq._scored(s, p), END), a.read(s, p, "orders").select(F.col("o_orderkey").alias("news_id")), END, 50)
+    return _snapshots(s, p, 50)
 
 
 def _requests(s, p):
@@ -149,16 +159,10 @@ def _penalised(s, p):
     return r.apply_exposure_penalty(shown, multipliers).withColumn("key", F.round("key", 6)).drop("score")
 
 
-def _flags(s, p):
-    c = a.read(s, p, "customer", "c_custkey")
-    k = F.col("c_custkey")
-    return c.select(k.alias("user_id"), *[(k % m == 0).cast("int").alias(n) for n, m in (("onboarding", 2), ("behavior", 3), ("breaking", 5), ("popular", 7))], *[(k % m == 0).alias(f"{n}_failed") for n, m in (("onboarding", 11), ("behavior", 13), ("breaking", 17), ("popular", 19))], (k % 4 == 0).alias("has_signals"), (k % 6 == 0).alias("behavior_insufficient"))
-
-
 def _most_acted(s, p):
     """The two news that most users acted on, as a pool."""
     counts = acted(s, p).join(a.articles(s, p).select("news_id"), "news_id").groupBy("news_id").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "news_id").limit(2).select("news_id", (-F.col("n")).alias("place"))
+    return numbered(counts, F.desc("n"), F.col("news_id"), limit=2).select("news_id", "place")
 
 
 def _sessions(s, p):
@@ -168,22 +172,20 @@ def _sessions(s, p):
     )
 
 
-def recommend_all(s, p):
-    """exclusions, the paths' candidates, penalties, arms, mix, guardrail and variants of all users, as pages."""
+def _sessions_of_all(s, p, failures=None):
     excluded, multipliers = r.suppression(acted(s, p), d.read_news(a.interactions(s, p), END, 31), d.recent_serves(a.serves(s, p), END, bq.HOURS), END)
     excluded = kept(excluded)
-    shown = _cascade(s, p, excluded).join(multipliers, ["user_id", "news_id"], "left")
-    by_path = W.partitionBy("user_id", "path")
-    key = (F.count("*").over(by_path) - F.col("pos")) * F.coalesce("multiplier", F.lit(1.0))
-    placed = shown.withColumn("key", key).withColumn("pos", F.row_number().over(by_path.orderBy(F.desc("key"), "pos")) - 1).select("user_id", "news_id", "path", "pos")
-    mixed = r.breaking_guardrail(r.thompson_mix(placed, params(s, p), "mean"))
-    last = r.assign_variant(_requests(s, p), r.variant_slots("recommend:3,latest:1,popular:1")).groupBy("user_id").agg(F.max_by("variant", F.struct("ts", "request_id")).alias("variant"))
-    of = kept(users(s, p).join(last, "user_id", "left").withColumn("variant", F.coalesce("variant", F.lit("recommend"))))
-    arm = lambda name: of.filter(F.col("variant") == name).select("user_id")
-    newest = r.latest_timeline(a.articles(s, p), arm("latest"), excluded, 100).drop("fallback_reason")
-    popular = r.pool_timeline(popular_pool(s, p), arm("popular"), excluded, "popular", a.articles(s, p), 20).drop("fallback_reason")
-    own = mixed.join(of.filter("variant NOT IN ('latest', 'popular')").select("user_id"), "user_id", "left_semi")
-    return r.page_slice(own.unionByName(newest).unionByName(popular), 20).join(of, "user_id")
+    last = r.assign_variant(_requests(s, p), r.variant_slots("recommend:3,latest:1,popular:1,random:1")).groupBy("user_id").agg(F.max_by("variant", F.struct("ts", "request_id")).alias("variant"))
+    recent = actions(s, p).groupBy("user_id").agg(F.count("*").alias("n"))
+    of = users(s, p).join(last, "user_id", "left").join(recent, "user_id", "left")
+    of = kept(of.select("user_id", F.coalesce("variant", F.lit("recommend")).alias("variant"), r.user_state(F.coalesce("n", F.lit(0)), F.lit("db")).alias("state")))
+    return se.sessions(of, excluded, multipliers, _signals(s, p), entities(s, p), vectors(s, p), _pools(s, p, excluded), kept, params(s, p), failures, LIMITS, "mean")
+
+
+def recommend_all(s, p):
+    """exclusions, the paths' candidates, penalties, arms, mix and variants of all users, as pages with what fell back."""
+    told, timelines = _sessions_of_all(s, p)
+    return r.page_slice(timelines, LIMITS.page).join(told, "user_id")
 
 
 q, o = {}, {}
@@ -198,16 +200,23 @@ def add(name, query, sql=None):
 add("e01_onboarding_profile", profile, "SELECT c_custkey AS user_id, CASE WHEN c_acctbal > 0 THEN [c_nationkey::VARCHAR] ELSE [] END AS stock_ids, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN ['Brand#' || c_nationkey] ELSE [] END AS keyword_ids FROM customer WHERE c_acctbal > 0 OR c_mktsegment IN ('BUILDING', 'MACHINERY')")
 add("e02_recent_candidates", candidates, "SELECT * FROM cand")
 add("e04_popular_from_snapshots", _popular, f"SELECT news_id, (row_number() OVER (ORDER BY score DESC, click_count DESC, impression_count DESC, news_id DESC) - 1)::INT AS rank, TIMESTAMP '{END}' AS snapshot_at FROM scored WHERE news_id IN (SELECT news_id FROM articles) ORDER BY score DESC, click_count DESC, impression_count DESC, news_id DESC LIMIT 50")
-add("e05_popular_fallback", lambda s, p: r.popular_fallback(a.articles(s, p), bq.metrics(s, p), AS_OF, 300, 24 * 3650).withColumn("ctr", F.round("ctr", 6)),
-    f"SELECT news_id, round(coalesce(c, 0), 6) AS ctr, pub_date FROM articles LEFT JOIN (SELECT news_id, sum(click_count) / nullif(sum(impression_count), 0) AS c FROM pm GROUP BY 1) USING (news_id) WHERE pub_date <= TIMESTAMP '{AS_OF}' AND pub_date >= TIMESTAMP '{AS_OF}' - INTERVAL 3650 DAY ORDER BY coalesce(c, 0) DESC, pub_date DESC, news_id DESC LIMIT 300")
+# Reference semantics of E5: rates of the last 7 days, news of the last 72 hours.
+FALLBACK_SQL = f"""fb AS (SELECT news_id, coalesce(c, 0) AS ctr, pub_date FROM articles
+  LEFT JOIN (SELECT news_id, sum(click_count) / nullif(sum(impression_count), 0) AS c FROM pm WHERE bucket_start >= TIMESTAMP '{END}' - INTERVAL 7 DAY GROUP BY 1) USING (news_id)
+  WHERE pub_date BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR AND TIMESTAMP '{AS_OF}')"""
+SNAPSHOT_SQL = """snaps AS (SELECT news_id, row_number() OVER (ORDER BY score DESC, click_count DESC, impression_count DESC, news_id DESC) - 1 AS rank
+  FROM scored WHERE news_id IN (SELECT news_id FROM articles))"""
+add("e05_popular_fallback", lambda s, p: _fallback(s, p, 300).withColumn("ctr", F.round("ctr", 6)),
+    f", {FALLBACK_SQL} SELECT news_id, round(ctr, 6) AS ctr, pub_date FROM fb ORDER BY fb.ctr DESC, pub_date DESC, news_id DESC LIMIT 300")
+# Of the newest 4 * 20 behind the offset, the first 20 that the user may see.
 add("e03_latest_ids", lambda s, p: r.latest_ids(a.articles(s, p), users(s, p), acted(s, p), 20, 5),
-    """ SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) - 6 AS pos FROM users, articles
-    WHERE NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = articles.news_id) QUALIFY pos BETWEEN 0 AND 19""")
-add("e06_popular_candidates", lambda s, p: r.popular_candidates(_popular(s, p), r.popular_fallback(a.articles(s, p), bq.metrics(s, p), AS_OF, 90, 24 * 3650), 150),
-    f""", snaps AS (SELECT news_id FROM scored WHERE news_id IN (SELECT news_id FROM articles) ORDER BY score DESC, click_count DESC, impression_count DESC, news_id DESC LIMIT 50),
-    fb AS (SELECT news_id FROM articles LEFT JOIN (SELECT news_id, sum(click_count) / nullif(sum(impression_count), 0) AS c FROM pm GROUP BY 1) USING (news_id)
-      WHERE pub_date <= TIMESTAMP '{AS_OF}' AND pub_date >= TIMESTAMP '{AS_OF}' - INTERVAL 3650 DAY ORDER BY coalesce(c, 0) DESC, pub_date DESC, news_id DESC LIMIT 90)
-    SELECT news_id, 0 AS part FROM snaps UNION ALL SELECT news_id, 1 FROM fb WHERE news_id NOT IN (SELECT news_id FROM snaps) AND (SELECT count(*) FROM snaps) < 75""")
+    """, fetched AS (FROM articles ORDER BY pub_date DESC, news_id DESC LIMIT 80 OFFSET 5)
+    SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) - 1 AS pos FROM users, fetched
+    WHERE NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = fetched.news_id) QUALIFY pos < 20""")
+add("e06_popular_candidates", lambda s, p: r.popular_candidates(_popular(s, p), _fallback(s, p, 600), 150),
+    f""", {SNAPSHOT_SQL}, {FALLBACK_SQL}, top AS (SELECT news_id, 0 AS part, row_number() OVER (ORDER BY rank) - 1 AS nth FROM snaps WHERE rank < 50),
+    more AS (SELECT news_id, 1, 50 + row_number() OVER (ORDER BY ctr DESC, pub_date DESC, news_id DESC) - 1 FROM fb WHERE news_id NOT IN (SELECT news_id FROM top) AND (SELECT count(*) FROM top) < 75)
+    SELECT news_id, part, (row_number() OVER (ORDER BY part, nth) - 1)::INT AS place FROM (FROM top UNION ALL FROM more) QUALIFY place < 150""")
 add("e07_news_entities", entities, "SELECT * FROM ent")
 add("e08_entity_vectors", lambda s, p: r.entity_vectors(entities(s, p), vectors(s, p)).select("type", "id", "news_id"), "SELECT type, id, news_id FROM ent JOIN vec USING (type, id)")
 add("e09_onboarding_query", lambda s, p: r.onboarding_query(profile(s, p)), "SELECT c_custkey AS user_id, 'stock' AS type, c_nationkey::VARCHAR AS id, 1.0::DOUBLE AS weight FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_custkey, 'keyword', 'Brand#' || c_nationkey, 1.0 FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
@@ -220,18 +229,51 @@ add("e14_max_sim", lambda s, p: _scores(s, p, behavior_query(s, p), 0.2).select(
     best AS (SELECT c.user_id, c.news_id, b.type, b.id, any_value(b.weight) AS weight, max(sim) AS sim FROM cand c JOIN ent e USING (news_id) JOIN sim s ON s.type = e.type AND s.id = e.id JOIN bq2 b ON b.user_id = c.user_id AND b.type = s.q_type AND b.id = s.q_id WHERE sim > 0 GROUP BY ALL),
     hits AS (SELECT c.user_id, c.news_id, count(DISTINCT e.id) AS hits FROM cand c JOIN ent e USING (news_id) JOIN vec USING (type, id) JOIN bq2 b ON b.user_id = c.user_id AND b.type = 'stock' AND e.type = 'stock' AND b.id = e.id AND b.frequency > 1 GROUP BY ALL)
     SELECT user_id, news_id, round(coalesce(sc, 0) + 0.2 * coalesce(hits, 0), 5) AS score FROM cand LEFT JOIN (SELECT user_id, news_id, sum(weight * sim) AS sc FROM best GROUP BY ALL) USING (user_id, news_id) LEFT JOIN hits USING (user_id, news_id)""")
-def _base(s, p):
-    return kept(base_pool(s, p, acted(s, p)))
-
-
 add("e15_rank_candidates", lambda s, p: r.rank_candidates(candidates(s, p).withColumn("score", F.round(F.col("news_id") % 7 + 0.0, 1)).drop("rank"), 5).select("user_id", "news_id", "rank"),
     " SELECT user_id, news_id, nth AS rank FROM (SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY news_id % 7 DESC, pub_date DESC, news_id DESC) AS nth FROM cand) WHERE nth <= 5")
-add("e16_onboarding_path", lambda s, p: onboarding(s, p, _base(s, p)).select("user_id", "news_id", F.round("score", 4).alias("score")))
-add("e17_behavior_path", lambda s, p: behavior(s, p, _base(s, p)).select("user_id", "news_id", F.round("score", 4).alias("score")))
-add("e18_path_cascade", _cascade)
-add("e19_breaking_replenish", lambda s, p: r.breaking_replenish(_cascade(s, p), base_pool(s, p, acted(s, p)).select("user_id", "news_id", "rank"), 8, LIMITS["breaking"]))
-add("e20_fallback_reason", lambda s, p: r.fallback_reason(_flags(s, p)),
-    "SELECT k AS user_id, CASE WHEN k % 11 = 0 THEN 'onboarding_failed' WHEN k % 13 = 0 THEN 'behavior_failed' WHEN k % 17 = 0 THEN 'breaking_failed' WHEN k % 19 = 0 THEN 'popular_failed' WHEN k % 2 <> 0 AND k % 3 <> 0 AND k % 5 <> 0 AND k % 7 <> 0 THEN 'retrieval_failed' WHEN k % 2 <> 0 AND k % 3 <> 0 AND k % 5 <> 0 AND k % 4 = 0 THEN 'primary_failed_use_exploration' WHEN k % 6 = 0 THEN 'behavior_insufficient' END AS reason FROM (SELECT c_custkey AS k FROM customer)")
+# The cascade of a user without failures: base pool of 200 from the newest 800 of 72 hours, each path from what those before it left.
+CASCADE_SQL = f""", {SNAPSHOT_SQL}, {FALLBACK_SQL}, lately AS (SELECT * FROM articles WHERE pub_date BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 72 HOUR AND TIMESTAMP '{AS_OF}'),
+newest AS (FROM lately ORDER BY pub_date DESC, news_id DESC LIMIT 800),
+base AS (SELECT user_id, news_id, pub_date, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) AS nth
+  FROM users, newest WHERE NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = newest.news_id) QUALIFY nth <= 200),
+sim AS (SELECT q.type AS q_type, q.id AS q_id, c.type, c.id, list_cosine_similarity(q.vector, c.vector) * CASE WHEN q.type <> c.type THEN 0.9 WHEN q.type = 'stock' THEN 1.15 ELSE 1.0 END AS sim FROM vec q, vec c),
+held AS (SELECT news_id, type, id FROM ent JOIN vec USING (type, id) WHERE news_id IN (SELECT news_id FROM newest)),
+asked AS (SELECT c_custkey AS user_id, 'stock' AS type, c_nationkey::VARCHAR AS id, 1.0::DOUBLE AS weight, 'onboarding' AS path, true AS boosted FROM customer WHERE c_acctbal > 0
+  UNION ALL SELECT c_custkey, 'keyword', 'Brand#' || c_nationkey, 1.0, 'onboarding', false FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
+  UNION ALL SELECT user_id, type, id, weight, 'behavior', type = 'stock' AND frequency > 1 FROM bq2),
+best AS (SELECT a.path, b.user_id, b.news_id, a.type, a.id, any_value(a.weight) AS weight, max(s.sim) AS sim
+  FROM base b JOIN held h USING (news_id) JOIN asked a ON a.user_id = b.user_id JOIN sim s ON s.q_type = a.type AND s.q_id = a.id AND s.type = h.type AND s.id = h.id WHERE s.sim > 0 GROUP BY ALL),
+hits AS (SELECT a.path, b.user_id, b.news_id, count(DISTINCT h.id) AS hits FROM base b JOIN held h USING (news_id) JOIN asked a ON a.user_id = b.user_id AND a.boosted AND h.type = 'stock' AND h.id = a.id GROUP BY ALL),
+rated AS (SELECT p.path, b.*, coalesce(s.score, 0) + CASE p.path WHEN 'onboarding' THEN 0.35 ELSE 0.2 END * coalesce(hits, 0) AS score
+  FROM base b JOIN (SELECT DISTINCT path, user_id FROM asked) p USING (user_id)
+  LEFT JOIN (SELECT path, user_id, news_id, sum(weight * sim) AS score FROM best GROUP BY ALL) s ON s.path = p.path AND s.user_id = b.user_id AND s.news_id = b.news_id
+  LEFT JOIN hits h ON h.path = p.path AND h.user_id = b.user_id AND h.news_id = b.news_id),
+onb AS (SELECT user_id, news_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pub_date DESC, news_id DESC) AS nth FROM rated WHERE path = 'onboarding' QUALIFY nth <= 50),
+left1 AS (SELECT * FROM base b WHERE NOT EXISTS (SELECT 1 FROM onb o WHERE o.user_id = b.user_id AND o.news_id = b.news_id)
+  AND NOT EXISTS (SELECT 1 FROM actions x WHERE x.user_id = b.user_id AND x.news_id = b.news_id)),
+beh AS (SELECT user_id, news_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, pub_date DESC, news_id DESC) AS nth FROM rated r
+    WHERE path = 'behavior' AND EXISTS (SELECT 1 FROM left1 l WHERE l.user_id = r.user_id AND l.news_id = r.news_id) QUALIFY nth <= 50 AND score >= 0.05
+  UNION ALL SELECT user_id, news_id, NULL, row_number() OVER (PARTITION BY user_id ORDER BY nth) AS n FROM left1
+    WHERE user_id IN (SELECT user_id FROM actions) AND user_id NOT IN (SELECT user_id FROM bq2) QUALIFY n <= 50),
+taken2 AS (SELECT user_id, news_id FROM acted UNION SELECT user_id, news_id FROM onb UNION SELECT user_id, news_id FROM beh),
+fresh AS (FROM lately WHERE pub_date >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR ORDER BY pub_date DESC, news_id DESC LIMIT 120),
+brk AS (SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) AS nth FROM users, fresh f
+  WHERE NOT EXISTS (SELECT 1 FROM taken2 t WHERE t.user_id = users.user_id AND t.news_id = f.news_id) QUALIFY nth <= 30),
+taken3 AS (FROM taken2 UNION SELECT user_id, news_id FROM brk),
+shown AS (SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS nth FROM users, snaps
+  WHERE NOT EXISTS (SELECT 1 FROM taken3 t WHERE t.user_id = users.user_id AND t.news_id = snaps.news_id) QUALIFY nth <= 120),
+pop AS (SELECT user_id, news_id, nth FROM shown UNION ALL
+  SELECT user_id, news_id, 120 + row_number() OVER (PARTITION BY user_id ORDER BY ctr DESC, pub_date DESC, news_id DESC) FROM users, fb
+  WHERE user_id NOT IN (SELECT user_id FROM shown GROUP BY 1 HAVING count(*) >= 15) AND NOT EXISTS (SELECT 1 FROM taken3 t WHERE t.user_id = users.user_id AND t.news_id = fb.news_id)
+  AND NOT EXISTS (SELECT 1 FROM shown t WHERE t.user_id = users.user_id AND t.news_id = fb.news_id)),
+casc AS (SELECT user_id, news_id, 'onboarding' AS path, nth FROM onb UNION ALL SELECT user_id, news_id, 'behavior', nth FROM beh UNION ALL SELECT user_id, news_id, 'breaking', nth FROM brk
+  UNION ALL SELECT user_id, news_id, 'popular', nth FROM pop)
+"""
+add("e16_onboarding_path", _scored_list("onboarding"), CASCADE_SQL + "SELECT user_id, news_id, round(score, 4) AS score FROM onb")
+add("e17_behavior_path", _scored_list("behavior"), CASCADE_SQL + "SELECT user_id, news_id, round(score, 4) AS score FROM beh")
+add("e18_path_cascade", lambda s, p: se.path_rows(_rows(s, p)), CASCADE_SQL + "SELECT user_id, news_id, path, row_number() OVER (PARTITION BY user_id, path ORDER BY nth) - 1 AS pos FROM casc QUALIFY path <> 'popular' OR pos < 30")
+add("e19_breaking_replenish", lambda s, p: se.path_rows(_rows(s, p, LIMITS._replace(replenish=8))))
+add("e20_fallback_reason", lambda s, p: _sessions_of_all(s, p, _failures(s, p))[0])
 add("e21_suppression", lambda s, p: r.suppression(acted(s, p), d.read_news(a.interactions(s, p), END, 31), d.recent_serves(a.serves(s, p), END, bq.HOURS), END, 86400)[0], f"SELECT user_id, news_id FROM acted UNION SELECT user_id, news_id FROM (SELECT user_id, news_id, max(created_at) AS m FROM items GROUP BY ALL) WHERE m >= TIMESTAMP '{END}' - INTERVAL 1 DAY")
 add("e22_exposure_penalty", _penalised,
     ", pen AS (SELECT l.user_id, l.news_id, l.pos + 1 AS rank, (count(*) OVER (PARTITION BY l.user_id) - l.pos) * greatest(0.2, 1 - 0.25 * c.n) AS key FROM lists l JOIN (SELECT user_id, news_id, count(*) AS n FROM items GROUP BY ALL) c USING (user_id, news_id) WHERE path = 'popular') SELECT user_id, news_id, rank, round(key, 6) AS key, row_number() OVER (PARTITION BY user_id ORDER BY key DESC, rank) AS new_rank FROM pen")
@@ -255,17 +297,23 @@ add("f09_assign_variant", lambda s, p: r.assign_variant(_requests(s, p), r.varia
     """, req AS (SELECT DISTINCT user_id, request_id, id, created_at AS ts FROM served), el AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) > 5 AND id % 11 <> 0 AS eligible FROM req)
     SELECT user_id, request_id, eligible, CASE WHEN id % 11 = 0 THEN 'forced' WHEN eligible THEN ['recommend', 'recommend', 'recommend', 'latest', 'popular'][1 + ((sum(eligible::INT) OVER (PARTITION BY user_id ORDER BY ts, request_id) - 1) % 5)::INT] ELSE 'recommend' END AS variant FROM el""")
 add("f11_stable_bucket", lambda s, p: users(s, p).select("user_id", t.stable_bucket(F.lit("exp"), F.col("user_id"), 100).alias("bucket")), "SELECT user_id, (('0x' || substr(sha256('exp:' || user_id), 1, 16))::UBIGINT % 100)::INT AS bucket FROM users")
-add("f12_random_timeline", lambda s, p: r.random_timeline(a.articles(s, p).orderBy(F.desc("pub_date"), F.desc("news_id")).limit(50), users(s, p), 7),
-    ", p50 AS (FROM articles ORDER BY pub_date DESC, news_id DESC LIMIT 50) SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY ('0x' || substr(md5('7:' || user_id || ':' || news_id), 1, 15))::BIGINT, news_id) - 1 AS pos FROM users, p50")
+add("f12_random_timeline", lambda s, p: r.random_timeline(numbered(a.articles(s, p).select("news_id", "pub_date"), F.desc("pub_date"), F.desc("news_id"), limit=50), users(s, p), acted(s, p), 7, a.articles(s, p), 20, 30),
+    """, p50 AS (FROM articles ORDER BY pub_date DESC, news_id DESC LIMIT 50), p80 AS (FROM articles ORDER BY pub_date DESC, news_id DESC LIMIT 80),
+    own AS (SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) AS nth FROM users, p50
+      WHERE NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = p50.news_id) QUALIFY nth <= 30)
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ('0x' || substr(md5('7:' || user_id || ':' || news_id), 1, 15))::BIGINT, news_id) - 1 AS pos, news_id, 'random' AS path, NULL::VARCHAR AS fallback_reason FROM own
+    UNION ALL SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) - 1 AS pos, news_id, 'latest', 'random_pool_empty' FROM users, p80
+      WHERE user_id NOT IN (SELECT user_id FROM own) AND NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = p80.news_id)) WHERE pos < 20""")
+add("f04_thompson_sample", lambda s, p: r.thompson_mix(lists(s, p), params(s, p), "sample"))
 add("f12_latest_timeline", lambda s, p: r.latest_timeline(a.articles(s, p), users(s, p), acted(s, p), 20),
     """ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) - 1 AS pos, news_id, 'latest' AS path, NULL::VARCHAR AS fallback_reason
-    FROM users, articles WHERE NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = articles.news_id) QUALIFY pos < 20""")
+    FROM users, (FROM articles ORDER BY pub_date DESC, news_id DESC LIMIT 80) f WHERE NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = f.news_id) QUALIFY pos < 20""")
 add("f12_popular_timeline", lambda s, p: r.pool_timeline(_most_acted(s, p), users(s, p), acted(s, p), "popular", a.articles(s, p), 10),
     """, pop AS (SELECT news_id, row_number() OVER (ORDER BY count(*) DESC, news_id) - 1 AS place FROM acted JOIN articles USING (news_id) GROUP BY news_id QUALIFY place < 2),
     kept AS (SELECT user_id, news_id, row_number() OVER (PARTITION BY user_id ORDER BY place) - 1 AS pos FROM users, pop WHERE NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = pop.news_id))
     SELECT user_id, pos, news_id, 'popular' AS path, NULL::VARCHAR AS fallback_reason FROM kept UNION ALL
-    SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) - 1 AS pos, news_id, 'latest', 'popular_pool_empty' FROM users, articles
-    WHERE user_id NOT IN (SELECT user_id FROM kept) AND NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = articles.news_id)) WHERE pos < 10""")
+    SELECT * FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY pub_date DESC, news_id DESC) - 1 AS pos, news_id, 'latest', 'popular_pool_empty' FROM users, (FROM articles ORDER BY pub_date DESC, news_id DESC LIMIT 40) f
+    WHERE user_id NOT IN (SELECT user_id FROM kept) AND NOT EXISTS (SELECT 1 FROM acted x WHERE x.user_id = users.user_id AND x.news_id = f.news_id)) WHERE pos < 10""")
 add("f17_impression_rows", lambda s, p: r.impression_rows(fixed(s, p), _sessions(s, p)),
     """, sess AS (SELECT user_id, min(request_id) AS request_id FROM served GROUP BY 1)
     SELECT request_id, request_id AS session_id, user_id, news_id, pos + 1 AS rank, path, 1 AS batch_generation_id, 'exp' AS experiment_id, 'recommend' AS variant FROM fixed JOIN sess USING (user_id) WHERE pos >= 10 AND pos < 30""")
