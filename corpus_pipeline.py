@@ -18,11 +18,26 @@ from millrace.llm.tables import stored, table
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it none of the documents' columns (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine predicts good; it learns from the labels that aren't held out."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").filter(~quality.held_out(4, 2))
-    scored = quality.classify(docs, quality.fit(docs, labels))
-    return scored.filter(F.col("score") >= quality.GOOD).drop("score")
+    (aside,) = unused(docs, "given_score")  # a column named score is the documents' own
+    given = [c for c in docs.columns if c.lower() == "score"]
+    kept = docs.withColumnsRenamed({c: aside for c in given})
+    good = quality.classify(kept, quality.fit(docs.select("doc_id", "text"), labels)).filter(F.col("score") >= quality.GOOD).drop("score")
+    return good.withColumnsRenamed({aside: c for c in given}).select(docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +46,20 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Documents without words are in no group and stay. Repeated rows stay once.
     """
+    (key,) = unused(docs, "key")
     groups = jaccard.near_roots(docs, words=5, percent=80)
     least = groups.filter("n_shingles > 0").groupBy("root").agg(F.min(jaccard.row_order()).alias("row"))
     stays = least.select("row.doc_id", "row.text_key").unionByName(groups.filter("n_shingles = 0").select("doc_id", "text_key").distinct())
-    keyed = docs.withColumn("_key", F.struct("doc_id", jaccard.text_key()))
-    stays = stays.select(F.struct("doc_id", "text_key").alias("_key"))
-    return keyed.join(stays, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    keyed = docs.withColumn(key, F.struct("doc_id", jaccard.text_key()))
+    stays = stays.select(F.struct("doc_id", "text_key").alias(key))
+    return keyed.join(stays, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mask; ``n_chars`` follows where the text changed."""
-    clean = secrets.redact(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    (before,) = unused(docs, "before")
+    clean = secrets.redact(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     kind = docs.schema["n_chars"].dataType
     return clean.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars"))).select(docs.columns)
 
@@ -52,10 +69,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are named by doc_id and a hash of the text; repeated rows share what they take, rounded up.
     """
-    keyed = docs.withColumn("_key", F.struct("doc_id", jaccard.text_key()))
-    taken = mixing.mix(keyed.select(F.col("_key").alias("doc_id"), "source", "text")).filter("copies > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_key")).agg(F.ceil(F.avg("copies")).cast("int").alias("_copies"))
-    return keyed.join(taken, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    key, copies, copy = unused(docs, "key", "copies", "copy")
+    keyed = docs.withColumn(key, F.struct("doc_id", jaccard.text_key()))
+    taken = mixing.mix(keyed.select(F.col(key).alias("doc_id"), "source", "text")).filter("copies > 0")
+    taken = taken.groupBy(F.col("doc_id").alias(key)).agg(F.ceil(F.avg("copies")).cast("int").alias(copies))
+    return keyed.join(taken, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,3 +97,19 @@ def test_unrelated_documents_of_null_or_repeated_ids_stay(spark):
     docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = pipeline.without_near_duplicates(spark, docs, SMALL).select("doc_id", "text").collect()
     assert sorted(map(tuple, got), key=str) == sorted([*rows[:4], rows[6]], key=str)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["_before", "before", "_key", "KEY", "_copies", "copies", "_copy", "copy", "score", "found", "text_key", "given_score", "held_out", "size"]
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").limit(30)
+    secret = [(1000 + i, f"word{i} and token=abcdefghijklm{i:03d} here", "en", "a", 40) for i in range(20)]
+    docs = rows.unionByName(spark.createDataFrame(secret, rows.schema))
+    docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    for _, stage in pipeline.STAGES[:4]:
+        after = stage(spark, docs, SMALL)
+        assert after.columns == docs.columns
+        told = after.collect()
+        assert told and all(r[n] == f"{n}{r.doc_id}" for r in told for n in names)
+        if stage is pipeline.without_secrets:
+            assert len(told) == 50 and not any("token=abcdef" in str(v) for r in told for v in r)
