@@ -20,20 +20,26 @@ def pair_cosine(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
 
 
 def explicit_rank_metrics(scores: DataFrame, k: int) -> DataFrame:
-    """H2: (type, mrr, hit) of (type, score, label): a positive's rank is 1 + the negatives with a higher score.
+    """H2: (type, mrr, hit) of (type, score, label): a positive's rank is 1 + the negatives with a higher score; 0 and 0
+    for a type without positives or without negatives.
 
     Negatives above are counted by distinct score: a window over the sums of scores, not over rows.
     """
     by_score = scores.groupBy("type", "score").agg(F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label") == 1).alias("pos"))
     above = F.coalesce(F.sum("neg").over(W.partitionBy("type").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = by_score.withColumn("rank", above + 1)
-    total = F.sum("pos")
+    total = F.when(F.sum("neg") > 0, F.nullif(F.sum("pos"), F.lit(0)))
     return ranked.groupBy("type").agg(
-        F.coalesce(F.sum(F.col("pos") / F.col("rank")) / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("mrr"),
-        F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("pos")).otherwise(0)) / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("hit"),
+        F.coalesce(F.sum(F.col("pos") / F.col("rank")) / total, F.lit(0.0)).alias("mrr"),
+        F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("pos")).otherwise(0)) / total, F.lit(0.0)).alias("hit"),
     )
 
 
+def mean_rank_metrics(metrics: DataFrame) -> DataFrame:
+    """H2: (mrr, hit): the means over types, each type counting once; 0 without types."""
+    return metrics.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("mrr", "hit")])
+
+
 def ground_truth(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
     """H3: (src, dst, strength) of pairs that share news."""
     return cooccurrence(left, right, same)
@@ -92,11 +98,13 @@ def block_ranks(asked: DataFrame, right: DataFrame, k: int, same: bool, block: i
 
 
 def diversity(vectors: DataFrame) -> DataFrame:
-    """H6: (type, similarity, variance, score): the mean cosine of different vectors, from the sum of unit vectors, and the mean variance by dimension."""
+    """H6: (type, similarity, variance, score): the mean cosine of different vectors, from the sum of unit vectors, and the mean
+    variance of the unit vectors by dimension; 0 and 0 for a type of one vector."""
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     each = vectors.select("type", norm.alias("norm"), F.posexplode("vector").alias("dim", "x")).withColumn("u", F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(0.0))
-    by_dim = each.groupBy("type", "dim").agg(F.sum("u").alias("s"), F.var_samp("x").alias("v"), F.count("*").alias("n"))
-    similarity = (F.sum(F.col("s") * F.col("s")) - F.max("n")) / (F.max("n") * (F.max("n") - 1))
+    by_dim = each.groupBy("type", "dim").agg(F.sum("u").alias("s"), F.coalesce(F.var_samp("u"), F.lit(0.0)).alias("v"), F.count("*").alias("n"))
+    pairs = F.nullif(F.max("n") * (F.max("n") - 1), F.lit(0))
+    similarity = F.coalesce((F.sum(F.col("s") * F.col("s")) - F.max("n")) / pairs, F.lit(0.0))
     return by_dim.groupBy("type").agg(similarity.alias("similarity"), F.avg("v").alias("variance")).withColumn("score", 1 - F.col("similarity"))
 
 

@@ -84,10 +84,11 @@ def _logged(lines: DataFrame, name: str, kind: str) -> DataFrame:
 
 
 def request_counters(requests: DataFrame, minutes: int = 5) -> DataFrame:
-    """Counts by window, state, experiment and variant."""
+    """Counts by window, state, experiment and variant. Cache, fallbacks, empty results and items are those of successful requests."""
+    good = ~F.coalesce("error", F.lit(False))
     counts = requests.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "user_state", "experiment_id", "variant").agg(
-        F.count("*").alias("requests"), F.count_if("error").alias("errors"), F.count_if(F.col("cache_status") == "hit").alias("cache_hits"),
-        F.count_if("fallback_used").alias("fallbacks"), F.count_if(F.col("returned") == 0).alias("empty"), F.sum("returned").alias("items"),
+        F.count("*").alias("requests"), F.count_if("error").alias("errors"), F.count_if(good & (F.col("cache_status") == "hit")).alias("cache_hits"),
+        F.count_if(good & F.col("fallback_used")).alias("fallbacks"), F.count_if(good & (F.col("returned") == 0)).alias("empty"), F.coalesce(F.sum(F.when(good, F.col("returned"))), F.lit(0)).alias("items"),
     )
     return counts.select(F.col("w.start").alias("window_start"), *counts.columns[1:])
 
@@ -144,10 +145,11 @@ def histogram_quantile(histogram: DataFrame, q: float) -> DataFrame:
 
 
 def rates(counters: DataFrame, minutes: int = 5) -> DataFrame:
-    """(window_start, alert, rate): ratios of per-second rates, the denominator at least 1."""
-    sums = counters.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in ("requests", "errors", "fallbacks", "empty")])
+    """(window_start, alert, rate): ratios of per-second rates, the denominator at least 1: errors of all requests,
+    fallbacks and empty results of the successful ones."""
+    sums = counters.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in ("requests", "errors", "fallbacks", "empty")]).withColumn("successes", F.col("requests") - F.col("errors"))
     per = lambda c: F.col(c) / (60.0 * minutes)
-    pairs = [F.struct(F.lit(n).alias("alert"), (per(c) / F.greatest(per("requests"), F.lit(1.0))).alias("rate")) for n, c in (("errors", "errors"), ("fallback", "fallbacks"), ("empty", "empty"))]
+    pairs = [F.struct(F.lit(n).alias("alert"), (per(c) / F.greatest(per(of), F.lit(1.0))).alias("rate")) for n, c, of in (("errors", "errors", "requests"), ("fallback", "fallbacks", "successes"), ("empty", "empty", "successes"))]
     return sums.select("window_start", F.explode(F.array(*pairs)).alias("x")).select("window_start", "x.alert", "x.rate")
 
 

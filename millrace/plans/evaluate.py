@@ -183,14 +183,20 @@ ranked AS (SELECT l.src, l.dst, l.news, 1 + (SELECT count(*) FROM every o WHERE
 per AS (SELECT c.category, coalesce(avg(1.0 / rank), 0) AS mrr, coalesce(avg((rank <= 10)::INT), 0) AS hit FROM cases c LEFT JOIN ranked r USING (src, dst) GROUP BY c.category, c.src, c.dst)"""
 add("h01_pair_cosine", lambda s, p: six(scored(s, p), "score"), H("SELECT src, dst, round(score, 6) AS score FROM sc"))
 add("h02_explicit_rank_metrics", lambda s, p: six(h.explicit_rank_metrics(_by_strength(s, p), 10), "mrr", "hit"),
-    SQL_H + ", lab AS (SELECT (src % 3)::VARCHAR AS type, round(score, 9) AS score, (strength % 2 = 0)::INT AS label FROM sc), rk AS (SELECT p.type, 1 + (SELECT count(*) FROM lab n WHERE n.type = p.type AND n.label = 0 AND n.score > p.score) AS rank FROM lab p WHERE label = 1) SELECT type, round(avg(1.0 / rank), 6) AS mrr, round(avg((rank <= 10)::INT), 6) AS hit FROM rk GROUP BY 1")
+    SQL_H + ", lab AS (SELECT (src % 3)::VARCHAR AS type, round(score, 9) AS score, (strength % 2 = 0)::INT AS label FROM sc), rk AS (SELECT p.type, 1 + (SELECT count(*) FROM lab n WHERE n.type = p.type AND n.label = 0 AND n.score > p.score) AS rank FROM lab p WHERE label = 1) SELECT t AS type, round(coalesce(avg(1.0 / rank) FILTER (negs), 0), 6) AS mrr, round(coalesce(avg((rank <= 10)::INT) FILTER (negs), 0), 6) AS hit FROM (SELECT type AS t, bool_or(label = 0) AS negs FROM lab GROUP BY 1) LEFT JOIN rk ON type = t GROUP BY 1")
+add("h02_rank_means", lambda s, p: six(h.mean_rank_metrics(h.explicit_rank_metrics(_by_strength(s, p), 10)), "mrr", "hit"),
+    SQL_H + """, lab AS (SELECT (src % 3)::VARCHAR AS type, round(score, 9) AS score, (strength % 2 = 0)::INT AS label FROM sc),
+    rk AS (SELECT p.type, 1 + (SELECT count(*) FROM lab n WHERE n.type = p.type AND n.label = 0 AND n.score > p.score) AS rank FROM lab p WHERE label = 1),
+    per AS (SELECT t, coalesce(avg(1.0 / rank) FILTER (negs), 0) AS mrr, coalesce(avg((rank <= 10)::INT) FILTER (negs), 0) AS hit
+      FROM (SELECT type AS t, bool_or(label = 0) AS negs FROM lab GROUP BY 1) LEFT JOIN rk ON type = t GROUP BY 1)
+    SELECT round(avg(mrr), 6) AS mrr, round(avg(hit), 6) AS hit FROM per""")
 add("h03_ground_truth", truth, H("SELECT * FROM truth"))
 add("h04_relation_retrieval", lambda s, p: six(h.relation_retrieval(truth(s, p), vectors(s, p, 1), vectors(s, p, 0), 10, False)[0], "recall", "ap"),
     SQL_H + RET + " SELECT * REPLACE (round(recall, 6) AS recall, round(ap, 6) AS ap) FROM per")
 add("h05_retrieval_means", lambda s, p: six(h.relation_retrieval(truth(s, p), vectors(s, p, 1), vectors(s, p, 0), 10, False)[1], "mrr", "hit", "recall", "map", "avg_positive_count"),
     SQL_H + RET + " SELECT round(avg(1.0 / rank), 6) AS mrr, round(avg(hit), 6) AS hit, round(avg(recall), 6) AS recall, round(avg(ap), 6) AS map, count(*) AS query_count, avg(candidates) AS candidate_count, round(avg(positives), 6) AS avg_positive_count FROM per")
 add("h06_diversity", lambda s, p: six(h.diversity(rq.vectors(s, p)), "similarity", "variance", "score"),
-    SQL_H + ", v AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'Stock' ELSE 'keyword' END AS type, vec_id, embedding::DOUBLE[] AS e FROM embeddings), pr AS (SELECT x.type, avg(list_cosine_similarity(x.e, y.e)) AS similarity FROM v x JOIN v y ON x.type = y.type AND x.vec_id <> y.vec_id GROUP BY 1), va AS (SELECT type, avg(v) AS variance FROM (SELECT type, dim, var_samp(x) AS v FROM (SELECT type, unnest(e) AS x, unnest(range(len(e))) AS dim FROM v) GROUP BY ALL) GROUP BY 1) SELECT type, round(similarity, 6) AS similarity, round(variance, 6) AS variance, round(1 - similarity, 6) AS score FROM pr JOIN va USING (type)")
+    SQL_H + ", v AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'Stock' ELSE 'keyword' END AS type, vec_id, embedding::DOUBLE[] AS e FROM embeddings), pr AS (SELECT x.type, avg(list_cosine_similarity(x.e, y.e)) AS similarity FROM v x JOIN v y ON x.type = y.type AND x.vec_id <> y.vec_id GROUP BY 1), va AS (SELECT type, avg(v) AS variance FROM (SELECT type, dim, var_samp(x) AS v FROM (SELECT type, unnest(list_transform(e, lambda y: y / sqrt(list_inner_product(e, e)))) AS x, unnest(range(len(e))) AS dim FROM v) GROUP BY ALL) GROUP BY 1) SELECT type, round(similarity, 6) AS similarity, round(variance, 6) AS variance, round(1 - similarity, 6) AS score FROM pr JOIN va USING (type)")
 add("h07_final_score", lambda s, p: six(h.final_score(h.explicit_rank_metrics(_by_strength(s, p), 10).withColumnRenamed("type", "relation"), ["0", "1", "2"]), "score"),
     SQL_H + ", lab AS (SELECT (src % 3)::VARCHAR AS type, round(score, 9) AS score, (strength % 2 = 0)::INT AS label FROM sc), rk AS (SELECT p.type, 1 + (SELECT count(*) FROM lab n WHERE n.type = p.type AND n.label = 0 AND n.score > p.score) AS rank FROM lab p WHERE label = 1), per AS (SELECT t AS type, coalesce(avg(1.0 / rank), 0) AS mrr, coalesce(avg((rank <= 10)::INT), 0) AS hit FROM (SELECT DISTINCT type AS t FROM lab) LEFT JOIN rk ON type = t GROUP BY 1) SELECT CASE WHEN count(*) = 3 THEN round((avg(mrr) + avg(hit)) / 2, 6) ELSE 0 END AS score, (count(*) <> 3)::INT AS missing FROM per")
 add("h08_golden_eval", lambda s, p: six(_golden(s, p)[0], "mrr", "hit"), SQL_H + GOLDEN + """ SELECT coalesce(category, 'all') AS category, count(*) AS cases, round(avg(mrr), 6) AS mrr, round(avg(hit), 6) AS hit
@@ -225,12 +231,12 @@ add("i06_embedding_coverage", lambda s, p: m.embedding_coverage(a.read(s, p, "em
 add("i07_health_summary", _health, SQL_D + " SELECT * FROM (VALUES ('bandit', 'ok', ''), ('paths', 'ok', ''), ('a2', 'failure', 'few news')) t(\"check\", severity, message)")
 J = lambda sql: SQL_J + " " + sql
 add("j01_parse_request_log", lambda s, p: ntz(requests(s, p), "ts").select("request_id", "user_id", "ts", "latency_ms", "cache_status", "fallback_used", "returned"), J("SELECT request_id, user_id, ts, latency_ms, cache_status, fallback_used, returned FROM reqs"))
-add("j02_request_counters", lambda s, p: ntz(counters(s, p), "window_start"), J("SELECT window_start, user_state, 'exp' AS experiment_id, variant, count(*) AS requests, count(*) FILTER (error) AS errors, count(*) FILTER (cache_status = 'hit') AS cache_hits, count(*) FILTER (fallback_used) AS fallbacks, count(*) FILTER (returned = 0) AS empty, sum(returned)::BIGINT AS items FROM wins GROUP BY ALL"))
+add("j02_request_counters", lambda s, p: ntz(counters(s, p), "window_start"), J("SELECT window_start, user_state, 'exp' AS experiment_id, variant, count(*) AS requests, count(*) FILTER (error) AS errors, count(*) FILTER (NOT error AND cache_status = 'hit') AS cache_hits, count(*) FILTER (NOT error AND fallback_used) AS fallbacks, count(*) FILTER (NOT error AND returned = 0) AS empty, coalesce(sum(returned) FILTER (NOT error), 0)::BIGINT AS items FROM wins GROUP BY ALL"))
 add("j03_latency_histogram", lambda s, p: ntz(m.latency_histogram(requests(s, p), [50, 100, 200, 400]), "window_start"), J("SELECT window_start, le, count(*) FILTER (latency_ms <= le) AS count FROM wins, (SELECT unnest([50, 100, 200, 400]) AS le) GROUP BY ALL"))
 add("j03_histogram_quantile", lambda s, p: ntz(six(m.histogram_quantile(m.latency_histogram(requests(s, p), [50, 100, 200, 400], 1440), 0.95), "quantile"), "window_start"))
-add("j04_rates", lambda s, p: ntz(six(m.rates(counters(s, p)), "rate"), "window_start"), J("SELECT window_start, unnest(['errors', 'fallback', 'empty']) AS alert, round(unnest([count(*) FILTER (error), count(*) FILTER (fallback_used), count(*) FILTER (returned = 0)]) / 300.0 / greatest(count(*) / 300.0, 1), 6) AS rate FROM wins GROUP BY window_start"))
+add("j04_rates", lambda s, p: ntz(six(m.rates(counters(s, p)), "rate"), "window_start"), J("SELECT window_start, unnest(['errors', 'fallback', 'empty']) AS alert, round(unnest([count(*) FILTER (error) / 300.0 / greatest(count(*) / 300.0, 1), count(*) FILTER (NOT error AND fallback_used) / 300.0 / greatest(count(*) FILTER (NOT error) / 300.0, 1), count(*) FILTER (NOT error AND returned = 0) / 300.0 / greatest(count(*) FILTER (NOT error) / 300.0, 1)]), 6) AS rate FROM wins GROUP BY window_start"))
 add("j05_sustained_alerts", lambda s, p: ntz(m.sustained_alerts(m.rates(counters(s, p)), 0.0, 10), "start", "end"),
-    SQL_J + """, r AS (SELECT DISTINCT window_start, alert FROM (SELECT window_start, 'errors' AS alert FROM wins WHERE error UNION ALL SELECT window_start, 'fallback' FROM wins WHERE fallback_used UNION ALL SELECT window_start, 'empty' FROM wins WHERE returned = 0)),
+    SQL_J + """, r AS (SELECT DISTINCT window_start, alert FROM (SELECT window_start, 'errors' AS alert FROM wins WHERE error UNION ALL SELECT window_start, 'fallback' FROM wins WHERE NOT error AND fallback_used UNION ALL SELECT window_start, 'empty' FROM wins WHERE NOT error AND returned = 0)),
     g AS (SELECT *, epoch(window_start) - 300 * row_number() OVER (PARTITION BY alert ORDER BY window_start) AS i FROM r) SELECT alert, min(window_start) AS start, max(window_start) + INTERVAL 5 MINUTE AS "end" FROM g GROUP BY alert, i HAVING count(*) * 5 >= 10""")
 add("j06_online_metrics", lambda s, p: six(m.online_metrics(_impressions(s, p), bq._opens(s, p)), "ctr", "ctr_at_5", "ctr_at_10", "ctr_at_20"),
     SQL_D + ", x AS (SELECT path, position AS rank, (o.request_id IS NOT NULL)::INT AS opened FROM items LEFT JOIN (SELECT DISTINCT request_id, user_id, news_id FROM opens) o USING (request_id, user_id, news_id)) SELECT path, count(*) AS impressions, round(avg(opened), 6) AS ctr, round(coalesce(avg(opened) FILTER (rank <= 5), 0), 6) AS ctr_at_5, round(coalesce(avg(opened) FILTER (rank <= 10), 0), 6) AS ctr_at_10, round(coalesce(avg(opened) FILTER (rank <= 20), 0), 6) AS ctr_at_20 FROM x GROUP BY path")

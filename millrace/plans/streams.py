@@ -130,11 +130,11 @@ ORACLES = {
     "k07_stream_posterior": SQL_D + """, hourly AS (SELECT date_trunc('hour', created_at) + INTERVAL 1 HOUR AS bucket_end, path, count(*) AS shown, count(*) FILTER (position = 1) AS reward FROM items GROUP BY ALL),
     slid AS (SELECT bucket_end + to_hours(i) AS window_end, path, sum(reward)::BIGINT AS reward_count, sum(shown)::BIGINT AS impression_count FROM hourly, range(1, 73) t(i) GROUP BY ALL)
     SELECT * FROM slid WHERE """ + CLOSED.format(end="window_end", ts="bucket_end", late=LATE, rows="hourly"),
-    "k08_stream_counters": SQL_J + """ SELECT window_start, user_state, 'exp' AS experiment_id, variant, count(*) AS requests, count(*) FILTER (error) AS errors, count(*) FILTER (cache_status = 'hit') AS cache_hits,
-    count(*) FILTER (fallback_used) AS fallbacks, count(*) FILTER (returned = 0) AS empty, sum(returned)::BIGINT AS items FROM wins WHERE """
+    "k08_stream_counters": SQL_J + """ SELECT window_start, user_state, 'exp' AS experiment_id, variant, count(*) AS requests, count(*) FILTER (error) AS errors, count(*) FILTER (NOT error AND cache_status = 'hit') AS cache_hits,
+    count(*) FILTER (NOT error AND fallback_used) AS fallbacks, count(*) FILTER (NOT error AND returned = 0) AS empty, coalesce(sum(returned) FILTER (NOT error), 0)::BIGINT AS items FROM wins WHERE """
     + CLOSED.format(end="window_start + INTERVAL 5 MINUTE", ts="ts", late=10, rows="wins") + " GROUP BY ALL",
     "k08_stream_alerts": SQL_J + ", shut AS (SELECT * FROM wins WHERE " + CLOSED.format(end="window_start + INTERVAL 5 MINUTE", ts="ts", late=10, rows="wins") + """),
-    r AS (SELECT DISTINCT window_start, alert FROM (SELECT window_start, 'errors' AS alert FROM shut WHERE error UNION ALL SELECT window_start, 'fallback' FROM shut WHERE fallback_used UNION ALL SELECT window_start, 'empty' FROM shut WHERE returned = 0)),
+    r AS (SELECT DISTINCT window_start, alert FROM (SELECT window_start, 'errors' AS alert FROM shut WHERE error UNION ALL SELECT window_start, 'fallback' FROM shut WHERE NOT error AND fallback_used UNION ALL SELECT window_start, 'empty' FROM shut WHERE NOT error AND returned = 0)),
     g AS (SELECT *, epoch(window_start) - 300 * row_number() OVER (PARTITION BY alert ORDER BY window_start) AS i FROM r)
     SELECT alert, min(window_start) AS start, max(window_start) + INTERVAL 5 MINUTE AS "end" FROM g GROUP BY alert, i HAVING count(*) * 5 >= 10""",
 }

@@ -93,3 +93,17 @@ def test_gold_similarity_filters_across_types_only(spark):
     assert got["keyword2stock", "gone"] == got["keyword2keyword", "gone"] == "- gone: NOT_FOUND"
     assert len(got) == 6
     assert line({"keyword": edges([(0, 0)]), "stock": edges([(0, 0)]).limit(0)})["keyword2stock", "chips"] == "- chips: A (1.0000), B (0.8000), C (0.0000)"
+
+
+def test_rank_metrics_without_one_side_are_zero(spark):
+    rows = [("a", 0.9, 1), ("a", 0.5, 1), ("b", 0.9, 0), ("c", 0.4, 1), ("c", 0.6, 0)]
+    frame = evaluate.explicit_rank_metrics(spark.createDataFrame(rows, "type string, score double, label int"), 1)
+    assert {r.type: (r.mrr, r.hit) for r in frame.collect()} == {"a": (0.0, 0.0), "b": (0.0, 0.0), "c": (0.5, 0.0)}
+    mean = evaluate.mean_rank_metrics(frame).first()
+    assert mean.mrr == pytest.approx(1 / 6) and mean.hit == 0
+
+
+def test_diversity_takes_unit_vectors(spark):
+    rows = [("a", [3.0, 0.0]), ("a", [0.0, 5.0]), ("one", [1.0, 2.0])]
+    got = {r.type: (r.similarity, r.variance) for r in evaluate.diversity(spark.createDataFrame(rows, "type string, vector array<double>")).collect()}
+    assert got["one"] == (0.0, 0.0) and got["a"] == (pytest.approx(0), pytest.approx(0.5))
