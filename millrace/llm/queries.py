@@ -10,16 +10,19 @@ from .tables import shared_path, table, text_of
 
 
 def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as GIF payloads, stored, read back and described. Null texts are empty; repeated rows stay; an empty table gives none."""
     return gif.read_payloads(gif.store_texts(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all texts and what they decode to, as digests. Null texts are empty; repeated rows stay; an empty table gives none."""
     import public_tokenizers
 
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts, with likenesses. Null texts are empty."""
     found = fingerprint.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint.spelled(F.col("samples")).alias("fingerprint"),
@@ -28,6 +31,7 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all texts: counts of the base kinds, and all spans. Null texts are empty."""
     found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
     base = F.filter("found", lambda s: s["ord"] < len(secrets.BASE))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
@@ -36,6 +40,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one planted one, formatted and read back. Null texts are empty."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     planted = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], rows.schema)
@@ -52,6 +57,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all texts, learnt from labels that aren't held out. Null and empty texts have a score too."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     held = quality.held_out(4, 2)
     model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality").filter(~held))
@@ -75,6 +81,7 @@ FROM said GROUP BY conv_id
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as an archive that holds each payload once, and read back. Null html is an empty payload."""
     path = shared_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -92,11 +99,13 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, digest AS payload_digest,
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix of all documents takes of each; null texts have size 0, a null source comes last."""
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all texts, learnt from documents that aren't held out; und where a text has no letter or is null."""
     docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
     held = quality.held_out(3, 1)
     found = language.identify(docs.select("doc_id", "text"), language.fit(docs.filter(~held)))
@@ -104,6 +113,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are alike from 0.9; texts without words are alone."""
     return jaccard.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90).drop("text_key")
 
 
