@@ -296,6 +296,9 @@ add("f05_mix_counts", lambda s, p: r.mix_counts(fixed(s, p)), "SELECT user_id, p
 add("f09_assign_variant", lambda s, p: r.assign_variant(_requests(s, p), r.variant_slots("recommend:3,latest:1,popular,bad:x")).select("user_id", "request_id", "eligible", "variant"),
     """, req AS (SELECT DISTINCT user_id, request_id, id, created_at AS ts FROM served), el AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) > 5 AND id % 11 <> 0 AS eligible FROM req)
     SELECT user_id, request_id, eligible, CASE WHEN id % 11 = 0 THEN 'forced' WHEN eligible THEN ['recommend', 'recommend', 'recommend', 'latest', 'popular'][1 + ((sum(eligible::INT) OVER (PARTITION BY user_id ORDER BY ts, request_id) - 1) % 5)::INT] ELSE 'recommend' END AS variant FROM el""")
+add("f10_experiment_eligible", lambda s, p: r.assign_variant(_requests(s, p), []).select("user_id", "request_id", "eligible", "variant"),
+    """, req AS (SELECT DISTINCT user_id, request_id, id, created_at AS ts FROM served)
+    SELECT user_id, request_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) > 5 AND id % 11 <> 0 AS eligible, CASE WHEN id % 11 = 0 THEN 'forced' ELSE 'recommend' END AS variant FROM req""")
 add("f11_stable_bucket", lambda s, p: users(s, p).select("user_id", t.stable_bucket(F.lit("exp"), F.col("user_id"), 100).alias("bucket")), "SELECT user_id, (('0x' || substr(sha256('exp:' || user_id), 1, 16))::UBIGINT % 100)::INT AS bucket FROM users")
 add("f12_random_timeline", lambda s, p: r.random_timeline(numbered(a.articles(s, p).select("news_id", "pub_date"), F.desc("pub_date"), F.desc("news_id"), limit=50), users(s, p), acted(s, p), 7, a.articles(s, p), 20, 30),
     """, p50 AS (FROM articles ORDER BY pub_date DESC, news_id DESC LIMIT 50), p80 AS (FROM articles ORDER BY pub_date DESC, news_id DESC LIMIT 80),
