@@ -102,8 +102,8 @@ def _pools(s, p, excluded):
 
 
 def _signals(s, p):
-    own = profile(s, p).join(users(s, p), "user_id", "left_semi")
-    return se.Signals(own.select("user_id"), kept(r.onboarding_query(own)), kept(behavior_query(s, p)), actions(s, p).select("user_id", "news_id"))
+    own, recent = kept(profile(s, p).join(users(s, p), "user_id", "left_semi")), kept(actions(s, p))
+    return se.Signals(own.select("user_id"), kept(r.onboarding_query(own)), kept(r.behavior_query(recent, END)), recent.select("user_id", "news_id"))
 
 
 def _failures(s, p):
@@ -176,10 +176,11 @@ def _sessions_of_all(s, p, failures=None):
     excluded, multipliers = r.suppression(acted(s, p), d.read_news(a.interactions(s, p), END, 31), d.recent_serves(a.serves(s, p), END, bq.HOURS), END)
     excluded = kept(excluded)
     last = r.assign_variant(_requests(s, p), r.variant_slots("recommend:3,latest:1,popular:1,random:1")).groupBy("user_id").agg(F.max_by("variant", F.struct("ts", "request_id")).alias("variant"))
-    recent = actions(s, p).groupBy("user_id").agg(F.count("*").alias("n"))
+    signals = _signals(s, p)
+    recent = signals.actions.groupBy("user_id").agg(F.count("*").alias("n"))
     of = users(s, p).join(last, "user_id", "left").join(recent, "user_id", "left")
     of = kept(of.select("user_id", F.coalesce("variant", F.lit("recommend")).alias("variant"), r.user_state(F.coalesce("n", F.lit(0)), F.lit("db")).alias("state")))
-    return se.sessions(of, excluded, multipliers, _signals(s, p), entities(s, p), vectors(s, p), _pools(s, p, excluded), kept, params(s, p), failures, LIMITS, "mean")
+    return se.sessions(of, excluded, kept(multipliers), signals, kept(entities(s, p)), vectors(s, p), _pools(s, p, excluded), kept, kept(params(s, p)), failures, LIMITS, "mean")
 
 
 def recommend_all(s, p):
