@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from millrace.functions import text as t
 
 # Endings that may follow a name, and particles that may follow those.
-SUFFIX = "(?:그룹|팀|연구소|노조|본부|직원)?"
-PARTICLE = "(?:은|는|이|가|을|를|의|와|과|로|으로|에|에서|에게|까지|부터|만|도)?"
+SUFFIXES = ("그룹", "팀", "연구소", "노조", "본부", "직원")
+PARTICLES = ("은", "는", "이", "가", "을", "를", "의", "와", "과", "로", "으로", "에", "에서", "에게", "까지", "부터", "만", "도")
+SUFFIX = f"(?:{'|'.join(SUFFIXES)})?"
+PARTICLE = f"(?:{'|'.join(PARTICLES)})?"
 
 
 def domain_blocklist(rows: DataFrame, domains: DataFrame, blocked: bool) -> DataFrame:
@@ -185,10 +187,62 @@ def mention_pattern(names: list[str]) -> str:
     return "(?iU)" + "|".join(quoted)
 
 
-def find_stock_mentions(rows: DataFrame, names: DataFrame, pattern: str) -> DataFrame:
-    """(news_id, stock_id): names that a text mentions. A match with a suffix counts only if it is a name itself."""
-    found = rows.select("news_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("m")).select("news_id", F.lower("m").alias("name"))
-    return found.join(names, "name").select("news_id", "stock_id").distinct()
+def _pieces(text: Column) -> Column:
+    """The text in small letters, cut into runs of word characters and the runs between them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+|\W+"), F.lit(0))
+
+
+def _readings(p: Column, size: int, led: bool) -> Column:
+    """All (start, last, name, suffixed) that ``size`` neighbours of the pieces may be read as, with and without
+    suffix and particle; ``led`` if the first of them is no word. ``last`` is the last piece that a match touches."""
+    word = F.when(F.get(p, F.lit(0)).rlike(r"(?U)^\w"), 1).otherwise(2)
+    first, stop = word + int(led), F.size(p) - size + 1 - int(led == bool(size % 2))
+    places = F.when(first <= stop, F.sequence(first, stop, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    joined = lambda i: F.array_join(F.slice(p, i, F.lit(size)), "")
+    reading = lambda i, last, name, suffixed: F.struct(i.alias("start"), last.alias("last"), name.alias("name"), suffixed.alias("suffixed"))
+    if led == bool(size % 2):  # no word at the end: a word follows, which may be a suffix
+        suffixed = lambda i: F.get(p, i + size - 1).rlike(f"^(?:{'|'.join(SUFFIXES)}){PARTICLE}$")
+        return F.transform(places, lambda i: reading(i, i + size - 1 + suffixed(i).cast("int"), joined(i), suffixed(i)))
+    ends = F.array(*[F.struct(F.lit(s + e).alias("text"), F.lit(s != "").alias("suffixed")) for s in ("", *SUFFIXES) for e in ("", *PARTICLES)])
+
+    def at(i: Column) -> Column:
+        run = F.get(p, i + size - 2)
+        fits = F.filter(ends, lambda e: run.endswith(e["text"]) & (F.char_length(run) > F.char_length(e["text"])))
+        cut = lambda e: F.substring(joined(i), F.lit(1), F.char_length(joined(i)) - F.char_length(e["text"]))
+        plain = F.array(reading(i, i + size - 1, joined(i), F.lit(False)))
+        return F.when(run.rlike("[가-힣]$"), F.transform(fits, lambda e: reading(i, i + size - 1, cut(e), e["suffixed"]))).otherwise(plain)
+
+    return F.flatten(F.transform(places, at))
+
+
+def find_stock_mentions(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(news_id, stock_id): names that a text mentions, for any number of names (B23's, each once).
+
+    From left to right the longest name at the start of a word is taken, in any case, if nothing but a suffix, a particle
+    or both follow it in its word; the next one begins behind it. A match with a suffix takes its place but counts only
+    if it is a name itself. Runs of words are joined with the names by equality; matches that overlap are settled in
+    chains of a text. Null and empty texts mention nothing; names without a letter or digit are never found; texts of
+    one news_id count together, also of a null one. Only the distinct numbers of runs in names come to the driver.
+    """
+    known = names.select(F.lower("name").alias("name"), "stock_id").filter(r"name RLIKE '(?U)\\w'")
+    shapes = known.select(F.size(_pieces(F.col("name"))).alias("size"), (~F.col("name").rlike(r"(?U)^\w")).alias("led")).distinct().collect()
+    if not shapes:
+        return rows.join(known, F.lit(False)).select("news_id", "stock_id")
+    read = F.transform(F.array(_pieces(F.col("text"))), lambda p: F.concat(*[_readings(p, x["size"], x["led"]) for x in sorted(shapes)]))
+    text = ["news_id", "text_key"]
+    found = rows.select("news_id", F.xxhash64("text").alias("text_key"), F.explode(F.flatten(read)).alias("m")).select(*text, "m.*").join(known, "name")
+    longest = found.groupBy(*text, "start").agg(F.max(F.struct(F.char_length("name").alias("n"), "last", "suffixed", "stock_id")).alias("m")).select(*text, "start", "m.*")
+    order = W.partitionBy(*text).orderBy("start")
+    before = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    chained = longest.withColumn("free", (F.col("start") > F.coalesce(before, F.lit(0))).cast("int")).withColumn("chain", F.sum("free").over(order))
+    none = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<{known.schema['stock_id'].dataType.simpleString()}>").alias("ids"))
+
+    def take(done: Column, m: Column) -> Column:
+        ids = F.when(m["suffixed"], done["ids"]).otherwise(F.concat(done["ids"], F.array(m["stock_id"])))
+        return F.when(m["start"] > done["last"], F.struct(m["last"].alias("last"), ids.alias("ids"))).otherwise(done)
+
+    links = chained.groupBy(*text, "chain").agg(F.array_sort(F.collect_list(F.struct("start", "last", "suffixed", "stock_id"))).alias("ms"))
+    return links.select("news_id", F.explode(F.aggregate("ms", none, take)["ids"]).alias("stock_id")).distinct()
 
 
 def validate_stock_names(reported: DataFrame, names: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small exact cases of the platform's own operators."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,10 +133,34 @@ def test_texts(spark):
 
 
 def test_mentions_with_particles(spark):
-    pattern = funnel.mention_pattern(["삼성전자", "삼성"])
     names = frame(spark, [("삼성전자", "005930"), ("삼성", "000001")], "name string, stock_id string")
     text = frame(spark, [(1, "삼성전자는 올랐다"), (2, "삼성그룹은 말했다"), (3, "삼성이")], "news_id long, text string")
-    assert rows(funnel.find_stock_mentions(text, names, pattern)) == [(1, "005930"), (3, "000001")]
+    assert rows(funnel.find_stock_mentions(text, names)) == [(1, "005930"), (3, "000001")]
+
+
+def test_mentions_follow_the_pattern(spark):
+    """The join with names finds what one pattern of all names finds, over made-up texts of names, endings and signs."""
+    known = ["삼성", "삼성전자", "삼성전자 우", "전자 우선", "우선", "a", "a b", "b c", "b c d", "d", "(주)가", "가", "가&", "가 & 나", "나", "현대그룹", "현대", "x.y", "y", "...", "가은", "소"]
+    names = frame(spark, [(n, i) for i, n in enumerate(known)], "name string, stock_id int")
+    parts = [*known, "은", "에서", "그룹", "팀은", " ", " ", "  ", "&", "(주)", ".", "A B", "기", "\n", "본부의", "_", "1"]
+    draw = random.Random(5)
+    made = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 14))) for _ in range(1500)]
+    data = [(i % 700, x) for i, x in enumerate(made)] + [(2000, None), (2001, ""), (None, "삼성은"), (None, "a b c d"), (3, made[3])]
+    text = frame(spark, data, "news_id long, text string").withColumn("name", F.lit("other"))
+    pattern = funnel.mention_pattern([n for n in known if n != "..."])
+    found = text.select("news_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("m")).select("news_id", F.lower("m").alias("name"))
+    wanted = found.join(names, "name").select("news_id", "stock_id").distinct()
+    as_set = lambda f: {tuple(r) for r in f.collect()}
+    assert as_set(funnel.find_stock_mentions(text, names)) == as_set(wanted) and wanted.count() > 1000
+    assert not rows(funnel.find_stock_mentions(text, names.limit(0))) and not rows(funnel.find_stock_mentions(text.limit(0), names))
+
+
+def test_one_name_everywhere(spark):
+    """A name in all texts and a text of one name only; a chain of names that overlap from start to end."""
+    names = frame(spark, [("a b", 1), ("b a", 2)], "name string, stock_id long")
+    text = frame(spark, [(i, "a b") for i in range(300)] + [(-1, "A b " * 3000), (-2, "x B a b")], "news_id long, text string")
+    found = rows(funnel.find_stock_mentions(text, names))
+    assert sorted(found) == sorted([(i, 1) for i in range(-1, 300)] + [(-2, 2)])
 
 
 def test_table_maintenance(spark, tmp_path):
