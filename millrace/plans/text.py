@@ -111,7 +111,7 @@ def _serves(s, p):
     return a.serves(s, p).select("id", "request_id", F.concat(F.element_at(F.array(*map(F.lit, ("ab_latest_", "ab_popular_", "ab_random_", "abXlatestXx", "main"))), (F.col("id") % 5 + 1).cast("int")), F.lit("cold")).alias("source"), F.when(F.col("id") % 2 == 0, "exp").otherwise("").alias("experiment_id"), F.when(F.col("id") % 3 == 0, "given").alias("variant"))
 
 
-def _names(s, p):
+def names(s, p):
     return funnel.stock_name_map(a.read(s, p, "part").select(F.col("p_name").alias("stock_name"), F.col("p_partkey").alias("stock_id")), a.read(s, p, "supplier").select(F.col("s_name").alias("alias_name"), F.col("s_suppkey").alias("stock_id")))
 
 
@@ -119,18 +119,13 @@ def _said_names(s, p):
     return a.read(s, p, "part").select(F.col("p_partkey").alias("news_id"), F.array(F.concat(F.lit(" "), F.upper("p_name")), F.lit("nobody"), F.lit("red widget")).alias("related_stocks"))
 
 
-def _with_mentions(s, p):
+def with_mentions(s, p):
     return a.read(s, p, "part").select(F.col("p_partkey").alias("news_id"), F.concat(F.lit("the "), F.upper("p_name"), F.lit(", and a Red Widget팀은 or red widget은.")).alias("text"))
 
 
 NAMES = "names AS (SELECT name, arg_max(stock_id, (rank, stock_id)) AS stock_id FROM (SELECT lower(p_name) AS name, p_partkey AS stock_id, 0 AS rank FROM part UNION ALL SELECT lower(s_name), s_suppkey, 1 FROM supplier) GROUP BY name)"
 
 
-def _mentions(s, p):
-    pattern = funnel.mention_pattern(["red widget", "small ring"])  # a bounded list, as in the configuration of a site
-    return funnel.find_stock_mentions(_with_mentions(s, p), _names(s, p), pattern)
-
-
 def _post(s, p):
     stocks = a.news_stock(s, p).select("news_id")
     return funnel.post_filter(docs(s, p).select("news_id", "text"), stocks, TERMS, UNWANTED)
@@ -224,14 +219,13 @@ add("b20_chunk_text", lambda s, p: docs(s, p).select("news_id", F.posexplode(t.c
 add("b21_target_keyword_count", lambda s, p: docs(s, p).select("news_id", t.target_keyword_count(F.col("text")).alias("n")), "SELECT news_id, CASE WHEN length(text) < 700 THEN 3 WHEN length(text) < 2300 THEN 4 WHEN length(text) < 4500 THEN 5 ELSE 6 END AS n FROM docs")
 add("b22_verify_keywords", lambda s, p: docs(s, p).select("news_id", t.verify_keywords(F.array(F.lit("the er"), F.lit("nicht"), F.lit("zzz"), F.lit("de la"), F.lit("on")), F.col("text"), t.target_keyword_count(F.col("text"))).alias("keywords")),
     "SELECT news_id, list_filter(['de la', 'nicht', 'on', 'the er', 'zzz'], lambda k: contains(regexp_replace(text, '\\s+', '', 'g'), replace(k, ' ', '')))[1:CASE WHEN length(text) < 700 THEN 3 WHEN length(text) < 2300 THEN 4 WHEN length(text) < 4500 THEN 5 ELSE 6 END] AS keywords FROM docs")
-add("b23_stock_name_map", _names, "SELECT * FROM names", [NAMES])
-add("b24_find_stock_mentions", _mentions, "SELECT DISTINCT p_partkey AS news_id, stock_id FROM part JOIN names ON name = lower(p_name) OR name = 'red widget' WHERE name IN ('red widget', 'small ring')", [NAMES])
-add("b25_validate_stock_names", lambda s, p: funnel.validate_stock_names(_said_names(s, p), _names(s, p)), "SELECT news_id, stock_id, min(pos)::INT AS pos FROM (SELECT p_partkey AS news_id, unnest([lower(p_name), 'nobody', 'red widget']) AS name, unnest([0, 1, 2]) AS pos FROM part) JOIN names USING (name) GROUP BY ALL", [NAMES])
+add("b23_stock_name_map", names, "SELECT * FROM names", [NAMES])
+add("b25_validate_stock_names", lambda s, p: funnel.validate_stock_names(_said_names(s, p), names(s, p)), "SELECT news_id, stock_id, min(pos)::INT AS pos FROM (SELECT p_partkey AS news_id, unnest([lower(p_name), 'nobody', 'red widget']) AS name, unnest([0, 1, 2]) AS pos FROM part) JOIN names USING (name) GROUP BY ALL", [NAMES])
 add("b26_parse_enrichment", lambda s, p: _parsed(s, p).select("news_id", "attempt", "summary", "sentiment"), "SELECT news_id, attempt, CASE WHEN had THEN summary ELSE '' END AS summary, CASE WHEN had THEN sentiment ELSE '' END AS sentiment FROM said", [ANSWERS_SQL])
 add("b27_enrichment_outcome", lambda s, p: funnel.enrichment_outcome(_parsed(s, p), docs(s, p).select("news_id", "text")),
     "SELECT d.news_id, CASE WHEN v.summary IS NOT NULL THEN v.summary ELSE substr(trim(d.text, ' '), 1, 220) END AS summary, coalesce(v.sentiment, '중립') AS sentiment, CASE WHEN v.summary IS NULL THEN CASE WHEN h.news_id IS NULL THEN 'failed_retryable' ELSE 'failed_permanent' END END AS status, CASE WHEN v.summary IS NULL THEN CASE WHEN h.news_id IS NULL THEN 'gemini_api_no_response' ELSE 'invalid_analysis_format' END END AS reason FROM docs d LEFT JOIN v USING (news_id) LEFT JOIN h USING (news_id)",
     [ANSWERS_SQL, "v AS (SELECT * FROM said WHERE had AND summary <> '' AND sentiment <> '' QUALIFY row_number() OVER (PARTITION BY news_id ORDER BY attempt) = 1)", "h AS (SELECT DISTINCT news_id FROM said WHERE had)"])
-add("b28_explode_enrichment", lambda s, p: funnel.explode_enrichment(_parsed(s, p), _names(s, p))[1], "SELECT DISTINCT news_id, unnest(keywords) AS keyword FROM said WHERE had", [ANSWERS_SQL])
+add("b28_explode_enrichment", lambda s, p: funnel.explode_enrichment(_parsed(s, p), names(s, p))[1], "SELECT DISTINCT news_id, unnest(keywords) AS keyword FROM said WHERE had", [ANSWERS_SQL])
 add("b29_count_term_matches", lambda s, p: docs(s, p).select("news_id", t.count_term_matches(F.col("text"), TERMS).alias("n")), "SELECT news_id, " + " + ".join(f"contains(lower(text), '{x}')::INT" for x in TERMS) + " AS n FROM docs")
 add("b30_post_filter", _post,
     "SELECT news_id FROM docs WHERE news_id IN (SELECT news_id FROM news_stock) OR (" + " + ".join(f"contains(lower(text), '{x}')::INT" for x in TERMS) + ") >= 3 AND (" + " + ".join(f"contains(lower(text), '{x}')::INT" for x in UNWANTED) + ") <= 0")
