@@ -6,6 +6,8 @@ row, so they don't depend on partitions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,15 +80,41 @@ def drop_isolated_news(news: DataFrame, *edges: DataFrame) -> DataFrame:
     return dense_index(kept.withColumnRenamed("idx", "old_idx"), ["old_idx"], F.floor(F.col("old_idx") / 65536)).withColumnRenamed("idx", "new_idx")
 
 
+#: Entities of one article that meet each other in one task.
+SPAN = 1024
+
+
+def shared_news(left: DataFrame, right: DataFrame, same: bool = False, span: int = SPAN) -> DataFrame:
+    """(src, dst), once for each of the news that two nodes share; ``left`` (news, src) and ``right`` (news, dst) are distinct.
+
+    Of one type (``same``) each pair comes once, src being the smaller. News with over ``span`` nodes are cut into blocks by
+    a hash of the node: every two blocks of a news meet under a key of their own, blocks of one type in a triangle, so no
+    key has more than about ``span`` rows a side, and a row is sent once for each block of the other side.
+    """
+    blocks = lambda rows, name: rows.groupBy("news").agg(F.ceil(F.count("*") / span).cast("int").alias(name)).filter(F.col(name) > 1)
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1))).cast("int")
+    last = lambda n: F.coalesce(F.col(n), F.lit(1)) - 1
+    if same:
+        dealt = lambda rows, c: rows.join(blocks(rows, "n"), "news", "left").select("news", c, of(c, F.col("n")).alias("own"), F.explode(F.sequence(F.lit(0), last("n"))).alias("other"))
+        low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+        a, b = dealt(left, "src").select("news", low, high, "own", "src"), dealt(right, "dst").select("news", low, high, F.col("own").alias("to"), "dst")
+        return a.join(b, ["news", "low", "high"]).filter("src < dst AND (own <> to OR low = high)").select("src", "dst")
+    n_left, n_right = blocks(left, "n_left"), blocks(right, "n_right")
+    dealt = lambda rows: rows.join(n_left, "news", "left").join(n_right, "news", "left")
+    a = dealt(left).select("news", "src", of("src", F.col("n_left")).alias("i"), F.explode(F.sequence(F.lit(0), last("n_right"))).alias("j"))
+    b = dealt(right).select("news", "dst", of("dst", F.col("n_right")).alias("j"), F.explode(F.sequence(F.lit(0), last("n_left"))).alias("i"))
+    return a.join(b, ["news", "i", "j"]).select("src", "dst")
+
+
 def pmi_edges(keyword_edges: DataFrame, stock_edges: DataFrame, n_news: int, min_pmi: float, min_cooccur: int) -> DataFrame:
     """(keyword, stock, joint, pmi) of pairs that share enough news and do so more than by chance.
 
     Each edge counts once. Pairs are counted before they leave a task, and frequencies
     join as one row per node.
     """
-    k, s = keyword_edges.select("src", F.col("dst").alias("keyword")).distinct(), stock_edges.select("src", F.col("dst").alias("stock")).distinct()
-    joint = k.join(s, "src").groupBy("keyword", "stock").agg(F.count("*").alias("joint")).filter(F.col("joint") >= min_cooccur)
-    fk, fs = k.groupBy("keyword").agg(F.count("*").alias("f_k")), s.groupBy("stock").agg(F.count("*").alias("f_s"))
+    k, s = keyword_edges.select(F.col("src").alias("news"), F.col("dst").alias("src")).distinct(), stock_edges.select(F.col("src").alias("news"), "dst").distinct()
+    joint = shared_news(k, s).groupBy(F.col("src").alias("keyword"), F.col("dst").alias("stock")).agg(F.count("*").alias("joint")).filter(F.col("joint") >= min_cooccur)
+    fk, fs = k.groupBy(F.col("src").alias("keyword")).agg(F.count("*").alias("f_k")), s.groupBy(F.col("dst").alias("stock")).agg(F.count("*").alias("f_s"))
     pmi = F.log(F.col("joint") * F.lit(float(n_news)) / (F.col("f_k") * F.col("f_s") + F.lit(1e-8)))
     return joint.join(fk, "keyword").join(fs, "stock").withColumn("pmi", pmi).filter(F.col("pmi") > min_pmi).select("keyword", "stock", "joint", "pmi")
 
@@ -146,11 +174,33 @@ def random_split(edges: DataFrame, val: float, test: float, seed: int) -> DataFr
     return edges.withColumn("split", F.when(share < test, "test").when(share < test + val, "val").otherwise("train"))
 
 
+def random_link_split(edges: DataFrame, num_src: int, num_dst: int, val: float, test: float, seed: int) -> DataFrame:
+    """(src, dst, split, label): the edges by random split with label 1, and as many distinct pairs that are no edges with label 0.
+
+    Negatives follow hashed draws in their order, those of train first, then of validation, then of test, from at most
+    max(20 times the edges, 1000) draws, so a nearly full graph may give fewer. Draws are numbered in spans, not in one task.
+    """
+    split = random_split(edges.select("src", "dst"), val, test, seed)
+    n = {r["split"]: r["n"] for r in split.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    train, both = n.get("train", 0), n.get("train", 0) + n.get("val", 0)
+    total = both + n.get("test", 0)
+    if not total:
+        return split.withColumn("label", F.lit(1))
+    free = _free_draws(edges, num_src, num_dst, total, seed)
+    numbered = dense_index(free, ["id"], F.floor(F.col("id") / 65536)).filter(F.col("idx") < total)
+    of = F.when(F.col("idx") < train, "train").when(F.col("idx") < both, "val").otherwise("test")
+    return split.withColumn("label", F.lit(1)).unionByName(numbered.select("src", "dst", of.alias("split"), F.lit(0).alias("label")))
+
+
+def _free_draws(positives: DataFrame, num_src: int, num_dst: int, count: int, seed: int) -> DataFrame:
+    """(src, dst, id): drawn pairs that aren't positive, each at its first draw."""
+    draws = positives.sparkSession.range(max(20 * count, 1000)).select("id", (hashed(seed, "s", F.col("id")) % num_src).alias("src"), (hashed(seed, "d", F.col("id")) % num_dst).alias("dst"))
+    return draws.groupBy("src", "dst").agg(F.min("id").alias("id")).join(positives.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
 def negative_edges(positives: DataFrame, num_src: int, num_dst: int, count: int, seed: int) -> DataFrame:
     """Up to ``count`` distinct pairs that aren't positive, from at most max(20 count, 1000) draws."""
-    draws = positives.sparkSession.range(max(20 * count, 1000)).select("id", (hashed(seed, "s", F.col("id")) % num_src).alias("src"), (hashed(seed, "d", F.col("id")) % num_dst).alias("dst"))
-    first = draws.groupBy("src", "dst").agg(F.min("id").alias("id")).join(positives.select("src", "dst"), ["src", "dst"], "left_anti")
-    return first.orderBy("id").limit(count).select("src", "dst")
+    return _free_draws(positives, num_src, num_dst, count, seed).orderBy("id").limit(count).select("src", "dst")
 
 
 def edge_labels(positives: DataFrame, every: DataFrame, num_src: int, num_dst: int, ratio: float, seed: int) -> DataFrame:
@@ -166,9 +216,7 @@ def cooccurrence(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
     """
     a = left.select(F.col("src").alias("news"), F.col("dst").alias("src")).distinct()
     b = right.select(F.col("src").alias("news"), "dst").distinct()
-    joined = a.join(b, "news")
-    joined = joined.filter("src < dst") if same else joined
-    counted = joined.groupBy("src", "dst").agg(F.count("*").alias("strength"))
+    counted = shared_news(a, b, same).groupBy("src", "dst").agg(F.count("*").alias("strength"))
     return counted.unionByName(counted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "strength")) if same else counted
 
 
@@ -195,21 +243,23 @@ def edge_strength(edges: DataFrame, mode: str = "log1p", least: int = 1) -> Data
     return edges.join(degrees, "dst").select("src", "dst", "strength", weight.alias("weight"))
 
 
-def prepare_training_graph(news: DataFrame, keyword_edges: DataFrame, stock_edges: DataFrame, val: float, test: float, least: int, min_pmi: float, min_cooccur: int) -> dict[str, DataFrame]:
+def prepare_training_graph(news: DataFrame, keyword_edges: DataFrame, stock_edges: DataFrame, val: float, test: float, least: int, min_pmi: float, min_cooccur: int, keep: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> dict[str, DataFrame]:
     """G22, temporal order: bounds, nodes often seen in train, news with edges, PMI of train, splits of both edge types.
 
-    ``news`` has idx and pub_ts.
+    ``news`` has idx and pub_ts. ``keep`` stores a frame that several steps read, such as by a checkpoint.
     """
     t1, t2 = ratio_bounds(news, val, test)
     train = lambda e: temporal_split(e, news, t1, t2).filter("split = 'train'").select("src", "dst")
     k, k_map = filter_low_degree(keyword_edges, least, train(keyword_edges))
     s, s_map = filter_low_degree(stock_edges, least, train(stock_edges))
-    kept = drop_isolated_news(news, k, s)
+    k, s, k_map, s_map = (keep(frame) for frame in (k, s, k_map, s_map))
+    kept = keep(drop_isolated_news(news, k, s))
     moved = kept.select(F.col("old_idx").alias("src"), "new_idx")
     again = lambda e: e.join(moved, "src").select(F.col("new_idx").alias("src"), "dst")
     k, s = again(k), again(s)
     times = kept.select(F.col("new_idx").alias("idx"), "pub_ts")
     splits = temporal_split(k, times, t1, t2).withColumn("type", F.lit("keyword")).unionByName(temporal_split(s, times, t1, t2).withColumn("type", F.lit("stock")))
+    splits = keep(splits)
     in_train = splits.filter("split = 'train'")
     related = pmi_edges(in_train.filter("type = 'keyword'"), in_train.filter("type = 'stock'"), kept.count(), min_pmi, min_cooccur)
     return {"news": kept, "keywords": k_map, "stocks": s_map, "edges": splits, "related": related}

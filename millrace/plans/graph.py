@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import graph as g
+from millrace.plans.keep import kept
 from millrace.sources import adapters as a
 from millrace.sources.adapters import SQL
 
@@ -59,11 +60,11 @@ def _ssplit(s, p):
 
 
 def _pmi(s, p):
-    return g.pmi_edges(ke(s, p), se(s, p), news(s, p).count(), 0.05, 5).withColumn("pmi", F.round("pmi", 6))
+    return g.pmi_edges(kept(ke(s, p)), kept(se(s, p)), news(s, p).count(), 0.05, 5).withColumn("pmi", F.round("pmi", 6))
 
 
 def _prepared(s, p):
-    return g.prepare_training_graph(news(s, p), ke(s, p), se(s, p), 0.1, 0.2, 300, 0.0, 3)["related"].withColumn("pmi", F.round("pmi", 6))
+    return g.prepare_training_graph(*(kept(x(s, p)) for x in (news, ke, se)), 0.1, 0.2, 300, 0.0, 3, kept)["related"].withColumn("pmi", F.round("pmi", 6))
 
 
 def _sizes(s, p):
@@ -77,6 +78,11 @@ neg_half AS (SELECT src, dst FROM (SELECT src, dst, i, row_number() OVER (ORDER
 REL = """rel AS (SELECT 'key2stock' AS relation, keyword AS src, stock AS dst, joint AS strength FROM joint
   UNION ALL SELECT 'stock2stock', x.dst, y.dst, count(*) FROM se x JOIN se y USING (src) WHERE x.dst <> y.dst GROUP BY ALL
   UNION ALL SELECT 'key2key', x.dst, y.dst, count(*) FROM ke x JOIN ke y USING (src) WHERE x.dst <> y.dst GROUP BY ALL)"""
+# the edges by the hash of an edge, and the draws of NEG dealt to train, validation and test in turn
+LINKS = f"""{NEG},
+dealt AS (SELECT src, dst, CASE WHEN h < 0.2 THEN 'test' WHEN h < 0.2::DOUBLE + 0.1::DOUBLE THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT src, dst, {HASH.format("'42:' || src || ':' || dst")} / 1152921504606846976.0 AS h FROM se)),
+sizes AS (SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split <> 'test') AS learned FROM dealt)"""
 LOW = """low AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS new_idx FROM (SELECT dst FROM ke GROUP BY dst HAVING count(*) >= (SELECT avg(f_k) FROM fk)))"""
 
 
@@ -111,9 +117,10 @@ QUERIES = {
     "g13_train_only_graph": lambda s, p: g.message_edges(_ksplit(s, p), "test"),
     "g14_temporal_split": _ssplit,
     "g15_random_split": lambda s, p: g.random_split(ke(s, p), 0.1, 0.2, SEED),
+    "g15_random_link_split": lambda s, p: g.random_link_split(se(s, p), *_sizes(s, p), 0.1, 0.2, SEED),
     "g16_negative_edges": lambda s, p: g.negative_edges(se(s, p), *_sizes(s, p), se(s, p).count(), SEED),
     "g17_edge_labels": lambda s, p: g.edge_labels(se(s, p), se(s, p), *_sizes(s, p), 0.5, SEED),
-    "g18_relation_pairs": lambda s, p: g.relation_pairs(ke(s, p), se(s, p), 3),
+    "g18_relation_pairs": lambda s, p: g.relation_pairs(kept(ke(s, p)), kept(se(s, p)), 3),
     "g19_serving_map": lambda s, p: g.serving_map(g.filter_low_degree(ke(s, p), _mean(s, p))[1], brands(s, p), "keyword", "keyword", "keyword"),
     "g20_message_edges": lambda s, p: g.message_edges(_ksplit(s, p), "val", online=True),
     "g21_edge_strength": lambda s, p: g.edge_strength(se(s, p)).withColumn("weight", F.round("weight", 6)),
@@ -135,6 +142,9 @@ ORACLES = {k: SQL_G + v for k, v in {
     "g13_train_only_graph": " SELECT src, dst FROM ks WHERE split = 'train'",
     "g14_temporal_split": " SELECT * FROM ss",
     "g15_random_split": f" SELECT src, dst, CASE WHEN h < 0.2 THEN 'test' WHEN h < 0.2::DOUBLE + 0.1::DOUBLE THEN 'val' ELSE 'train' END AS split FROM (SELECT src, dst, {HASH.format(chr(39) + '42:' + chr(39) + ' || src || ' + chr(39) + ':' + chr(39) + ' || dst')} / 1152921504606846976.0 AS h FROM ke)",
+    "g15_random_link_split": f""", {LINKS} SELECT src, dst, split, 1 AS label FROM dealt
+      UNION ALL SELECT src, dst, CASE WHEN place <= train THEN 'train' WHEN place <= learned THEN 'val' ELSE 'test' END, 0
+      FROM (SELECT src, dst, row_number() OVER (ORDER BY i) AS place FROM neg), sizes""",
     "g16_negative_edges": f", {NEG} SELECT src, dst FROM neg",
     "g17_edge_labels": f", {NEG} SELECT src, dst, 1 AS label FROM se UNION ALL SELECT src, dst, 0 FROM neg_half",
     "g18_relation_pairs": f", {REL} SELECT * FROM rel WHERE strength >= 3",
