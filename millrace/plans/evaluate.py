@@ -33,7 +33,7 @@ def vectors(s, p, odd):
 
 
 def truth(s, p):
-    return strongest(h.ground_truth(gq.ke(s, p), gq.se(s, p), False))
+    return strongest(h.ground_truth(kept(gq.ke(s, p)), kept(gq.se(s, p)), False))
 
 
 def strongest(pairs):
@@ -62,7 +62,8 @@ def _compared(s, p):
     keys, stocks = vectors(s, p, 1), vectors(s, p, 0)
     half = lambda v: v.withColumn("vector", F.slice("vector", 1, F.floor(F.size("vector") / 2).cast("int")))
     mixed = truth(s, p)
-    alike = strongest(h.ground_truth(gq.se(s, p), gq.se(s, p), True))
+    own = kept(gq.se(s, p))
+    alike = strongest(h.ground_truth(own, own, True))
     drawn = lambda pairs, same: kept(h.negative_targets(pairs, stocks, 7, same))
     relations = {"key2stock": ("keyword", "stock", mixed, drawn(mixed, False)), "stock2stock": ("stock", "stock", alike, drawn(alike, True))}
     methods = {"whole": {"keyword": keys, "stock": stocks}, "half": {"keyword": half(keys), "stock": half(stocks)}}
