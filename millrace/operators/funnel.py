@@ -19,10 +19,45 @@ SUFFIX = f"(?:{'|'.join(SUFFIXES)})?"
 PARTICLE = f"(?:{'|'.join(PARTICLES)})?"
 
 
+#: Letters of a key of the substring index, and the rows that one key's inner side is copied to against hot keys.
+GRAM, SALTS = 4, 8
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer): every pair of the distinct, non-null strings of both frames' one column where outer holds inner.
+
+    Each inner string is looked for by one key: itself where it is shorter than a gram, else that of its grams that the
+    fewest outer strings hold. Pairs with equal keys are compared in full. Keys are spread over salts, so a key that most
+    outer strings hold meets its few inner strings in several tasks. Only the numbers 0 to GRAM come to the driver.
+    """
+    inner, outer = inner.toDF("inner").na.drop().distinct(), outer.toDF("outer").na.drop().distinct()
+    size = F.least(F.char_length("inner"), F.lit(GRAM))
+    sizes = sorted(r.n for r in inner.select(size.alias("n")).distinct().collect())
+
+    def grams(text: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.char_length(text) - n + 1)
+        return F.when(F.char_length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+    all_ = F.concat(F.array().cast("array<string>"), *[F.array(F.lit("")) if n == 0 else grams(F.col("outer"), n) for n in sizes])
+    index = outer.select("outer", F.explode(all_).alias("key"))
+    held = index.filter(F.char_length("key") == GRAM).groupBy("key").agg(F.count("*").alias("n"))
+    short = inner.filter(size < GRAM).select("inner", F.col("inner").alias("key"))
+    asked = inner.filter(size == GRAM).select("inner", F.explode(grams(F.col("inner"), GRAM)).alias("key")).join(held, "key", "left")
+    rare = asked.groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))["key"].alias("key"))
+    keys = short.unionByName(rare).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = index.withColumn("salt", F.pmod(F.xxhash64("outer"), F.lit(SALTS)).cast("int")).join(keys, ["key", "salt"])
+    return pairs.filter(F.col("outer").contains(F.col("inner"))).select("inner", "outer")
+
+
 def domain_blocklist(rows: DataFrame, domains: DataFrame, blocked: bool) -> DataFrame:
-    """B2: rows whose ``domain`` holds a listed one or is part of one, or the others. Distinct domains are compared, not rows."""
-    found = rows.select("domain").distinct().join(F.broadcast(domains.select("listed")), F.expr("contains(domain, listed) OR contains(listed, domain)"), "left_semi")
-    return rows.join(found, "domain", "left_semi" if blocked else "left_anti")
+    """B2: rows whose ``domain`` holds a listed one or is part of one, or the others, for lists of any length.
+
+    Distinct domains are compared, not rows, by equal grams instead of all with all. An empty domain is part of every
+    listed one, an empty listed one blocks every domain; a null domain is not blocked and a null listed one blocks none.
+    """
+    said, listed = rows.select("domain"), domains.select("listed")
+    found = contained(listed, said).select(F.col("outer").alias("domain")).unionByName(contained(said, listed).select(F.col("inner").alias("domain"))).distinct()
+    return rows.join(found, "domain", "left_semi" if blocked else "left_anti").select(rows.columns)
 
 
 def exact_domain_block(rows: DataFrame, domains: list[str]) -> DataFrame:
@@ -31,60 +66,81 @@ def exact_domain_block(rows: DataFrame, domains: list[str]) -> DataFrame:
 
 
 class _Page(HTMLParser):
-    """Text of elements that a test accepts, and meta values."""
+    """One pass over a page: the wanted elements with their place in one list of text pieces, and meta values.
+
+    ``wanted`` names a test (tag, attributes) of an element and the marks that must be open around it; ``marks`` names
+    the tests of those. Marks are counted and open elements found by their tag, so the work is linear in the page.
+    """
 
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
-    def __init__(self, wanted):
+    def __init__(self, wanted, marks=None):
         super().__init__(convert_charrefs=True)
-        self.wanted, self.depth, self.stack, self.found, self.meta, self.images = wanted, 0, [], {}, {}, []
+        self.wanted, self.marks = wanted, marks or {}
+        self.open, self.by_tag, self.around = [], {}, dict.fromkeys(self.marks, 0)
+        self.pieces, self.found, self.meta = [], {k: [] for k in wanted}, {}
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
         if tag == "meta":
             self.meta.setdefault(attrs.get("property") or attrs.get("name"), attrs.get("content"))
-        names = [k for k, test in self.wanted.items() if test(tag, attrs, [s[0:2] for s in self.stack])]
-        if tag == "img":
-            self.images.append((attrs, [s[0:2] for s in self.stack]))
+        hits = []
+        for name, (test, needed) in self.wanted.items():
+            if all(self.around[m] for m in needed) and test(tag, attrs):
+                hits.append([attrs, len(self.pieces), len(self.pieces) if tag in self.VOID else None])
+                self.found[name].append(hits[-1])
         if tag not in self.VOID:
-            self.stack.append((tag, attrs, names))
-            for k in names:
-                self.found.setdefault(k, []).append([])
+            marks = [m for m, test in self.marks.items() if test(tag, attrs)]
+            for m in marks:
+                self.around[m] += 1
+            self.by_tag.setdefault(tag, []).append(len(self.open))
+            self.open.append((tag, marks, hits))
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+        places = self.by_tag.get(tag)
+        if not places:
+            return
+        for _ in range(len(self.open) - places[-1]):
+            closed, marks, hits = self.open.pop()
+            self.by_tag[closed].pop()
+            for m in marks:
+                self.around[m] -= 1
+            for hit in hits:
+                hit[2] = len(self.pieces)
 
     def handle_data(self, data):
-        for _, _, names in self.stack:
-            for k in names:
-                self.found[k][-1].append(data)
+        self.pieces.append(data)
+
+    def inside(self, hit) -> list[str]:
+        """The pieces of text inside a found element; one that was never closed reaches to the end."""
+        return self.pieces[hit[1] : hit[2]]
+
+    def first(self, name: str) -> list[str]:
+        return self.inside(self.found[name][0]) if self.found[name] else []
 
 
-def _parse(html: str, wanted: dict) -> _Page:
-    page = _Page(wanted)
+def _parse(html: str, wanted: dict, marks: dict | None = None) -> _Page:
+    page = _Page(wanted, marks)
     page.feed(html)
     page.close()
     return page
 
 
-def _is(tag, name, **attrs):
-    """Whether an element is of the name and has the attributes; classes are words of theirs."""
-    return lambda t_, a, _: t_ == tag and (name is None or a.get("id") == name) and all(set(v.split()) <= set((a.get(k) or "").split()) for k, v in attrs.items())
+def _is(tag: str | None, id_: str | None = None, classes: str = ""):
+    """Whether an element has the tag, the id and all the classes."""
+    return lambda t_, a: (tag is None or t_ == tag) and (id_ is None or a.get("id") == id_) and set(classes.split()) <= set((a.get("class") or "").split())
 
 
 @F.pandas_udf(T.StringType())
 def html_title(html: pd.Series) -> pd.Series:
     """The first title of a page that isn't blank: og:title, twitter:title, the heading's span, <title>; else null."""
-    wanted = {"title": _is("title", None), "span": lambda t_, a, up: t_ == "span" and any(x[0] == "h2" and x[1].get("id") == "title_area" for x in up)}
+    wanted, marks = {"title": (_is("title"), ()), "span": (_is("span"), ("area",))}, {"area": _is("h2", "title_area")}
 
     def one(page):
         if page is None:
             return None
-        p = _parse(page, wanted)
-        text = lambda k: "".join(p.found.get(k, [[]])[0]).strip()
+        p = _parse(page, wanted, marks)
+        text = lambda k: "".join(p.first(k)).strip()
         options = ((p.meta.get("og:title") or "").strip(), (p.meta.get("twitter:title") or "").strip(), text("span"), text("title"))
         return next((o for o in options if o), None)
 
@@ -94,30 +150,27 @@ def html_title(html: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def html_article_body(html: pd.Series) -> pd.Series:
     """The article's text, its parts on lines of their own; null where there is none."""
-    wanted = {"body": _is("div", "newsct_article")}
+    wanted = {"body": (_is("div", "newsct_article"), ())}
 
     def one(page):
         if page is None:
             return None
-        parts = _parse(page, wanted).found.get("body", [[]])[0]
-        return "\n".join(x for x in (p.strip() for p in parts) if x) or None
+        return "\n".join(x for x in (p.strip() for p in _parse(page, wanted).first("body")) if x) or None
 
     return html.map(one)
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("market", "industry", "summary")]))
 def html_stock_facts(html: pd.Series) -> pd.DataFrame:
-    """Market, industry and summary of a stock's page."""
-    wanted = {
-        "industry": lambda t_, a, up: t_ == "a" and any(x[0] == "em" for x in up) and any(x[0] == "h4" and {"h_sub", "sub_tit7"} <= set((x[1].get("class") or "").split()) for x in up),
-        "summary": lambda t_, a, up: t_ == "p" and any(x[1].get("id") == "summary_info" for x in up),
-    }
+    """Market, industry and summary of a stock's page. Paragraphs inside each other give their text once each."""
+    marks = {"description": _is(None, classes="description"), "em": _is("em"), "heading": _is("h4", classes="h_sub sub_tit7"), "info": _is(None, "summary_info")}
+    wanted = {"market": (_is("img"), ("description",)), "industry": (_is("a"), ("em", "heading")), "summary": (_is("p"), ("info",))}
 
     def one(page):
-        p = _parse(page or "", wanted)
-        market = next((a.get("alt") for a, up in p.images if any("description" in (x[1].get("class") or "").split() for x in up)), None)
-        industry = "".join(p.found.get("industry", [[]])[0]).strip() or None
-        summary = "\n".join("".join(x).strip() for x in p.found.get("summary", [])) or None
+        p = _parse(page or "", wanted, marks)
+        market = next((attrs.get("alt") for attrs, _, _ in p.found["market"]), None)
+        industry = "".join(p.first("industry")).strip() or None
+        summary = "\n".join("".join(p.inside(x)).strip() for x in p.found["summary"]) or None
         return market, industry, summary
 
     return pd.DataFrame([one(p) for p in html], columns=["market", "industry", "summary"])
