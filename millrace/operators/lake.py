@@ -146,12 +146,15 @@ def replace_children(target: DataFrame, new: DataFrame, keywords: DataFrame, ver
     return kept.unionByName(made)
 
 
-def update_only(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def update_only(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str], updated_at: str | None = None) -> DataFrame:
     """Overwrites columns where the key is in the source, with nulls too; inserts nothing."""
     right = source.select(*keys, *[F.col(c).alias(f"s_{c}") for c in columns], F.lit(True).alias("s_hit"))
     joined = target.join(right, keys, "left")
     hit = F.col("s_hit").isNotNull()
-    return joined.select(*[F.when(hit, F.col(f"s_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
+    new = {c: F.col(f"s_{c}") for c in columns}
+    if updated_at and "updated_at" in target.columns:
+        new.setdefault("updated_at", F.lit(updated_at).cast(target.schema["updated_at"].dataType))
+    return joined.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in target.columns])
 
 
 def load_batch(tables: dict[str, DataFrame], batch: dict[str, DataFrame], version: str = "local_v1.0") -> dict[str, DataFrame]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alerts, behaviour, evaluate, graph, logs, mentions, retrieval, streams, text
+from . import alerts, behaviour, evaluate, graph, logs, mentions, parts, retrieval, streams, text
 
-_MODULES = (behaviour, text, graph, retrieval, evaluate, streams, logs, mentions, alerts)
+_MODULES = (behaviour, text, graph, retrieval, evaluate, streams, logs, mentions, alerts, parts)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "d22_popular_top"

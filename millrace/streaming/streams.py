@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import funnel, monitoring
+from millrace.operators import funnel, monitoring, parts
 
 
 def dedup_urls(items: DataFrame, time: str = "created_at", memory: str = "3 days") -> DataFrame:
@@ -16,22 +16,20 @@ def dedup_urls(items: DataFrame, time: str = "created_at", memory: str = "3 days
 
 
 def dedup_content(rows: DataFrame, registry_path: str, out_path: str, checkpoint: str):
-    """K2: keeps rows of new content hashes; the registry is a table that each batch adds to, under its own number.
+    """K2: keeps rows of new content hashes; the registry lies in parts by hash, each batch adds to it under its own number.
 
-    A batch that is run again reads the registry without its own part and overwrites that part.
+    Only parts that the registry's Bloom filters name for the batch are read. A batch that is run again reads the
+    registry without its own rows and overwrites them.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = spark.createDataFrame([], "content_hash string")
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(registry_path)
-        if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
-            known = spark.read.schema("content_hash string, batch long").parquet(registry_path).filter(F.col("batch") < number).select("content_hash")
-        new, _ = funnel.dedup_across_runs(funnel.dedup_in_batch(batch).filter("is_first").drop("is_first"), known)
-        new = new.persist()
+        first = funnel.dedup_in_batch(batch).filter("is_first").drop("is_first").persist()
+        known = parts.registered(batch.sparkSession, registry_path, first, before=number)
+        new = first.join(known, "content_hash", "left_anti").persist()
         new.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        new.select("content_hash").write.mode("overwrite").parquet(f"{registry_path}/batch={number}")
+        parts.register(new, registry_path, number)
         new.unpersist()
+        first.unpersist()
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
