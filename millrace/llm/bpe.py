@@ -37,7 +37,7 @@ OTHER, LETTER, NUMBER, SPACE, BLANK, QUOTE = range(6)
 #: States: what the code point before left. In a suffix such as 'll some letters are still to come.
 (FREE, IN_LETTERS, IN_NUMBERS, IN_OTHER, AFTER_SPACE, AFTER_BLANK, ONE_MORE, TWO_MORE) = range(8)
 #: Pieces held in the cache, about; code points cut at once; bytes from which a heap finds the next merge.
-CACHED, CHUNK, LONG_PIECE = 300_000, 1 << 19, 96
+CACHED, CHUNK, LONG_PIECE, PLACED = 300_000, 1 << 19, 96, 1 << 14
 
 
 def _rules() -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +157,13 @@ class Codec:
     def __init__(self, raw: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
         self.decimal = {i: b"%d" % i for i in self.ranks.values()}
-        self.bytes_of = {self.decimal[i]: piece for piece, i in self.ranks.items()}
+        # All token bytes in one pool: token i lies at pool[first[i] : first[i] + sizes[i]]; sizes of unused ids stay -1.
+        self.sizes = np.full(max(self.ranks.values(), default=-1) + 1, -1, np.int64)
+        ordered = sorted((i, piece) for piece, i in self.ranks.items())
+        self.sizes[[i for i, _ in ordered]] = [len(piece) for _, piece in ordered]
+        used = np.maximum(self.sizes, 0)
+        self.first = np.cumsum(used) - used
+        self.pool = np.frombuffer(b"".join(piece for _, piece in ordered), np.uint8)
         self.cache: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -236,12 +242,28 @@ class Codec:
                 got[i] = ids
         return got
 
-    def pieces(self, ids: bytes) -> list[bytes]:
-        """The bytes of each id."""
-        return [*map(self.bytes_of.__getitem__, ids.split())]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.split()))
+    def tokens(self, line: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a line, and their offsets: the byte at which each token begins."""
+        ids = np.fromstring(line, np.int64, sep=" ") if line else np.zeros(0, np.int64)
+        sizes = self.sizes[ids]
+        return ids, np.cumsum(sizes) - sizes
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> bytes:
+        """The bytes of tokens, each put at its offset, PLACED tokens at a time; offsets count from that of the first.
+
+        Tokens may be any run of a text's, so a passage is decoded without what is before it.
+        """
+        if not len(ids):
+            return b""
+        if ids.min() < 0 or ids.max() >= len(self.sizes) or (self.sizes[ids] < 0).any():
+            raise ValueError("an id that the rank file doesn't have")
+        at = starts - starts[0]
+        out = np.zeros(at[-1] + self.sizes[ids[-1]], np.uint8)
+        for i in range(0, len(ids), PLACED):
+            some, sizes = ids[i : i + PLACED], self.sizes[ids[i : i + PLACED]]
+            within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            out[np.repeat(at[i : i + PLACED], sizes) + within] = self.pool[np.repeat(self.first[some], sizes) + within]
+        return out.tobytes()
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -299,42 +321,49 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(sent.value)
         for rows in _slices(batches):
-            ids, starts = [], []
-            for line in codec.encode(rows[text].fillna("").tolist()):
-                ids.append(np.array(line.split(), np.int32))
-                sizes = np.fromiter(map(len, codec.pieces(line)), np.int64)
-                starts.append(np.cumsum(sizes) - sizes)
+            found = [codec.tokens(line) for line in codec.encode(rows[text].fillna("").tolist())]
+            ids, starts = [i.astype(np.int32) for i, _ in found], [s for _, s in found]
             yield rows.assign(ids=ids, starts=starts)
 
     return kept.mapInPandas(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds ``decoded``, the bytes that ``ids`` stand for; null ids stay null."""
+    """Adds ``decoded``, the bytes that ``ids`` stand for by their offsets ``starts``; null ids or starts give null.
+
+    Both arrays may be the same slice of a text's. Repeated rows stay; an empty table gives none.
+    """
     kept = encoded.drop("decoded")
     sent = _ranks(encoded, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(sent.value)
         for batch in _slices(batches):
-            yield batch.assign(decoded=[None if x is None else codec.decode(b" ".join(b"%d" % i for i in x)) for x in batch["ids"]])
+            yield batch.assign(decoded=[None if i is None or s is None else codec.decode(i.astype(np.int64), s) for i, s in zip(batch["ids"], batch["starts"])])
 
     return kept.mapInPandas(run, widened(kept.schema, "decoded binary"))
 
 
 def digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_bytes, ids_sha256, decoded_sha256): the digests of ids and of what they decode to."""
+    """(doc_id, n_tokens, n_bytes, ids_sha256, decoded_sha256, starts_sha256): digests of the ids, of what they decode to
+    by their offsets, and of the offsets (little-endian, 8 bytes each).
+
+    Null texts are empty and have no tokens; repeated rows stay; an empty table gives none; other columns aren't read.
+    """
     sent = _ranks(docs, path)
+    sha256 = lambda data: hashlib.sha256(data).hexdigest()
+    schema = "doc_id long, n_tokens long, n_bytes long, ids_sha256 string, decoded_sha256 string, starts_sha256 string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(sent.value)
         for batch in batches:
             rows = []
             for line in codec.encode(batch[text].fillna("").tolist()):
-                decoded = codec.decode(line)
-                rows.append((line.count(b" ") + 1 if line else 0, len(decoded), hashlib.sha256(line).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "n_bytes", "ids_sha256", "decoded_sha256"])
+                ids, starts = codec.tokens(line)
+                decoded = codec.decode(ids, starts)
+                rows.append((len(ids), len(decoded), sha256(line), sha256(decoded), sha256(starts.astype("<i8").tobytes())))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")][1:])
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
 
-    return docs.select("doc_id", text).mapInPandas(run, "doc_id long, n_tokens long, n_bytes long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", text).mapInPandas(run, schema)

@@ -1,11 +1,13 @@
 import base64
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe
 
@@ -24,7 +26,10 @@ def same(both, texts):
     codec, peer = both
     for text, line in zip(texts, codec.encode(texts), strict=True):
         assert [int(x) for x in line.split()] == peer.encode_ordinary(text), text
-        assert codec.decode(line) == text.encode()
+        ids, starts = codec.tokens(line)
+        assert codec.decode(ids, starts) == text.encode()
+        middle = slice(len(ids) // 3, 2 * len(ids) // 3)  # a passage by itself
+        assert codec.decode(ids[middle], starts[middle]) == b"".join(map(peer.decode_single_token_bytes, ids[middle].tolist()))
 
 
 def test_fixed_texts(both):
@@ -39,8 +44,6 @@ def test_random_texts(both, texts):
 
 
 def test_scan_widths(both):
-    import numpy as np
-
     element, product, _, _ = bpe.automaton()
     given_ = element[np.random.default_rng(0).integers(0, 18, 3001)]
     want, at = [], 0
@@ -63,4 +66,15 @@ def test_columns(spark, both):
     digests = bpe.digests(docs, PATH).orderBy("doc_id").collect()
     assert digests[2].ids_sha256 == hashlib.sha256(line.encode()).hexdigest() and digests[2].n_tokens == len(line.split())
     assert digests[0].n_tokens == 0 and digests[0].ids_sha256 == hashlib.sha256(b"").hexdigest()
-    assert bpe.encode(docs.limit(0), PATH).count() == 0
+    starts = b"".join(x.to_bytes(8, "little") for x in rows[2].starts)
+    assert digests[2].starts_sha256 == hashlib.sha256(starts).hexdigest() and digests[2][1:] == digests[3][1:]
+    assert bpe.encode(docs.limit(0), PATH).count() == 0 == bpe.digests(docs.limit(0), PATH).count()
+    assert bpe.decode(bpe.encode(docs, PATH).withColumn("starts", F.lit(None).cast("array<bigint>")), PATH).filter("decoded IS NOT NULL").count() == 0
+    part = bpe.decode(bpe.encode(docs, PATH).withColumns({"ids": F.slice("ids", 2, 2), "starts": F.slice("starts", 2, 2)}), PATH).orderBy("doc_id").collect()
+    assert bytes(part[2].decoded) == b" " + b" world" and bytes(part[0].decoded) == b""
+
+
+def test_unknown_ids(both):
+    for bad in ([60_000], [-1]):
+        with pytest.raises(ValueError):
+            both[0].decode(np.array(bad), np.zeros(1, np.int64))
