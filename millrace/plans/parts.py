@@ -38,10 +38,10 @@ def _in_parts(insert):
 def _across_runs(s, p):
     """Three runs, by the documents' sources in order; each asks the registry of the runs before and adds to it."""
     path, out = folder(s, "registry"), None
-    rows = kept(funnel.dedup_in_batch(batch(s, p).withColumn("run", F.pmod(F.length("source"), F.lit(3)))).filter("run IS NOT NULL"))
+    runs = batch(s, p).withColumn("run", F.pmod(F.length("source"), F.lit(3))).filter("run IS NOT NULL")
+    rows = kept(runs.select("news_id", "run", "created_at", t.content_hash(F.col("text")).alias("content_hash")))
     for run in range(3):
-        of_run = rows.filter(F.col("run") == run).select("news_id", "run", "created_at", "content_hash")
-        first = of_run.groupBy("run", "content_hash").agg(F.min(F.struct("created_at", "news_id"))["news_id"].alias("news_id"))
+        first = rows.filter(F.col("run") == run).groupBy("run", "content_hash").agg(F.min(F.struct("created_at", "news_id"))["news_id"].alias("news_id"))
         known = parts.registered(s, path, first, before=run)
         new = kept(first.join(known, "content_hash", "left_anti"))
         parts.register(new, path, run)
