@@ -107,3 +107,24 @@ def test_diversity_takes_unit_vectors(spark):
     rows = [("a", [3.0, 0.0]), ("a", [0.0, 5.0]), ("one", [1.0, 2.0])]
     got = {r.type: (r.similarity, r.variance) for r in evaluate.diversity(spark.createDataFrame(rows, "type string, vector array<double>")).collect()}
     assert got["one"] == (0.0, 0.0) and got["a"] == (pytest.approx(0), pytest.approx(0.5))
+
+
+def test_golden_ranks_equal_plain_loops_without_rows_of_pairs(spark, monkeypatch):
+    """Blocks of a few scores each give the means of plain loops, and no news is sent once for every target."""
+    monkeypatch.setattr(evaluate, "AREA", 60, raising=False)
+    draw = np.random.default_rng(5)
+    news, targets = draw.integers(-2, 3, (40, 4)) + 0.5, draw.integers(-2, 3, (30, 4)) + 0.5
+    cases = [("ab"[src % 2], src, dst) for src in range(4) for dst in range(src, 34, 3)]
+    edges = [(n, (n * s) % 5) for n in range(45) for s in range(1, 4)]
+    groups, final = evaluate.golden_eval(spark.createDataFrame(cases, "category string, src long, dst long"), spark.createDataFrame(edges, "src long, dst long"), frame_of(spark, news), frame_of(spark, targets), K)
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan
+    scores, of = np.round(unit(news) @ unit(targets).T, 9), {}
+    for category, src, dst in cases:
+        if dst < len(targets):
+            ranks = [1 + int((scores[n] > scores[n, dst]).sum()) for n in {n for n, x in edges if x == src and n < len(news)}]
+            of.setdefault(category, []).append((np.mean([1 / r for r in ranks]) if ranks else 0, np.mean([r <= K for r in ranks]) if ranks else 0))
+    got = {r.category: (r.cases, r.mrr, r.hit) for r in groups.collect()}
+    want = {c: (len(v), *np.mean(v, axis=0)) for c, v in [*of.items(), ("all", sum(of.values(), []))]}
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c], abs=1e-9) for c in want)
+    assert final.first().score == pytest.approx(np.mean([(m + h) / 2 for c, (_, m, h) in want.items() if c != "all"]), abs=1e-9)
