@@ -286,3 +286,14 @@ def test_latest_ids_takes_the_offset_before_exclusions(spark):
     exclude = spark.createDataFrame([(1, n) for n in range(16, 30)] + [(2, 26)], "user_id long, news_id long")
     rows = r.latest_ids(articles, users, exclude, 2, 3).orderBy("user_id", "pos").collect()
     assert [(x.user_id, x.news_id, x.pos) for x in rows] == [(2, 25, 0), (2, 24, 1)]  # of user 1 the eight that are fetched are all excluded
+
+
+def test_nothing_kept_has_rows_of_users_times_news(spark, world, monkeypatch):
+    """Frames that are written hold a user's exclusions and scored lists, not the pools' lists nor a row for each candidate."""
+    written = []
+    monkeypatch.setitem(globals(), "kept", lambda frame: written.append(kept_(frame)) or written[-1])
+    built(spark, world, LIMITS, "mean")
+    assert written and not any({"newest", "base"} & {*x.columns} or {"user_id", "news_id", "rank"} <= {*x.columns} for x in written)
+
+
+kept_ = kept
