@@ -48,3 +48,26 @@ def test_random_link_split(spark):
     assert {(a, b) for a, b, _, y in out if y} == {(r.src, r.dst) for r in positives.collect()}
     assert out and {tuple(r) for r in graph.random_link_split(positives.repartition(3), 400, 50, 0.1, 0.2, 3).collect()} == set(out)
     assert not graph.random_link_split(positives.limit(0), 400, 50, 0.1, 0.2, 3).collect()
+
+
+def test_negatives_take_no_more_draws_than_they_need(spark):
+    """The first pairs of all draws, from little more draws than pairs on a sparse graph and from all of them on a full one."""
+    import re
+    from hashlib import md5
+
+    def plain(positives, num_src, num_dst, count):
+        draw = lambda of, i, n: int(md5(f"5:{of}:{i}".encode()).hexdigest()[:15], 16) % n
+        pairs = ((draw("s", i, num_src), draw("d", i, num_dst)) for i in range(max(20 * count, 1000)))
+        return list(dict.fromkeys(p for p in pairs if p not in positives))[:count]
+
+    sparse = {(i, i * 7 % 500) for i in range(4000)}
+    made = graph.negative_edges(spark.createDataFrame(sorted(sparse), EDGES), 4000, 500, 4000, 5)
+    assert {tuple(r) for r in made.collect()} == {*plain(sparse, 4000, 500, 4000)} and made.count() == 4000
+    assert max(int(n) for n in re.findall(r"Range \(0, (\d+)", made._jdf.queryExecution().optimizedPlan().toString())) < 3 * 4000
+    full = {(i, j) for i in range(60) for j in range(20) if (i + j) % 40}
+    edges = spark.createDataFrame(sorted(full), EDGES)
+    wanted = plain(full, 60, 20, len(full))
+    assert 0 < len(wanted) < len(full) and {tuple(r) for r in graph.negative_edges(edges, 60, 20, len(full), 5).collect()} == {*wanted}
+    split = graph.random_link_split(edges, 60, 20, 0.1, 0.2, 5).filter("label = 0").collect()
+    sizes = Counter(r.split for r in graph.random_split(edges, 0.1, 0.2, 5).collect())
+    assert {(r.src, r.dst) for r in split if r.split == "train"} == {*wanted[: sizes["train"]]} and len(split) == len(wanted)
