@@ -71,3 +71,14 @@ def test_negatives_take_no_more_draws_than_they_need(spark):
     split = graph.random_link_split(edges, 60, 20, 0.1, 0.2, 5).filter("label = 0").collect()
     sizes = Counter(r.split for r in graph.random_split(edges, 0.1, 0.2, 5).collect())
     assert {(r.src, r.dst) for r in split if r.split == "train"} == {*wanted[: sizes["train"]]} and len(split) == len(wanted)
+
+
+@pytest.mark.parametrize("span", [3, 1024])
+def test_news_named_by_two_columns(spark, span):
+    """Articles of one id are apart, in blocks and without, and rows that lie by news are not dealt out again to meet."""
+    k, s = {(n % 15, n % 2, x) for n, x in edges(3, 30, 40, 40)}, {(n % 15, n % 2, x) for n, x in edges(4, 30, 25, 17)}
+    left, right = spark.createDataFrame(sorted(k), "news_id long, nth long, src long"), spark.createDataFrame(sorted(s), "news_id long, nth long, dst long")
+    pairs = graph.shared_news(left, right, span=span)
+    assert Counter(tuple(r) for r in pairs.collect()) == Counter((a, b) for *n, a in k for *m, b in s if n == m)
+    own = graph.shared_news(right.withColumnRenamed("dst", "src"), right, True, span)
+    assert Counter(tuple(r) for r in own.collect()) == Counter((a, b) for *n, a in s for *m, b in s if n == m and a < b)
