@@ -175,3 +175,10 @@ def test_deep_pages_are_linear():
 
     seconds(1_000)
     assert seconds(100_000) < 40 * max(seconds(10_000), 0.02)  # ten times the page; a square would be a hundred
+
+
+def test_title_keeps_references_that_were_cut(spark):
+    """A title that ends in the middle of a reference is read as its SQL reads it: only whole references are decoded."""
+    pages = ["<title>a&amp;&lt;b&gt; &quot;c&#39;&amp</title>", "<title>x&&&amp;&amp;&am</title>", '<meta property="og:title" content="Q&amp;A &lt"><title>t</title>']
+    got = spark.createDataFrame(list(enumerate(pages)), "id long, html string").select("id", funnel.html_title("html").alias("title"))
+    assert [r.title for r in got.orderBy("id").collect()] == ["a&<b> \"c'&amp", "x&&&&&am", "Q&A &lt"]
